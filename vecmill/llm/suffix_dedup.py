@@ -40,8 +40,8 @@ from .storage import saved
 
 _U64 = np.uint64
 _POS = 24  # low bits of a composite key: the place in a slice
-BATCH_BYTES = 8 << 20
-BLOCK_BYTES = 3 << 20
+BATCH_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 19
 COVER = (0, 1, 2, 4)  # difference cover modulo 8
 _SHIFT = np.array([0, 0, 0, 1, 0, 3, 2, 1])  # to the next covered residue
 _NULL_ID = np.iinfo(np.int64).min
@@ -86,7 +86,7 @@ class Anchors:
         self.first, self.last, self.anchor = first - base, last - base, self.anchor_at - first
 
 
-def _pieces(offsets: np.ndarray, length: int, size: int = K.SLICE_BYTES) -> Iterator[tuple[int, int, int, int]]:
+def _pieces(offsets: np.ndarray, length: int, size: int = 1 << 19) -> Iterator[tuple[int, int, int, int]]:
     """(first row, last row, first byte, last byte) of slices; a long text comes in
     several pieces that overlap by ``length - 1`` bytes, so each window is in one."""
     for lo, hi in K.slices(offsets, size):
