@@ -143,7 +143,7 @@ def _disc() -> tuple[np.ndarray, np.ndarray]:
     return yy[inside], xx[inside]
 
 
-def features(image: np.ndarray, points: int = 32) -> np.ndarray:
+def features(image: np.ndarray, points: int = 48) -> np.ndarray:
     """The ``points`` strongest corners over all scales as an array of ``_POINT``."""
     found = []
     for scale in SCALES:
@@ -197,7 +197,7 @@ def table_keys(points: np.ndarray) -> np.ndarray:
     return np.unique(K.mix64(keys.astype(np.uint64).ravel())).view(np.int64)
 
 
-def agreeing(a: np.ndarray, b: np.ndarray, most_bits: int = 48, tolerance: float = 3.5) -> int:
+def agreeing(a: np.ndarray, b: np.ndarray, most_bits: int = 40, tolerance: float = 3.5) -> int:
     """Matches of two images that agree with the best similarity transform."""
     if not len(a) or not len(b):
         return 0
@@ -212,13 +212,13 @@ def agreeing(a: np.ndarray, b: np.ndarray, most_bits: int = 48, tolerance: float
     dx, dy = p["x"][None, :] - p["x"][:, None], p["y"][None, :] - p["y"][:, None]
     ex = q["x"][:, None] + cos * dx - sin * dy - q["x"][None, :]
     ey = q["y"][:, None] + sin * dx + cos * dy - q["y"][None, :]
-    near_enough = np.hypot(ex, ey) <= tolerance * np.maximum(1, s)[:, None] + 0.08 * np.hypot(dx, dy) * s[:, None]
+    near_enough = np.hypot(ex, ey) <= tolerance * np.maximum(1, s)[:, None] + 0.05 * np.hypot(dx, dy) * s[:, None]
     turn = np.abs((t[None, :] - t[:, None] + np.pi) % (2 * np.pi) - np.pi) < 0.5
     size = np.abs(np.log(s[None, :] / s[:, None])) < 0.5
     return int((near_enough & turn & size).sum(1).max())
 
 
-def describe(media: DataFrame, id_cols: list[str], image_col: str = "image", points: int = 32) -> DataFrame:
+def describe(media: DataFrame, id_cols: list[str], image_col: str = "image", points: int = 48) -> DataFrame:
     """``id_cols, node (digest of the image), points (binary), keys`` of every row."""
     rows = media.select(*id_cols, F.unhex(F.md5(image_col)).alias("node"), F.col(image_col).alias("image"))
     schema = rows.drop("image").withColumn("points", F.lit(b"")).withColumn("keys", F.array().cast("array<long>")).schema
@@ -232,7 +232,7 @@ def describe(media: DataFrame, id_cols: list[str], image_col: str = "image", poi
     return rows.mapInArrow(run, schema)
 
 
-def image_copies(media: DataFrame, id_cols: list[str], image_col: str = "image", points: int = 32, least: int = 6) -> DataFrame:
+def image_copies(media: DataFrame, id_cols: list[str], image_col: str = "image", points: int = 48, least: int = 6) -> DataFrame:
     """``id_cols, class_id, class_size, n_points, n_links`` of every row.
 
     ``class_id`` is the hexadecimal digest that names the class of images linked by at

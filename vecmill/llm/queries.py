@@ -76,8 +76,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import image_copies, media_of_vectors
+
+    return image_copies(media_of_vectors(table(spark, sf_dir, "embeddings")), ["vec_id", "variant"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_toxicity, op3_main_text, op4_repeated_strings, op5_decontamination, op6_token_counts, op7_packing, op8_token_files, op9_quality)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_toxicity, op3_main_text, op4_repeated_strings, op5_decontamination, op6_token_counts, op7_packing, op8_token_files, op9_quality, op10_media_copies)}
 
 
 def oracle_sql() -> dict[str, str]:
