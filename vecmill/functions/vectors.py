@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,10 +25,15 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(doubles(v), F.lit(0.0), lambda acc, x: acc + x * x))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: inside a higher-order function an outer
+    expression would be computed again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def l2(v: Column, eps: float = ENCODER_EPS) -> Column:
     """Divide by the norm, or by ``eps`` where the norm is smaller."""
-    n = F.greatest(norm(v), F.lit(eps))
-    return F.transform(doubles(v), lambda x: x / n)
+    return let(doubles(v), lambda w: let(F.greatest(norm(w), F.lit(eps)), lambda n: F.transform(w, lambda x: x / n)))
 
 
 def prefix(v: Column, dim: int, eps: float = ENCODER_EPS) -> Column:

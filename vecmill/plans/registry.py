@@ -1,11 +1,538 @@
-"""Registered queries over the shared test tables and the SQL that gives the same rows."""
+"""Registered queries over the shared test tables, each with SQL that gives the same rows.
+
+A query is one operator (or a pipeline of them) on the stand-ins of ``testdata``.  Values
+are rounded to six decimals so that orders of summation do not show.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import vectors as V
+from ..operators import compress as C
+from ..operators import losses as L
+from ..operators import maxsim as M
+from ..operators import merge as G
+from ..operators import metrics as R
+from ..operators import training as T
+from ..sources import sinks as W
+from ..sources import tables as S
+from . import testdata as D
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def query(sql: str | None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), 6) for c in cols})
+
+
+# Scores ----------------------------------------------------------------------------
+
+_ALL = "SELECT query_id, doc_id, round(score, 6) AS score FROM scores"
+
+
+@query(f"WITH {D.BAGS}, {D.SCORES} {_ALL}")
+def maxsim_scores(spark, d):
+    return rounded(D.scores(spark, d), "score")
+
+
+@query(f"WITH {D.BAGS}, {D.SCORES} {_ALL}")
+def maxsim_scores_rows(spark, d):
+    return rounded(D.scores(spark, d, strategy="rows"), "score")
+
+
+@query(f"WITH {D.BAGS}, {D.SCORES} {_ALL}")
+def maxsim_scores_nested(spark, d):
+    return rounded(D.scores(spark, d, strategy="nested"), "score")
+
+
+@query(f"WITH {D.BAGS}, {D.SCORES} SELECT query_id, doc_id, round(sum(CASE WHEN n_tok < 8 THEN greatest(m, 0) ELSE m END), 6) AS score FROM best GROUP BY ALL")
+def maxsim_padded_scores(spark, d):
+    return rounded(D.scores(spark, d, pad_len=8), "score")
+
+
+_TOP = "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores) WHERE rank <= 10"
+
+
+@query(f"WITH {D.BAGS}, {D.SCORES} {_TOP}")
+def maxsim_topk(spark, d):
+    return rounded(D.scores(spark, d, top_k=10), "score")
+
+
+@query(f"WITH {D.prefix_sql(32)}, {D.SCORES} {_TOP}")
+def prefix_maxsim_topk(spark, d):
+    return rounded(D.scores(spark, d, 32, top_k=10), "score")
+
+
+@query(f"WITH {D.prefix_sql(16)}, {D.SCORES} {_TOP}")
+def prefix16_maxsim_topk(spark, d):
+    return rounded(D.scores(spark, d, 16, top_k=10), "score")
+
+
+_SMOOTH = """sims AS (SELECT query_id, doc_id, q_tok, list_inner_product(q_vec, vec) AS x FROM queries, bags),
+peaks AS (SELECT query_id, doc_id, q_tok, max(x) AS p FROM sims GROUP BY ALL)
+SELECT query_id, doc_id, round(sum(s), 6) AS score FROM (SELECT query_id, doc_id, q_tok, 0.1 * ln(sum(exp((x - p) / 0.1))) + max(p) AS s FROM sims JOIN peaks USING (query_id, doc_id, q_tok) GROUP BY ALL) GROUP BY ALL"""
+
+
+@query(f"WITH {D.BAGS}, {D.SCORES.split(',' + chr(10) + 'best')[0]}, {_SMOOTH}")
+def smooth_maxsim(spark, d):
+    return rounded(D.scores(spark, d, strategy="rows", tau=0.1), "score")
+
+
+@query(f"WITH {D.BAGS}, {D.SCORES} SELECT query_id, doc_id, round(sum(m) / count(*), 6) AS score FROM best GROUP BY ALL")
+def length_normalized_scores(spark, d):
+    b = D.bags(spark, d)
+    return rounded(M.length_normalized(M.maxsim(D.queries(b), b), D.queries(b)).select("query_id", "doc_id", "score"), "score")
+
+
+@query(f"WITH {D.BAGS}, {D.SCORES} SELECT query_id, doc_id, round(score, 6) AS score FROM scores WHERE doc_id - query_id BETWEEN 1 AND 3")
+def candidate_maxsim(spark, d):
+    b = D.bags(spark, d)
+    pairs = D.queries(b).select("query_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("i")).select("query_id", (F.col("query_id") + F.col("i")).alias("doc_id"))
+    return rounded(M.candidate_maxsim(pairs, D.queries(b), b), "score")
+
+
+# Metrics and rollups ---------------------------------------------------------------
+
+_PER_QUERY = f"WITH {D.BAGS}, {D.SCORES}, {D.QRELS}, {D.RANKED}, {D.metrics_sql()}"
+
+
+def _per_query(spark, d):
+    return R.per_query(D.candidates(D.scores(spark, d)), D.qrels(spark, d))
+
+
+def _metric(name):
+    cols = [f"{name}_at_{k}" for k in R.KS]
+
+    def run(spark, d):
+        return rounded(_per_query(spark, d).select("query_id", *cols), *cols)
+
+    run.__name__ = {"map": "map_at_k", "mrr": "mrr_at_k", "ndcg": "ndcg_at_k", "recall": "recall_at_k"}[name]
+    query(f"{_PER_QUERY} SELECT query_id, {', '.join(f'round({c}, 6) AS {c}' for c in cols)} FROM per_query")(run)
+
+
+for _name in R.NAMES:
+    _metric(_name)
+
+_AVG = ", ".join(f"round(avg({m}), 6) AS {m}" for m in R.METRICS)
+
+
+@query(f"{_PER_QUERY} SELECT {_AVG}, count(*) AS n_queries FROM per_query")
+def task_metrics(spark, d):
+    return rounded(R.task_metrics(_per_query(spark, d)), *R.METRICS)
+
+
+# Tasks of the rollups: one per query label; boards b0 .. b3 by label modulo 4.
+_TASKS = f"{_PER_QUERY}, tasks AS (SELECT 'b' || (query_id // 1000 % 4) AS dataset, 't' || (query_id // 1000) AS task, {', '.join(R.METRICS)}, 1 AS n_queries, (SELECT count(DISTINCT doc_id) FROM bags) AS n_docs FROM per_query)"
+
+
+def _tasks(spark, d):
+    label = F.floor(F.col("query_id") / 1000)
+    n = D.bags(spark, d).agg(F.count("*").alias("n_docs"))
+    return _per_query(spark, d).crossJoin(n).select(F.concat(F.lit("b"), F.pmod(label, F.lit(4)).cast("string")).alias("dataset"), F.concat(F.lit("t"), label.cast("string")).alias("task"), *R.METRICS, F.lit(1).alias("n_queries"), "n_docs")  # one row on the right
+
+
+@query(f"{_TASKS} SELECT dataset, round(avg(ndcg_at_10), 6) AS ndcg_at_10, round(avg(map_at_5), 6) AS map_at_5, count(*) AS n_tasks, sum(n_queries) AS n_queries, sum(n_docs) AS n_docs FROM tasks GROUP BY ROLLUP (dataset)")
+def board_rollup(spark, d):
+    return rounded(R.board_rollup(_tasks(spark, d), ["ndcg_at_10", "map_at_5"]), "ndcg_at_10", "map_at_5")
+
+
+@query(f"{_TASKS}, wide AS (SELECT {', '.join(f'avg(ndcg_at_10) FILTER (dataset = {chr(39)}b{i}{chr(39)}) AS b{i}' for i in range(4))} FROM tasks) SELECT {', '.join(f'round(b{i}, 6) AS b{i}' for i in range(4))}, round((b0 + b1 + b2 + b3) / 4, 6) AS avg_boards FROM wide")
+def avg4_headline(spark, d):
+    names = [f"b{i}" for i in range(4)]
+    return rounded(R.average_of_boards(R.board_rollup(_tasks(spark, d), ["ndcg_at_10"]), "ndcg_at_10", names), *names, "avg_boards")
+
+
+def _head_sql(dim):
+    body = f"WITH {D.BAGS if dim == 64 else D.prefix_sql(dim)}, {D.SCORES}, {D.QRELS}, {D.RANKED}, {D.metrics_sql()}"
+    return f"({body} SELECT {dim} AS head, 'b' || (query_id // 1000 % 4) AS dataset, CASE WHEN query_id = 3000 AND {dim} = 16 THEN NULL ELSE ndcg_at_10 END AS m FROM per_query)"
+
+
+@query(f"SELECT head, dataset, CASE WHEN count(m) = count(*) THEN round(100 * avg(m), 6) END AS ndcg_at_10 FROM ({' UNION ALL '.join(_head_sql(k) for k in (64, 16))}) GROUP BY ALL")
+def head_matrix(spark, d):
+    rows = None
+    for dim in (64, 16):
+        got = R.per_query(D.candidates(D.scores(spark, d, None if dim == 64 else dim)), D.qrels(spark, d))
+        m = F.when((F.col("query_id") == 3000) & F.lit(dim == 16), None).otherwise(F.col("ndcg_at_10"))
+        part = got.select(F.lit(dim).alias("head"), F.concat(F.lit("b"), F.pmod(F.floor(F.col("query_id") / 1000), F.lit(4)).cast("string")).alias("dataset"), m.alias("ndcg_at_10"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rounded(R.head_matrix(rows, ["ndcg_at_10"]), "ndcg_at_10")
+
+
+@query("SELECT source AS task FROM documents GROUP BY 1 HAVING source NOT IN (SELECT source FROM documents WHERE doc_id % 97 = 3)")
+def pending_tasks_anti(spark, d):
+    docs = D.table(spark, d, "documents").select(F.col("source").alias("task"), "doc_id")
+    return R.pending(docs.select("task").distinct(), docs.where("doc_id % 97 = 3"))
+
+
+@query("SELECT source AS task, CASE WHEN max(doc_id) % 2 = 0 THEN 'fresh' ELSE 'cached' END AS state FROM documents GROUP BY 1")
+def result_upsert(spark, d):
+    last = D.table(spark, d, "documents").groupBy("source").agg(F.max("doc_id").alias("m")).withColumnRenamed("source", "task")
+    fresh = last.where("m % 2 = 0").select("task", F.lit("fresh").alias("state"))
+    return R.upsert(last.select("task", F.lit("cached").alias("state")), fresh)
+
+
+_REC = "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN 'nan'::DOUBLE WHEN doc_id % 5 = 2 THEN 'inf'::DOUBLE ELSE n_chars::DOUBLE END AS m, CASE WHEN doc_id % 3 = 0 THEN 'failed' END AS error, lang AS p FROM documents"
+
+
+@query(f"SELECT doc_id FROM ({_REC}) WHERE error IS NULL AND p = 'en' AND m IS NOT NULL AND isfinite(m)")
+def usable_records(spark, d):
+    k = F.pmod("doc_id", F.lit(5))
+    m = F.when(k == 0, None).when(k == 1, F.lit(float("nan"))).when(k == 2, F.lit(float("inf"))).otherwise(F.col("n_chars").cast("double"))
+    rec = D.table(spark, d, "documents").select("doc_id", m.alias("m"), F.when(F.pmod("doc_id", F.lit(3)) == 0, "failed").alias("error"), F.col("lang").alias("eval_protocol"), F.lit("c").alias("eval_contract_id"))
+    return rec.where(R.usable("en", "c", ["m"])).select("doc_id")
+
+
+@query("SELECT * FROM (SELECT coalesce(e.lang, f.lang) AS dataset, coalesce(n, 0) AS expected, coalesce(found, 0) AS found FROM (VALUES ('en', 10), ('it', 4)) e(lang, n) FULL JOIN (SELECT lang, count(DISTINCT source) AS found FROM documents GROUP BY 1) f ON e.lang = f.lang) WHERE expected <> found")
+def task_count_mismatch(spark, d):
+    return R.count_mismatch(D.table(spark, d, "documents").select(F.col("lang").alias("dataset"), "source").distinct(), {"en": 10, "it": 4})
+
+
+# Sources ---------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, text, lang, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
+def page_dedupe_first(spark, d):
+    return T.keep_first(D.table(spark, d, "documents"), "text", ["doc_id"])
+
+
+# Texts with the awkward cases of query columns, by id.
+_ODD = "CASE doc_id % 9 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  ' WHEN 3 THEN 'None' WHEN 4 THEN chr(9) || 'none' || chr(10) WHEN 5 THEN ' ' || lang || ' ' ELSE source END"
+
+
+def _odd(spark, d):
+    k = F.pmod("doc_id", F.lit(9))
+    q = F.when(k == 0, None).when(k == 1, "").when(k == 2, "  ").when(k == 3, "None").when(k == 4, "\tnone\n").when(k == 5, F.concat(F.lit(" "), "lang", F.lit(" "))).otherwise(F.col("source"))
+    return D.table(spark, d, "documents").select("doc_id", q.alias("query"), F.col("source").alias("image_filename"))
+
+
+@query(f"SELECT doc_id, q AS query, source AS image_filename FROM (SELECT doc_id, source, regexp_replace({_ODD}, '^\\s+|\\s+$', '', 'g') AS q FROM documents) WHERE q <> '' AND lower(q) <> 'none'")
+def paired_queries_valid(spark, d):
+    return S.paired_queries(_odd(spark, d))
+
+
+@query(f"SELECT doc_id::VARCHAR AS query_id, coalesce(q, 'None') AS text FROM (SELECT doc_id, {_ODD} AS q FROM documents) WHERE trim(coalesce(q, 'None'), ' ' || chr(9) || chr(10)) <> '' AND lower(coalesce(q, 'None')) <> 'none' AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def beir_keep_queries(spark, d):
+    q = S.beir_queries(_odd(spark, d).select(F.col("doc_id").alias("id"), "query"))
+    judged = D.table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("query_id"))
+    return S.keep_queries(q, judged)
+
+
+_RAW_QRELS = "SELECT doc_id % 50 AS query_id, doc_id % 400 AS doc_id, doc_id AS ord, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN -1 WHEN 3 THEN 'nan'::DOUBLE ELSE doc_id % 3 + 1 END::DOUBLE AS score FROM documents"
+
+
+@query(f"SELECT query_id, doc_id, max_by(g, ord) AS grade FROM (SELECT *, CASE WHEN score IS NULL OR score = 0 THEN 1 ELSE score END AS g FROM ({_RAW_QRELS})) WHERE g > 0 AND NOT isnan(g) AND doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) GROUP BY ALL")
+def qrels_normalized(spark, d):
+    docs = D.table(spark, d, "documents")
+    k = F.pmod("doc_id", F.lit(7))
+    s = F.when(k == 0, None).when(k == 1, 0.0).when(k == 2, -1.0).when(k == 3, F.lit(float("nan"))).otherwise((F.pmod("doc_id", F.lit(3)) + 1).cast("double"))
+    raw = docs.select(F.pmod("doc_id", F.lit(50)).alias("query_id"), F.pmod("doc_id", F.lit(400)).alias("key"), F.col("doc_id").alias("ord"), s.alias("score")).withColumnRenamed("key", "doc_id")
+    return R.normalized_qrels(raw, docs.where("doc_id % 2 = 0"), "ord")
+
+
+@query("SELECT doc_id, tag, replace(replace(replace(tag, '/', '__'), '[', '__'), ']', '') AS slug FROM (SELECT doc_id, source || '/' || (doc_id % 3) || CASE WHEN lang = 'en' THEN '' ELSE '[' || lang || ']' END AS tag FROM documents)")
+def task_tags(spark, d):
+    lang = F.when(F.col("lang") == "en", "").otherwise(F.col("lang"))
+    rows = D.table(spark, d, "documents").select("doc_id", S.task_tag(F.col("source"), F.pmod("doc_id", F.lit(3)).cast("string"), lang).alias("tag"))
+    return rows.withColumn("slug", S.task_slug(F.col("tag")))
+
+
+@query(f"SELECT doc_id, 'Query: ' || CASE WHEN coalesce(regexp_replace(q, '^\\s+|\\s+$', '', 'g'), '') = '' THEN ' ' ELSE q END || repeat('<a>', 10) AS prompt FROM (SELECT doc_id, {_ODD} AS q FROM documents)")
+def query_prompts(spark, d):
+    return _odd(spark, d).select("doc_id", T.query_text(F.col("query"), "Query: ", "<a>").alias("prompt"))
+
+
+@query(f"WITH {D.BAGS} SELECT count(*) AS n_docs, avg(n) AS avg_tokens, min(n) AS min_tokens, max(n) AS max_tokens FROM (SELECT doc_id, count(*) AS n FROM bags GROUP BY 1)")
+def token_stats(spark, d):
+    return W.token_stats(D.bags(spark, d))
+
+
+@query(f"WITH {D.BAGS}, {D.QRELS} SELECT query_id, '{{' || string_agg('\"' || doc_id || '\":' || grade::DOUBLE, ',' ORDER BY doc_id::VARCHAR) || '}}' AS graded FROM qrels GROUP BY 1")
+def qrels_json(spark, d):
+    return W.qrels_json(D.qrels(spark, d).withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+# Training tables -------------------------------------------------------------------
+
+
+@query("SELECT doc_id, source, lang FROM documents WHERE source IN ('src1', 'src3', 'src5')")
+def source_filter(spark, d):
+    return T.source_filter(D.table(spark, d, "documents"), ["src5", "src1", "src3"]).select("doc_id", "source", "lang")
+
+
+@query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 5")
+def first_n_per_source(spark, d):
+    return T.first_n_per_source(D.table(spark, d, "documents").select("doc_id", "source"), 5, ["doc_id"])
+
+
+@query("SELECT doc_id, source, task_id FROM documents JOIN (SELECT source, row_number() OVER (ORDER BY min(doc_id), source) - 1 AS task_id FROM documents GROUP BY 1) USING (source)")
+def task_id_encode(spark, d):
+    return T.task_ids(D.table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY 1")
+def value_counts_source(spark, d):
+    return T.value_counts(D.table(spark, d, "documents"))
+
+
+# Hard negatives: of each labelled document the next ones by id that are labelled bad.
+_HARD = "SELECT doc_id AS query, [doc_id, doc_id + 1] AS positive_doc_ids, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE list_transform(range(1, doc_id % 4 + 1), lambda i: doc_id + 10 * i) END AS negative_doc_ids FROM labels"
+
+
+def _hard(spark, d):
+    k = F.pmod("doc_id", F.lit(4))
+    neg = F.when(k == 0, None).otherwise(F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), lambda i: F.col("doc_id") + 10 * i))
+    return D.table(spark, d, "labels").select(F.col("doc_id").alias("query"), F.array("doc_id", F.col("doc_id") + 1).alias("positive_doc_ids"), neg.alias("negative_doc_ids"))
+
+
+@query(f"SELECT query, len(negative_doc_ids) AS n_neg FROM ({_HARD}) WHERE coalesce(len(negative_doc_ids) >= 2, false)")
+def hardneg_valid(spark, d):
+    return T.valid_hard_negatives(_hard(spark, d), 2).select("query", F.size("negative_doc_ids").alias("n_neg"))
+
+
+@query(f"SELECT query, unnest(positive_doc_ids) AS positive_doc_id, len(negative_doc_ids) AS n_neg, 1.0 / len(positive_doc_ids) AS sample_weight, query AS query_group_id FROM ({_HARD})")
+def allpos_expand(spark, d):
+    rows = T.expand_positives(_hard(spark, d).withColumn("negative_mask", F.lit(None).cast("array<bigint>")), F.col("query"))
+    return rows.select("query", "positive_doc_id", F.size("negative_doc_ids").alias("n_neg"), "sample_weight", "query_group_id")
+
+
+@query("SELECT l.doc_id, l.quality, d.source FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
+def positive_source_join(spark, d):
+    return T.strict_join(D.table(spark, d, "labels").select("doc_id", "quality"), D.table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+
+
+@query("SELECT source, count(*) // 16 * 16 AS n_rows, count(*) // 16 AS n_batches FROM documents GROUP BY 1 HAVING count(*) >= 16")
+def task_consistent_batches(spark, d):
+    """Sizes only: the order is a hash's."""
+    rows = T.task_consistent_batches(D.table(spark, d, "documents").select("doc_id", "source"), 16, 42, "doc_id", "source")
+    return rows.groupBy("source").agg(F.count("*").alias("n_rows"), F.countDistinct("batch_id").alias("n_batches"))
+
+
+@query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE rn <= n // 16 * 16")
+def truncate_to_batches(spark, d):
+    return T.truncate_to_batches(D.table(spark, d, "documents").select("doc_id", "source"), 16, ["doc_id"])
+
+
+@query("SELECT text, max(doc_id) AS doc_id FROM documents GROUP BY 1")
+def last_row_wins(spark, d):
+    return T.last_wins(D.table(spark, d, "documents").select("text", "doc_id"), "text", "doc_id")
+
+
+# Vectors and compression -----------------------------------------------------------
+
+
+@query("SELECT vec_id, i, round(x / greatest(n, 1e-8), 6) AS x FROM (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(v) AS x, n FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda e: e * (label + 1)) AS v, sqrt(list_inner_product(v, v)) AS n FROM embeddings))")
+def l2_normalized(spark, d):
+    v = F.transform(V.doubles(F.col("embedding")), lambda x: x * (F.col("label") + 1))
+    rows = D.table(spark, d, "embeddings").select("vec_id", F.posexplode(V.l2(v, V.POOL_EPS)).alias("i", "x"))
+    return rounded(rows, "x")
+
+
+# Grids: a full bag is 2 x 4 cells, a short one 1 x n.
+_POS = """grid AS (SELECT doc_id, tok_idx, vec, CASE WHEN n = 8 THEN 2 ELSE 1 END AS h, CASE WHEN n = 8 THEN 4 ELSE n END AS w FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM bags)),
+pos AS (SELECT *, CASE WHEN w > 1 THEN (tok_idx % w) / (w - 1) ELSE 0 END::DOUBLE AS x, CASE WHEN h > 1 THEN (tok_idx // w) / (h - 1) ELSE 0 END::DOUBLE AS y FROM grid)"""
+_SIN = """freq AS (SELECT list_transform(range(0, 16), lambda i: pow(10000.0, -i / 15.0)) AS f),
+enc AS (SELECT doc_id, tok_idx, vec, list_concat(list_concat(list_transform(f, lambda w: sin(x / w)), list_transform(f, lambda w: cos(x / w))), list_concat(list_transform(f, lambda w: sin(y / w)), list_transform(f, lambda w: cos(y / w)))) AS e FROM pos, freq),
+encoded AS (SELECT doc_id, tok_idx, vec, list_transform(e, lambda c: c / greatest(sqrt(list_inner_product(e, e)), 1e-8)) AS p FROM enc)"""
+_FUSE = """mixed AS (SELECT doc_id, tok_idx, list_transform(list_zip(vec, p), lambda z: 0.9 * z[1] / greatest(sqrt(list_inner_product(vec, vec)), 1e-8) + 0.1 * z[2]) AS m FROM encoded),
+fused AS (SELECT doc_id, tok_idx, list_transform(m, lambda c: c / greatest(sqrt(list_inner_product(m, m)), 1e-8)) AS v FROM mixed)"""
+
+
+def _grid(spark, d):
+    from pyspark.sql import Window
+
+    n = F.count("*").over(Window.partitionBy("doc_id"))
+    t = D.tokens(spark, d).withColumn("n", n)
+    return t.withColumn("height", F.when(F.col("n") == 8, 2).otherwise(1)).withColumn("width", F.when(F.col("n") == 8, 4).otherwise(F.col("n")))
+
+
+@query(f"WITH {D.BAGS}, {_POS} SELECT doc_id, tok_idx, round(x, 6) AS x, round(y, 6) AS y FROM pos")
+def position_features(spark, d):
+    x, y = V.grid_position(F.col("tok_idx"), F.col("height"), F.col("width"))
+    return rounded(_grid(spark, d).select("doc_id", "tok_idx", x.alias("x"), y.alias("y")), "x", "y")
+
+
+@query(f"WITH {D.BAGS}, {_POS}, {_SIN} SELECT doc_id, tok_idx, round(p[1], 6) AS a, round(p[17], 6) AS b, round(p[33], 6) AS c, round(p[64], 6) AS d, round(list_sum(list_transform(p, lambda c: abs(c))), 4) AS s FROM encoded")
+def sinusoidal_position(spark, d):
+    x, y = V.grid_position(F.col("tok_idx"), F.col("height"), F.col("width"))
+    p = _grid(spark, d).select("doc_id", "tok_idx", V.sinusoidal(x, y, 64).alias("p"))
+    at = [F.round(F.element_at("p", i), 6).alias(n) for n, i in (("a", 1), ("b", 17), ("c", 33), ("d", 64))]
+    return p.select("doc_id", "tok_idx", *at, F.round(F.aggregate("p", F.lit(0.0), lambda acc, c: acc + F.abs(c)), 4).alias("s"))
+
+
+@query(f"WITH {D.BAGS}, {_POS}, {_SIN}, {_FUSE} SELECT doc_id, tok_idx, round(v[1], 6) AS a, round(v[20], 6) AS b, round(v[64], 6) AS c FROM fused")
+def fused_vectors(spark, d):
+    v = C.fused_tokens(_grid(spark, d), 0.1, 64)
+    return v.select("doc_id", "tok_idx", *[F.round(F.element_at("fused", i), 6).alias(n) for n, i in (("a", 1), ("b", 20), ("c", 64))])
+
+
+@query(f"WITH {D.BAGS}, means AS (SELECT doc_id, tok_idx // 3 AS cluster_id, i, avg(x) AS m, count(*) AS n FROM (SELECT doc_id, tok_idx, unnest(range(0, 64)) AS i, unnest(vec) AS x FROM bags) GROUP BY ALL), norms AS (SELECT doc_id, cluster_id, greatest(sqrt(sum(m * m)), 1e-8) AS z FROM means GROUP BY ALL) SELECT doc_id, cluster_id, i, round(m / z, 6) AS x, n AS n_members FROM means JOIN norms USING (doc_id, cluster_id)")
+def mean_pool_assignment(spark, d):
+    rows = D.tokens(spark, d).withColumn("cluster_id", F.floor(F.col("tok_idx") / 3).cast("int"))
+    return rounded(C.pool(rows).select("doc_id", "cluster_id", F.posexplode("vec").alias("i", "x"), "n_members"), "x")
+
+
+@query(None)
+def ward_assignment(spark, d):
+    return C.assign(_grid(spark, d), 4)
+
+
+@query(None)
+def compressed_index_topk(spark, d):
+    index = C.compress(_grid(spark, d), C.Recipe(budget=4)).select("doc_id", F.col("cluster_id").alias("tok_idx"), "vec")
+    b = D.bags(spark, d)
+    return rounded(M.maxsim(D.queries(b), M.nested(index), top_k=10, pad_len=4), "score")
+
+
+@query(f"WITH {D.BAGS} SELECT count(*) AS n_pages, round(avg(n), 6) AS avg_stored, min(n) AS min_stored, max(n) AS max_stored, sum((n < 4)::INT) AS below_budget, round(avg(n) * 64 * 2 * 1e6 / pow(2, 30), 6) AS gib_per_million FROM (SELECT doc_id, least(count(*), 4) AS n FROM bags GROUP BY 1)")
+def compression_stats(spark, d):
+    sizes = D.tokens(spark, d).groupBy("doc_id").agg(F.least(F.count("*"), F.lit(4)).alias("n_stored"))
+    return rounded(C.compression_stats(sizes, 4, 64), "avg_stored", "gib_per_million")
+
+
+@query("SELECT vectors, dim, round(vectors * dim * 2 * 1e6 / pow(2, 30), 6) AS gib FROM (VALUES (32, 64), (64, 64), (32, 128)) t(vectors, dim)")
+def storage_footprint(spark, d):
+    rows = [(v, k, C.gib_per_million_pages(v, k)) for v, k in ((32, 64), (64, 64), (32, 128))]
+    return rounded(spark.createDataFrame(rows, "vectors int, dim int, gib double"), "gib")
+
+
+_MASKS = f"WITH {D.BAGS}, masks AS (SELECT doc_id, tok_idx, (tok_idx * 3 + doc_id) % 8 BETWEEN 2 AND 5 AS m FROM bags)"
+
+
+@query(f"{_MASKS} SELECT doc_id, min(tok_idx) FILTER (m) AS image_start, max(tok_idx) FILTER (m) + 1 AS image_end, coalesce(max(tok_idx) FILTER (m) + 1 - min(tok_idx) FILTER (m) = count(*) FILTER (m), false) AS valid FROM masks GROUP BY 1")
+def image_span(spark, d):
+    t = D.tokens(spark, d).withColumn("m", (F.pmod(F.col("tok_idx") * 3 + F.col("doc_id"), F.lit(8))).between(2, 5))
+    masks = t.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("tok_idx", "m"))), lambda r: r["m"]).alias("mask"))
+    start, end, valid = C.image_span(F.col("mask"))
+    return masks.select("doc_id", start.alias("image_start"), end.alias("image_end"), valid.alias("valid"))
+
+
+@query(f"{_PER_QUERY}, boards AS (SELECT 'b' || (query_id // 1000 % 4) AS dataset, avg(ndcg_at_10) AS raw, avg(ndcg_at_5) AS comp FROM per_query GROUP BY 1) SELECT dataset, round(100 * raw, 6) AS raw_pct, round(100 * comp, 6) AS compressed_pct, round(100 * (comp - raw), 6) AS delta_pct FROM boards")
+def ladder(spark, d):
+    boards = _tasks(spark, d).groupBy("dataset").agg(F.avg("ndcg_at_10").alias("a"), F.avg("ndcg_at_5").alias("b"))
+    return rounded(C.ladder(boards.select("dataset", F.col("a").alias("v")), boards.select("dataset", F.col("b").alias("v")), "v"), "raw_pct", "compressed_pct", "delta_pct")
+
+
+# Losses ----------------------------------------------------------------------------
+
+
+def _softmax_sql(name: str, x: str, key: str = "query_id", source: str = "rows") -> str:
+    """CTE with ``name``: log softmax of an expression over a key."""
+    return f"{name}_x AS (SELECT *, {x} AS x FROM {source}), {name}_p AS (SELECT *, max(x) OVER (PARTITION BY {key}) AS peak FROM {name}_x), {name}_t AS (SELECT * EXCLUDE (x, peak), x - peak - ln(sum(exp(x - peak)) OVER (PARTITION BY {key})) AS {name} FROM {name}_p)"
+
+
+@query(f"WITH {D.LOSS}, {_softmax_sql('lp', 'score / 0.02')} SELECT query_id, round(-lp, 6) AS loss FROM lp_t WHERE is_pos")
+def infonce_loss(spark, d):
+    return rounded(L.info_nce(D.loss_table(spark, d)), "loss")
+
+
+_POSQ = "pos AS (SELECT query_id, score AS ps, teacher_score AS pt FROM rows WHERE is_pos)"
+
+
+@query(f"WITH {D.LOSS}, {_POSQ}, hot AS (SELECT r.* REPLACE (CASE WHEN NOT is_pos AND score > 0.95 * ps THEN 0.5 * score ELSE score END AS score) FROM rows r JOIN pos USING (query_id)), {_softmax_sql('lp', 'score / 0.02', source='hot')} SELECT query_id, round(-lp, 6) AS loss FROM lp_t WHERE is_pos")
+def filtered_infonce_loss(spark, d):
+    return rounded(L.info_nce(L.filter_high_negatives(D.loss_table(spark, d))), "loss")
+
+
+@query(f"WITH {D.LOSS}, kept AS (SELECT * FROM rows WHERE is_pos OR query_group_id <> doc_group_id), {_softmax_sql('lp', 'score / 0.02', source='kept')} SELECT query_id, round(-lp, 6) AS loss FROM lp_t WHERE is_pos")
+def group_masked_infonce(spark, d):
+    return rounded(L.info_nce(L.same_group_mask(D.loss_table(spark, d))), "loss")
+
+
+_SOFTPLUS = "(greatest((score - ps) / 0.02, 0) + ln(1 + exp(-abs((score - ps) / 0.02))))"
+_HARDLOSS = f"hard AS (SELECT query_id, sum({_SOFTPLUS} * slot_mask) / greatest(sum(slot_mask), 1) AS loss FROM rows JOIN pos USING (query_id) WHERE is_hard GROUP BY 1)"
+
+
+@query(f"WITH {D.LOSS}, {_POSQ}, {_HARDLOSS} SELECT query_id, round(loss, 6) AS loss FROM hard")
+def hardneg_softplus_loss(spark, d):
+    return rounded(L.hard_negative_softplus(D.loss_table(spark, d).where("is_pos or is_hard")), "loss")
+
+
+@query(
+    f"WITH {D.LOSS}, {_POSQ}, {_HARDLOSS}, easy AS (SELECT r.* REPLACE (CASE WHEN NOT is_pos AND score > 0.95 * ps THEN 0.5 * score ELSE score END AS score) FROM rows r JOIN pos USING (query_id) WHERE NOT is_hard), {_softmax_sql('lp', 'score / 0.02', source='easy')}, "
+    "w AS (SELECT query_id, 1.0 / (1 + query_id // 1000 % 3) AS weight FROM pos) SELECT round(sum(weight * (hard.loss * 0.5 - lp * 0.5)) / greatest(sum(weight), 1e-6), 6) AS loss FROM hard JOIN lp_t USING (query_id) JOIN w USING (query_id) WHERE is_pos"
+)
+def weighted_task_loss(spark, d):
+    loss = L.task_loss(D.loss_table(spark, d)).withColumn("weight", 1.0 / (1 + F.pmod(F.floor(F.col("query_id") / 1000), F.lit(3))))
+    return rounded(L.weighted_mean(loss, "weight"), "loss")
+
+
+@query(f"WITH {D.LOSS}, graded AS (SELECT *, doc_id % 4 AS grade FROM rows), {_softmax_sql('lq', 'score / 0.02', source='graded')}, {_softmax_sql('lp', 'grade / 1.0', source='lq_t')} SELECT round(sum(exp(lp) * (lp - lq)) / count(DISTINCT query_id), 6) AS loss FROM lp_t")
+def listwise_kl(spark, d):
+    return rounded(L.listwise_kl(D.loss_table(spark, d).withColumn("grade", F.pmod("doc_id", F.lit(4)).cast("double"))), "loss")
+
+
+def _confidence_sql(key, tie):
+    return f"{_softmax_sql('tp', 'teacher_score / 0.13', key)}, conf AS (SELECT {key}, (0.1 + 0.9 * least(greatest(1 - (-sum(exp(tp) * tp)) / ln(greatest(count(*), 2)), 0), 1)) * CASE WHEN max_by(is_pos, (tp, -{tie})) THEN 1.0 ELSE 0.25 END AS confidence FROM tp_t GROUP BY 1)"
+
+
+@query(f"WITH {D.LOSS}, {_confidence_sql('query_id', 'doc_id')} SELECT query_id, round(confidence, 6) AS confidence FROM conf")
+def teacher_confidence(spark, d):
+    return rounded(L.teacher_confidence(D.loss_table(spark, d)), "confidence")
+
+
+def _kl_sql(key, tie):
+    return f"WITH {D.LOSS}, {_confidence_sql(key, tie)}, {_softmax_sql('lq', 'score / 0.13', key, 'tp_t')} SELECT {key}, round(sum(exp(tp) * (tp - lq)) * max(confidence), 6) AS loss FROM lq_t JOIN conf USING ({key}) GROUP BY 1"
+
+
+@query(_kl_sql("query_id", "doc_id"))
+def ard_row_kl(spark, d):
+    return rounded(L.relation_kl(D.loss_table(spark, d)), "loss")
+
+
+@query(_kl_sql("doc_id", "query_id"))
+def ard_column_kl(spark, d):
+    return rounded(L.relation_kl(D.loss_table(spark, d), "doc_id", "query_id"), "loss")
+
+
+@query(f"WITH {D.LOSS}, {_POSQ}, m AS (SELECT query_id, slot_mask, ps - score AS s, pt - teacher_score AS t FROM rows JOIN pos USING (query_id) WHERE NOT is_pos) SELECT query_id, round(sum(CASE WHEN abs(s - t) < 1 THEN 0.5 * (s - t) * (s - t) ELSE abs(s - t) - 0.5 END / (1 + exp(-t / 0.13)) * slot_mask) / greatest(sum(slot_mask), 1), 6) AS loss FROM m GROUP BY 1")
+def ard_margin(spark, d):
+    return rounded(L.margin_loss(D.loss_table(spark, d)), "loss")
+
+
+@query("SELECT round(0.25 * 1 + 0.75 * 2, 6) AS task, round(0.25 * 4 + 0.75 * 3, 6) AS relation, round(0.25 * 0.5 + 0.75 * 0.25, 6) AS margin, 1.0 AS anchor, round(1.75 + 2 * (3.25 + 0.25 * 0.3125 + 0.25), 6) AS total")
+def combined_heads(spark, d):
+    rows = spark.createDataFrame([(64, 1.0, 4.0, 0.5, 1.0), (128, 2.0, 3.0, 0.25, None)], "head int, task double, relation double, margin double, anchor double")
+    return rounded(L.combine_heads(rows, L.normalized_weights([64, 128], {64: 1.0, 128: 3.0}), scale=2.0), "task", "relation", "margin", "anchor", "total")
+
+
+# Merging ---------------------------------------------------------------------------
+
+
+@query("SELECT label AS param, i AS idx, round(sum(w * x), 6) AS value FROM (SELECT label, unnest(range(0, 64)) AS i, unnest(embedding::DOUBLE[]) AS x, CASE rn WHEN 1 THEN 0.4 ELSE 0.6 END AS w FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) WHERE rn <= 2) GROUP BY ALL")
+def weighted_merge(spark, d):
+    from pyspark.sql import Window
 
-def queries():
-    return {}
+    rn = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    rows = D.table(spark, d, "embeddings").withColumn("rn", rn).where("rn <= 2").select(F.concat(F.lit("arm"), F.col("rn").cast("string")).alias("arm"), F.col("label").cast("string").alias("name"), F.posexplode("embedding").alias("idx", "value"))
+    merged = G.weighted_merge(rows.withColumnRenamed("name", "param"), {"arm1": 0.8, "arm2": 1.2})
+    return rounded(merged.select(F.col("param").cast("int").alias("param"), "idx", "value"), "value")
 
 
-def oracle_sql():
-    return {}
+@query("SELECT key, count(DISTINCT coalesce(value, 'null')) AS values, count(DISTINCT arm) AS arms FROM (SELECT lang AS arm, source AS key, (n_chars > 3000)::VARCHAR AS value FROM documents) GROUP BY 1 HAVING count(DISTINCT coalesce(value, 'null')) > 1 OR count(DISTINCT arm) < (SELECT count(DISTINCT lang) FROM documents)")
+def config_disagreements(spark, d):
+    docs = D.table(spark, d, "documents")
+    cfg = docs.select(F.col("lang").alias("arm"), F.col("source").alias("key"), (F.col("n_chars") > 3000).cast("string").alias("value"))
+    return G.disagreements(cfg, [f"src{i}" for i in range(20)])
