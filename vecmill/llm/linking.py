@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import saved
@@ -42,29 +42,41 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return nodes.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def semi(df: DataFrame, keys: DataFrame, key: str, bound: int = 1_000_000) -> DataFrame:
-    """Rows of ``df`` whose key is among ``keys`` (distinct): before any shuffle where
-    the keys are at most ``bound``, by a shuffled join beyond it."""
-    return df.join(F.broadcast(keys) if keys.count() <= bound else keys, key, "left_semi")
+def among(df: DataFrame, keys: DataFrame, key: str, bound: int = 1_000_000) -> DataFrame:
+    """Rows of ``df`` that have a partner in ``keys`` (one row per key), with its columns:
+    before any shuffle where the keys are at most ``bound``, by a shuffled join beyond it."""
+    return df.join(F.broadcast(keys) if keys.count() <= bound else keys, key)
 
 
-def together(pairs: DataFrame, payload: DataFrame, share: int = 2000) -> DataFrame:
+def together(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], share: int = 2000) -> DataFrame:
     """Rows ``a, part, b, payload`` laid out for comparing pairs ``a, b``: each ``a`` comes
     with its own payload first (null ``b``), then its partners.  An ``a`` with more than
-    ``share`` partners comes in several parts, its payload with each."""
-    pairs = saved(pairs)
+    ``share`` partners comes in several parts, its payload with each.  ``fetch`` gives
+    ``node, payload`` of given nodes."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("parts"))
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    own = saved(semi(payload.select("node", "payload"), wanted, "node").dropDuplicates(["node"]))
-    heads = parts.join(own, parts["a"] == own["node"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("b"), "payload")
-    members = pairs.join(parts, "a").join(own.withColumnRenamed("node", "b"), "b")
-    members = members.select("a", F.expr("cast(pmod(xxhash64(b), parts) as int)").alias("part"), "b", "payload")
+    wanted = saved(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    own = saved(fetch(wanted).select("node", "payload"))
+    part = F.expr("cast(pmod(xxhash64(b), parts) as int)")
+    sized = pairs.join(parts, "a").select("a", part.alias("part"), "b")
+    heads = parts.join(own, parts["a"] == own["node"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), "payload")
+    members = sized.join(own.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "payload")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return heads.unionByName(members).repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
 
-def _compared(compare: Callable[[bytes, bytes], bool]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+def comparing(decide: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[list, list]]]) -> Callable[[DataFrame, Callable], DataFrame]:
+    """The step from pairs to links.  ``decide`` gets the batches of ``together`` and
+    yields the two columns of links."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, right in decide(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return lambda pairs, fetch: together(pairs, fetch).mapInArrow(run, "a long, b long")
+
+
+def one_by_one(compare: Callable[[bytes, bytes], bool]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[list, list]]]:
+    def decide(batches):
         head = None
         for batch in batches:
             left, right = [], []
@@ -74,29 +86,58 @@ def _compared(compare: Callable[[bytes, bytes], bool]) -> Callable[[DataFrame, D
                 elif compare(head, payload):
                     left.append(a)
                     right.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+            yield left, right
+
+    return decide
+
+
+def node_ids(nodes: DataFrame, least: str) -> DataFrame:
+    """``nodes`` with ``node``, a number of each row: the column ``least`` where it is
+    distinct and never null, so that order follows the rows' ids, else any numbers.
+    Written to the shared folder, so the numbers stay."""
+    numbered = saved(nodes.withColumn("node", F.monotonically_increasing_id()))
+    n, kinds = numbered.agg(F.count("*"), F.countDistinct(least)).first()
+    return numbered.withColumn("node", F.col(least)) if n == kinds else numbered
+
+
+SKETCH_SLOTS = 96
+
 
-    return lambda pairs, payload: together(pairs, payload).mapInArrow(run, "a binary, b binary")
+def apart(a: str, b: str) -> Column:
+    """Slots in which two sketches (six longs of sixteen 4-bit values) differ."""
+    out = F.lit(0)
+    for i in range(6):
+        d = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        out = out + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+    return out
 
 
-def link_classes(keyed: DataFrame, payload: DataFrame, compare: Callable | None = None, verify: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def link_classes(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable, sketches: DataFrame | None = None, most_apart: int = SKETCH_SLOTS) -> tuple[DataFrame, DataFrame]:
     """(links ``a, b``; roots ``node, root`` of linked nodes) of rows ``node, key``.
 
-    ``compare`` decides on two payloads; ``verify`` may replace the whole step from pairs
-    and payloads to links."""
-    verify = verify or _compared(compare)
+    ``sketches`` (``node, sketch``) leave out pairs across components that differ in more
+    than ``most_apart`` slots before they are formed."""
     buckets = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     members = saved(keyed.join(buckets.select("key", "a"), "key").select("key", "a", F.col("node").alias("b")))
-    links = saved(verify(members.where("a <> b").select("a", "b").distinct(), payload))
+    stars = saved(members.where("a <> b").select("a", "b").distinct())
+    links = saved(verify(stars, fetch))
     root = saved(components(links))
     # Buckets that still hold several components: pairs across them.
-    label = members.join(root.withColumnRenamed("node", "b"), "b", "left").select("key", "a", "b", F.coalesce("root", "b").alias("root"))
+    label = members.join(root.withColumnRenamed("node", "b"), "b", "left").select("key", "b", F.coalesce("root", "b").alias("root"))
     mixed = label.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = saved(label.join(mixed, "key"))
-    other = left.select("key", F.col("b").alias("c"), F.col("root").alias("other"))
-    across = left.join(other, "key").where("root < other and a <> b and a <> c").select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
-    more = saved(verify(across, payload))
-    if not more.isEmpty():
-        links = links.unionByName(more)
+    left = label.join(mixed, "key")
+    near = F.lit(True)
+    if sketches is not None:
+        left = left.join(sketches.withColumnRenamed("node", "b"), "b")
+        near = apart("sketch", "sketch2") <= most_apart
+    left = saved(left)
+    other = left.withColumnsRenamed({"b": "c", "root": "root2", "sketch": "sketch2"})
+    across = left.join(other, (left["key"] == other["key"]) & (left["root"] < other["root2"]) & near)
+    across = across.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    across = saved(across)
+    if not across.isEmpty():
+        links = saved(links.unionByName(verify(across, fetch)))
         root = saved(components(links))
     return links, root

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .linking import link_classes
+from . import linking as L
 from .storage import saved
 
 SCALES = (1.0, 0.7, 0.5)
@@ -242,18 +242,20 @@ def image_copies(media: DataFrame, id_cols: list[str], image_col: str = "image",
     (null ``class_id``, size 1).  Repeated rows stay; other columns are ignored.
     """
     table = saved(describe(media, id_cols, image_col, points))
-    nodes = saved(table.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.first("points").alias("payload"), F.first("keys").alias("keys")))
+    nodes = table.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.first("points").alias("payload"), F.first("keys").alias("keys"))
+    nodes = L.node_ids(nodes.withColumnRenamed("node", "digest").withColumn("__none", F.lit(None).cast("long")), "__none")
 
     def compare(head: bytes, other: bytes) -> bool:
         return agreeing(np.frombuffer(head, _POINT), np.frombuffer(other, _POINT)) >= least
 
-    links, root = link_classes(nodes.select("node", F.explode("keys").alias("key")), nodes.select("node", "payload"), compare)
+    payload = nodes.select("node", "payload")
+    links, root = L.link_classes(nodes.select("node", F.explode("keys").alias("key")), lambda wanted: payload.join(wanted, "node"), L.comparing(L.one_by_one(compare)))
     both = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = nodes.join(root, "node", "left").select("node", "copies", F.coalesce("root", "node").alias("root"))
-    sizes = named.groupBy("root").agg(F.sum("copies").alias("class_size"))
-    named = named.join(sizes, "root").join(both, "node", "left").select("node", "root", "class_size", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    named = nodes.join(root, "node", "left").select("node", "digest", "copies", F.coalesce("root", "node").alias("root"))
+    sizes = named.groupBy("root").agg(F.sum("copies").alias("class_size"), F.min("digest").alias("class_id"))
+    named = named.join(sizes, "root").join(both, "node", "left").select(F.col("digest").alias("node"), "class_id", "class_size", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     out = table.select(*id_cols, "node", (F.length("points") / _POINT.itemsize).cast("int").alias("n_points")).join(named, "node", "left")
-    return out.select(*id_cols, F.lower(F.hex("root")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), "n_points", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return out.select(*id_cols, F.lower(F.hex("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), "n_points", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 @cache

@@ -7,10 +7,11 @@ their weights.  Arrivals later than the fullest slot's time change nothing, so e
 stop early.  Bands of slots give candidates, exact similarity decides.
 
 Groups are never expanded into all pairs.  In each band bucket every member meets the
-bucket's least member; after the components of these links are known, a bucket whose
-members lie in different components is looked at again, and only pairs across
-components are verified.  Any pair that shares a bucket thus either ends in one class
-or has been compared.
+bucket's least member (see ``linking``); after the components of these links are known,
+a bucket whose members lie in different components is looked at again, and of the pairs
+across components those are verified whose signatures agree nearly as often as similar
+texts' do.  Any pair that shares a bucket thus either ends in one class, or has been
+compared, or is apart by more than four standard deviations of its estimate.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from . import linking as L
 from .storage import saved
 
 _U64 = np.uint64
@@ -102,71 +104,35 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signatures(docs: DataFrame, slots: int, bands: int, width: int) -> DataFrame:
-    """``node, doc_id, keys`` per row: the text's digest and one 64-bit key per band."""
+    """``digest, doc_id, keys, sketch`` per row: the text's digest, one 64-bit key per band
+    and four bits of each of the first slots."""
     rows_per = slots // bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = K.mix64(np.arange(1, bands + 1, dtype=_U64))
         factor = K.mix64(np.arange(101, 101 + rows_per, dtype=_U64)) | _U64(1)
+        place = np.arange(16, dtype=_U64) * _U64(4)
         for batch in batches:
             for lo, hi, doc, sh, count in weighted_shingles(batch.column(2), width):
-                sig = prob_minhash(doc, sh, weights(count), hi - lo, slots).reshape(hi - lo, bands, rows_per)
-                keys = K.mix64((sig * factor).sum(2, dtype=_U64) + salt).view(np.int64)
+                sig = prob_minhash(doc, sh, weights(count), hi - lo, slots)
+                keys = K.mix64((sig.reshape(hi - lo, bands, rows_per) * factor).sum(2, dtype=_U64) + salt).view(np.int64)
+                nibble = (sig[:, : L.SKETCH_SLOTS] >> _U64(40) & _U64(15)).reshape(hi - lo, -1, 16)
+                sketch = (nibble << place).sum(2, dtype=_U64).view(np.int64)
                 some = np.bincount(doc, minlength=hi - lo) > 0
                 at = np.concatenate(([0], np.cumsum(some * bands))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lists], names=["node", "doc_id", "keys"])
-
-    return docs.select("node", "doc_id", "text").mapInArrow(run, "node binary, doc_id long, keys array<long>")
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """``node, root`` (the least node) of every node of an edge list ``a, b``, by
-    alternating large-star and small-star steps until the edges are stars.
-
-    Minima are aggregates, so a node with very many edges is combined before the
-    shuffle; each round is written to the shared folder."""
-    pairs = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    for _ in range(most_rounds):
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        sign = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if sign == before:
-            break
-        before = sign
-    nodes = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def semi(df: DataFrame, keys: DataFrame, key: str, bound: int = 1_000_000) -> DataFrame:
-    """Rows of ``df`` whose key is among ``keys`` (distinct): before any shuffle where
-    the keys are at most ``bound``, by a shuffled join beyond it."""
-    return df.join(F.broadcast(keys) if keys.count() <= bound else keys, key, "left_semi")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, share: int = 2000) -> DataFrame:
-    """Pairs ``a, b`` of nodes whose exact similarity reaches the threshold.
-
-    Each ``a`` goes with its partners to one task, or to several where it has more than
-    ``share`` partners; a task holds the shingles of one ``a`` at a time."""
-    spark = pairs.sparkSession
-    pairs = saved(pairs)
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("parts"))
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = saved(semi(texts.select("node", "text"), wanted, "node").dropDuplicates(["node"]))
-    heads = parts.join(texts, parts["a"] == texts["node"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("b"), "text")
-    members = pairs.join(parts, "a").join(texts.withColumnRenamed("node", "b"), "b")
-    members = members.select("a", F.expr("cast(pmod(xxhash64(b), parts) as int)").alias("part"), "b", "text")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    together = heads.unionByName(members).repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+                six = pa.array(np.arange(hi - lo + 1, dtype=np.int32) * sketch.shape[1])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].ravel())), pa.ListArray.from_arrays(six, pa.array(sketch.ravel()))],
+                    names=["digest", "doc_id", "keys", "sketch"],
+                )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return docs.select("digest", "doc_id", "text").mapInArrow(run, "digest binary, doc_id long, keys array<long>, sketch array<long>")
+
+
+def _decide(threshold: float, width: int):
+    """Exact similarity of a head and its partners, batch by batch."""
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
         head = None
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
@@ -181,9 +147,9 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, s
                     elif similarity(head, own, threshold) >= threshold:
                         left.append(a[row])
                         right.append(b[row])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+            yield left, right
 
-    return together.mapInArrow(run, "a binary, b binary")
+    return decide
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, slots: int = 96, bands: int = 24) -> DataFrame:
@@ -197,36 +163,34 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     of its own, as is each row with a null id if its text matches nothing; an empty table
     gives an empty result; other columns are ignored.
 
-    With 24 bands of 4 slots a pair at 0.8 shares no bucket with probability 3e-6.
+    With 24 bands of 4 slots a pair at 0.8 shares no bucket with probability 3e-6, and
+    is left out by its signature with one below 1e-4.
     """
+    if slots < L.SKETCH_SLOTS:
+        raise ValueError(f"at least {L.SKETCH_SLOTS} slots")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    rows = rows.withColumn("node", F.unhex(F.md5("text")))  # md5 of null is null
-    table = saved(signatures(rows.where("text is not null"), slots, bands, width))
-    nodes = saved(table.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("keys").alias("keys")))
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-    members = saved(keyed.join(buckets.select("key", "a"), "key").select("key", "a", F.col("node").alias("b")))
+    rows = rows.withColumn("digest", F.unhex(F.md5("text")))  # md5 of null is null
     texts = rows.where("text is not null")
-    stars = members.where("a <> b").select("a", "b").distinct()
-    links = verified(stars, texts, threshold, width)
-    links = saved(links)
-    root = saved(components(links))
-    # Buckets that still hold several components: pairs across them.
-    label = members.join(root.withColumnRenamed("node", "b"), "b", "left").select("key", "a", "b", F.coalesce("root", "b").alias("root"))
-    mixed = label.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = saved(label.join(mixed, "key"))
-    other = left.select("key", F.col("b").alias("c"), F.col("root").alias("other"))
-    across = left.join(other, "key").where("root < other and a <> b and a <> c").select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
-    more = saved(verified(across, texts, threshold, width))
-    if not more.isEmpty():
-        root = saved(components(links.unionByName(more)))
+    table = saved(signatures(texts, slots, bands, width))
+    nodes = table.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    nodes = L.node_ids(nodes, "least")
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        own = nodes.select("node", "digest").join(wanted, "node")
+        return L.among(texts.select("digest", F.col("text").alias("payload")), own, "digest").dropDuplicates(["node"])
+
+    # A slot's four bits agree with the similarity plus a sixteenth of the rest; four
+    # standard deviations below that at the threshold.
+    agree = threshold + (1 - threshold) / 16
+    most_apart = int(L.SKETCH_SLOTS * (1 - agree) + 4 * (L.SKETCH_SLOTS * agree * (1 - agree)) ** 0.5)
+    _, root = L.link_classes(nodes.select("node", F.explode("keys").alias("key")), fetch, L.comparing(_decide(threshold, width)), nodes.select("node", "sketch"), most_apart)
     # Least id of each class, then one row per input row.
-    with_root = nodes.join(root, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"))
+    with_root = nodes.join(root, "node", "left").select("digest", "least", "copies", F.coalesce("root", "node").alias("root"))
     classes = with_root.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_node = saved(with_root.join(classes, "root").where("class_size > 1").select("node", "class_id", "class_size"))
-    big = F.broadcast(by_node) if by_node.count() <= 500_000 else by_node
-    out = rows.select("doc_id", "node").join(big, "node", "left")
-    out = out.select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
+    by_text = saved(with_root.join(classes, "root").where("class_size > 1").select("digest", "class_id", "class_size"))
+    big = F.broadcast(by_text) if by_text.count() <= 500_000 else by_text
+    out = rows.select("doc_id", "digest").join(big, "digest", "left")
+    out = out.select("doc_id", F.col("digest").alias("node"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
     # Rows that repeat an id and a text come in turn; rows without a text never repeat.
     turn = F.row_number().over(Window.partitionBy("doc_id", "node").orderBy("class_id"))
     kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (turn == 1) | F.col("node").isNull()
