@@ -1,16 +1,19 @@
 """Classes of rows that share bucket keys, without expanding buckets into pairs.
 
 In each bucket every member meets the bucket's least member; after the components of
-these links are known, only pairs across the components of a bucket are compared.  Any
-two rows that share a bucket thus either end in one class or have been compared.
+these links are known, rows across the components of a bucket are compared, block
+against block.  Any two rows that share a bucket thus either end in one class or have
+been compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import saved
@@ -64,31 +67,30 @@ def together(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], share: i
     return heads.unionByName(members).repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
 
-def comparing(decide: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[list, list]]]) -> Callable[[DataFrame, Callable], DataFrame]:
-    """The step from pairs to links.  ``decide`` gets the batches of ``together`` and
-    yields the two columns of links."""
+@dataclass(frozen=True)
+class Comparer:
+    """``parse`` turns a column of payloads into objects, ``same`` decides on two."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for left, right in decide(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+    parse: Callable[[pa.Array], Iterable]
+    same: Callable[[object, object], bool]
 
-    return lambda pairs, fetch: together(pairs, fetch).mapInArrow(run, "a long, b long")
 
+def compared(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: Comparer) -> DataFrame:
+    """The pairs ``a, b`` that are the same."""
 
-def one_by_one(compare: Callable[[bytes, bytes], bool]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[list, list]]]:
-    def decide(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None
         for batch in batches:
             left, right = [], []
-            for a, b, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for a, b, item in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), how.parse(batch.column(3)), strict=True):
                 if b is None:
-                    head = payload
-                elif compare(head, payload):
+                    head = item
+                elif how.same(head, item):
                     left.append(a)
                     right.append(b)
-            yield left, right
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return decide
+    return together(pairs, fetch).mapInArrow(run, "a long, b long")
 
 
 def node_ids(nodes: DataFrame, least: str) -> DataFrame:
@@ -103,41 +105,92 @@ def node_ids(nodes: DataFrame, least: str) -> DataFrame:
 SKETCH_SLOTS = 96
 
 
-def apart(a: str, b: str) -> Column:
-    """Slots in which two sketches (six longs of sixteen 4-bit values) differ."""
-    out = F.lit(0)
-    for i in range(6):
-        d = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
-        out = out + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
-    return out
+def _block_links(names: list, comps: list, items: list, sketch: np.ndarray, other: list, other_comps: list, other_items: list, other_sketch: np.ndarray, same, most_apart: int) -> Iterator[tuple[int, int]]:
+    """Links between two blocks of nodes, none within what is connected already."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    for i, name in enumerate(names):
+        d = sketch[i] ^ other_sketch
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        d &= np.uint64(0x1111111111111111)
+        gap = np.bitwise_count(d).sum(1) if d.shape[1] else np.zeros(len(other), int)
+        for j in np.argsort(gap, kind="stable").tolist():  # the most alike first
+            if gap[j] > most_apart:
+                break
+            mine, theirs = find(comps[i]), find(other_comps[j])
+            if mine != theirs and same(items[i], other_items[j]):
+                root[max(mine, theirs)] = min(mine, theirs)
+                yield name, other[j]
+
+
+def across(left: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: Comparer, sketches: DataFrame | None, most_apart: int, share: int = 500) -> DataFrame:
+    """Links across components of rows ``key, b, root``, whose buckets all hold several.
+
+    Nodes that are connected by buckets form a group.  In a group all nodes outside its
+    largest component meet all nodes, block against block: a task holds two blocks of
+    about ``share`` nodes, a node is sent once for each block it meets, and no pair is a
+    row unless it is a new link."""
+    heads = left.groupBy("key").agg(F.min("b").alias("a"))
+    group = components(left.join(heads, "key").where("a <> b").select("a", "b")).withColumnRenamed("root", "group")
+    nodes = saved(left.select(F.col("b").alias("node"), F.col("root").alias("comp")).distinct().join(group, "node"))
+    sizes = nodes.groupBy("group", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("group").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"))
+    main = main.select("group", F.col("main.comp").alias("largest"), F.ceil(F.col("n") / share).cast("int").alias("wide"), F.ceil((F.col("n") - F.col("main.n")) / share).cast("int").alias("high"))
+    payload = fetch(nodes.select("node")).select("node", "payload")
+    rows = nodes.join(main, "group").join(payload, "node")
+    rows = rows.join(sketches, "node") if sketches is not None else rows.withColumn("sketch", F.array().cast("array<long>"))
+    i, j = F.expr("cast(pmod(xxhash64(node), high) as int)"), F.expr("cast(pmod(xxhash64(node), wide) as int)")
+    outside = rows.where("comp <> largest").withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("wide") - 1))).withColumn("role", F.lit(0))
+    every = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("high") - 1))).withColumn("j", j).withColumn("role", F.lit(1))
+    cols = ["group", "i", "j", "role", "node", "comp", "sketch", "payload"]
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = outside.select(*cols).unionByName(every.select(*cols)).repartition(n, "group", "i", "j").sortWithinPartitions("group", "i", "j", "role", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(block, held):
+            if held[0] and held[1]:
+                (an, ac, as_, ai), (bn, bc, bs, bi) = (list(zip(*h, strict=True)) for h in held)
+                # Two nodes outside the largest component meet once, from the lesser one.
+                got = [(a, b) for a, b in _block_links(an, ac, ai, np.array(as_, np.int64).view(np.uint64), bn, bc, bi, np.array(bs, np.int64).view(np.uint64), how.same, most_apart) if a != b]
+                yield pa.RecordBatch.from_arrays([pa.array([min(g) for g in got], pa.int64()), pa.array([max(g) for g in got], pa.int64())], names=["a", "b"])
+
+        now, held = None, ([], [])
+        for batch in batches:
+            meta = [batch.column(k).to_pylist() for k in range(7)]
+            for g, bi, bj, role, node, comp, sketch, item in zip(*meta, how.parse(batch.column(7)), strict=True):
+                if (g, bi, bj) != now:
+                    yield from links(now, held)
+                    now, held = (g, bi, bj), ([], [])
+                held[role].append((node, comp, sketch, item))
+        yield from links(now, held)
+
+    return blocks.mapInArrow(run, "a long, b long")
 
 
-def link_classes(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable, sketches: DataFrame | None = None, most_apart: int = SKETCH_SLOTS) -> tuple[DataFrame, DataFrame]:
+def link_classes(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: Comparer, sketches: DataFrame | None = None, most_apart: int = SKETCH_SLOTS) -> tuple[DataFrame, DataFrame]:
     """(links ``a, b``; roots ``node, root`` of linked nodes) of rows ``node, key``.
 
-    ``sketches`` (``node, sketch``) leave out pairs across components that differ in more
-    than ``most_apart`` slots before they are formed."""
+    ``sketches`` (``node, sketch``: six longs of sixteen 4-bit values) leave out pairs
+    across components that differ in more than ``most_apart`` slots."""
     buckets = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     members = saved(keyed.join(buckets.select("key", "a"), "key").select("key", "a", F.col("node").alias("b")))
     stars = saved(members.where("a <> b").select("a", "b").distinct())
-    links = saved(verify(stars, fetch))
+    links = saved(compared(stars, fetch, how))
     root = saved(components(links))
-    # Buckets that still hold several components: pairs across them.
+    # Buckets that still hold several components.
     label = members.join(root.withColumnRenamed("node", "b"), "b", "left").select("key", "b", F.coalesce("root", "b").alias("root"))
     mixed = label.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = label.join(mixed, "key")
-    near = F.lit(True)
-    if sketches is not None:
-        left = left.join(sketches.withColumnRenamed("node", "b"), "b")
-        near = apart("sketch", "sketch2") <= most_apart
-    left = saved(left)
-    other = left.withColumnsRenamed({"b": "c", "root": "root2", "sketch": "sketch2"})
-    across = left.join(other, (left["key"] == other["key"]) & (left["root"] < other["root2"]) & near)
-    across = across.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    across = saved(across)
-    if not across.isEmpty():
-        links = saved(links.unionByName(verify(across, fetch)))
-        root = saved(components(links))
+    left = saved(label.join(mixed, "key"))
+    if not left.isEmpty():
+        more = saved(across(left, fetch, how, sketches, most_apart))
+        if not more.isEmpty():
+            links = saved(links.unionByName(more))
+            root = saved(components(links))
     return links, root

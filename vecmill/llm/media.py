@@ -245,11 +245,9 @@ def image_copies(media: DataFrame, id_cols: list[str], image_col: str = "image",
     nodes = table.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.first("points").alias("payload"), F.first("keys").alias("keys"))
     nodes = L.node_ids(nodes.withColumnRenamed("node", "digest").withColumn("__none", F.lit(None).cast("long")), "__none")
 
-    def compare(head: bytes, other: bytes) -> bool:
-        return agreeing(np.frombuffer(head, _POINT), np.frombuffer(other, _POINT)) >= least
-
     payload = nodes.select("node", "payload")
-    links, root = L.link_classes(nodes.select("node", F.explode("keys").alias("key")), lambda wanted: payload.join(wanted, "node"), L.comparing(L.one_by_one(compare)))
+    how = L.Comparer(lambda column: [np.frombuffer(x, _POINT) for x in column.to_pylist()], lambda a, b: agreeing(a, b) >= least)
+    links, root = L.link_classes(nodes.select("node", F.explode("keys").alias("key")), lambda wanted: payload.join(wanted, "node"), how)
     both = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     named = nodes.join(root, "node", "left").select("node", "digest", "copies", F.coalesce("root", "node").alias("root"))
     sizes = named.groupBy("root").agg(F.sum("copies").alias("class_size"), F.min("digest").alias("class_id"))

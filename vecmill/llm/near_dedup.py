@@ -8,9 +8,9 @@ stop early.  Bands of slots give candidates, exact similarity decides.
 
 Groups are never expanded into all pairs.  In each band bucket every member meets the
 bucket's least member (see ``linking``); after the components of these links are known,
-a bucket whose members lie in different components is looked at again, and of the pairs
-across components those are verified whose signatures agree nearly as often as similar
-texts' do.  Any pair that shares a bucket thus either ends in one class, or has been
+a bucket whose members lie in different components is looked at again, and of the texts
+across components those are compared, block against block, whose signatures agree nearly
+as often as similar texts' do.  Any pair that shares a bucket thus either ends in one class, or has been
 compared, or is apart by more than four standard deviations of its estimate.
 """
 
@@ -129,27 +129,12 @@ def signatures(docs: DataFrame, slots: int, bands: int, width: int) -> DataFrame
     return docs.select("digest", "doc_id", "text").mapInArrow(run, "digest binary, doc_id long, keys array<long>, sketch array<long>")
 
 
-def _decide(threshold: float, width: int):
-    """Exact similarity of a head and its partners, batch by batch."""
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-        head = None
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            left, right = [], []
-            for lo, hi, doc, sh, count in weighted_shingles(batch.column(3), width):
-                at = np.searchsorted(doc, np.arange(hi - lo + 1))
-                w = weights(count)
-                for row in range(lo, hi):
-                    own = (sh[at[row - lo] : at[row - lo + 1]], w[at[row - lo] : at[row - lo + 1]])
-                    if b[row] is None:
-                        head = own
-                    elif similarity(head, own, threshold) >= threshold:
-                        left.append(a[row])
-                        right.append(b[row])
-            yield left, right
-
-    return decide
+def _parsed(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Shingles and weights of each text."""
+    for lo, hi, doc, sh, count in weighted_shingles(column, width):
+        at, w = np.searchsorted(doc, np.arange(hi - lo + 1)), weights(count)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield sh[a:b].copy(), w[a:b].copy()
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, slots: int = 96, bands: int = 24) -> DataFrame:
@@ -183,7 +168,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     # standard deviations below that at the threshold.
     agree = threshold + (1 - threshold) / 16
     most_apart = int(L.SKETCH_SLOTS * (1 - agree) + 4 * (L.SKETCH_SLOTS * agree * (1 - agree)) ** 0.5)
-    _, root = L.link_classes(nodes.select("node", F.explode("keys").alias("key")), fetch, L.comparing(_decide(threshold, width)), nodes.select("node", "sketch"), most_apart)
+    how = L.Comparer(lambda column: _parsed(column, width), lambda a, b: similarity(a, b, threshold) >= threshold)
+    _, root = L.link_classes(nodes.select("node", F.explode("keys").alias("key")), fetch, how, nodes.select("node", "sketch"), most_apart)
     # Least id of each class, then one row per input row.
     with_root = nodes.join(root, "node", "left").select("digest", "least", "copies", F.coalesce("root", "node").alias("root"))
     classes = with_root.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
