@@ -131,7 +131,7 @@ def _scan(batches: Iterator[pa.RecordBatch], buckets: int, length: int, gram: in
             seq += 1
             eb = bucket[at]
             cut = np.flatnonzero(np.concatenate(([True], eb[1:] != eb[:-1]))) if len(at) else at
-            stop = np.concatenate((cut[1:], [len(at)]))
+            stop = np.concatenate((cut[1:], [len(at)])) if len(at) else at
             out_b, out_base, blobs = [], [], []
             for c, d in zip(cut.tolist(), stop.tolist(), strict=True):
                 e = at[c:d]
