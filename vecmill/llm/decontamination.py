@@ -2,7 +2,7 @@
 
 Short test items are looked for inside long documents.  Jaccard similarity of a short
 and a long set is tiny, so sizes are partitioned: items fall into classes of at most
-8, 16, 32, ... shingles, and for a class of size ``u`` a document is a sequence of
+1, 2, 4, 8, ... shingles, and for a class of size ``u`` a document is a sequence of
 windows of two adjacent blocks of ``u`` shingles, so that any run of ``u`` shingles lies
 in one window and an item of the class has a Jaccard similarity of about 0.2 to 0.4
 with it.  A window and an item that agree in one of ``hashes`` minima are candidates,
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 _U32 = np.uint32
-LEAST_BLOCK = 8
 
 
 def _minhash_input(shingle: np.ndarray) -> np.ndarray:
@@ -62,7 +61,7 @@ class ItemIndex:
         groups: dict[tuple[int, int], list[int]] = {}
         for i, s in enumerate(self.sets):
             if len(s):
-                block = max(LEAST_BLOCK, 1 << int(len(s) - 1).bit_length())
+                block = 1 << int(len(s) - 1).bit_length()
                 groups.setdefault((int(self.widths[i]), block), []).append(i)
         for key, members in groups.items():
             bits = min(24, max(16, int(64 * len(members)).bit_length()))
@@ -92,13 +91,13 @@ def candidates(shingle: np.ndarray, at: np.ndarray, index: ItemIndex, width: int
     classes = {block: c for (w, block), c in index.classes.items() if w == width}
     if not classes or not len(shingle):
         return np.zeros((0, 2), np.int64)
-    x, sizes = _minhash_input(shingle), np.diff(at)
-    n_blocks = -(-sizes // LEAST_BLOCK)
+    x, sizes, least = _minhash_input(shingle), np.diff(at), min(classes)
+    n_blocks = -(-sizes // least)
     base_at = np.concatenate(([0], np.cumsum(n_blocks)))
-    start = np.repeat(at[:-1], n_blocks) + LEAST_BLOCK * (np.arange(base_at[-1]) - np.repeat(base_at[:-1], n_blocks))
+    start = np.repeat(at[:-1], n_blocks) + least * (np.arange(base_at[-1]) - np.repeat(base_at[:-1], n_blocks))
     found = []
     for k, factor in enumerate(_factors(index.hashes)):
-        minima, mat, block = np.minimum.reduceat(_permuted(x, factor), start), base_at, LEAST_BLOCK
+        minima, mat, block = np.minimum.reduceat(_permuted(x, factor), start), base_at, least
         while block <= max(classes):
             if block in classes:
                 values, owners, present = classes[block]

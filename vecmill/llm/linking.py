@@ -26,8 +26,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Minima are aggregates, so a node with very many edges is combined before the
     shuffle; each round is written to the shared folder."""
     pairs = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    for _ in range(most_rounds):
+
+    def sign(df: DataFrame):
+        return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+
+    before = sign(pairs)
+    for _ in range(most_rounds if before.n else 1):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -35,10 +39,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        sign = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if sign == before:
+        now = sign(pairs)
+        if now == before:
             break
-        before = sign
+        before = now
     else:
         raise RuntimeError("components did not settle")
     nodes = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -53,7 +53,10 @@ def weights(count: np.ndarray) -> np.ndarray:
 
 
 def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: int, slots: int) -> np.ndarray:
-    """Signatures (docs x slots) of element hashes; rows of empty documents are 0."""
+    """Signatures (docs x slots, at most 2048 slots) of element hashes; rows of empty
+    documents are 0."""
+    if slots > 2048:
+        raise ValueError("a slot is drawn from 11 bits")
     best = np.full(docs * slots, np.inf)
     owner = np.zeros(docs * slots, _U64)
     seed, t = K.mix64(element.astype(_U64) + _U64(0x9E37)), np.zeros(len(element))
