@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/vecmill-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, **partitioned: list[str]) -> DataFrame:
+def saved(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet to the shared folder and read them back: later steps
     start from the files, so a lost executor costs no recomputation."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
