@@ -146,7 +146,7 @@ def _disc() -> tuple[np.ndarray, np.ndarray]:
 def features(image: np.ndarray, points: int = 48) -> np.ndarray:
     """The ``points`` strongest corners over all scales as an array of ``_POINT``."""
     found = []
-    for scale in SCALES:
+    for scale in SCALES if image.size else ():
         im = image if scale == 1.0 else resized(image, scale)
         h, w = im.shape
         edge = RADIUS + 1
