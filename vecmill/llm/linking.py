@@ -124,7 +124,7 @@ def _block_links(names: list, comps: list, items: list, sketch: np.ndarray, othe
         d |= d >> np.uint64(1)
         d |= d >> np.uint64(2)
         d &= np.uint64(0x1111111111111111)
-        gap = np.bitwise_count(d).sum(1) if d.shape[1] else np.zeros(len(other), int)
+        gap = np.bitwise_count(d).sum(1)
         for j in np.argsort(gap, kind="stable").tolist():  # the most alike first
             if gap[j] > most_apart:
                 break
@@ -134,7 +134,7 @@ def _block_links(names: list, comps: list, items: list, sketch: np.ndarray, othe
                 yield name, other[j]
 
 
-def across(left: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: Comparer, sketches: DataFrame | None, most_apart: int, share: int = 500) -> DataFrame:
+def across(left: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: Comparer, sketches: DataFrame, most_apart: int, share: int = 500) -> DataFrame:
     """Links across components of rows ``key, b, root``, whose buckets all hold several.
 
     Nodes that are connected by buckets form a group.  In a group all nodes outside its
@@ -149,7 +149,7 @@ def across(left: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: Compar
     main = main.select("group", F.col("main.comp").alias("largest"), F.ceil(F.col("n") / share).cast("int").alias("wide"), F.ceil((F.col("n") - F.col("main.n")) / share).cast("int").alias("high"))
     payload = fetch(nodes.select("node")).select("node", "payload")
     rows = nodes.join(main, "group").join(payload, "node")
-    rows = rows.join(sketches, "node") if sketches is not None else rows.withColumn("sketch", F.array().cast("array<long>"))
+    rows = rows.join(sketches, "node")
     i, j = F.expr("cast(pmod(xxhash64(node), high) as int)"), F.expr("cast(pmod(xxhash64(node), wide) as int)")
     outside = rows.where("comp <> largest").withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("wide") - 1))).withColumn("role", F.lit(0))
     every = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("high") - 1))).withColumn("j", j).withColumn("role", F.lit(1))
@@ -178,11 +178,19 @@ def across(left: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: Compar
     return blocks.mapInArrow(run, "a long, b long")
 
 
+def across_pairs(left: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: Comparer) -> DataFrame:
+    """The same pair by pair, for keys so long that unlike rows hardly ever share one."""
+    other = left.withColumnsRenamed({"b": "c", "root": "root2"})
+    pairs = left.join(other, "key").where("root < root2").select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
+    return compared(saved(pairs), fetch, how)
+
+
 def link_classes(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: Comparer, sketches: DataFrame | None = None, most_apart: int = SKETCH_SLOTS) -> tuple[DataFrame, DataFrame]:
     """(links ``a, b``; roots ``node, root`` of linked nodes) of rows ``node, key``.
 
     ``sketches`` (``node, sketch``: six longs of sixteen 4-bit values) leave out pairs
-    across components that differ in more than ``most_apart`` slots."""
+    across components that differ in more than ``most_apart`` slots; without them pairs
+    across components are formed from the buckets."""
     buckets = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     members = saved(keyed.join(buckets.select("key", "a"), "key").select("key", "a", F.col("node").alias("b")))
     stars = saved(members.where("a <> b").select("a", "b").distinct())
@@ -193,7 +201,7 @@ def link_classes(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], how:
     mixed = label.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     left = saved(label.join(mixed, "key"))
     if not left.isEmpty():
-        more = saved(across(left, fetch, how, sketches, most_apart))
+        more = saved(across(left, fetch, how, sketches, most_apart) if sketches is not None else across_pairs(left, fetch, how))
         if not more.isEmpty():
             links = saved(links.unionByName(more))
             root = saved(components(links))
