@@ -183,6 +183,18 @@ def test_template_without_article_drops_constant_text(spark):
     assert all("Welcome" not in r.text and r.text.startswith("w") for r in got)
 
 
+def test_constant_text_inside_the_article_is_dropped(spark):
+    rng = random.Random(6)
+    body = [[" ".join(words(rng, 30)) for _ in range(2)] for _ in range(8)]
+    notes = ["Write to us", "Join our list", "Write to us"]
+    rows = [(i, f"http://d.example/{i}", f"<body><article><div>Read us daily</div><h1>T{i}</h1><p>{a}</p><p>{notes[i % 3]}</p><p>{b}</p></article></body>") for i, (a, b) in enumerate(body)]
+    rows += [(100 + i, f"http://e.example/{i}", "<article><p>One page many times</p></article>") for i in range(4)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, (a, b) in enumerate(body):
+        assert got[i] == "\n".join([f"T{i}", a, *(["Join our list"] if i % 3 == 1 else []), b])
+    assert all(got[100 + i] == "One page many times" for i in range(4))
+
+
 def test_main_text_of_test_pages(spark):
     sf = "/root/testdata/sf0.01"
     src = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}

@@ -2,18 +2,19 @@
 
 Pages of one host share a template.  A token is an element's path together with the
 path that came before it on the page, so a token has one role in the order of the page;
-a text that stands outside the article is a token too.  Tokens with the same occurrence
-vector over the host's pages (how often each page has them) form an equivalence class.
-A vector is represented by its size and a random projection modulo 2**64, which is a
+a block's text under its path is a token too, inside the article as outside.  Tokens
+with the same occurrence vector over the host's pages (how often each page has them)
+form an equivalence class.  A vector is represented by its size and a random projection modulo 2**64, which is a
 sum over pages: classes of a host of any size come from one aggregation that combines
 before the shuffle, and no task sees a host's pages together.
 
 Classes that enough pages have are valid; their element paths nest into the host's
 template.  A block of text belongs to the slot of the deepest template path above it.
-Slots that hold text constant over the host, or that are furniture by their elements
-and names (menus, notices, adverts, forms, reader comments ...), are not extracted; the
-article's slots are, or, where a host has no article element, the container with most
-varying text.
+Text that is constant over the host, slots that hold hardly any other, and slots that
+are furniture by their elements and names (menus, notices, adverts, forms, reader
+comments ...) are not extracted; the article's other slots are, or, where a host has no
+article element, the container with most varying text.  Boilerplate inside the article
+that differs from page to page and has no telling name stays.
 """
 
 from __future__ import annotations
@@ -168,8 +169,8 @@ def _host(url: str | None) -> str:
     return m[1].rsplit("@", 1)[-1].lower() if m else ""
 
 
-def _text_token(path: str, text: str) -> str:
-    return f"text {path} {xxhash.xxh64_hexdigest(text)}"
+def _text_token(node: Node, text: str) -> str:
+    return f"{'inner' if node.article else 'text'} {node.path} {xxhash.xxh64_hexdigest(text)}"
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +187,10 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen[path], before = f"path {before} > {path}", path
                 counts.setdefault(seen[path], [0, 0])[0] += 1
             for node, text in got:
-                if not node.article:
-                    counts.setdefault(_text_token(node.path, text), [0, 0])[0] += 1
+                token = counts.setdefault(_text_token(node, text), [0, 0])
+                token[0], token[1] = token[0] + 1, token[1] + len(text)
+                slot = counts.setdefault(f"slot {node.path}", [0, 0])
+                slot[0], slot[1] = slot[0] + 1, slot[1] + len(text)
                 if not node.furniture:
                     counts.setdefault(f"mass {'article ' if node.article else 'other '}{node.path.rpartition('/')[0]}", [0, 0])[1] += len(text)
             weight = xxhash.xxh64_intdigest(f"{page} {url}")
@@ -204,22 +207,30 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def deduce_templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3, least_tokens: int = 3) -> DataFrame:
-    """``host, template`` (JSON: nested element paths, constant texts, main container).
+def deduce_templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3, least_tokens: int = 3, constant_share: float = 0.9) -> DataFrame:
+    """``host, template`` (JSON: nested element paths, constant texts and slots, main container).
 
     A class is valid with at least ``least_tokens`` tokens that at least ``support`` of
-    the host's pages have; a constant text is valid alone.  Hosts with fewer than
-    ``least_pages`` pages have no template."""
+    the host's pages have; a constant text is valid alone, inside the article only with
+    ``least_pages`` pages that have it (two pages may quote the same).  A slot is
+    constant when such texts are ``constant_share`` of its characters.  Hosts with fewer than ``least_pages``
+    pages have no template."""
     stats = pages.select("page_id", "url", "html").mapInArrow(_statistics, "host string, token string, pages long, high long, low long, chars long")
     # The halves of the projection are summed apart, so sums stay below 2**63.
     stats = saved(stats.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("high").alias("high"), F.sum("low").alias("low"), F.sum("chars").alias("chars")))
     n = stats.where("token = 'page'").select("host", F.col("pages").alias("n")).where(F.col("n") >= least_pages)
     common = stats.where("token <> 'page'").join(n, "host").where(F.col("token").startswith("mass ") | (F.col("pages") >= support * F.col("n")))
     kind = F.split("token", " ").getItem(0)
-    tokens = common.where(kind != "mass")
+    tokens = common.where(~kind.isin("mass", "slot") & ((kind != "inner") | (F.col("pages") >= least_pages)))
     classes = tokens.groupBy("host", "pages", "high", "low").agg(F.collect_list("token").alias("tokens"))  # a class of template tokens
-    valid = classes.where((F.size("tokens") >= least_tokens) | F.exists("tokens", lambda t: t.startswith("text ")))
+    valid = classes.where((F.size("tokens") >= least_tokens) | F.exists("tokens", lambda t: t.startswith("text ") | t.startswith("inner ")))
     paths = valid.select("host", F.explode("tokens").alias("token"))
+    # Slots whose text is constant by nearly all its characters.
+    path = F.regexp_extract("token", r"^[a-z]+ (.*) [0-9a-f]{16}$", 1)
+    held = tokens.where(kind.isin("text", "inner")).groupBy("host", path.alias("path")).agg(F.sum("chars").alias("held"))
+    slots = common.where(kind == "slot").select("host", F.expr("substring(token, 6)").alias("path"), "chars")
+    still = slots.join(held, ["host", "path"]).where(F.col("held") >= constant_share * F.col("chars"))
+    paths = paths.unionByName(still.select("host", F.concat(F.lit("slot "), "path").alias("token")))
     names = paths.groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
     mass = common.where(kind == "mass").groupBy("host").agg(F.max(F.struct(F.col("token").startswith("mass article ").cast("int"), "chars", "token")).alias("main"))
     both = names.join(mass, "host", "full")
@@ -233,7 +244,8 @@ class Template:
         spec = json.loads(source) if source else {"tokens": []}
         tokens = spec["tokens"]
         self.paths = {t.rpartition(" > ")[2] for t in tokens if t.startswith("path ")}
-        self.constant = {t for t in tokens if t.startswith("text ")}
+        self.constant = {t for t in tokens if t.startswith(("text ", "inner "))}
+        self.still = {t.partition(" ")[2] for t in tokens if t.startswith("slot ")}
         main = spec.get("main") or ""
         self.article = main.startswith("mass article ")
         self.main = main.partition("mass other ")[2] if main and not self.article else None
@@ -244,13 +256,20 @@ class Template:
             path = path.rpartition("/")[0]
         return path
 
+    def fixed(self, node: Node, text: str) -> bool:
+        """The block's text, or all its slot holds, is constant over the host."""
+        return node.path in self.still or _text_token(node, text) in self.constant
+
 
 def main_text(page: str | None, template: Template) -> str:
     """The blocks of the remaining slots, one line each."""
     got, _ = blocks(page or "")
-    left = [(node, text) for node, text in got if not node.furniture and (node.article or _text_token(node.path, text) not in template.constant)]
-    if any(node.article for node, _ in left):
-        return "\n".join(text for node, text in left if node.article)
+    named = [(node, text) for node, text in got if not node.furniture]
+    left = [(node, text) for node, text in named if not template.fixed(node, text)]
+    if any(node.article for node, _ in named):
+        # An article that is constant whole is a page the host has many times, no template.
+        inside = [text for node, text in left if node.article]
+        return "\n".join(inside or (text for node, text in named if node.article))
     if template.main is not None and not template.article:
         inside = [text for node, text in left if f"{node.path}/".startswith(f"{template.main}/") or template.slot(node.path) == template.slot(template.main)]
         if inside:
