@@ -314,6 +314,16 @@ def test_near_duplicate_edge_rows(spark):
     assert near_dedup.near_duplicate_classes(docs(spark, [])).count() == 0
 
 
+def test_rows_with_null_ids_leave_one_of_each_class(spark):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(words(rng, 60)) for _ in range(4))
+    texts = [a, a, b, b, b + " more", c, c, d, d + " end", None, None]
+    ids = [None, None, None, None, None, None, 3, 7, 7, None, None]
+    left = near_dedup.keep_one_of_each(docs(spark, texts, ids)).collect()
+    got = sorted((r.doc_id or 0, (r.text or "").split(" ")[0]) for r in left)
+    assert got == sorted([(0, a.split()[0]), (0, b.split()[0]), (3, c.split()[0]), (7, d.split()[0]), (0, ""), (0, "")])
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     rng = np.random.default_rng(0)
     a, b = np.arange(60), np.arange(20, 90)

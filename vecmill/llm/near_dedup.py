@@ -146,7 +146,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     Two texts are linked when the plain or the probability Jaccard similarity of their
     five-word shingles is at least ``threshold``; equal texts always belong together;
     classes are connected components and ``class_id`` is the least ``doc_id`` of a class.
-    ``kept`` marks one row of each class (of equal ids only one).  Texts under five words
+    ``kept`` marks one row of each class (of equal ids, or where all are null, only one).  Texts under five words
     have one shingle, texts without words match only equal texts.  A null text is a class
     of its own, as is each row with a null id if its text matches nothing; an empty table
     gives an empty result; other columns are ignored.
@@ -175,27 +175,29 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     _, root = L.link_classes(nodes.select("node", F.explode("keys").alias("key")), fetch, how, nodes.select("node", "sketch"), most_apart)
     # Least id of each class, then one row per input row.
     with_root = nodes.join(root, "node", "left").select("digest", "least", "copies", F.coalesce("root", "node").alias("root"))
-    classes = with_root.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_text = saved(with_root.join(classes, "root").where("class_size > 1").select("digest", "class_id", "class_size"))
+    classes = with_root.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("least").isNull().alias("none"), "least", "digest")).alias("lead"))
+    by_text = saved(with_root.join(classes, "root").where("class_size > 1").select("digest", "class_id", "class_size", F.col("lead.digest").alias("lead")))
     big = F.broadcast(by_text) if by_text.count() <= 500_000 else by_text
     out = rows.select("doc_id", "digest").join(big, "digest", "left")
-    out = out.select("doc_id", F.col("digest").alias("node"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
+    out = out.select("doc_id", F.col("digest").alias("node"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.coalesce("lead", "digest").alias("lead"))
     # Rows that repeat an id and a text come in turn; rows without a text never repeat.
     turn = F.row_number().over(Window.partitionBy("doc_id", "node").orderBy("class_id"))
-    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (turn == 1) | F.col("node").isNull()
+    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("lead"))
+    kept = first & (turn == 1) | F.col("node").isNull()
     return out.select("doc_id", "class_id", "class_size", kept.alias("kept"), "node")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` (all columns) that ``near_duplicate_classes`` keeps."""
     found = saved(near_duplicate_classes(docs, id_col, text_col, **options).select("doc_id", "node", "kept"))
-    kept = found.where("kept and node is not null").select("doc_id", "node")
-    dropped = found.where("not kept").select("doc_id", "node").join(kept, ["doc_id", "node"], "left_anti")
+    kept = found.where("kept and node is not null").select(F.col("doc_id").alias("own_id"), F.col("node").alias("own"))
+    repeated = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("node") == F.col("own"))
+    dropped = found.where("not kept").select("doc_id", "node").join(kept, repeated, "left_anti")
     mark = docs.withColumn("__node", F.unhex(F.md5(docs[text_col])))
     gone = dropped.select(F.col("doc_id").alias("__id"), F.col("node").alias("__gone")).distinct()
     gone = F.broadcast(gone) if gone.count() <= 500_000 else gone
     same = mark[id_col].cast("long").eqNullSafe(gone["__id"]) & (mark["__node"] == gone["__gone"])
     left = mark.join(gone, same, "left_anti")
-    if not found.where("not kept").join(kept, ["doc_id", "node"], "left_semi").isEmpty():  # repeated rows
+    if not found.where("not kept").join(kept, repeated, "left_semi").isEmpty():  # repeated rows
         left = left.where("__node is null").unionByName(left.where("__node is not null").dropDuplicates([id_col, "__node"]))
     return left.drop("__node")
