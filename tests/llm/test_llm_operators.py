@@ -314,6 +314,31 @@ def test_near_duplicate_edge_rows(spark):
     assert near_dedup.near_duplicate_classes(docs(spark, [])).count() == 0
 
 
+def test_copies_with_heavily_repeated_lines_equal_brute_force(spark):
+    # Plain Jaccard is near 1, probability Jaccard about a half.
+    rng = random.Random(9)
+    texts = []
+    for _ in range(40):
+        base = words(rng, 120)
+        texts += [" ".join(base), " ".join(base + base[:30] * 1000)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
+def test_repeated_lines_keep_the_sketch_of_plain_jaccard(spark):
+    rng = random.Random(10)
+    base = [words(rng, 120) for _ in range(20)]
+    rows = spark.createDataFrame([(b"x", i, " ".join(b + b[:30] * (1000 * k))) for i, b in enumerate(base) for k in (0, 1)], "digest binary, doc_id long, text string")
+    got = {}
+    for r in near_dedup.signatures(rows, 96, 24, 5).collect():
+        got.setdefault(r.doc_id, []).append((r.sketch, set(r.keys)))
+    for pair in got.values():
+        (a, ka), (b, kb) = sorted(pair, key=lambda x: len(x[0]))
+        assert (len(a), len(b)) == (6, 12) and ka & kb
+        x = linking._sketches([a, b])
+        assert list(linking._block_links([0], [0], [0], x[:1], [1], [1], [1], x[1:], lambda *_: True, 33)) == [(0, 1)]
+
+
 def test_rows_with_null_ids_leave_one_of_each_class(spark):
     rng = random.Random(8)
     a, b, c, d = (" ".join(words(rng, 60)) for _ in range(4))

@@ -109,6 +109,12 @@ def node_ids(nodes: DataFrame, least: str) -> DataFrame:
 SKETCH_SLOTS = 96
 
 
+def _sketches(rows: list) -> np.ndarray:
+    """Both sketches of each node; one sketch stands for two that are the same."""
+    both = SKETCH_SLOTS // 8
+    return np.array([[*r, *r] if len(r) < both else r for r in rows], np.int64).view(np.uint64)
+
+
 def _block_links(names: list, comps: list, items: list, sketch: np.ndarray, other: list, other_comps: list, other_items: list, other_sketch: np.ndarray, same, most_apart: int) -> Iterator[tuple[int, int]]:
     """Links between two blocks of nodes, none within what is connected already."""
     root: dict[int, int] = {}
@@ -124,7 +130,7 @@ def _block_links(names: list, comps: list, items: list, sketch: np.ndarray, othe
         d |= d >> np.uint64(1)
         d |= d >> np.uint64(2)
         d &= np.uint64(0x1111111111111111)
-        gap = np.bitwise_count(d).sum(1)
+        gap = np.bitwise_count(d).reshape(len(d), -1, SKETCH_SLOTS // 16).sum(2).min(1)
         for j in np.argsort(gap, kind="stable").tolist():  # the most alike first
             if gap[j] > most_apart:
                 break
@@ -162,7 +168,7 @@ def across(left: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: Compar
             if held[0] and held[1]:
                 (an, ac, as_, ai), (bn, bc, bs, bi) = (list(zip(*h, strict=True)) for h in held)
                 # Two nodes outside the largest component meet once, from the lesser one.
-                got = [(a, b) for a, b in _block_links(an, ac, ai, np.array(as_, np.int64).view(np.uint64), bn, bc, bi, np.array(bs, np.int64).view(np.uint64), how.same, most_apart) if a != b]
+                got = [(a, b) for a, b in _block_links(an, ac, ai, _sketches(as_), bn, bc, bi, _sketches(bs), how.same, most_apart) if a != b]
                 yield pa.RecordBatch.from_arrays([pa.array([min(g) for g in got], pa.int64()), pa.array([max(g) for g in got], pa.int64())], names=["a", "b"])
 
         now, held = None, ([], [])
@@ -188,8 +194,9 @@ def across_pairs(left: DataFrame, fetch: Callable[[DataFrame], DataFrame], how:
 def link_classes(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: Comparer, sketches: DataFrame | None = None, most_apart: int = SKETCH_SLOTS) -> tuple[DataFrame, DataFrame]:
     """(links ``a, b``; roots ``node, root`` of linked nodes) of rows ``node, key``.
 
-    ``sketches`` (``node, sketch``: six longs of sixteen 4-bit values) leave out pairs
-    across components that differ in more than ``most_apart`` slots; without them pairs
+    ``sketches`` (``node, sketch``: six longs of sixteen 4-bit values, or twelve of two
+    signatures) leave out pairs across components that differ in more than ``most_apart``
+    slots of either signature's; without them pairs
     across components are formed from the buckets."""
     buckets = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     members = saved(keyed.join(buckets.select("key", "a"), "key").select("key", "a", F.col("node").alias("b")))

@@ -3,7 +3,9 @@
 Each distinct shingle of a document is a Poisson process whose rate is its weight
 (1 + ln of its count); arrivals fall on signature slots at random and every slot keeps
 the first.  Two documents agree in a slot with the probability Jaccard similarity of
-their weights.  Arrivals later than the fullest slot's time change nothing, so elements
+their weights, which is plain Jaccard where all weights are 1: a text that repeats
+shingles has a second signature with such weights, for others both are the same.
+Arrivals later than the fullest slot's time change nothing, so elements
 stop early.  Bands of slots give candidates, exact similarity decides.
 
 Groups are never expanded into all pairs.  In each band bucket every member meets the
@@ -108,7 +110,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def signatures(docs: DataFrame, slots: int, bands: int, width: int) -> DataFrame:
     """``digest, doc_id, keys, sketch`` per row: the text's digest, one 64-bit key per band
-    and four bits of each of the first slots."""
+    and four bits of each of the first slots; of texts that repeat shingles also those of
+    the signature with all weights 1."""
     rows_per = slots // bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,15 +120,22 @@ def signatures(docs: DataFrame, slots: int, bands: int, width: int) -> DataFrame
         place = np.arange(16, dtype=_U64) * _U64(4)
         for batch in batches:
             for lo, hi, doc, sh, count in weighted_shingles(batch.column(2), width):
-                sig = prob_minhash(doc, sh, weights(count), hi - lo, slots)
-                keys = K.mix64((sig.reshape(hi - lo, bands, rows_per) * factor).sum(2, dtype=_U64) + salt).view(np.int64)
-                nibble = (sig[:, : L.SKETCH_SLOTS] >> _U64(40) & _U64(15)).reshape(hi - lo, -1, 16)
-                sketch = (nibble << place).sum(2, dtype=_U64).view(np.int64)
+                weighted = prob_minhash(doc, sh, weights(count), hi - lo, slots)
+                twice = np.bincount(doc[count > 1], minlength=hi - lo) > 0
+                sel = twice[doc]
+                plain = weighted.copy()
+                plain[twice] = prob_minhash((np.cumsum(twice) - 1)[doc[sel]], sh[sel], np.ones(int(sel.sum())), int(twice.sum()), slots)
+                sig = np.stack((weighted, plain), 1)
+                keys = K.mix64((sig.reshape(hi - lo, 2, bands, rows_per) * factor).sum(3, dtype=_U64) + salt).view(np.int64)
+                nibble = (sig[:, :, : L.SKETCH_SLOTS] >> _U64(40) & _U64(15)).reshape(hi - lo, 2, -1, 16)
+                sketch = (nibble << place).sum(3, dtype=_U64).view(np.int64)
                 some = np.bincount(doc, minlength=hi - lo) > 0
-                at = np.concatenate(([0], np.cumsum(some * bands))).astype(np.int32)
-                six = pa.array(np.arange(hi - lo + 1, dtype=np.int32) * sketch.shape[1])
+                used = np.stack((np.repeat(some[:, None], bands, 1), keys[:, 0] != keys[:, 1]), 1)
+                at = np.concatenate(([0], np.cumsum(used.sum((1, 2))))).astype(np.int32)
+                seen = np.stack((np.ones(hi - lo, bool), twice), 1)
+                six = pa.array(np.concatenate(([0], np.cumsum(seen.sum(1) * sketch.shape[2]))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].ravel())), pa.ListArray.from_arrays(six, pa.array(sketch.ravel()))],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[used])), pa.ListArray.from_arrays(six, pa.array(sketch[seen].ravel()))],
                     names=["digest", "doc_id", "keys", "sketch"],
                 )
 
@@ -151,8 +161,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     of its own, as is each row with a null id if its text matches nothing; an empty table
     gives an empty result; other columns are ignored.
 
-    With 24 bands of 4 slots a pair at 0.8 shares no bucket with probability 3e-6, and
-    is left out by its signature with one below 1e-4.
+    With 24 bands of 4 slots a pair at 0.8 by either measure shares no bucket with
+    probability 3e-6, and is left out by its signatures with one below 1e-4.
     """
     if slots < L.SKETCH_SLOTS:
         raise ValueError(f"at least {L.SKETCH_SLOTS} slots")
