@@ -497,6 +497,14 @@ def test_quality_verdicts(spark):
     assert quality_lm.quality_verdicts(docs(spark, []), labels).count() == 0
 
 
+def test_labelled_rows_of_low_quality_are_rejected(spark):
+    sf = "/root/testdata/sf0.1"
+    l = spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality_lm.quality_verdicts(spark.read.parquet(f"{sf}/documents.parquet"), l).join(l, "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()
+    kept = {r.quality: r.kept for r in got}
+    assert kept[0] < 0.1 and kept[1] > 0.99
+
+
 # Media -----------------------------------------------------------------------------
 
 

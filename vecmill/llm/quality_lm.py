@@ -198,6 +198,31 @@ def log_perplexity_joined(docs: DataFrame, counts: DataFrame, order: int, carry:
     return joined.groupBy(*carry).agg(((F.sum(-F.log(p) * F.col("n")) + prior * mean) / (F.sum("n") + prior)).alias("log_ppl"), F.sum("n").alias("n_symbols"))
 
 
+def with_variety(docs: DataFrame, carry: list[str], order: int, window: int = 256) -> DataFrame:
+    """``carry``, ``text`` and ``variety``: the share of the n-grams in windows of
+    ``window`` characters that are distinct there, 1 for a text without characters."""
+    rows = docs.select(*carry, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = K.utf8(batch.column(len(carry)))
+            share = np.ones(len(offsets) - 1)
+            for lo, hi in K.slices(offsets):
+                code, at = codes(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], order)
+                size = np.diff(at)
+                doc = np.repeat(np.arange(hi - lo), size)
+                part = (np.arange(len(code)) - at[:-1][doc]) // window
+                new = np.concatenate((np.ones(len(code[:1]), bool), (np.diff(doc) != 0) | (np.diff(part) != 0)))
+                key = K.mix64(np.cumsum(new).astype(np.uint64)) ^ K.mix64(code.astype(np.uint64) + np.uint64(1 << 40))
+                by = np.argsort(key, kind="stable")
+                first = np.concatenate((np.ones(len(key[:1]), bool), key[by][1:] != key[by][:-1]))
+                distinct = np.bincount(doc[by[first]], minlength=hi - lo)
+                share[lo:hi] = np.where(size > 0, distinct / np.maximum(size, 1), 1.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(share)], names=[*carry, "text", "variety"])
+
+    return rows.mapInArrow(run, rows.withColumn("variety", F.lit(1.0)).schema)
+
+
 def trusted_docs(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", bound: int = 4_000_000) -> DataFrame:
     """Rows of ``docs`` whose label is 1; the ids are broadcast only up to ``bound``."""
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("__id")).dropna().distinct()
@@ -205,11 +230,13 @@ def trusted_docs(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
     return docs.join(good, docs[id_col] == good["__id"], "left_semi")
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", order: int = 4, quantile: float = 0.99, slack: float = 0.25, prior: float = 50.0, table_bound: int = 4_000_000, with_key: bool = False) -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", order: int = 4, quantile: float = 0.99, slack: float = 0.1, prior: float = 50.0, table_bound: int = 4_000_000, with_key: bool = False, low_quantile: float = 0.001) -> DataFrame:
     """``doc_id, lang, log_ppl, perplexity, threshold, keep`` for every row.
 
     ``threshold`` of a language is the ``quantile`` of the trusted documents' log
-    perplexity plus ``slack`` (natural log; the quantile's own tail is good text).  A
+    perplexity plus ``slack`` (natural log; the quantile's own tail is good text).  The
+    other bound is on repetition, which the model finds likely: a text whose
+    ``with_variety`` is below the trusted documents' ``low_quantile`` goes too.  A
     language without trusted rows takes the quantile over all of them; without any
     trusted row everything is kept.  Null and empty texts are kept, null ids and
     languages stay, repeated rows stay.  ``with_key`` adds a hash of id, language and text.
@@ -219,6 +246,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     if with_key:
         rows, carry = rows.withColumn("key", F.xxhash64("doc_id", "lang", "text")), [*carry, "key"]
     trusted = trusted_docs(rows, labels.withColumnRenamed(id_col, "doc_id"), "doc_id", label_col)
+    rows, carry = with_variety(rows, carry, order), [*carry, "variety"]
     if SYMBOLS**order <= table_bound:
         scored = log_perplexity(rows, train(trusted.select("text"), order), carry, prior=prior)
     else:
@@ -228,12 +256,15 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     scored = saved(scored)
     good = trusted_docs(scored, labels.withColumnRenamed(id_col, "doc_id"), "doc_id", label_col)
     cut = F.percentile_approx("log_ppl", F.lit(quantile), F.lit(10_000)).alias("cut")
-    every = good.agg(cut).first().cut
-    by_lang = good.groupBy("lang").agg(cut)
+    low = F.percentile_approx("variety", F.lit(low_quantile), F.lit(10_000)).alias("low")
+    every = good.agg(cut, low).first()
+    by_lang = good.groupBy("lang").agg(cut, low)
     by_lang = F.broadcast(by_lang) if by_lang.count() <= 10_000 else by_lang
-    limit = F.coalesce(F.col("cut"), F.lit(every).cast("double")) + slack
+    limit = F.coalesce(F.col("cut"), F.lit(every.cut).cast("double")) + slack
+    least = F.coalesce(F.col("low"), F.lit(every.low).cast("double"))
     found = scored.join(by_lang.withColumnRenamed("lang", "__lang"), F.col("lang").eqNullSafe(F.col("__lang")), "left")
-    return found.select(*carry, "log_ppl", F.exp("log_ppl").alias("perplexity"), F.exp(limit).alias("threshold"), F.coalesce(F.col("log_ppl") <= limit, F.lit(True)).alias("keep"))
+    keep = (F.col("log_ppl") <= limit) & (F.col("variety") >= least)
+    return found.select(*carry[:-1], "log_ppl", F.exp("log_ppl").alias("perplexity"), F.exp(limit).alias("threshold"), F.coalesce(keep, F.lit(True)).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
