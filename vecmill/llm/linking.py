@@ -184,20 +184,37 @@ def across(left: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: Compar
     return blocks.mapInArrow(run, "a long, b long")
 
 
-def across_pairs(left: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: Comparer) -> DataFrame:
-    """The same pair by pair, for keys so long that unlike rows hardly ever share one."""
-    other = left.withColumnsRenamed({"b": "c", "root": "root2"})
-    pairs = left.join(other, "key").where("root < root2").select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
-    return compared(saved(pairs), fetch, how)
+def link_voted(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: Comparer, votes: int) -> tuple[DataFrame, DataFrame]:
+    """(links ``a, b``; roots ``node, root`` of linked nodes) of rows ``node, key`` whose
+    keys are so long that unlike rows hardly ever share one.
+
+    Pairs are formed and their shared keys counted on numbers alone, and payloads are
+    fetched only for pairs that share at least ``votes`` keys.  Every member of a bucket
+    meets its least member first; then, in buckets that still hold several components,
+    members of different components meet.  Any two rows with enough shared keys thus
+    either end in one class or have been compared."""
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+    members = saved(among(keyed, saved(buckets.select("key", "a")), "key").select("key", "a", F.col("node").alias("b")))
+    enough = lambda pairs: saved(pairs.groupBy("a", "b").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes).select("a", "b"))
+    links = saved(compared(enough(members.where("a <> b").select("a", "b")), fetch, how))
+    root = saved(components(links))
+    label = members.join(root.withColumnRenamed("node", "b"), "b", "left").select("key", "b", F.coalesce("root", "b").alias("root"))
+    mixed = label.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    left = saved(label.join(mixed, "key"))
+    pairs = left.join(left.withColumnsRenamed({"b": "c", "root": "root2"}), "key").where("root < root2")
+    more = saved(compared(enough(pairs.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b"))), fetch, how))
+    if not more.isEmpty():
+        links = saved(links.unionByName(more))
+        root = saved(components(links))
+    return links, root
 
 
-def link_classes(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: Comparer, sketches: DataFrame | None = None, most_apart: int = SKETCH_SLOTS) -> tuple[DataFrame, DataFrame]:
+def link_classes(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: Comparer, sketches: DataFrame, most_apart: int = SKETCH_SLOTS) -> tuple[DataFrame, DataFrame]:
     """(links ``a, b``; roots ``node, root`` of linked nodes) of rows ``node, key``.
 
     ``sketches`` (``node, sketch``: six longs of sixteen 4-bit values, or twelve of two
     signatures) leave out pairs across components that differ in more than ``most_apart``
-    slots of either signature's; without them pairs
-    across components are formed from the buckets."""
+    slots of either signature's."""
     buckets = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     members = saved(keyed.join(buckets.select("key", "a"), "key").select("key", "a", F.col("node").alias("b")))
     stars = saved(members.where("a <> b").select("a", "b").distinct())
@@ -208,7 +225,7 @@ def link_classes(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], how:
     mixed = label.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     left = saved(label.join(mixed, "key"))
     if not left.isEmpty():
-        more = saved(across(left, fetch, how, sketches, most_apart) if sketches is not None else across_pairs(left, fetch, how))
+        more = saved(across(left, fetch, how, sketches, most_apart))
         if not more.isEmpty():
             links = saved(links.unionByName(more))
             root = saved(components(links))
