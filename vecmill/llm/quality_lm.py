@@ -1,21 +1,24 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-The model is trained on trusted text (rows labelled good).  Its tokens are characters
-folded to a fixed alphabet of 40 symbols, which tells prose from shouting, repeated
-signs and noise in any language of the corpus and does not depend on a word list.
-n-gram counts are summed in shards by a shuffle and joined with their contexts'
-statistics.  A document is rejected when its perplexity is above its language's
-threshold, which comes from quantiles of the trusted documents of that language.
-
-With 40 symbols and order 4 the joined table has at most 40**4 entries whatever the
-corpus, so it is sent to the workers; a larger order (past ``table_bound`` entries)
-is scored by shuffled joins of the documents' own n-gram counts with the shards.
+The model is trained on trusted text (rows labelled good).  Its tokens are the bytes of
+the UTF-8 text as they stand, so the vocabulary is open to any script and no word list
+is needed; n-grams of five bytes tell prose from shouting, repeated signs and noise.
+
+Counts live in shards: n-gram counts are summed by a shuffle, lower orders and the
+statistics of contexts are aggregates of them, and the probability of every n-gram of the
+corpus comes from joins of the corpus's distinct n-grams with these tables, order by
+order.  Nothing of it is gathered in one place and no table is sent to all workers, so
+order, vocabulary and corpus may grow.  Documents are dealt into groups of some
+megabytes; a group asks the shards for its distinct n-grams and gets their probabilities,
+so a text crosses the network once and an n-gram once per group.
+
+A document is rejected when its perplexity is above its language's threshold, a quantile
+of trusted documents of that language which the model has not seen.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,70 +28,71 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .storage import saved
 
-SYMBOLS = 40
-_START = 29  # a line break, also what stands before a document
+SYMBOLS = 256
+SHARD_CODES = 500_000  # n-grams of the corpus in a shard, about
 
 
-def _alphabet() -> np.ndarray:
-    """Symbol of each byte; 255: not counted (first byte of a longer character)."""
-    t = np.full(256, 33, np.uint8)  # other signs
-    t[ord("a") : ord("z") + 1] = np.arange(26)
-    t[ord("A") : ord("Z") + 1] = 26
-    t[ord("0") : ord("9") + 1] = 27
-    t[[9, 11, 12, 32]] = 28
-    t[[10, 13]] = _START
-    t[ord(".")], t[ord(",")], t[ord("!")] = 30, 31, 32
-    t[128:192] = 34 + np.arange(64) % 6
-    t[192:] = 255
-    return t
+def codes(buf: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
+    """The n-gram code that ends at each byte; zero bytes stand before a document."""
+    sizes = np.diff(at)
+    place = np.arange(len(buf)) - np.repeat(at[:-1], sizes)
+    code = np.zeros(len(buf), np.int64)
+    for back in range(order - 1, -1, -1):
+        symbol = np.zeros(len(buf), np.int64)
+        symbol[back:] = buf[: max(0, len(buf) - back)]
+        symbol[place < back] = 0
+        code = code * SYMBOLS + symbol
+    return code
 
 
-ALPHABET = _alphabet()
+def _slices(column: pa.Array, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, codes, code offsets) of slices of a text column."""
+    raw, offsets = K.utf8(column)
+    for lo, hi in K.slices(offsets):
+        at = offsets[lo : hi + 1] - offsets[lo]
+        yield lo, hi, codes(raw[offsets[lo] : offsets[hi]], at, order), at
 
 
-def codes(buf: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram code of every counted character and the code offsets of the documents."""
-    s = ALPHABET[buf]
-    keep = s != 255
-    kept = np.concatenate(([0], np.cumsum(keep)))[at]
-    sizes, pad = np.diff(kept), order - 1
-    docs = len(sizes)
-    out = np.full(int(kept[-1]) + pad * docs, _START, np.int64)
-    place = np.arange(int(kept[-1])) + np.repeat(pad * (np.arange(docs) + 1), sizes)
-    out[place] = s[keep]
-    code = np.zeros(len(place), np.int64)
-    for back in range(pad, -1, -1):
-        code = code * SYMBOLS + out[place - back]
-    return code, kept
+class Tally:
+    """Distinct codes and their counts over many slices."""
 
+    def __init__(self):
+        self.code, self.n, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
 
-@dataclass
-class NgramModel:
-    """Natural log probabilities by n-gram code, and the mean of the training text."""
+    def add(self, code: np.ndarray) -> None:
+        self.held.append(np.unique(code, return_counts=True))
+        if sum(len(c) for c, _ in self.held) > max(1 << 20, len(self.code)):
+            self.settle()
 
-    order: int
-    logp: np.ndarray
-    mean: float
+    def settle(self) -> None:
+        code = np.concatenate([self.code, *(c for c, _ in self.held)])
+        n = np.concatenate([self.n, *(n for _, n in self.held)])
+        order = np.argsort(code, kind="stable")
+        code, n = code[order], n[order]
+        first = np.flatnonzero(np.concatenate((np.ones(len(code[:1]), bool), code[1:] != code[:-1])))
+        self.code, self.n, self.held = code[first], np.add.reduceat(n, first) if len(first) else n, []
 
 
-def count_ngrams(texts: DataFrame, order: int) -> DataFrame:
-    """``code long, n long`` over all texts (one string column), summed in shards."""
+def count_ngrams(texts: DataFrame, order: int, flush: int = 4_000_000) -> DataFrame:
+    """``code long, n long`` over all texts (one string column), summed in shards.
+
+    A task combines what it reads and hands over at most about ``flush`` n-grams at a
+    time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+
+        def handed():
+            tally.settle()
+            return pa.RecordBatch.from_arrays([pa.array(tally.code), pa.array(tally.n)], names=["code", "n"])
 
-    def run(batches):
-        # Dense counts where they are small, else the distinct codes of each slice.
-        dense = np.zeros(SYMBOLS**order, np.int64) if order <= 4 else None
         for batch in batches:
-            raw, offsets = K.utf8(batch.column(0))
-            for lo, hi in K.slices(offsets):
-                code, _ = codes(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], order)
-                if dense is not None:
-                    dense += np.bincount(code, minlength=len(dense))
-                else:
-                    at, n = np.unique(code, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.astype(np.int64))], names=["code", "n"])
-        if dense is not None:
-            at = np.flatnonzero(dense)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(dense[at])], names=["code", "n"])
+            for _, _, code, _ in _slices(batch.column(0), order):
+                tally.add(code)
+                if len(tally.code) > flush:
+                    yield handed()
+                    tally = Tally()
+        yield handed()
 
     return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
@@ -115,7 +119,7 @@ def kneser_ney(counts: DataFrame, order: int) -> list[tuple[DataFrame, DataFrame
     for level in reversed(levels):
         tally = {r.n: r.c for r in level.where("n <= 4").groupBy("n").agg(F.count("*").alias("c")).collect()}
         d1, d2, d3 = _discounts(*(tally.get(i, 0) for i in (1, 2, 3, 4)))
-        rows = level.withColumn("context", F.floor(F.col("code") / SYMBOLS).cast("long"))
+        rows = level.withColumn("context", F.shiftright("code", 8))
         off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         context = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("freed"))
         seen = rows.join(context, "context").select("code", ((F.col("n") - off) / F.col("total")).alias("head"))
@@ -123,148 +127,142 @@ def kneser_ney(counts: DataFrame, order: int) -> list[tuple[DataFrame, DataFrame
     return out
 
 
-def _dense(tables: list[tuple[DataFrame, DataFrame]]) -> np.ndarray:
-    """Interpolated probabilities of all n-grams of the tables' last order, at most
-    SYMBOLS**order numbers."""
-    p = np.full(SYMBOLS, 1.0 / SYMBOLS)
-    for k, (seen, context) in enumerate(tables, 1):
-        s, c = seen.toPandas(), context.toPandas()
-        gamma = np.ones(SYMBOLS ** (k - 1))
-        gamma[c["context"].to_numpy(np.int64)] = c["gamma"].to_numpy(float)
-        lower = p if k == 1 else np.tile(p, SYMBOLS)
-        p = np.repeat(gamma, SYMBOLS) * lower
-        p[s["code"].to_numpy(np.int64)] += s["head"].to_numpy(float)
-    return p
-
-
-def train(texts: DataFrame, order: int = 4) -> NgramModel:
-    """Fit on one column of trusted texts (nulls count as empty); an empty table gives
-    the uniform model.  Only for orders whose full table is sent to workers."""
-    counts = saved(count_ngrams(texts, order))
-    logp = np.log(_dense(kneser_ney(counts, order)))
-    own = counts.toPandas()
-    n = own["n"].to_numpy(float)
-    mean = float(-(logp[own["code"].to_numpy(np.int64)] * n).sum() / n.sum()) if len(own) else float(np.log(SYMBOLS))
-    return NgramModel(order, logp.astype(np.float32), mean)
-
-
-def log_perplexity(docs: DataFrame, model: NgramModel, carry: list[str], text_col: str = "text", prior: float = 50.0) -> DataFrame:
-    """``carry`` columns, ``log_ppl`` and ``n_symbols`` of every whole text, no shuffle.
-
-    The mean is taken with ``prior`` characters of the training mean added, so a few
-    characters do not decide; an empty or null text has the training mean."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.logp)  # at most SYMBOLS**order floats
-    order, mean = model.order, model.mean
-    rows = docs.select(*carry, F.col(text_col).alias("__text"))
-    schema = rows.select(*carry).withColumn("log_ppl", F.lit(0.0)).withColumn("n_symbols", F.lit(0).cast("long")).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logp = shared.value
-        for batch in batches:
-            raw, offsets = K.utf8(batch.column(len(carry)))
-            total, size = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64)
-            for lo, hi in K.slices(offsets):
-                code, at = codes(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], order)
-                acc = np.concatenate(([0.0], np.cumsum(logp[code], dtype=np.float64)))
-                total[lo:hi], size[lo:hi] = acc[at[1:]] - acc[at[:-1]], np.diff(at)
-            value = (-total + prior * mean) / (size + prior)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(value), pa.array(size)], names=[*carry, "log_ppl", "n_symbols"])
-
-    return rows.mapInArrow(run, schema)
-
-
-def log_perplexity_joined(docs: DataFrame, counts: DataFrame, order: int, carry: list[str], mean: float, text_col: str = "text", prior: float = 50.0) -> DataFrame:
-    """The same by shuffled joins, for tables past the bound: each document's distinct
-    n-grams meet the shards of the highest order; lower orders fit a worker."""
-    tables = kneser_ney(counts, order)
-    lower = docs.sparkSession.sparkContext.broadcast(_dense(tables[:-1]))
-    seen, context = tables[-1]
-    rows = docs.select(*carry, F.col(text_col).alias("__text"))
-    grams = rows.select(*carry).withColumn("code", F.lit(0).cast("long")).withColumn("n", F.lit(0).cast("long")).withColumn("low", F.lit(0.0))
-
-    def run(batches):
-        for batch in batches:
-            raw, offsets = K.utf8(batch.column(len(carry)))
-            for row in range(batch.num_rows):
-                code, _ = codes(raw[offsets[row] : offsets[row + 1]], np.array([0, offsets[row + 1] - offsets[row]]), order)
-                at, n = np.unique(code, return_counts=True)
-                at, n = (at, n) if len(at) else (np.array([-1]), np.array([0]))
-                own = batch.slice(row, 1).columns[: len(carry)]
-                yield pa.RecordBatch.from_arrays([*(pa.concat_arrays([c] * len(at)) for c in own), pa.array(at), pa.array(n.astype(np.int64)), pa.array(lower.value[at % SYMBOLS ** (order - 1)])], names=[*carry, "code", "n", "low"])
-
-    g = rows.mapInArrow(run, grams.schema).withColumn("context", F.floor(F.col("code") / SYMBOLS).cast("long"))
-    p = F.coalesce(F.col("head"), F.lit(0.0)) + F.coalesce(F.col("gamma"), F.lit(1.0)) * F.col("low")
-    joined = g.join(seen, "code", "left").join(context, "context", "left")
-    return joined.groupBy(*carry).agg(((F.sum(-F.log(p) * F.col("n")) + prior * mean) / (F.sum("n") + prior)).alias("log_ppl"), F.sum("n").alias("n_symbols"))
-
-
-def with_variety(docs: DataFrame, carry: list[str], order: int, window: int = 256) -> DataFrame:
-    """``carry``, ``text`` and ``variety``: the share of the n-grams in windows of
-    ``window`` characters that are distinct there, 1 for a text without characters."""
-    rows = docs.select(*carry, "text")
+def probabilities(wanted: DataFrame, counts: DataFrame, order: int) -> DataFrame:
+    """``code, logp`` of every code in ``wanted`` (distinct codes of the highest order).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = K.utf8(batch.column(len(carry)))
-            share = np.ones(len(offsets) - 1)
-            for lo, hi in K.slices(offsets):
-                code, at = codes(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], order)
-                size = np.diff(at)
-                doc = np.repeat(np.arange(hi - lo), size)
-                part = (np.arange(len(code)) - at[:-1][doc]) // window
-                new = np.concatenate((np.ones(len(code[:1]), bool), (np.diff(doc) != 0) | (np.diff(part) != 0)))
-                key = K.mix64(np.cumsum(new).astype(np.uint64)) ^ K.mix64(code.astype(np.uint64) + np.uint64(1 << 40))
-                by = np.argsort(key, kind="stable")
-                first = np.concatenate((np.ones(len(key[:1]), bool), key[by][1:] != key[by][:-1]))
-                distinct = np.bincount(doc[by[first]], minlength=hi - lo)
-                share[lo:hi] = np.where(size > 0, distinct / np.maximum(size, 1), 1.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(share)], names=[*carry, "text", "variety"])
-
-    return rows.mapInArrow(run, rows.withColumn("variety", F.lit(1.0)).schema)
+    Order by order the distinct codes meet the shards of seen n-grams, those of contexts
+    and the probabilities of their suffixes; what no shard has takes the lower order's
+    share, down to the uniform distribution over bytes."""
+    suffixes = [saved(wanted.select("code"))]
+    for k in range(order - 1, 0, -1):
+        suffixes.append(saved(suffixes[-1].select((F.col("code") % SYMBOLS**k).alias("code")).distinct()))
+    lower = None
+    for k, (seen, context) in enumerate(kneser_ney(counts, order), 1):
+        rows = suffixes[order - k].withColumn("context", F.shiftright("code", 8)).join(seen, "code", "left").join(context, "context", "left")
+        below = F.lit(1.0 / SYMBOLS)
+        if lower is not None:
+            rows, below = rows.withColumn("suffix", F.col("code") % SYMBOLS ** (k - 1)).join(lower, "suffix"), F.col("below")
+        p = F.coalesce("head", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * below
+        lower = saved(rows.select(F.col("code").alias("suffix"), p.alias("below")))
+    return lower.select(F.col("suffix").alias("code"), F.log("below").alias("logp"))
+
+
+def _variety(code: np.ndarray, at: np.ndarray, window: int = 256) -> np.ndarray:
+    """Distinct n-grams in each window of ``window`` bytes, summed by document."""
+    size = np.diff(at)
+    doc = np.repeat(np.arange(len(size)), size)
+    part = (np.arange(len(code)) - at[:-1][doc]) // window
+    new = np.concatenate((np.ones(len(code[:1]), bool), (np.diff(doc) != 0) | (np.diff(part) != 0)))
+    key = K.mix64(np.cumsum(new).astype(np.uint64)) ^ K.mix64(code.astype(np.uint64) + np.uint64(1 << 60))
+    by = np.argsort(key, kind="stable")
+    first = np.concatenate((np.ones(len(key[:1]), bool), key[by][1:] != key[by][:-1]))
+    return np.bincount(doc[by[first]], minlength=len(size))
+
+
+def _distinct(table: pa.Table, column: str, order: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """A group's distinct codes and their order by shard."""
+    tally = Tally()
+    for chunk in table.column(column).chunks:
+        for _, _, code, _ in _slices(chunk, order):
+            tally.add(code)
+    tally.settle()
+    return tally.code, np.argsort(tally.code % shards, kind="stable")
+
+
+def document_scores(docs: DataFrame, counts: DataFrame, order: int, carry: list[str], text_col: str = "text") -> DataFrame:
+    """``carry`` columns, ``nats`` (negative log probability of the whole text), ``n_bytes``
+    and ``variety`` (the share of the n-grams in windows of 256 bytes that are distinct
+    there, 1 for an empty text) of every row; a null text is empty."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    p = saved(probabilities(count_ngrams(docs.select(F.col(text_col)), order), counts, order))
+    shards = min(parts, max(64, p.count() // SHARD_CODES)) | 1  # odd: bytes are no multiples of it
+    groups = 2 * parts
+    # Inner columns get positions for names, so the rows may carry any names.
+    names = [f"c{i}" for i in range(len(carry))]
+    rows = docs.select(*[docs[c].alias(n) for c, n in zip(carry, names, strict=True)], docs[text_col].alias("text"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(*names, "text"), F.lit(groups)).cast("int")).repartition(parts, "part")
+
+    def ask(table: pa.Table) -> pa.Table:
+        code, by = _distinct(table, "text", order, shards)
+        shard = (code % shards)[by]
+        at = np.searchsorted(shard, np.arange(shards + 1))
+        some = np.flatnonzero(np.diff(at))
+        return pa.table({"shard": pa.array(some, pa.int32()), "part": pa.array([table.column("part")[0].as_py()] * len(some), pa.int32()), "codes": pa.array([code[by[at[i] : at[i + 1]]].tobytes() for i in some.tolist()], pa.binary())})
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        code, logp = known.column("code").to_numpy(), known.column("logp").to_numpy()
+        by = np.argsort(code)
+        code, logp = code[by], logp[by].astype(np.float32)
+        got = [logp[np.searchsorted(code, np.frombuffer(x.as_buffer(), np.int64))].tobytes() for x in asked.column("codes")]
+        return pa.table({"part": asked.column("part"), "shard": asked.column("shard"), "logp": pa.array(got, pa.binary())})
+
+    def score(table: pa.Table, answers: pa.Table) -> pa.Table:
+        code, by = _distinct(table, "text", order, shards)
+        told = sorted(zip(answers.column("shard").to_pylist(), answers.column("logp").to_pylist(), strict=True))
+        logp = np.zeros(len(code))
+        logp[by] = np.frombuffer(b"".join(x for _, x in told), np.float32)
+        nats, size, variety = [], [], []
+        for chunk in table.column("text").chunks:
+            for _, _, own, at in _slices(chunk, order):
+                n = np.diff(at)
+                total = np.concatenate(([0.0], np.cumsum(logp[np.searchsorted(code, own)]))) if len(own) else np.zeros(1)
+                nats.append(total[at[:-1]] - total[at[1:]])
+                size.append(n)
+                variety.append(np.where(n > 0, _variety(own, at) / np.maximum(n, 1), 1.0))
+        cat = lambda x: np.concatenate(x) if x else np.zeros(0)
+        return pa.table({**{c: table.column(c) for c in names}, "nats": pa.array(cat(nats), pa.float64()), "n_bytes": pa.array(cat(size).astype(np.int64)), "variety": pa.array(cat(variety), pa.float64())})
+
+    asked = rows.groupBy("part").applyInArrow(ask, "shard int, part int, codes binary")
+    known = p.withColumn("shard", F.pmod("code", F.lit(shards)).cast("int"))
+    told = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "part int, shard int, logp binary")
+    kinds = rows.select(*names).withColumns({"nats": F.lit(0.0), "n_bytes": F.lit(0).cast("long"), "variety": F.lit(0.0)}).schema
+    out = rows.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(score, kinds)
+    return out.withColumnsRenamed(dict(zip(names, carry, strict=True)))
 
 
 def trusted_docs(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", bound: int = 4_000_000) -> DataFrame:
     """Rows of ``docs`` whose label is 1; the ids are broadcast only up to ``bound``."""
-    good = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("__id")).dropna().distinct()
+    good = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("good_id")).dropna().distinct()
     good = F.broadcast(good) if good.count() <= bound else good
-    return docs.join(good, docs[id_col] == good["__id"], "left_semi")
+    return docs.join(good, docs[id_col] == good["good_id"], "left_semi")
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", order: int = 4, quantile: float = 0.99, slack: float = 0.1, prior: float = 50.0, table_bound: int = 4_000_000, with_key: bool = False, low_quantile: float = 0.001) -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", order: int = 5, quantile: float = 0.99, slack: float = 0.1, prior: float = 50.0, low_quantile: float = 0.001, held_out: int = 5, with_key: bool = False) -> DataFrame:
     """``doc_id, lang, log_ppl, perplexity, threshold, keep`` for every row.
 
-    ``threshold`` of a language is the ``quantile`` of the trusted documents' log
-    perplexity plus ``slack`` (natural log; the quantile's own tail is good text).  The
-    other bound is on repetition, which the model finds likely: a text whose
-    ``with_variety`` is below the trusted documents' ``low_quantile`` goes too.  A
-    language without trusted rows takes the quantile over all of them; without any
-    trusted row everything is kept.  Null and empty texts are kept, null ids and
-    languages stay, repeated rows stay.  ``with_key`` adds a hash of id, language and text.
+    The model is trained on the trusted rows but every ``held_out``-th (by a hash of the
+    text), which set the thresholds.  ``log_ppl`` is the mean negative log probability of
+    a byte, with ``prior`` bytes of the held-out rows' mean added, so a few bytes do not
+    decide.  ``threshold`` of a language is the ``quantile`` of its held-out rows plus
+    ``slack`` (natural log; the quantile's own tail is good text).  The other bound is on
+    repetition, which the model finds likely: a text whose variety (see
+    ``document_scores``) is below the trusted rows' ``low_quantile`` goes too.  A language
+    without held-out rows takes the quantile over all of them; without any everything is
+    kept.  Null and empty texts are kept, null ids and languages stay, repeated rows stay,
+    other columns are ignored.  ``with_key`` adds a hash of id, language and text.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].alias("lang"), docs[text_col].alias("text"))
-    carry = ["doc_id", "lang"]
-    if with_key:
-        rows, carry = rows.withColumn("key", F.xxhash64("doc_id", "lang", "text")), [*carry, "key"]
+    share = F.pmod(F.xxhash64("text"), F.lit(held_out))
     trusted = trusted_docs(rows, labels.withColumnRenamed(id_col, "doc_id"), "doc_id", label_col)
-    rows, carry = with_variety(rows, carry, order), [*carry, "variety"]
-    if SYMBOLS**order <= table_bound:
-        scored = log_perplexity(rows, train(trusted.select("text"), order), carry, prior=prior)
-    else:
-        counts = saved(count_ngrams(trusted.select("text"), order))
-        keyed = rows.withColumn("__row", F.monotonically_increasing_id())
-        scored = log_perplexity_joined(saved(keyed), counts, order, [*carry, "__row"], float(np.log(SYMBOLS)), prior=prior).drop("__row")
-    scored = saved(scored)
+    counts = saved(count_ngrams(trusted.where(share != 0).select("text"), order))
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", "lang", "text")).withColumn("apart", share == 0)
+    scored = saved(document_scores(keyed, counts, order, ["doc_id", "lang", "key", "apart"]))
     good = trusted_docs(scored, labels.withColumnRenamed(id_col, "doc_id"), "doc_id", label_col)
-    cut = F.percentile_approx("log_ppl", F.lit(quantile), F.lit(10_000)).alias("cut")
+    sums = good.where("apart").agg(F.sum("nats").alias("nats"), F.sum("n_bytes").alias("n")).first()
+    mean = sums.nats / sums.n if sums.n else float(np.log(SYMBOLS))
+    value = (F.col("nats") + prior * mean) / (F.col("n_bytes") + prior)
+    cut = F.percentile_approx(F.when(F.col("apart"), value), F.lit(quantile), F.lit(10_000)).alias("cut")
     low = F.percentile_approx("variety", F.lit(low_quantile), F.lit(10_000)).alias("low")
     every = good.agg(cut, low).first()
-    by_lang = good.groupBy("lang").agg(cut, low)
+    by_lang = good.groupBy(F.col("lang").alias("own")).agg(cut, low)
     by_lang = F.broadcast(by_lang) if by_lang.count() <= 10_000 else by_lang
     limit = F.coalesce(F.col("cut"), F.lit(every.cut).cast("double")) + slack
     least = F.coalesce(F.col("low"), F.lit(every.low).cast("double"))
-    found = scored.join(by_lang.withColumnRenamed("lang", "__lang"), F.col("lang").eqNullSafe(F.col("__lang")), "left")
+    found = scored.withColumn("log_ppl", value).join(by_lang, F.col("lang").eqNullSafe(F.col("own")), "left")
     keep = (F.col("log_ppl") <= limit) & (F.col("variety") >= least)
-    return found.select(*carry[:-1], "log_ppl", F.exp("log_ppl").alias("perplexity"), F.exp(limit).alias("threshold"), F.coalesce(keep, F.lit(True)).alias("keep"))
+    key = ["key"] if with_key else []
+    return found.select("doc_id", "lang", *key, "log_ppl", F.exp("log_ppl").alias("perplexity"), F.exp(limit).alias("threshold"), F.coalesce(keep, F.lit(True)).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
