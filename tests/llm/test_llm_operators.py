@@ -550,14 +550,14 @@ def test_copies_are_found_and_others_are_not(spark):
 
 
 def test_media_classes_equal_comparing_all_pairs(spark):
-    frame = media.media_of_vectors(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"))
+    every = media.media_of_vectors(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"))
+    frame = every.where("vec_id < 110 or vec_id % 50 = 0")
     rows = frame.collect()
     points = [media.features(media.decode(r.image)) for r in rows]
     root = list(range(len(rows)))
     for i, r in enumerate(rows):
         for j in range(i):
-            # Far descriptors cannot give six matches: compare where any are near at all.
-            if r.image == rows[j].image or (media._nearest(points[i][:24], points[j])[1] <= 40).sum() >= 2 and media.agreeing(points[i], points[j]) >= 6:
+            if r.image == rows[j].image or media.agreeing(points[i], points[j]) >= 10:
                 root = [root[j] if x == root[i] else x for x in root]
     got = {(r.vec_id, r.variant): r.class_id for r in media.image_copies(frame, ["vec_id", "variant"]).collect()}
     classes = {}

@@ -279,7 +279,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(key, pa.int64())], names=["node", "key"])
 
 
-def image_copies(media: DataFrame, id_cols: list[str], image_col: str = "image", pixels: int = 144, least: int = 6, votes: int = 2) -> DataFrame:
+def image_copies(media: DataFrame, id_cols: list[str], image_col: str = "image", pixels: int = 144, least: int = 10, votes: int = 2) -> DataFrame:
     """``id_cols, class_id, class_size, n_points, n_links`` of every row.
 
     ``class_id`` is the hexadecimal digest that names the class of images linked by at
