@@ -99,3 +99,43 @@ def stripped(text: Column) -> Column:
 def pick(pool: Column, key: Column, epoch: int) -> Column:
     """One element of a pool, by a hash of the row's key and the epoch."""
     return F.element_at(pool, (F.pmod(F.xxhash64(key, F.lit(epoch)), F.size(pool)) + 1).cast("int"))
+
+
+def trim_padding(tokens: Column, value: float = 0.0, side: str = "left") -> Column:
+    """A bag without the vectors at one end all of whose components equal ``value``."""
+    if side not in ("left", "right"):
+        raise ValueError("side is left or right")
+    real = F.filter(F.transform(tokens, lambda v, i: F.when(F.exists(v, lambda x: x != value), i + 1)), lambda i: i.isNotNull())
+    first = F.array_min(real)
+    last = F.array_max(real)
+    kept = F.slice(tokens, first, F.size(tokens) - first + 1) if side == "left" else F.slice(tokens, F.lit(1), last)
+    return F.when(F.size(real) == 0, F.slice(tokens, 1, 0)).otherwise(kept)
+
+
+def masked(tokens: Column, mask: Column) -> Column:
+    """The tokens whose place in a boolean array is set: padding dropped."""
+    return F.transform(F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda r: r["m"]), lambda r: r["t"])
+
+
+def zeroed(tokens: Column, mask: Column) -> Column:
+    """The tokens as they are where the mask is set and zero vectors elsewhere."""
+    return F.zip_with(tokens, mask, lambda v, m: F.when(m, v).otherwise(F.transform(v, lambda x: x * 0)))
+
+
+def image_mask(token_ids: Column, image_token: int) -> Column:
+    """Which token ids are the image token."""
+    return F.transform(token_ids, lambda t: t == image_token)
+
+
+def patches(width: Column, height: Column, patch: int = 16, merge: int = 2, least: int = 65536, most: int = 16777216) -> tuple[Column, Column]:
+    """(across, down) token grid of an image: sides are rounded to multiples of the merged
+    patch and, where the area is out of bounds, scaled to fit them keeping the aspect."""
+    f = float(patch * merge)
+    near = lambda x: F.greatest(F.lit(f), F.bround(x / f) * f)
+    h, w = near(height), near(width)
+    shrink = F.sqrt(height.cast("double") * width / most)
+    grow = F.sqrt(F.lit(float(least)) / (height.cast("double") * width))
+    down = lambda x: F.greatest(F.lit(f), F.floor(x / shrink / f) * f)
+    up = lambda x: F.ceil(x * grow / f) * f
+    side = lambda whole, x: F.when(h * w > most, down(x)).when(h * w < least, up(x)).otherwise(whole)
+    return F.floor(side(w, width) / f).cast("int"), F.floor(side(h, height) / f).cast("int")

@@ -158,10 +158,11 @@ def compression_stats(sizes: DataFrame, budget: int, dim: int) -> DataFrame:
     )
 
 
-def ladder(raw: DataFrame, compressed: DataFrame, metric: str) -> DataFrame:
-    """Raw against compressed summaries by board, in percent."""
+def ladder(raw: DataFrame, compressed: DataFrame, metric: str, decimals: int | None = None) -> DataFrame:
+    """Raw against compressed summaries by board, in percent (rounded to ``decimals``)."""
     r, c = (d.select("dataset", F.col(metric).alias(n)) for d, n in ((raw, "raw"), (compressed, "compressed")))
-    return r.join(c, "dataset", "full").select("dataset", (100 * F.col("raw")).alias("raw_pct"), (100 * F.col("compressed")).alias("compressed_pct"), (100 * (F.col("compressed") - F.col("raw"))).alias("delta_pct"))
+    shown = lambda x: 100 * x if decimals is None else F.round(100 * x, decimals)
+    return r.join(c, "dataset", "full").select("dataset", shown(F.col("raw")).alias("raw_pct"), shown(F.col("compressed")).alias("compressed_pct"), shown(F.col("compressed") - F.col("raw")).alias("delta_pct"))
 
 
 def encode(pages: DataFrame, encoder, schema: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 A score table has ``query_id, doc_id, score`` and, where a loss needs them,
 ``teacher_score``, ``is_pos`` (one row per query), ``slot_mask``, ``group_id`` (of the
-document's query) and ``sample_weight``.  Softmax over candidates is a window over the
-query (over the document for the column direction).
+document's query) and ``sample_weight``.  A softmax over the candidates of a query (of a
+document for the column direction) is a maximum and a sum of exponentials: two partial
+aggregates, joined back where every candidate is needed, so a key with very many
+candidates is never in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -16,32 +18,31 @@ from ..functions import vectors as V
 MASKED = -1e4  # logit of a masked candidate in the distillation losses
 
 
-def _over(keys: list[str]):
-    return Window.partitionBy(*keys)
+def softmax_sums(df: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """Per key the maximum ``c_peak`` and the sum ``c_sum`` of ``exp(c - c_peak)`` of each
+    column."""
+    peaks = df.groupBy(*keys).agg(*[F.max(c).alias(f"{c}_peak") for c in columns])
+    sums = [F.sum(F.exp(F.col(c) - F.col(f"{c}_peak"))).alias(f"{c}_sum") for c in columns]
+    firsts = [F.first(f"{c}_peak").alias(f"{c}_peak") for c in columns]
+    return df.select(*keys, *columns).join(peaks, keys).groupBy(*keys).agg(*firsts, *sums)
 
 
-def log_softmax(x: Column, keys: list[str]) -> Column:
-    """Of a column that exists in the table, shifted by its maximum."""
-    peak = F.max(x).over(_over(keys))
-    return x - peak - F.log(F.sum(F.exp(x - peak)).over(_over(keys)))
+def log_softmax(c: str) -> Column:
+    """Of a column that is joined with its ``softmax_sums``."""
+    return F.col(c) - F.col(f"{c}_peak") - F.log(f"{c}_sum")
 
 
-def with_log_softmax(df: DataFrame, source: Column, name: str, keys: list[str]) -> DataFrame:
-    """The same in two window steps of one partitioning (a window cannot nest another)."""
-    df = df.withColumn("__x", source).withColumn("__peak", F.max("__x").over(_over(keys)))
-    df = df.withColumn("__sum", F.sum(F.exp(F.col("__x") - F.col("__peak"))).over(_over(keys)))
-    return df.withColumn(name, F.col("__x") - F.col("__peak") - F.log("__sum")).drop("__x", "__peak", "__sum")
-
-
-def positive_score(keys: list[str], score: str = "score") -> Column:
-    return F.max(F.when(F.col("is_pos"), F.col(score))).over(_over(keys))
+def with_positive(df: DataFrame, keys: list[str], **columns: str) -> DataFrame:
+    """The positive row's values of each key, as new columns by name."""
+    own = df.where("is_pos").groupBy(*keys).agg(*[F.max(c).alias(n) for n, c in columns.items()])
+    return df.join(own, keys, "left")
 
 
 def filter_high_negatives(df: DataFrame, threshold: float = 0.95, factor: float = 0.5, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Negatives above ``threshold`` times the positive score are scaled by ``factor``."""
-    df = df.withColumn("__pos", positive_score(list(keys)))
-    hot = ~F.col("is_pos") & (F.col("score") > threshold * F.col("__pos"))
-    return df.withColumn("score", F.when(hot, F.col("score") * factor).otherwise(F.col("score"))).drop("__pos")
+    df = with_positive(df, list(keys), pos_score="score")
+    hot = ~F.col("is_pos") & (F.col("score") > threshold * F.col("pos_score"))
+    return df.withColumn("score", F.when(hot, F.col("score") * factor).otherwise(F.col("score"))).drop("pos_score")
 
 
 def same_group_mask(df: DataFrame, own: str = "query_group_id", other: str = "doc_group_id", value: float = float("-inf")) -> DataFrame:
@@ -49,13 +50,57 @@ def same_group_mask(df: DataFrame, own: str = "query_group_id", other: str = "do
     return df.withColumn("score", F.when((F.col(own) == F.col(other)) & ~F.col("is_pos"), F.lit(value)).otherwise(F.col("score")))
 
 
-def candidate_mask(df: DataFrame, known: DataFrame) -> DataFrame:
-    """``masked``: a known positive of the query that is not the row's target, a repeat of
-    the target among the candidates, or an invalid slot."""
-    k = known.select("query_id", "doc_id").distinct().withColumn("__known", F.lit(True))
-    df = df.join(k, ["query_id", "doc_id"], "left")
-    bad = F.coalesce(F.col("__known"), F.lit(False)) | (F.coalesce(F.col("slot_mask"), F.lit(1)) == 0)
-    return df.withColumn("masked", bad & ~F.col("is_pos")).drop("__known")
+def candidate_masks(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``masked`` for rows of the square of a batch's queries and documents and for slots
+    of hard negatives (``is_hard``).
+
+    In the square a pair is masked that is not the query's own target and whose query
+    and document are of one group (``query_group_id``, ``doc_group_id``), or whose
+    document is a known positive of the query (``known``: ``query_id, doc_id``), which
+    covers repeats of the target among the candidates.  A slot of hard negatives is
+    masked where it is invalid (``slot_mask``) or holds a known positive.  The same mask
+    serves the row and the column direction and the teacher."""
+    hard = F.coalesce(F.col("is_hard"), F.lit(False)) if "is_hard" in df.columns else F.lit(False)
+    slot = F.coalesce(F.col("slot_mask"), F.lit(1)) <= 0 if "slot_mask" in df.columns else F.lit(False)
+    group = F.lit(False)
+    if {"query_group_id", "doc_group_id"} <= set(df.columns):
+        group = F.coalesce(F.col("query_group_id") == F.col("doc_group_id"), F.lit(False))
+    positive = F.lit(False)
+    if known is not None:
+        k = known.select("query_id", "doc_id").distinct().withColumn("is_known", F.lit(True))
+        df = df.join(k, ["query_id", "doc_id"], "left")
+        positive = F.coalesce(F.col("is_known"), F.lit(False))
+    bad = positive | F.when(hard, slot).otherwise(group)
+    return df.withColumn("masked", bad & ~F.col("is_pos")).drop("is_known")
+
+
+def score_tower(square: DataFrame, query_sizes: DataFrame, negatives: DataFrame | None = None, include_negatives: bool = False, block: Column | None = None) -> dict[str, DataFrame]:
+    """Views on one table of scores, as the losses need them, each score divided by its
+    query's tokens (``query_id, n_qtok``).
+
+    ``square`` has ``query_id, doc_id, score, is_pos`` of a batch's queries and documents.
+    ``rows`` are the pairs of the queries in ``block`` (a condition on ``query_id``; all by
+    default), ``cols`` all pairs with those queries' own documents, ``pos`` the targets,
+    ``neg`` the scores of hard negatives, and ``kd_rows`` the rows, with ``negatives``
+    appended where they are included."""
+
+    def normal(df: DataFrame) -> DataFrame:
+        return df.join(query_sizes, "query_id").withColumn("score", F.col("score") / F.col("n_qtok")).drop("n_qtok")
+
+    whole = normal(square)
+    rows = whole if block is None else whole.where(block)
+    own = rows.where("is_pos").select("doc_id").distinct()
+    out = {"pos": rows.where("is_pos"), "rows": rows, "cols": whole.join(own, "doc_id", "left_semi"), "kd_rows": rows}
+    if negatives is not None:
+        out["neg"] = normal(negatives if block is None else negatives.where(block))
+        if include_negatives:
+            out["kd_rows"] = rows.unionByName(out["neg"], allowMissingColumns=True)
+    return out
+
+
+def out_of_range(scores: DataFrame, tolerance: float = 1e-3) -> DataFrame:
+    """Normalised scores outside [-1, 1]."""
+    return scores.where(F.abs("score") > 1 + tolerance)
 
 
 def mask_logits(x: Column, masked: Column | None) -> Column:
@@ -64,14 +109,15 @@ def mask_logits(x: Column, masked: Column | None) -> Column:
 
 def info_nce(df: DataFrame, temperature: float = 0.02) -> DataFrame:
     """``query_id, loss``: cross entropy of the positive among its candidates."""
-    df = with_log_softmax(df, F.col("score") / temperature, "__lp", ["query_id"])
-    return df.where("is_pos").select("query_id", (-F.col("__lp")).alias("loss"))
+    x = df.select("query_id", "is_pos", (F.col("score") / temperature).alias("x"))
+    own = x.where("is_pos").join(softmax_sums(x, ["query_id"], "x"), "query_id")
+    return own.select("query_id", (-log_softmax("x")).alias("loss"))
 
 
 def hard_negative_softplus(df: DataFrame, temperature: float = 0.02) -> DataFrame:
     """``query_id, loss``: masked mean of ``softplus((negative - positive) / T)``."""
-    df = df.withColumn("__pos", positive_score(["query_id"])).where(~F.col("is_pos"))
-    slot = V.softplus((F.col("score") - F.col("__pos")) / temperature)
+    df = with_positive(df, ["query_id"], pos_score="score").where(~F.col("is_pos"))
+    slot = V.softplus((F.col("score") - F.col("pos_score")) / temperature)
     mask = F.coalesce(F.col("slot_mask"), F.lit(1)).cast("double")
     return df.groupBy("query_id").agg((F.sum(slot * mask) / F.greatest(F.sum(mask), F.lit(1.0))).alias("loss"))
 
@@ -91,44 +137,51 @@ def weighted_mean(losses: DataFrame, weight: str | None = None) -> DataFrame:
 
 def listwise_kl(df: DataFrame, temperature: float = 0.02, teacher_temperature: float = 1.0) -> DataFrame:
     """One row ``loss``: KL(softmax(grade / Tt) || softmax(score / T)), mean over queries."""
-    df = with_log_softmax(df, F.col("score") / temperature, "__lq", ["query_id"])
-    df = with_log_softmax(df, F.col("grade") / teacher_temperature, "__lp", ["query_id"])
-    return df.agg((F.sum(F.exp("__lp") * (F.col("__lp") - F.col("__lq"))) / F.countDistinct("query_id")).alias("loss"))
+    x = df.select("query_id", (F.col("score") / temperature).alias("q"), (F.col("grade") / teacher_temperature).alias("p"))
+    rows = x.join(softmax_sums(x, ["query_id"], "p", "q"), "query_id")
+    kl = F.exp(log_softmax("p")) * (log_softmax("p") - log_softmax("q"))
+    return rows.agg((F.sum(kl) / F.countDistinct("query_id")).alias("loss"))
+
+
+def _distilled(df: DataFrame, key: str, tie: str, temperature: float, teacher_temperature: float, floor: float, wrong: float, masked: Column | None) -> DataFrame:
+    """``key, kl, confidence``: teacher and student softmax in one pass."""
+    p = mask_logits(F.col("teacher_score") / teacher_temperature, masked)
+    q = mask_logits(F.col("score") / temperature, masked) if "score" in df.columns else p
+    valid = F.lit(1) if masked is None else (~masked).cast("long")
+    x = df.select(F.col(key), F.col(tie), "is_pos", p.alias("p"), q.alias("q"), valid.alias("valid"))
+    rows = x.join(softmax_sums(x, [key], "p", "q"), key)
+    lp, lq = log_softmax("p"), log_softmax("q")
+    g = rows.groupBy(key).agg(
+        F.sum(F.exp(lp) * (lp - lq)).alias("kl"), (-F.sum(F.exp(lp) * lp)).alias("h"), F.sum("valid").alias("n"),
+        F.min_by("is_pos", F.struct(-F.col("p"), F.col(tie))).alias("right"),
+    )
+    clarity = F.least(F.greatest(1 - F.col("h") / F.log(F.greatest(F.col("n"), F.lit(2))), F.lit(0.0)), F.lit(1.0))
+    return g.select(key, "kl", ((floor + (1 - floor) * clarity) * F.when(F.col("right"), 1.0).otherwise(wrong)).alias("confidence"))
 
 
 def teacher_confidence(df: DataFrame, teacher_temperature: float = 0.13, floor: float = 0.1, wrong: float = 0.25, key: str = "query_id", tie: str = "doc_id", masked: Column | None = None) -> DataFrame:
     """``key, confidence``: floor + (1 - floor) * clamp(1 - entropy / ln n), times ``wrong``
     where the teacher's best candidate (ties: the least id) is not the positive."""
-    x = mask_logits(F.col("teacher_score") / teacher_temperature, masked)
-    df = with_log_softmax(df, x, "__lp", [key]).withColumn("__logit", x)
-    valid = F.count("*") if masked is None else F.sum((~masked).cast("long"))
-    best = F.min_by("is_pos", F.struct(-F.col("__logit"), F.col(tie)))
-    g = df.groupBy(key).agg((-F.sum(F.exp("__lp") * F.col("__lp"))).alias("h"), valid.alias("n"), best.alias("right"))
-    clarity = F.least(F.greatest(1 - F.col("h") / F.log(F.greatest(F.col("n"), F.lit(2))), F.lit(0.0)), F.lit(1.0))
-    return g.select(key, ((floor + (1 - floor) * clarity) * F.when(F.col("right"), 1.0).otherwise(wrong)).alias("confidence"))
+    return _distilled(df, key, tie, teacher_temperature, teacher_temperature, floor, wrong, masked).select(key, "confidence")
 
 
 def relation_kl(df: DataFrame, key: str = "query_id", tie: str = "doc_id", temperature: float = 0.13, teacher_temperature: float = 0.13, confidence: bool = True, masked: Column | None = None) -> DataFrame:
     """``key, loss``: KL of the student's candidates from the teacher's by row (key the
     query) or column (key the document), weighted by the teacher's confidence."""
-    s = with_log_softmax(df, mask_logits(F.col("score") / temperature, masked), "__lq", [key])
-    s = with_log_softmax(s, mask_logits(F.col("teacher_score") / teacher_temperature, masked), "__lp", [key])
-    out = s.groupBy(key).agg(F.sum(F.exp("__lp") * (F.col("__lp") - F.col("__lq"))).alias("loss"))
-    if confidence:
-        c = teacher_confidence(df, teacher_temperature, key=key, tie=tie, masked=masked)
-        out = out.join(c, key).select(key, (F.col("loss") * F.col("confidence")).alias("loss"))
-    return out
+    d = _distilled(df, key, tie, temperature, teacher_temperature, 0.1, 0.25, masked)
+    return d.select(key, (F.col("kl") * F.col("confidence") if confidence else F.col("kl")).alias("loss"))
 
 
-def relation_loss(df: DataFrame, column_weight: float = 1.0, temperature: float = 0.13, teacher_temperature: float = 0.13, rows: bool = True, columns: bool = True, confidence: bool = True) -> DataFrame:
+def relation_loss(df: DataFrame, column_weight: float = 1.0, temperature: float = 0.13, teacher_temperature: float = 0.13, rows: bool = True, columns: bool = True, confidence: bool = True, masked: Column | None = None) -> DataFrame:
     """``query_id, loss``: row and column terms over the weight of the active directions.
-    The column term of a query is that of its positive document."""
+    The column term of a query is that of its positive document.  Masked candidates (see
+    ``candidate_masks``) have the same low logit for student and teacher."""
     parts, total = [], (1.0 if rows else 0.0) + (column_weight if columns else 0.0)
     if rows:
-        parts.append(relation_kl(df, "query_id", "doc_id", temperature, teacher_temperature, confidence))
+        parts.append(relation_kl(df, "query_id", "doc_id", temperature, teacher_temperature, confidence, masked))
     if columns:
         own = df.where("is_pos").select("query_id", "doc_id")
-        kl = relation_kl(df, "doc_id", "query_id", temperature, teacher_temperature, confidence)
+        kl = relation_kl(df, "doc_id", "query_id", temperature, teacher_temperature, confidence, masked)
         parts.append(own.join(kl, "doc_id").select("query_id", (column_weight * F.col("loss")).alias("loss")))
     if not parts:
         return df.select("query_id").distinct().withColumn("loss", F.lit(0.0))
@@ -138,8 +191,8 @@ def relation_loss(df: DataFrame, column_weight: float = 1.0, temperature: float
 
 def margin_loss(df: DataFrame, teacher_temperature: float = 0.13) -> DataFrame:
     """``query_id, loss``: smooth-L1 of student and teacher margins, by sigmoid confidence."""
-    df = df.withColumn("__sp", positive_score(["query_id"])).withColumn("__tp", positive_score(["query_id"], "teacher_score")).where(~F.col("is_pos"))
-    sm, tm = F.col("__sp") - F.col("score"), F.col("__tp") - F.col("teacher_score")
+    df = with_positive(df, ["query_id"], pos_score="score", pos_teacher="teacher_score").where(~F.col("is_pos"))
+    sm, tm = F.col("pos_score") - F.col("score"), F.col("pos_teacher") - F.col("teacher_score")
     slot = V.smooth_l1(sm, tm) * V.sigmoid(tm / teacher_temperature)
     mask = F.coalesce(F.col("slot_mask"), F.lit(1)).cast("double")
     return df.groupBy("query_id").agg((F.sum(slot * mask) / F.greatest(F.sum(mask), F.lit(1.0))).alias("loss"))

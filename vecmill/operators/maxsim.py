@@ -42,12 +42,15 @@ def _matrices(column: pa.Array) -> Iterator[np.ndarray]:
         row, at = row + n, at + n * dim
 
 
-def _score_batch(queries: list[tuple], stacked: np.ndarray, at: np.ndarray, column: pa.Array, floor_below: int | None) -> np.ndarray:
+def _score_batch(queries: list[tuple], stacked: np.ndarray, at: np.ndarray, column: pa.Array, floor_below: int | None, tau: float | None = None) -> np.ndarray:
     """queries x documents; an empty document scores null (nan)."""
     out = np.full((len(queries), len(column)), np.nan)
     for j, doc in enumerate(_matrices(column)):
         if len(doc):
-            best = (stacked @ doc.T).max(1)
+            sims = stacked @ doc.T
+            best = sims.max(1)
+            if tau is not None:
+                best = tau * np.log(np.exp((sims - best[:, None]) / tau).sum(1)) + best
             if floor_below is not None and len(doc) < floor_below:
                 best = np.maximum(best, 0.0)  # a padding vector of zeros takes part
             out[:, j] = np.add.reduceat(best, at)
@@ -74,9 +77,10 @@ def maxsim(queries: DataFrame, bags: DataFrame, strategy: str = "blocks", top_k:
     ``pad_len`` gives the semantics of batches padded with zero vectors to that length:
     a document with fewer tokens scores at least 0 for each query token.  ``tau`` replaces
     the maximum by ``tau * logsumexp(x / tau)``.  Empty and null bags have no scores.  Ties
-    are ranked by document id.
+    are ranked by document id.  ``rows`` and ``nested`` form the pair grid and are for
+    small sets and for comparison.
     """
-    if strategy == "blocks" and tau is None:
+    if strategy == "blocks":
         schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {bags.schema['doc_id'].dataType.simpleString()}, score double"
         kind = pa.int64() if "int" in schema.split(",")[0] else pa.string()
         out = None
@@ -86,7 +90,7 @@ def maxsim(queries: DataFrame, bags: DataFrame, strategy: str = "blocks", top_k:
             def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 own, stacked, at = shared.value
                 for batch in batches:
-                    s = _score_batch(own, stacked, at, batch.column(1), pad_len)
+                    s = _score_batch(own, stacked, at, batch.column(1), pad_len, tau)
                     ids = np.asarray(batch.column(0).to_pylist(), dtype=object)
                     for q in range(len(own)):
                         keep = np.flatnonzero(~np.isnan(s[q]))
@@ -98,7 +102,7 @@ def maxsim(queries: DataFrame, bags: DataFrame, strategy: str = "blocks", top_k:
             found = bags.select("doc_id", "tokens").mapInArrow(run, schema)
             out = found if out is None else out.unionByName(found)
         scores = bags.sparkSession.createDataFrame([], schema) if out is None else out
-    elif strategy == "nested" or tau is not None and strategy == "blocks":
+    elif strategy == "nested":
         scores = _nested_scores(queries, bags, pad_len, tau)
     else:
         scores = _row_scores(queries, bags, pad_len, tau)

@@ -13,14 +13,14 @@ NAMES = ("ndcg", "recall", "map", "mrr")
 METRICS = [f"{m}_at_{k}" for m in NAMES for k in KS]
 
 
-def normalized_qrels(qrels: DataFrame, corpus: DataFrame | None = None, order_col: str | None = None) -> DataFrame:
-    """Judgements as used: positive grades only, the last row of a repeated pair wins its
-    grade, and (given a corpus) only documents that exist, before any ideal is formed."""
+def normalized_qrels(qrels: DataFrame, corpus: DataFrame | None = None, order_col: str = "ord") -> DataFrame:
+    """Judgements as used: positive grades only, the last row (by ``order_col``) of a
+    repeated pair wins its grade, and (given a corpus) only documents that exist, before
+    any ideal is formed."""
     rows = qrels.withColumn("grade", V.positive_grade(F.col("score"))).where("grade is not null")
     if corpus is not None:
         rows = rows.join(corpus.select("doc_id").distinct(), "doc_id", "left_semi")
-    order = F.col(order_col) if order_col else F.monotonically_increasing_id()
-    return rows.withColumn("__ord", order).groupBy("query_id", "doc_id").agg(F.max_by("grade", "__ord").alias("grade"))
+    return rows.groupBy("query_id", "doc_id").agg(F.max_by("grade", order_col).alias("grade"))
 
 
 def per_query(scores: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
@@ -104,6 +104,21 @@ def upsert(cached: DataFrame, fresh: DataFrame, key: str = "task") -> DataFrame:
     return both.withColumn("__rn", F.row_number().over(last)).where("__rn = 1").drop("__rn", "__p")
 
 
+def in_order(results: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Every task of the catalogue, in its order, with its result or nulls."""
+    extra = [c for c in results.columns if c not in catalogue.columns]
+    return catalogue.join(results.select("task", *extra), "task", "left").orderBy("place")
+
+
+def best_of(scores: DataFrame, gold: DataFrame, n: int = 3) -> DataFrame:
+    """``query_id, gold, hit, top``: whether the best document is the wanted one, and the
+    ``n`` best with their scores; a report for small grids."""
+    top = ranked(scores).where(F.col("rank") <= n)
+    listed = top.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("top"))
+    rows = gold.select("query_id", F.col("doc_id").alias("gold")).join(listed, "query_id")
+    return rows.select("query_id", "gold", (F.get("top", F.lit(0))["doc_id"] == F.col("gold")).alias("hit"), "top")
+
+
 def count_mismatch(tasks: DataFrame, expected: dict[str, int]) -> DataFrame:
     """Boards whose number of tasks is not the expected one."""
     want = tasks.sparkSession.createDataFrame(list(expected.items()), "dataset string, expected long")

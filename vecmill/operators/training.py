@@ -62,17 +62,27 @@ def layout(columns: list[str]) -> str:
 
 
 def rows_by_layout(df: DataFrame, negatives: int, epoch: int = 0) -> DataFrame:
-    """``query, pos_id, neg_ids`` (and weight and group, or grades) of any layout.  Judged
-    rows take one positive of their pool by a hash of query and epoch."""
+    """``query`` and the targets of any layout: ``pos_id, neg_ids`` (with weight and group
+    for expanded positives, ``grades`` for listwise rows), or ``pos, negs`` where the rows
+    carry the targets themselves.  Judged rows take one positive of their pool by a hash
+    of query and epoch; of the negatives the first ones are used."""
     kind = layout(df.columns)
+    query = F.col("query") if df.schema["query"].dataType.typeName() != "array" else V.pick(F.col("query"), F.to_json("query"), epoch)
+    query = query.alias("query")
     if kind == "listwise":
-        return df.select("query", F.get("doc_ids", F.lit(0)).alias("pos_id"), F.slice("doc_ids", 2, negatives).alias("neg_ids"), F.slice("grades", 1, negatives + 1).alias("grades"))
-    neg = F.slice(F.coalesce("negative_doc_ids", F.array().cast("array<bigint>")), 1, negatives).alias("neg_ids")
+        return df.select(query, F.get("doc_ids", F.lit(0)).alias("pos_id"), F.slice("doc_ids", 2, negatives).alias("neg_ids"), F.slice("grades", 1, negatives + 1).alias("grades"))
+    if kind == "inline":
+        neg = next((c for c in ("neg_target", "negatives", "negs") if c in df.columns), None)
+        negs = F.slice(neg, 1, negatives) if neg else F.lit(None)
+        return df.select(query, F.col(next(c for c in ("image", "pos", "document", "text") if c in df.columns)).alias("pos"), negs.alias("negs"))
+    own = next((c for c in ("negative_doc_ids", "neg_target") if c in df.columns), None)
+    none = F.array().cast("array<bigint>")
+    neg = (F.slice(F.coalesce(F.col(own), none), 1, negatives) if own else none).alias("neg_ids")
     if kind == "judged":
-        return df.select("query", V.pick(F.col("positive_doc_ids"), F.col("query"), epoch).alias("pos_id"), neg)
+        return df.select(query, V.pick(F.col("positive_doc_ids"), F.col("query"), epoch).alias("pos_id"), neg)
     pos = F.col("positive_doc_id" if "positive_doc_id" in df.columns else "pos_target").alias("pos_id")
     extra = ["sample_weight", "query_group_id"] if kind == "all_positive" else []
-    return df.select("query", pos, neg, *extra)
+    return df.select(query, pos, neg, *extra)
 
 
 def expand_positives(df: DataFrame, group: Column) -> DataFrame:
@@ -120,10 +130,45 @@ def task_consistent_batches(df: DataFrame, batch: int, seed: int, key: str, task
 
 
 def truncate_to_batches(df: DataFrame, batch: int, order: list[str], col: str = "source") -> DataFrame:
-    """Each source cut to a multiple of the batch size, in order."""
-    w = Window.partitionBy(col)
-    rows = df.withColumn("__rn", F.row_number().over(w.orderBy(*order))).withColumn("__n", F.count("*").over(w))
-    return rows.where(F.col("__rn") <= F.floor(F.col("__n") / batch) * batch).drop("__rn", "__n")
+    """Each source cut to a multiple of the batch size, in order (columns that tell the
+    rows of a source apart).
+
+    Only a source's last rows are ranked, less than a batch (a group limit before the
+    shuffle), so a source with most rows is not numbered by one task."""
+    over = df.groupBy(col).agg(F.pmod(F.count("*"), F.lit(batch)).alias("n_over"))
+    last = Window.partitionBy(col).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    tail = df.select(col, *order).withColumn("from_end", F.row_number().over(last)).where(F.col("from_end") < batch)
+    tail = tail.join(over, col).where("from_end <= n_over").select(*[F.col(c).alias(f"tail_{c}") for c in (col, *order)])
+    same = [F.col(c).eqNullSafe(F.col(f"tail_{c}")) for c in (col, *order)]
+    return df.join(tail, same, "left_anti")
+
+
+def concatenated(parts: dict[str, DataFrame], batch: int, order: list[str]) -> DataFrame:
+    """All datasets, each cut to a multiple of the batch size, with their ``dataset``."""
+    rows = None
+    for name, part in parts.items():
+        own = part.withColumn("dataset", F.lit(name))
+        rows = own if rows is None else rows.unionByName(own)
+    return truncate_to_batches(rows, batch, order, "dataset")
+
+
+def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All columns but ``keep`` under a prefix."""
+    return df.withColumnsRenamed({c: f"{prefix}{c}" for c in df.columns if c not in keep})
+
+
+def without_prefix(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` and the columns with a prefix, under their own names."""
+    own = [c for c in df.columns if c.startswith(prefix) and c not in keep]
+    return df.select(*keep, *[F.col(c).alias(c[len(prefix) :]) for c in own])
+
+
+def group_positives(rows: DataFrame, batch: str = "batch_id", group: str = "query_group_id") -> DataFrame:
+    """``batch, row_a, row_b`` of different rows (``row_id``) of a batch whose queries are
+    of one group: each is a positive of the other.  A batch is small by definition."""
+    a = rows.select(batch, group, F.col("row_id").alias("row_a"))
+    b = rows.select(batch, group, F.col("row_id").alias("row_b"))
+    return a.join(b, [batch, group]).where("row_a <> row_b").select(batch, "row_a", "row_b")
 
 
 def interleave(sizes: dict[str, int], batch: int, seed: int) -> list[str]:
@@ -154,11 +199,20 @@ def shard_owner(key: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(shards))
 
 
-def balanced(sizes: dict[str, int], workers: int) -> list[list[str]]:
-    """Largest first to the least loaded worker."""
+def balanced(sizes: dict[str, int], workers: int, corpus: dict[str, str] | None = None) -> list[list[str]]:
+    """Largest first to the least loaded worker; tasks of one corpus stay together and
+    weigh as much as the largest of them."""
+    groups: dict[str, list[str]] = {}
+    for name in sizes:
+        groups.setdefault((corpus or {}).get(name, f"own {name}"), []).append(name)
     load, out = [0] * workers, [[] for _ in range(workers)]
-    for name in sorted(sizes, key=lambda k: (-sizes[k], k)):
+    for members in sorted(groups.values(), key=lambda g: (-max(sizes[x] for x in g), g[0])):
         i = load.index(min(load))
-        load[i] += sizes[name]
-        out[i].append(name)
+        load[i] += max(sizes[x] for x in members)
+        out[i] += members
     return out
+
+
+def in_turns(names: list[str], workers: int) -> list[list[str]]:
+    """Names dealt to the workers one by one."""
+    return [names[i::workers] for i in range(workers)]

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import compress as C
+from ..operators import evaluate as E
+from ..operators import index as I
 from ..operators import losses as L
 from ..operators import maxsim as M
 from ..operators import merge as G
 from ..operators import metrics as R
+from ..operators import summary as Y
 from ..operators import training as T
 from ..sources import sinks as W
 from ..sources import tables as S
@@ -240,16 +243,18 @@ def beir_keep_queries(spark, d):
     return S.keep_queries(q, judged)
 
 
-_RAW_QRELS = "SELECT doc_id % 50 AS query_id, doc_id % 400 AS doc_id, doc_id AS ord, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN -1 WHEN 3 THEN 'nan'::DOUBLE ELSE doc_id % 3 + 1 END::DOUBLE AS score FROM documents"
+# Judgements: every document for its source, once more for the next document's.
+_RAW_QRELS = "SELECT source AS query_id, doc_id + k AS doc_id, 2 * doc_id + k AS ord, CASE (doc_id + k) % 7 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN -1 WHEN 3 THEN 'nan'::DOUBLE ELSE doc_id % 3 + 1 END::DOUBLE AS score FROM documents, range(2) r(k)"
 
 
-@query(f"SELECT query_id, doc_id, max_by(g, ord) AS grade FROM (SELECT *, CASE WHEN score IS NULL OR score = 0 THEN 1 ELSE score END AS g FROM ({_RAW_QRELS})) WHERE g > 0 AND NOT isnan(g) AND doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) GROUP BY ALL")
+@query(f"SELECT query_id, doc_id, max_by(g, ord) AS grade FROM (SELECT *, CASE WHEN score IS NULL OR score = 0 THEN 1 ELSE score END AS g FROM ({_RAW_QRELS})) WHERE g > 0 AND NOT isnan(g) AND doc_id IN (SELECT doc_id FROM documents) GROUP BY ALL")
 def qrels_normalized(spark, d):
     docs = D.table(spark, d, "documents")
-    k = F.pmod("doc_id", F.lit(7))
+    rows = docs.select(F.col("source").alias("query_id"), "doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    k = F.pmod(F.col("doc_id") + F.col("k"), F.lit(7))
     s = F.when(k == 0, None).when(k == 1, 0.0).when(k == 2, -1.0).when(k == 3, F.lit(float("nan"))).otherwise((F.pmod("doc_id", F.lit(3)) + 1).cast("double"))
-    raw = docs.select(F.pmod("doc_id", F.lit(50)).alias("query_id"), F.pmod("doc_id", F.lit(400)).alias("key"), F.col("doc_id").alias("ord"), s.alias("score")).withColumnRenamed("key", "doc_id")
-    return R.normalized_qrels(raw, docs.where("doc_id % 2 = 0"), "ord")
+    raw = rows.select("query_id", (F.col("doc_id") + F.col("k")).alias("doc_id"), (2 * F.col("doc_id") + F.col("k")).alias("ord"), s.alias("score"))
+    return R.normalized_qrels(raw, docs)
 
 
 @query("SELECT doc_id, tag, replace(replace(replace(tag, '/', '__'), '[', '__'), ']', '') AS slug FROM (SELECT doc_id, source || '/' || (doc_id % 3) || CASE WHEN lang = 'en' THEN '' ELSE '[' || lang || ']' END AS tag FROM documents)")
@@ -374,18 +379,17 @@ def position_features(spark, d):
     return rounded(_grid(spark, d).select("doc_id", "tok_idx", x.alias("x"), y.alias("y")), "x", "y")
 
 
-@query(f"WITH {D.BAGS}, {_POS}, {_SIN} SELECT doc_id, tok_idx, round(p[1], 6) AS a, round(p[17], 6) AS b, round(p[33], 6) AS c, round(p[64], 6) AS d, round(list_sum(list_transform(p, lambda c: abs(c))), 4) AS s FROM encoded")
+@query(f"WITH {D.BAGS}, {_POS}, {_SIN} SELECT doc_id, tok_idx, unnest(range(0, 64)) AS i, round(unnest(p), 6) AS x FROM encoded")
 def sinusoidal_position(spark, d):
     x, y = V.grid_position(F.col("tok_idx"), F.col("height"), F.col("width"))
     p = _grid(spark, d).select("doc_id", "tok_idx", V.sinusoidal(x, y, 64).alias("p"))
-    at = [F.round(F.element_at("p", i), 6).alias(n) for n, i in (("a", 1), ("b", 17), ("c", 33), ("d", 64))]
-    return p.select("doc_id", "tok_idx", *at, F.round(F.aggregate("p", F.lit(0.0), lambda acc, c: acc + F.abs(c)), 4).alias("s"))
+    return rounded(p.select("doc_id", "tok_idx", F.posexplode("p").alias("i", "x")), "x")
 
 
-@query(f"WITH {D.BAGS}, {_POS}, {_SIN}, {_FUSE} SELECT doc_id, tok_idx, round(v[1], 6) AS a, round(v[20], 6) AS b, round(v[64], 6) AS c FROM fused")
+@query(f"WITH {D.BAGS}, {_POS}, {_SIN}, {_FUSE} SELECT doc_id, tok_idx, unnest(range(0, 64)) AS i, round(unnest(v), 6) AS x FROM fused")
 def fused_vectors(spark, d):
     v = C.fused_tokens(_grid(spark, d), 0.1, 64)
-    return v.select("doc_id", "tok_idx", *[F.round(F.element_at("fused", i), 6).alias(n) for n, i in (("a", 1), ("b", 20), ("c", 64))])
+    return rounded(v.select("doc_id", "tok_idx", F.posexplode("fused").alias("i", "x")), "x")
 
 
 @query(f"WITH {D.BAGS}, means AS (SELECT doc_id, tok_idx // 3 AS cluster_id, i, avg(x) AS m, count(*) AS n FROM (SELECT doc_id, tok_idx, unnest(range(0, 64)) AS i, unnest(vec) AS x FROM bags) GROUP BY ALL), norms AS (SELECT doc_id, cluster_id, greatest(sqrt(sum(m * m)), 1e-8) AS z FROM means GROUP BY ALL) SELECT doc_id, cluster_id, i, round(m / z, 6) AS x, n AS n_members FROM means JOIN norms USING (doc_id, cluster_id)")
@@ -406,10 +410,52 @@ def compressed_index_topk(spark, d):
     return rounded(M.maxsim(D.queries(b), M.nested(index), top_k=10, pad_len=4), "score")
 
 
-@query(f"WITH {D.BAGS} SELECT count(*) AS n_pages, round(avg(n), 6) AS avg_stored, min(n) AS min_stored, max(n) AS max_stored, sum((n < 4)::INT) AS below_budget, round(avg(n) * 64 * 2 * 1e6 / pow(2, 30), 6) AS gib_per_million FROM (SELECT doc_id, least(count(*), 4) AS n FROM bags GROUP BY 1)")
+# With one vector less than tokens a clustering is one merge, of the nearest fused pair.
+_ONE = f"""{_POS}, {_SIN}, {_FUSE},
+near AS (SELECT a.doc_id, min_by((a.tok_idx, b.tok_idx), list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS pair FROM fused a JOIN fused b ON a.doc_id = b.doc_id AND a.tok_idx < b.tok_idx GROUP BY 1),
+sizes AS (SELECT doc_id, count(*) AS n FROM bags GROUP BY 1),
+labels AS (SELECT b.doc_id, b.tok_idx, vec, CASE WHEN n < 8 OR tok_idx < pair[2] THEN tok_idx WHEN tok_idx = pair[2] THEN pair[1] ELSE tok_idx - 1 END AS cluster_id FROM bags b JOIN sizes USING (doc_id) LEFT JOIN near USING (doc_id))"""
+
+
+@query(f"WITH {D.BAGS}, {_ONE} SELECT doc_id, tok_idx, cluster_id FROM labels")
+def ward_one_merge(spark, d):
+    return C.assign(_grid(spark, d), 7)
+
+
+_POOLED = """means AS (SELECT doc_id, cluster_id, i, avg(x) AS m FROM (SELECT doc_id, cluster_id, unnest(range(0, 64)) AS i, unnest(vec) AS x FROM labels) GROUP BY ALL),
+stored AS (SELECT doc_id, cluster_id, list_transform(v, lambda c: c / greatest(sqrt(list_inner_product(v, v)), 1e-8)) AS vec FROM (SELECT doc_id, cluster_id, list(m ORDER BY i) AS v FROM means GROUP BY ALL)),
+queries AS (SELECT doc_id AS query_id, tok_idx AS q_tok, vec AS q_vec FROM bags WHERE doc_id % 1000 = 0),
+best AS (SELECT query_id, doc_id, q_tok, max(list_inner_product(q_vec, vec)) AS m, count(*) AS n_tok FROM queries, stored GROUP BY ALL),
+scores AS (SELECT query_id, doc_id, sum(CASE WHEN n_tok < 7 THEN greatest(m, 0) ELSE m END) AS score FROM best GROUP BY ALL)"""
+
+
+@query(f"WITH {D.BAGS}, {_ONE}, {_POOLED} {_TOP}")
+def compressed_one_merge_topk(spark, d):
+    """Search in a checked index with the floor of its padding."""
+    recipe = C.Recipe(budget=7)
+    index = I.checked_index(C.compress(_grid(spark, d), recipe), recipe.budget, recipe.dim)
+    return rounded(M.maxsim(D.queries(D.bags(spark, d)), I.index_bags(index), top_k=10, pad_len=7), "score")
+
+
+@query(f"{_PER_QUERY.replace(D.SCORES, _ONE + ', ' + _POOLED)} SELECT {_AVG}, count(*) AS n_queries, (SELECT count(DISTINCT doc_id) FROM bags) AS n_docs, 7 AS doc_tokens, 8 AS query_tokens FROM per_query")
+def index_score_task(spark, d):
+    index = I.checked_index(C.compress(_grid(spark, d), C.Recipe(budget=7)), 7, 64)
+    q = D.queries(D.bags(spark, d))
+    row = R.task_metrics(R.per_query(D.candidates(M.maxsim(q, I.index_bags(index), pad_len=7)), D.qrels(spark, d))).drop("n_queries")
+    sizes = I.score_task(q, I.index_bags(index), D.qrels(spark, d), 7).select("n_queries", "n_docs", "doc_tokens", "query_tokens")
+    return rounded(row.crossJoin(sizes), *R.METRICS)  # one row each
+
+
+@query(f"WITH {D.BAGS}, n AS (SELECT doc_id, count(*) AS n FROM bags GROUP BY 1) SELECT count(*) AS n_pages, round(avg(least(n, 4)), 6) AS avg_stored, min(least(n, 4)) AS min_stored, max(least(n, 4)) AS max_stored, sum((n < 4)::INT) AS below_budget, round(avg(least(n, 4)) * 64 * 2 * 1e6 / pow(2, 30), 6) AS gib_per_million, round(avg(n), 6) AS avg_tokens FROM n")
 def compression_stats(spark, d):
-    sizes = D.tokens(spark, d).groupBy("doc_id").agg(F.least(F.count("*"), F.lit(4)).alias("n_stored"))
-    return rounded(C.compression_stats(sizes, 4, 64), "avg_stored", "gib_per_million")
+    """Of a compressed index: Ward clustering leaves as many vectors as the budget allows."""
+    t = _grid(spark, d)
+    return rounded(I.index_stats(C.compress(t, C.Recipe(budget=4)), t, 4, 64), "avg_stored", "gib_per_million", "avg_tokens")
+
+
+@query(f"WITH {D.BAGS}, n AS (SELECT doc_id, count(*) AS n_tokens, count(DISTINCT tok_idx // 3) AS n_clusters FROM bags GROUP BY 1) SELECT * FROM n WHERE n_clusters <> least(n_tokens, 4)")
+def cluster_check(spark, d):
+    return I.checked_clusters(D.tokens(spark, d).select("doc_id", F.floor(F.col("tok_idx") / 3).cast("int").alias("cluster_id")), 4)
 
 
 @query("SELECT vectors, dim, round(vectors * dim * 2 * 1e6 / pow(2, 30), 6) AS gib FROM (VALUES (32, 64), (64, 64), (32, 128)) t(vectors, dim)")
@@ -429,10 +475,172 @@ def image_span(spark, d):
     return masks.select("doc_id", start.alias("image_start"), end.alias("image_end"), valid.alias("valid"))
 
 
-@query(f"{_PER_QUERY}, boards AS (SELECT 'b' || (query_id // 1000 % 4) AS dataset, avg(ndcg_at_10) AS raw, avg(ndcg_at_5) AS comp FROM per_query GROUP BY 1) SELECT dataset, round(100 * raw, 6) AS raw_pct, round(100 * comp, 6) AS compressed_pct, round(100 * (comp - raw), 6) AS delta_pct FROM boards")
+_SMALL = f"WITH {D.prefix_sql(16)}, {D.SCORES}, {D.QRELS}, {D.RANKED}, {D.metrics_sql()}"
+_BOARD = "SELECT 'b' || (query_id // 1000 % 4) AS dataset, avg(ndcg_at_10) AS v FROM per_query GROUP BY 1"
+
+
+@query(f"WITH raw AS ({_PER_QUERY} {_BOARD}), small AS ({_SMALL} {_BOARD}) SELECT dataset, round(100 * raw.v, 6) AS raw_pct, round(100 * small.v, 6) AS compressed_pct, round(100 * (small.v - raw.v), 6) AS delta_pct FROM raw FULL JOIN small USING (dataset)")
 def ladder(spark, d):
-    boards = _tasks(spark, d).groupBy("dataset").agg(F.avg("ndcg_at_10").alias("a"), F.avg("ndcg_at_5").alias("b"))
-    return rounded(C.ladder(boards.select("dataset", F.col("a").alias("v")), boards.select("dataset", F.col("b").alias("v")), "v"), "raw_pct", "compressed_pct", "delta_pct")
+    """Whole vectors against their first 16 components."""
+    board = F.concat(F.lit("b"), F.pmod(F.floor(F.col("query_id") / 1000), F.lit(4)).cast("string")).alias("dataset")
+    one = lambda dim: R.per_query(D.candidates(D.scores(spark, d, dim)), D.qrels(spark, d)).groupBy(board).agg(F.avg("ndcg_at_10").alias("v"))
+    return rounded(C.ladder(one(None), one(16), "v"), "raw_pct", "compressed_pct", "delta_pct")
+
+
+@query(f"WITH w AS (SELECT head, dataset, CASE WHEN count(m) = count(*) THEN round(100 * avg(m), 6) END AS v FROM ({' UNION ALL '.join(_head_sql(k) for k in (64, 16))}) GROUP BY ALL) SELECT dataset, max(v) FILTER (head = 64) AS d64, max(v) FILTER (head = 16) AS d16 FROM w GROUP BY 1")
+def head_table(spark, d):
+    board = F.concat(F.lit("b"), F.pmod(F.floor(F.col("query_id") / 1000), F.lit(4)).cast("string")).alias("dataset")
+
+    def one(dim: int) -> DataFrame:
+        got = R.per_query(D.candidates(D.scores(spark, d, None if dim == 64 else dim)), D.qrels(spark, d))
+        m = F.when((F.col("query_id") == 3000) & F.lit(dim == 16), None).otherwise(F.col("ndcg_at_10"))
+        return got.select(board, m.alias("ndcg_at_10"))
+
+    return rounded(Y.head_table(E.by_head([64, 16], one), "ndcg_at_10", [64, 16]), "d64", "d16")
+
+
+@query(f"{_TASKS}, c AS (SELECT 'b' || (label % 5) AS dataset, label FROM (SELECT DISTINCT label FROM embeddings)), done AS (SELECT dataset, count(*) AS n_subsets, sum(n_queries) AS n_queries, sum(n_docs) AS n_docs, avg(ndcg_at_10) AS m FROM tasks GROUP BY 1) SELECT dataset, coalesce(max(n_subsets), 0) AS n_subsets, count(*) AS n_subsets_expected, max(n_queries) AS n_queries, max(n_docs) AS n_docs, round(max(m), 6) AS ndcg_at_10 FROM c LEFT JOIN done USING (dataset) GROUP BY 1")
+def summary_boards(spark, d):
+    """Of a catalogue that has one board more than the results."""
+    labels = D.table(spark, d, "embeddings").select("label").distinct()
+    wanted = labels.select(F.concat(F.lit("b"), F.pmod("label", F.lit(5)).cast("string")).alias("dataset"), F.col("label").alias("place"))
+    return rounded(Y.boards(_tasks(spark, d), wanted, ["ndcg_at_10"]), "ndcg_at_10")
+
+
+# Evaluation ------------------------------------------------------------------------
+
+# A paired table: each bag is a row, every fifth repeats the page before; a third of the
+# rows has no query, the others ask for the first bag of the label.
+_PAIRED = """rows AS (SELECT DISTINCT doc_id AS ord, CASE WHEN doc_id % 1000 % 5 = 4 THEN doc_id - 1 ELSE doc_id END AS page, doc_id // 1000 * 1000 AS ask FROM bags),
+pages AS (SELECT DISTINCT page FROM rows),
+judged AS (SELECT 'q' || ord AS query_id, ask, page FROM rows WHERE ord % 1000 % 3 <> 0),
+scores AS (SELECT query_id, doc_id, sum(m) AS score FROM (SELECT query_id, 'p' || p.page AS doc_id, q.tok_idx, max(list_inner_product(q.vec, b.vec)) AS m FROM judged j JOIN bags q ON q.doc_id = j.ask, pages p JOIN bags b ON b.doc_id = p.page GROUP BY ALL) GROUP BY ALL),
+qrels AS (SELECT query_id, 'p' || page AS doc_id, 1.0 AS grade FROM judged),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores)"""
+
+
+def _paired(spark, d):
+    bag, b = F.col("doc_id"), F.pmod("doc_id", F.lit(1000))
+    ask = ((F.col("doc_id") / 1000).cast("long") * 1000).cast("string")
+    text = F.when(b % 3 == 0, F.when(b % 2 == 0, " None ")).when(b % 3 == 1, F.concat(F.lit(" "), ask, F.lit("\n"))).otherwise(ask)
+    page = F.when(b % 5 == 4, bag - 1).otherwise(bag)
+    return D.bags(spark, d).select(bag.alias("ord"), text.alias("query"), F.concat(F.lit("p"), page.cast("string")).alias("image_filename"))
+
+
+def _encoders(spark, d):
+    """Bags by the number in a page's or a query's name."""
+    known = D.bags(spark, d).withColumnRenamed("doc_id", "bag")
+    pages = lambda df: df.withColumn("bag", F.regexp_extract("doc_id", "[0-9]+", 0).cast("long")).join(known, "bag").select("doc_id", "tokens")
+    asked = lambda df: df.withColumn("bag", F.col("text").cast("long")).join(known, "bag").select("query_id", "tokens")
+    return pages, asked
+
+
+@query(f"WITH {D.BAGS}, {_PAIRED}, {D.metrics_sql()} SELECT {_AVG}, count(*) AS n_queries, (SELECT count(*) FROM pages) AS n_docs FROM per_query")
+def evaluate_paired(spark, d):
+    return rounded(E.evaluate_paired(_paired(spark, d), *_encoders(spark, d)), *R.METRICS)
+
+
+# Judged triples: ids fall back from one column to the next and to the row's number.
+_BEIR = """corpus AS (SELECT DISTINCT doc_id AS bag, CASE WHEN doc_id % 4 <> 3 THEN 'x' WHEN doc_id % 8 <> 7 THEN 'y' ELSE 'c' END || doc_id AS doc_id, doc_id // 1000 AS label FROM bags),
+asks AS (SELECT DISTINCT 'q' || label AS query_id, label FROM corpus WHERE label % 7 <> 6),
+qrels AS (SELECT query_id, doc_id, CASE WHEN bag % 3 = 2 THEN 2.0 ELSE 1.0 END AS grade FROM asks JOIN corpus USING (label) WHERE bag % 5 <> 4 AND bag % 1000 > 0),
+judged AS (SELECT * FROM asks WHERE query_id IN (SELECT query_id FROM qrels)),
+scores AS (SELECT query_id, doc_id, sum(m) AS score FROM (SELECT query_id, c.doc_id, q.tok_idx, max(list_inner_product(q.vec, b.vec)) AS m FROM judged j JOIN bags q ON q.doc_id = j.label * 1000, corpus c JOIN bags b ON b.doc_id = c.bag GROUP BY ALL) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores)"""
+
+
+@query(f"WITH {D.BAGS}, {_BEIR}, {D.metrics_sql()} SELECT {_AVG}, count(*) AS n_queries, (SELECT count(*) FROM corpus) AS n_docs FROM per_query")
+def evaluate_beir(spark, d):
+    bag = F.col("doc_id")
+    rows = D.bags(spark, d).select("doc_id")
+    corpus = rows.select(F.when(bag % 4 != 3, F.concat(F.lit("x"), bag.cast("string"))).alias("corpus-id"), F.when(bag % 8 != 7, F.concat(F.lit("y"), bag.cast("string"))).alias("id"), bag.alias("ord"))
+    label = (bag / 1000).cast("long")
+    asks = rows.where(bag % 1000 == 0).select(F.concat(F.lit("q"), label.cast("string")).alias("id"), F.when(label % 7 != 6, bag.cast("string")).alias("text"), bag.alias("ord"))
+    name = F.concat(F.when(bag % 4 != 3, "x").when(bag % 8 != 7, "y").otherwise("c"), bag.cast("string"))
+    score = F.when(bag % 5 == 4, -1.0).when(bag % 3 == 0, None).when(bag % 3 == 1, 0.0).otherwise(2.0)
+    judged = rows.where(bag % 1000 > 0).select(F.concat(F.lit("q"), label.cast("string")).alias("query-id"), name.alias("corpus-id"), score.alias("score"), (2 * bag).alias("ord"))
+    lost = judged.withColumns({"corpus-id": F.lit("unknown"), "ord": F.col("ord") + 1})
+    return rounded(E.evaluate_beir(corpus, asks, judged.unionByName(lost), *_encoders(spark, d)), *R.METRICS)
+
+
+@query("SELECT doc_id, min(ord) AS ord FROM (SELECT source || lang AS doc_id, doc_id AS ord FROM documents) GROUP BY 1 ORDER BY 2 LIMIT 20")
+def candidate_pages_limit(spark, d):
+    rows = D.table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.concat("source", "lang").alias("image_filename"))
+    return S.candidate_pages(rows, max_docs=20).select("doc_id", "ord")
+
+
+@query(f"WITH q AS (SELECT doc_id, source || lang AS page, regexp_replace({_ODD}, '^\\s+|\\s+$', '', 'g') AS t FROM documents) SELECT 'q' || doc_id AS query_id, t AS text, page AS doc_id, doc_id AS ord FROM q WHERE t <> '' AND lower(t) <> 'none' AND page IN (SELECT page FROM q WHERE doc_id % 11 = 1)")
+def page_lookup(spark, d):
+    rows = _odd(spark, d).join(D.table(spark, d, "documents").select("doc_id", "lang"), "doc_id").select(F.col("doc_id").alias("ord"), "query", F.concat("image_filename", "lang").alias("image_filename"))
+    return S.paired_judged(rows, S.candidate_pages(rows.where("ord % 11 = 1")))
+
+
+@query(f"WITH {D.BAGS}, {D.SCORES}, {D.RANKED} SELECT query_id, query_id + 1 AS gold, max(doc_id) FILTER (rank = 1) = query_id + 1 AS hit, max(doc_id) FILTER (rank = 1) AS first, max(doc_id) FILTER (rank = 2) AS second, max(doc_id) FILTER (rank = 3) AS third FROM ranked GROUP BY 1")
+def best_three(spark, d):
+    s = D.candidates(D.scores(spark, d))
+    rows = R.best_of(s, s.select("query_id", (F.col("query_id") + 1).alias("doc_id")).distinct())
+    return rows.select("query_id", "gold", "hit", *[F.get("top", F.lit(i))["doc_id"].alias(n) for i, n in enumerate(("first", "second", "third"))])
+
+
+@query("SELECT source AS task, lang AS dataset, row_number() OVER (ORDER BY source, lang) - 1 AS place, CASE WHEN n % 2 = 0 THEN n END AS n FROM (SELECT source, lang, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY ALL)")
+def results_in_order(spark, d):
+    from pyspark.sql import Window
+
+    n = D.table(spark, d, "documents").where("lang = 'en'").groupBy(F.col("source").alias("task"), F.col("lang").alias("dataset")).agg(F.count("*").alias("n"))
+    listed = n.select("task", "dataset", (F.row_number().over(Window.orderBy("task", "dataset")) - 1).alias("place"))  # a catalogue
+    return R.in_order(n.where("n % 2 = 0").select("task", "n"), listed)
+
+
+@query("SELECT count(DISTINCT source || lang) AS completed_tasks, count(DISTINCT lang) AS unique_corpora, sum(n) AS n_docs_sum, sum(q) AS n_queries_sum, 1000 AS expected_tasks, 'partial' AS status FROM (SELECT source, lang, count(*) AS n, count(DISTINCT text) AS q FROM documents GROUP BY ALL)")
+def dump_counters(spark, d):
+    done = D.table(spark, d, "documents").groupBy("source", F.col("lang").alias("corpus_id")).agg(F.count("*").alias("n_docs"), F.countDistinct("text").alias("n_queries"))
+    return I.dump_counters(done, 1000)
+
+
+# Token masks and layouts -----------------------------------------------------------
+
+_N = f"WITH {D.BAGS}, n AS (SELECT doc_id, count(*) AS n FROM bags GROUP BY 1)"
+
+
+@query(f"{_N} SELECT doc_id, n - least(n, doc_id % 4) AS n_left, CASE WHEN doc_id % 4 >= n THEN 0 ELSE n END AS n_right FROM n")
+def trimmed_bags(spark, d):
+    """The first tokens of a bag are padding: none from its right end unless all are."""
+    pad = F.col("tok_idx") < F.pmod("doc_id", F.lit(4))
+    t = D.tokens(spark, d).withColumn("vec", F.when(pad, F.transform("vec", lambda x: x * 0)).otherwise(F.col("vec")))
+    return M.nested(t).select("doc_id", F.size(V.trim_padding(F.col("tokens"))).alias("n_left"), F.size(V.trim_padding(F.col("tokens"), side="right")).alias("n_right"))
+
+
+@query(f"WITH {D.BAGS} SELECT doc_id, tok_idx, round(CASE WHEN (tok_idx + doc_id) % 3 = 0 THEN vec[1] ELSE 0 END, 6) AS x FROM bags")
+def non_image_zeroed(spark, d):
+    bags = M.nested(D.tokens(spark, d))
+    ids = F.transform("tokens", lambda t, i: F.pmod(i + F.col("doc_id"), F.lit(3)))
+    rows = bags.select("doc_id", F.posexplode(V.zeroed(F.col("tokens"), V.image_mask(ids, 0))).alias("tok_idx", "vec"))
+    return rounded(rows.select("doc_id", "tok_idx", F.element_at("vec", 1).alias("x")), "x")
+
+
+_SIZES = "SELECT doc_id, (n_chars % 9000 + 20)::DOUBLE AS w, (doc_id % 7000 + 20)::DOUBLE AS h FROM documents"
+
+
+@query(
+    f"WITH s AS ({_SIZES}), r AS (SELECT *, greatest(32, round_even(w / 32, 0) * 32) AS rw, greatest(32, round_even(h / 32, 0) * 32) AS rh, sqrt(h * w / 16777216) AS down, sqrt(65536 / (h * w)) AS up FROM s) "
+    "SELECT doc_id, CASE WHEN rw * rh > 16777216 THEN greatest(1, floor(w / down / 32)) WHEN rw * rh < 65536 THEN ceil(w * up / 32) ELSE rw / 32 END::INT AS across, CASE WHEN rw * rh > 16777216 THEN greatest(1, floor(h / down / 32)) WHEN rw * rh < 65536 THEN ceil(h * up / 32) ELSE rh / 32 END::INT AS down FROM r"
+)
+def image_patches(spark, d):
+    w, h = F.col("n_chars") % 9000 + 20, F.col("doc_id") % 7000 + 20
+    across, down = V.patches(w.cast("double"), h.cast("double"))
+    return D.table(spark, d, "documents").select("doc_id", across.alias("across"), down.alias("down"))
+
+
+@query("SELECT doc_id, dataset FROM (SELECT doc_id, lang AS dataset, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang <> 'fr') WHERE rn <= n // 16 * 16")
+def concatenated_datasets(spark, d):
+    docs = D.table(spark, d, "documents").select("doc_id", "lang")
+    return T.concatenated({x: docs.where(F.col("lang") == x).select("doc_id") for x in ("en", "de", "es")}, 16, ["doc_id"])
+
+
+@query("SELECT a.doc_id // 16 AS batch_id, a.doc_id AS row_a, b.doc_id AS row_b FROM documents a JOIN documents b ON a.doc_id // 16 = b.doc_id // 16 AND a.source = b.source AND a.doc_id <> b.doc_id")
+def group_positives(spark, d):
+    rows = D.table(spark, d, "documents").select(F.floor(F.col("doc_id") / 16).alias("batch_id"), F.col("source").alias("query_group_id"), F.col("doc_id").alias("row_id"))
+    return T.group_positives(rows)
 
 
 # Losses ----------------------------------------------------------------------------
@@ -507,6 +715,67 @@ def ard_column_kl(spark, d):
     return rounded(L.relation_kl(D.loss_table(spark, d), "doc_id", "query_id"), "loss")
 
 
+# Masks and towers: every document with id 3 or 5 modulo 11 is a known positive.
+_MASKED = "NOT is_pos AND (doc_id % 11 IN (3, 5) OR CASE WHEN is_hard THEN slot_mask <= 0 ELSE query_group_id = doc_group_id END)"
+
+
+def _masked(spark, d):
+    rows = D.loss_table(spark, d)
+    return L.candidate_masks(rows, rows.where("doc_id % 11 in (3, 5)").select("query_id", "doc_id"))
+
+
+@query(f"WITH {D.LOSS} SELECT query_id, doc_id, {_MASKED} AS masked FROM rows")
+def candidate_masks(spark, d):
+    return _masked(spark, d).select("query_id", "doc_id", "masked")
+
+
+def _relation_sql(mask: str) -> str:
+    """Row and column terms of masked logits, averaged; SQL of ``relation_loss``."""
+    logits = f"z AS (SELECT *, {mask} AS masked, CASE WHEN {mask} THEN -10000 ELSE teacher_score / 0.13 END AS p, CASE WHEN {mask} THEN -10000 ELSE score / 0.13 END AS q FROM rows)"
+
+    def one(key: str, tie: str) -> str:
+        return (
+            f"(SELECT {key}, sum(exp(lp) * (lp - lq)) * (0.1 + 0.9 * least(greatest(1 - (-sum(exp(lp) * lp)) / ln(greatest(count(*) FILTER (NOT masked), 2)), 0), 1)) * CASE WHEN max_by(is_pos, (p, -{tie})) THEN 1.0 ELSE 0.25 END AS loss FROM "
+            f"(SELECT *, p - pp - ln(sum(exp(p - pp)) OVER (PARTITION BY {key})) AS lp, q - qq - ln(sum(exp(q - qq)) OVER (PARTITION BY {key})) AS lq FROM (SELECT *, max(p) OVER (PARTITION BY {key}) AS pp, max(q) OVER (PARTITION BY {key}) AS qq FROM z)) GROUP BY 1)"
+        )
+
+    return f"WITH {D.LOSS}, {logits} SELECT r.query_id, round((r.loss + c.loss) / 2, 6) AS loss FROM {one('query_id', 'doc_id')} r JOIN (SELECT query_id, doc_id FROM rows WHERE is_pos) USING (query_id) JOIN {one('doc_id', 'query_id')} c USING (doc_id)"
+
+
+@query(_relation_sql("false"))
+def relation_loss(spark, d):
+    return rounded(L.relation_loss(D.loss_table(spark, d)), "loss")
+
+
+@query(_relation_sql(_MASKED))
+def masked_relation_loss(spark, d):
+    return rounded(L.relation_loss(_masked(spark, d), masked=F.col("masked")), "loss")
+
+
+@query(f"WITH {D.LOSS}, {_softmax_sql('lp', 'score / 0.02')}, {_softmax_sql('lb', 'score / 0.02', 'doc_id', 'lp_t').replace('* EXCLUDE (x, peak)', '* EXCLUDE (x, peak)')} SELECT round((avg(-lp) + avg(-lb)) / 2, 6) AS loss FROM lb_t WHERE is_pos")
+def symmetric_loss(spark, d):
+    return rounded(L.symmetric(D.loss_table(spark, d)), "loss")
+
+
+@query(f"WITH {D.BAGS}, {D.SCORES}, s AS (SELECT query_id, doc_id, round(score / 8, 6) AS score FROM scores WHERE query_id <> doc_id) SELECT 'rows' AS part, query_id, doc_id, score FROM s WHERE query_id // 1000 % 2 = 0 AND doc_id % 3 <> 0 UNION ALL SELECT 'cols', query_id, doc_id, score FROM s WHERE doc_id % 3 <> 0 AND doc_id // 1000 % 2 = 0 AND doc_id % 1000 = 1 UNION ALL SELECT 'kd_rows', query_id, doc_id, score FROM s WHERE query_id // 1000 % 2 = 0 UNION ALL SELECT 'neg', query_id, doc_id, score FROM s WHERE query_id // 1000 % 2 = 0 AND doc_id % 3 = 0 UNION ALL SELECT 'pos', query_id, doc_id, score FROM s WHERE query_id // 1000 % 2 = 0 AND doc_id = query_id + 1 AND doc_id % 3 <> 0")
+def score_tower(spark, d):
+    """Documents with ids divisible by three are the hard negatives, even labels the block."""
+    b = D.bags(spark, d)
+    s = D.candidates(M.maxsim(D.queries(b), b)).withColumn("is_pos", F.col("doc_id") == F.col("query_id") + 1)
+    sizes = D.queries(b).select("query_id", F.lit(8).alias("n_qtok"))
+    tower = L.score_tower(s.where("doc_id % 3 <> 0"), sizes, s.where("doc_id % 3 = 0"), True, F.floor(F.col("query_id") / 1000) % 2 == 0)
+    out = None
+    for part, rows in tower.items():
+        rows = rows.select(F.lit(part).alias("part"), "query_id", "doc_id", "score")
+        out = rows if out is None else out.unionByName(rows)
+    return rounded(out, "score")
+
+
+@query(f"WITH {D.BAGS}, {D.SCORES.split(',' + chr(10) + 'best')[0]}, {_SMOOTH}")
+def smooth_maxsim_blocks(spark, d):
+    return rounded(D.scores(spark, d, tau=0.1), "score")
+
+
 @query(f"WITH {D.LOSS}, {_POSQ}, m AS (SELECT query_id, slot_mask, ps - score AS s, pt - teacher_score AS t FROM rows JOIN pos USING (query_id) WHERE NOT is_pos) SELECT query_id, round(sum(CASE WHEN abs(s - t) < 1 THEN 0.5 * (s - t) * (s - t) ELSE abs(s - t) - 0.5 END / (1 + exp(-t / 0.13)) * slot_mask) / greatest(sum(slot_mask), 1), 6) AS loss FROM m GROUP BY 1")
 def ard_margin(spark, d):
     return rounded(L.margin_loss(D.loss_table(spark, d)), "loss")
@@ -521,14 +790,17 @@ def combined_heads(spark, d):
 # Merging ---------------------------------------------------------------------------
 
 
-@query("SELECT label AS param, i AS idx, round(sum(w * x), 6) AS value FROM (SELECT label, unnest(range(0, 64)) AS i, unnest(embedding::DOUBLE[]) AS x, CASE rn WHEN 1 THEN 0.4 ELSE 0.6 END AS w FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) WHERE rn <= 2) GROUP BY ALL")
+# Arms are the vectors with even and odd row numbers of a label, parameters their pairs.
+@query("SELECT param, i AS idx, round(sum(w * x), 6) AS value FROM (SELECT label || '.' || (rn // 2) AS param, unnest(range(0, 64)) AS i, unnest(embedding::DOUBLE[]) AS x, CASE rn % 2 WHEN 0 THEN 0.4 ELSE 0.6 END AS w, n, rn FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn, count(*) OVER (PARTITION BY label) AS n FROM embeddings) WHERE rn < n // 2 * 2) GROUP BY ALL")
 def weighted_merge(spark, d):
     from pyspark.sql import Window
 
-    rn = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    rows = D.table(spark, d, "embeddings").withColumn("rn", rn).where("rn <= 2").select(F.concat(F.lit("arm"), F.col("rn").cast("string")).alias("arm"), F.col("label").cast("string").alias("name"), F.posexplode("embedding").alias("idx", "value"))
-    merged = G.weighted_merge(rows.withColumnRenamed("name", "param"), {"arm1": 0.8, "arm2": 1.2})
-    return rounded(merged.select(F.col("param").cast("int").alias("param"), "idx", "value"), "value")
+    w = Window.partitionBy("label")
+    rows = D.table(spark, d, "embeddings").withColumn("rn", F.row_number().over(w.orderBy("vec_id")) - 1).withColumn("n", F.count("*").over(w))
+    whole = rows.where("rn < n - n % 2")  # every arm must have every parameter
+    name = F.concat_ws(".", F.col("label").cast("string"), F.floor(F.col("rn") / 2).cast("string"))
+    values = whole.select(F.concat(F.lit("arm"), F.pmod("rn", F.lit(2)).cast("string")).alias("arm"), name.alias("param"), F.posexplode("embedding").alias("idx", "value"))
+    return rounded(G.weighted_merge(values, {"arm0": 0.8, "arm1": 1.2}), "value")
 
 
 @query("SELECT key, count(DISTINCT coalesce(value, 'null')) AS values, count(DISTINCT arm) AS arms FROM (SELECT lang AS arm, source AS key, (n_chars > 3000)::VARCHAR AS value FROM documents) GROUP BY 1 HAVING count(DISTINCT coalesce(value, 'null')) > 1 OR count(DISTINCT arm) < (SELECT count(DISTINCT lang) FROM documents)")

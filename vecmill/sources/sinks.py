@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,15 +40,36 @@ def token_stats(bags: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Small driver file: written beside its place and renamed."""
-    jvm = spark._jvm
-    target, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
+    """Small driver file: written beside its place and put there by one rename, so that a
+    reader finds the old or the new content."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    target, draft = jvm.Path(path), jvm.Path(f"{path}.tmp")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     out = fs.create(draft, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(target, False)
-    fs.rename(draft, target)
+    over = spark.sparkContext._gateway.new_array(getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+    over[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    context = jvm.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(draft), fs.makeQualified(target), over)
+
+
+def write_json(spark: SparkSession, path: str, payload: dict) -> None:
+    write_text(spark, path, json.dumps(payload, ensure_ascii=False, indent=2) + "\n")
+
+
+def archived(spark: SparkSession, path: str) -> str | None:
+    """Move a folder that is not empty out of the way; its new name."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    old = jvm.Path(path)
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(old) or not fs.listStatus(old):
+        return None
+    n = 1
+    while fs.exists(jvm.Path(f"{path}.old{n}")):
+        n += 1
+    fs.rename(old, jvm.Path(f"{path}.old{n}"))
+    return f"{path}.old{n}"
 
 
 def markdown(df: DataFrame, decimals: int = 2) -> str:
