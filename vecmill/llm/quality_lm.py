@@ -169,6 +169,29 @@ def _distinct(table: pa.Table, column: str, order: int, shards: int) -> tuple[np
     return tally.code, np.argsort(tally.code % shards, kind="stable")
 
 
+def _packed(code: np.ndarray) -> bytes:
+    """Ascending codes as gaps, four bytes each where that is enough."""
+    gaps = np.diff(code)
+    return code[:1].tobytes() + (gaps.astype(np.uint32) if len(gaps) == 0 or gaps.max() < 1 << 32 else gaps).tobytes() + bytes([int(len(gaps) > 0 and gaps.max() >= 1 << 32)])
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    first = np.frombuffer(data, np.int64, 1)
+    gaps = np.frombuffer(data[8:-1], np.int64 if data[-1] else np.uint32)
+    return np.concatenate((first, first + np.cumsum(gaps, dtype=np.int64)))
+
+
+def _labels(spark, parts: int) -> list[int]:
+    """An int for each of ``parts`` hash partitions that Spark puts there, so that as many
+    groups lie one to a partition."""
+    n = 16 * parts
+    while True:
+        found = spark.range(n).select(F.col("id").cast("int").alias("id")).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("at")).agg(F.min("id").alias("id")).collect()
+        if len(found) == parts:
+            return [r.id for r in found]
+        n *= 2
+
+
 def document_scores(docs: DataFrame, counts: DataFrame, order: int, carry: list[str], text_col: str = "text") -> DataFrame:
     """``carry`` columns, ``nats`` (negative log probability of the whole text), ``n_bytes``
     and ``variety`` (the share of the n-grams in windows of 256 bytes that are distinct
@@ -177,24 +200,24 @@ def document_scores(docs: DataFrame, counts: DataFrame, order: int, carry: list[
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     p = saved(probabilities(count_ngrams(docs.select(F.col(text_col)), order), counts, order))
     shards = min(parts, max(64, p.count() // SHARD_CODES)) | 1  # odd: bytes are no multiples of it
-    groups = 2 * parts
     # Inner columns get positions for names, so the rows may carry any names.
     names = [f"c{i}" for i in range(len(carry))]
     rows = docs.select(*[docs[c].alias(n) for c, n in zip(carry, names, strict=True)], docs[text_col].alias("text"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(*names, "text"), F.lit(groups)).cast("int")).repartition(parts, "part")
+    label = F.array(*map(F.lit, _labels(spark, parts)))
+    rows = rows.withColumn("part", F.get(label, F.pmod(F.xxhash64(*names, "text"), F.lit(parts)).cast("int"))).repartition(parts, "part")
 
     def ask(table: pa.Table) -> pa.Table:
         code, by = _distinct(table, "text", order, shards)
         shard = (code % shards)[by]
         at = np.searchsorted(shard, np.arange(shards + 1))
         some = np.flatnonzero(np.diff(at))
-        return pa.table({"shard": pa.array(some, pa.int32()), "part": pa.array([table.column("part")[0].as_py()] * len(some), pa.int32()), "codes": pa.array([code[by[at[i] : at[i + 1]]].tobytes() for i in some.tolist()], pa.binary())})
+        return pa.table({"shard": pa.array(some, pa.int32()), "part": pa.array([table.column("part")[0].as_py()] * len(some), pa.int32()), "codes": pa.array([_packed(code[by[at[i] : at[i + 1]]]) for i in some.tolist()], pa.binary())})
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         code, logp = known.column("code").to_numpy(), known.column("logp").to_numpy()
         by = np.argsort(code)
         code, logp = code[by], logp[by].astype(np.float32)
-        got = [logp[np.searchsorted(code, np.frombuffer(x.as_buffer(), np.int64))].tobytes() for x in asked.column("codes")]
+        got = [logp[np.searchsorted(code, _unpacked(x))].tobytes() for x in asked.column("codes").to_pylist()]
         return pa.table({"part": asked.column("part"), "shard": asked.column("shard"), "logp": pa.array(got, pa.binary())})
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
