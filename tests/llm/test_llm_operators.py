@@ -236,7 +236,7 @@ def test_repeats_equal_brute_force(spark, seed):
     rng.shuffle(texts)
     rows = list(enumerate(texts))
     want = brute_repeats(rows)
-    for hot in (20_000, 1):  # the second settles crowded anchors by window digests
+    for hot in (20_000, 1):  # the second spreads crowded anchors over smaller buckets
         got = suffix_dedup.remove_repeats(docs(spark, texts), hot=hot).collect()
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
 
@@ -252,6 +252,32 @@ def test_repeats_edge_rows(spark):
         suffix_dedup.remove_repeats(docs(spark, []), length=50)
 
 
+def test_repeats_of_ids_with_several_texts(spark):
+    rng = random.Random(4)
+    t = " ".join(words(rng, 60))
+    rows = [(1, "a " + t), (1, "b " + t), (1, "b " + t), (2, t), (None, t + " x"), (None, t + " y")]
+    frame = docs(spark, [x for _, x in rows], [i for i, _ in rows])
+    rid = {(r.doc_id, r.text): r.rid for r in frame.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid")).collect()}
+    # The rows in their order, each text of an id once, as documents of their own.
+    distinct = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, rid[r]))
+    want = {r: brute_repeats(list(enumerate(x for _, x in distinct)))[i] for i, r in enumerate(distinct)}
+    got = suffix_dedup.remove_repeats(frame, keep_text=True).collect()
+    back = {v: k for k, v in rid.items()}
+    assert len(got) == 6 and all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[back[r.rid]] and r.doc_id == back[r.rid][0] for r in got)
+    assert sum(r.n_removed == 0 for r in got) == 1
+
+
+def test_windows_of_a_crowd_come_once_from_a_task():
+    rng = np.random.default_rng(2)
+    base = rng.integers(97, 123, 150).astype(np.uint8).tobytes()
+    rows = [(7, d, d, 0, 60, base) for d in (3, 3, 5)] + [(7, 9, 9, 4, 56, base[4:])]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=list("abcdef"))
+    out = [r for b in suffix_dedup._spread(iter([batch]), 100) for r in b.to_pylist()]
+    first, late = [r for r in out if not r["late"]], [r for r in out if r["late"]]
+    assert sorted(r["lo"] for r in first) == list(range(51)) and {r["doc"] for r in first} == {3}
+    assert sorted((r["doc"], r["lo"]) for r in late) == sorted([(5, i) for i in range(51)] + [(9, 4 + i) for i in range(47)])
+
+
 def test_long_text_comes_in_pieces():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 101, 5000).astype(np.uint8)

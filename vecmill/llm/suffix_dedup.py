@@ -1,7 +1,8 @@
 """Exact removal of repeated byte strings by blockwise suffix sorting.
 
 A byte goes when it lies in a string of ``length`` bytes that also starts earlier (in a
-row with a smaller id, or earlier in the same text).
+row with a smaller id, or earlier in the same text; rows of one id with different texts
+come in the order of a hash of the text).
 
 Only suffixes that can have an equal elsewhere are sorted.  Every window of ``length``
 bytes is represented by its leftmost least k-gram (its anchor), which depends on the
@@ -18,10 +19,12 @@ at a time, and
   sampled positions at the same shift and one comparison of ranks settles the tie.
 
 Memory is bounded by a bucket (a share of the anchors) and a block of segments, not by
-the corpus.  Within a batch equal segments are combined before the shuffle.  An anchor
-with more than ``hot`` different segments (text around a passage that very many
-documents share) is settled by counting window digests, which combines before its
-shuffle as well.
+the corpus.  Within a batch equal segments are combined before the shuffle.  The segments
+of an anchor with very many different ones (text around a passage that very many
+documents share) are split further: equal windows have their anchor at one place and
+begin alike, so each window goes to the suffix bucket of its anchor, that place and its
+first bytes, after a sort in its task has left one of equal windows.  The same sorting
+then settles these smaller buckets.
 """
 
 from __future__ import annotations
@@ -345,11 +348,45 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     yield from flush(held)
 
 
-def _digests(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _spread(batches: Iterator[pa.RecordBatch], length: int, flush: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Windows of segments as segments of their own, keyed by anchor, place and first
+    bytes.  Of equal windows among those in memory all but the first are repeats: they
+    come as ``late`` rows without bytes."""
+    names = ["hash", "doc", "rid", "lo", "anchor", "bytes", "late"]
+
+    def combined(rows: list[tuple]) -> pa.RecordBatch:
+        h, doc, rid, lo, anchor, data = zip(*rows, strict=True)
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        n = sizes - length + 1
+        text = np.frombuffer(b"".join(data), np.uint8)
+        number, offset = np.repeat(np.arange(len(n)), n), K.ragged_take(np.zeros(len(n), np.int64), n)
+        start = (np.cumsum(sizes) - sizes)[number] + offset
+        windows = np.lib.stride_tricks.sliding_window_view(text, length)[start]
+        doc, rid, place, at = np.array(doc)[number], np.array(rid)[number], np.array(lo)[number] + offset, np.array(anchor)[number] - offset
+        words = np.ascontiguousarray(windows[:, :16]).view("<u8").astype(_U64)
+        key = K.mix64(K.mix64(K.mix64(np.array(h, np.int64).view(_U64)[number] + at.astype(_U64)) ^ words[:, 0]) ^ words[:, 1])
+        whole = np.ascontiguousarray(windows).view(np.dtype((np.void, length))).ravel()
+        _, kind = np.unique(whole, return_inverse=True)
+        order = np.lexsort((place, doc, kind, key))
+        same = np.concatenate(([False], (key[order][1:] == key[order][:-1]) & (kind[order][1:] == kind[order][:-1])))
+        lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        # A row that repeats both id and text is the same occurrence.
+        late = same & ((doc[order] != doc[order][lead]) | (place[order] != place[order][lead]))
+        keep = late | ~same
+        o, late = order[keep], late[keep]
+        sent = pa.array([None if x else windows[i].tobytes() for i, x in zip(o.tolist(), late.tolist(), strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(key[o].view(np.int64)), pa.array(doc[o]), pa.array(rid[o]), pa.array(place[o].astype(np.int32)), pa.array(at[o].astype(np.int32)), sent, pa.array(late)], names=names)
+
+    held, size = [], 0
     for batch in batches:
-        for doc, rid, lo, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 5)), strict=True):
-            n = len(data) - length + 1
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(n)], pa.binary()), pa.array([doc] * n, pa.int64()), pa.array([rid] * n, pa.int64()), pa.array(range(lo, lo + n), pa.int32())], names=["window", "doc", "rid", "place"])
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.append(row)
+            size += (len(row[5]) - length + 1) * length
+            if size >= flush:
+                yield combined(held)
+                held, size = [], 0
+    if held:
+        yield combined(held)
 
 
 def removed_mask(size: int, spans: bytes, length: int) -> np.ndarray:
@@ -376,21 +413,45 @@ def _finish(batches: Iterator[pa.RecordBatch], length: int, text_out: bool) -> I
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["rid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
+def _ordered(rows: DataFrame, parts: int) -> DataFrame | None:
+    """``rid, place``: numbers in the order of id and text, where an id has several texts;
+    nothing where each id has one."""
+    pairs = rows.select("doc_id", "rid").distinct()
+    n = pairs.agg(F.count("*").alias("texts"), (F.countDistinct("doc_id") + F.max(F.col("doc_id").isNull().cast("long"))).alias("ids")).first()
+    if not n.texts or n.texts == n.ids:
+        return None
+    by = pairs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "rid").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "rid")
+    return saved(by.withColumn("place", F.monotonically_increasing_id()))  # grows with the ranges
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 24, hot: int = 20_000, keep_text: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` per row (with ``keep_text``
     also ``rid``, a hash of id and text, and ``kept_text``, null where nothing goes).
 
     A null text is empty; texts under ``length`` bytes lose nothing; rows that repeat
-    both id and text count as one document and get the same result; a null id sorts
-    before all others and stays null; overlaps count; strings are judged on the input.
+    both id and text count as one document and get the same result; rows of one id with
+    different texts are documents in the order of ``rid``; a null id sorts before all
+    others and stays null; overlaps count; strings are judged on the input.
     ``kept_text`` drops what the cut leaves of a divided character.  Other columns are
-    ignored, an empty table gives an empty result.
+    ignored, an empty table gives an empty result.  ``hot`` is the number of different
+    segments from which an anchor's windows are sorted in smaller buckets; the result
+    does not depend on it.
     """
     if not 96 <= length <= 104 - 4 or gram >= length:
         raise ValueError("the cover's ranks serve lengths of 96 to 100")
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.xxhash64(docs[id_col].cast("long"), docs[text_col]).alias("rid"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    order = _ordered(rows, parts)
+    if order is None:
+        out = _repeats(rows, parts, length, gram, hot, keep_text)
+    else:
+        placed = rows.join(order.select("rid", "place"), "rid").select("rid", F.col("place").alias("doc_id"), "text")
+        out = _repeats(placed, parts, length, gram, hot, keep_text).drop("doc_id").join(order.drop("place"), "rid")
+    cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    return out.select("rid", *cols, "kept_text") if keep_text else out.select(*cols)
+
+
+def _repeats(rows: DataFrame, parts: int, length: int, gram: int, hot: int, keep_text: bool) -> DataFrame:
     buckets = 2 * parts
     dealt = rows.mapInArrow(lambda b: _scan(b, buckets, length, gram), "bucket int, batch long, base int, blob binary")
     dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket")
@@ -404,30 +465,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return rows.select("rid", "text").join(keys, "rid", "left_semi").dropDuplicates(["rid"])
 
     still = found.where("opens is not null").dropDuplicates(["rid"]).select("rid", "doc_id", "opens")
-    segs = still.join(texts_of(still), "rid").mapInArrow(lambda b: _segments(b, length), "hash long, doc long, rid long, lo int, anchor int, bytes binary")
-    segs = saved(segs)
-    many = segs.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("hash")
-    many = F.broadcast(many)  # at most one in ``hot`` of the segments
-    few = segs.join(many, "hash", "left_anti").repartition(parts, "hash").sortWithinPartitions("hash")
+    kinds = "hash long, doc long, rid long, lo int, anchor int, bytes binary"
+    segs = saved(still.join(texts_of(still), "rid").mapInArrow(lambda b: _segments(b, length), kinds))
+    many = saved(segs.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("hash"))
+    none = many.isEmpty()
+    many = F.broadcast(many) if many.count() <= 1_000_000 else many
+    few, late = segs, None
+    if not none:
+        few = segs.join(many, "hash", "left_anti")
+        crowd = saved(segs.join(many, "hash", "left_semi").mapInArrow(lambda b: _spread(b, length), f"{kinds}, late boolean"))
+        few, late = few.unionByName(crowd.where("not late").drop("late")), crowd.where("late").select("rid", "lo")
+    few = few.repartition(parts, "hash").sortWithinPartitions("hash")
     more = few.mapInArrow(lambda b: _resolve(b, length), "rid long, more binary")
-    crowd = segs.join(many, "hash", "left_semi").mapInArrow(lambda b: _digests(b, length), "window binary, doc long, rid long, place int")
-    first = crowd.groupBy("window").agg(F.min(F.struct("doc", "place")).alias("f"), F.count("*").alias("n")).where("n > 1").select("window", "f")
-    late = crowd.join(first, "window").where("doc <> f.doc or place <> f.place")
-    u4 = F.expr("unhex(concat(lpad(hex(place & 255), 2, '0'), lpad(hex((place >> 8) & 255), 2, '0'), lpad(hex((place >> 16) & 255), 2, '0'), lpad(hex((place >> 24) & 255), 2, '0')))")
-    more = more.unionByName(late.select("rid", F.concat(u4, u4).alias("more")))
+    if late is not None:
+        u4 = F.expr("unhex(concat(lpad(hex(lo & 255), 2, '0'), lpad(hex((lo >> 8) & 255), 2, '0'), lpad(hex((lo >> 16) & 255), 2, '0'), lpad(hex((lo >> 24) & 255), 2, '0')))")
+        more = more.unionByName(late.select("rid", F.concat(u4, u4).alias("more")))
     more = saved(more.groupBy("rid").agg(F.collect_list("more").alias("more")))  # a text's own windows
     joined = found.join(more, "rid", "left")
     changed = saved(joined.where("spans is not null or more is not null").select("rid", "doc_id", "n_bytes", "digest", "spans", "more"))
     same = joined.where("spans is null and more is null")
     same = same.select("rid", "doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("digest").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
     cut = changed.join(texts_of(changed), "rid").mapInArrow(lambda b: _finish(b, length, keep_text), same.schema)
-    out = same.unionByName(cut)
-    return out if keep_text else out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return same.unionByName(cut)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` (all columns) with repeated strings cut from the texts."""
     cut = saved(remove_repeats(docs, id_col, text_col, keep_text=True, **options).where("n_removed > 0").select("rid", "kept_text").distinct())
-    mark = docs.withColumn("__rid", F.xxhash64(docs[id_col].cast("long"), docs[text_col]))
-    both = mark.join(F.broadcast(cut) if cut.count() <= 1_000 else cut, mark["__rid"] == cut["rid"], "left")
-    return both.select(*[F.coalesce(cut["kept_text"], docs[text_col]).alias(c) if c == text_col else mark[c] for c in docs.columns])
+    own = F.xxhash64(docs[id_col].cast("long"), docs[text_col])
+    both = docs.join(F.broadcast(cut) if cut.count() <= 1_000 else cut, own == cut["rid"], "left")
+    return both.select(*[F.coalesce(cut["kept_text"], docs[text_col]).alias(c) if c == text_col else docs[c] for c in docs.columns])
