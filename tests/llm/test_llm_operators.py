@@ -413,7 +413,7 @@ def test_contamination_equals_brute_force(spark):
                 own[rng.randrange(len(own))] = "changed"
             texts.append(" ".join(words(rng, rng.choice([0, 30, 2500]))) + " " + " ".join(own).upper() + ". " + " ".join(words(rng, 400)))
     bench = spark.createDataFrame([(i, t, 0) for i, t in enumerate(items)], "item_id long, text string, doc_id long")
-    got = {(r.doc_id, r.item_id): round(r.containment, 9) for r in decontamination.contaminated(docs(spark, texts), bench, block_items=3).collect()}
+    got = {(r.doc_id, r.item_id): round(r.containment, 9) for r in decontamination.contaminated(docs(spark, texts), bench, block_bytes=700).collect()}
     want = {}
     for k, t in enumerate(items):
         w = re.findall(r"[^\W_]+", (t or "").lower())
@@ -429,6 +429,8 @@ def test_contamination_equals_brute_force(spark):
     assert {r.doc_id for r in left.collect()} == set(range(len(texts))) - {i for i, _ in want} and left.columns == docs(spark, []).columns
     assert decontamination.contaminated(docs(spark, []), bench).count() == 0
     assert decontamination.contaminated(docs(spark, texts), bench.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        decontamination.contaminated(docs(spark, texts), bench, index_bytes=10)
 
 
 # Packing ---------------------------------------------------------------------------

@@ -10,7 +10,9 @@ which the exact containment of the item's shingles in the whole document decides
 
 Block minima are computed once for the smallest class; larger blocks are minima of
 smaller ones.  The search is map-only: the index of the items is sent to the workers
-in blocks of bounded size, one pass over the documents for each block.
+in blocks whose bytes are bounded, so that one reading of the documents serves all items
+of a test set up to that size (some hundred thousand), and as many readings as blocks
+beyond it.
 """
 
 from __future__ import annotations
@@ -50,30 +52,46 @@ class ItemIndex:
         self.ids, self.hashes, self.width = ids, hashes, width
         raw, offsets = K.utf8(K.lowered(pa.array(texts, pa.string())))
         word, at = K.words(raw, offsets)
-        self.sets: list[np.ndarray] = []
         self.widths = np.minimum(np.diff(at), width)  # a short item is one shingle of all its words
-        for i in range(len(ids)):
-            sh, _ = K.shingles(word[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]]), width)
-            self.sets.append(np.unique(sh))
+        sh, sat = K.shingles(word, at, width)
+        # Distinct shingles of each item, ascending.
+        item = np.repeat(np.arange(len(ids)), np.diff(sat))
+        order = np.lexsort((sh, item))
+        sh, item = sh[order], item[order]
+        new = np.concatenate((np.ones(len(sh[:1]), bool), (sh[1:] != sh[:-1]) | (item[1:] != item[:-1])))
+        self.shingles, item = sh[new], item[new]
+        self.at = np.searchsorted(item, np.arange(len(ids) + 1))
+        sizes = np.diff(self.at)
         factor = _factors(hashes)
-        # (width of shingles, block) -> per hash the sorted minima and their items
+        x = _minhash_input(self.shingles)
+        some = np.flatnonzero(sizes)
+        block = np.left_shift(1, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+        # (width of shingles, block) -> per hash the sorted minima, their items, and a
+        # table of bits that tells most other values apart
         self.classes: dict[tuple[int, int], tuple[list[np.ndarray], list[np.ndarray], np.ndarray]] = {}
-        groups: dict[tuple[int, int], list[int]] = {}
-        for i, s in enumerate(self.sets):
-            if len(s):
-                block = 1 << int(len(s) - 1).bit_length()
-                groups.setdefault((int(self.widths[i]), block), []).append(i)
+        groups = {(int(w), int(u)): some[(self.widths[some] == w) & (block[some] == u)] for w, u in set(zip(self.widths[some].tolist(), block[some].tolist(), strict=True))}
         for key, members in groups.items():
-            bits = min(24, max(16, int(64 * len(members)).bit_length()))
-            present = np.zeros((hashes, 1 << bits), bool)
-            values, owners = [], []
-            for k in range(hashes):
-                v = np.array([_permuted(_minhash_input(self.sets[i]), factor[k]).min() for i in members], _U32)
+            bits = min(25, max(16, int(64 * len(members)).bit_length()))
+            self.classes[key] = ([], [], np.zeros((hashes, (1 << bits) // 8), np.uint8))
+        for k in range(hashes):
+            least = np.minimum.reduceat(_permuted(x, factor[k]), self.at[some]) if len(some) else x
+            minima = np.zeros(len(ids), _U32)
+            minima[some] = least
+            for key, members in groups.items():
+                values, owners, present = self.classes[key]
+                v = minima[members]
                 order = np.argsort(v, kind="stable")
                 values.append(v[order])
-                owners.append(np.array(members)[order])
-                present[k, v & _U32((1 << bits) - 1)] = True
-            self.classes[key] = (values, owners, present)
+                owners.append(members[order].astype(np.int32))
+                place = v & _U32(present.shape[1] * 8 - 1)
+                np.bitwise_or.at(present[k], place >> _U32(3), np.left_shift(1, place & _U32(7)).astype(np.uint8))
+
+    def own(self, item: int) -> np.ndarray:
+        return self.shingles[self.at[item] : self.at[item + 1]]
+
+    @property
+    def nbytes(self) -> int:
+        return self.shingles.nbytes + sum(sum(map(lambda a: a.nbytes, (*v, *o, p))) for v, o, p in self.classes.values())
 
 
 def _joined(minima: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +125,8 @@ def candidates(shingle: np.ndarray, at: np.ndarray, index: ItemIndex, width: int
                 window = minima.copy()
                 if len(minima) > 1:
                     np.minimum(window[:-1], minima[1:], out=window[:-1], where=~last[1:-1])
-                hit = np.flatnonzero(present[k, window & _U32(present.shape[1] - 1)])
+                place = window & _U32(present.shape[1] * 8 - 1)
+                hit = np.flatnonzero(present[k, place >> _U32(3)] >> (place & _U32(7)).astype(np.uint8) & np.uint8(1))
                 if len(hit):
                     lo, hi = np.searchsorted(values[k], window[hit]), np.searchsorted(values[k], window[hit], side="right")
                     item = owners[k][K.ragged_take(lo, hi - lo)]
@@ -133,7 +152,7 @@ def _search(batches: Iterator[pa.RecordBatch], index: ItemIndex, threshold: floa
                 for doc, item in candidates(sh, sat, index, width).tolist():
                     if doc != doc_now:
                         doc_now, own = doc, np.sort(sh[sat[doc] : sat[doc + 1]])
-                    want = index.sets[item]
+                    want = index.own(item)
                     at_own = np.minimum(np.searchsorted(own, want), len(own) - 1)
                     n = int((own[at_own] == want).sum())
                     if n >= threshold * len(want) - 1e-9:
@@ -141,31 +160,36 @@ def _search(batches: Iterator[pa.RecordBatch], index: ItemIndex, threshold: floa
                         items.append(item)
                         shared.append(n)
         if rows:
-            size = np.array([len(index.sets[i]) for i in items])
+            size = np.diff(index.at)[items]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([index.ids[i] for i in items], pa.int64()), pa.array(np.array(shared) / size), pa.array(shared, pa.int32()), pa.array(size.astype(np.int32))],
                 names=["doc_id", "item_id", "containment", "n_shared", "n_item"],
             )
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, width: int = 5, hashes: int = 48, block_items: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, width: int = 5, hashes: int = 48, block_bytes: int = 48 << 20, index_bytes: int = 1 << 30) -> DataFrame:
     """``doc_id, item_id, containment, n_shared, n_item`` for each document row and item
     with at least ``threshold`` of the item's distinct five-word shingles in it.
 
     An item of fewer words is one shingle of that many words; an item without words, a
     null text and an empty table match nothing; null ids stay null; repeated rows repeat
-    their matches.  Items are indexed in blocks of ``block_items``; the documents are
-    read once for each block.  An item with ``threshold`` of its shingles in one run of a
+    their matches.  Items are indexed in blocks of about ``block_bytes`` of text, and an
+    index of more than ``index_bytes`` is an error rather than a broadcast; the documents
+    are read once for each block.  An item with ``threshold`` of its shingles in one run of a
     document is missed with a probability below 1e-4 (48 minima at similarity 0.19).
     """
     spark = docs.sparkSession
     listed = items.select(items[item_id].cast("long").alias("item_id"), items[item_text].alias("item_text")).where("item_text is not null")
-    blocks = max(1, -(-listed.count() // block_items))
+    size = listed.agg(F.sum(F.octet_length("item_text") + 64).alias("n")).first().n or 0
+    blocks = max(1, -(-size // block_bytes))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     out = None
     for b in range(blocks):
         own = listed.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == b).orderBy("item_id", "item_text").collect()  # a block of the test set
-        shared = spark.sparkContext.broadcast(ItemIndex([r.item_id for r in own], [r.item_text for r in own], width, hashes))
+        index = ItemIndex([r.item_id for r in own], [r.item_text for r in own], width, hashes)
+        if index.nbytes > index_bytes:
+            raise ValueError(f"an index of {index.nbytes} bytes: take smaller blocks")
+        shared = spark.sparkContext.broadcast(index)
         found = rows.mapInArrow(lambda batches, shared=shared: _search(batches, shared.value, threshold), "doc_id long, item_id long, containment double, n_shared int, n_item int")
         out = found if out is None else out.unionByName(found)
     return out
@@ -178,7 +202,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     that matched."""
     from .storage import saved
 
-    mark = docs.withColumn("__digest", F.xxhash64(text_col)).withColumn("__key", F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col))
-    gone = saved(contaminated(mark.select(F.col("__key"), text_col), items, "__key", text_col, **options).select(F.col("doc_id").alias("__key")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
-    return mark.join(gone, "__key", "left_anti").select(*[mark[c] for c in docs.columns])
+    key = F.xxhash64(F.coalesce(docs[id_col].cast("string"), F.lit("")), docs[text_col])
+    keyed = docs.select(key.alias("own_key"), docs[text_col].alias("own_text"))
+    gone = saved(contaminated(keyed, items, "own_key", "own_text", **options).select(F.col("doc_id").alias("gone_key")).distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, key == gone["gone_key"], "left_anti")
