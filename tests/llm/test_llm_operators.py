@@ -195,6 +195,46 @@ def test_constant_text_inside_the_article_is_dropped(spark):
     assert all(got[100 + i] == "One page many times" for i in range(4))
 
 
+def plain_page(rng, i):
+    """No article element and no telling name; menu and teasers vary as well."""
+    menu = "".join(f"<li>{w}</li>" for w in words(rng, 4))
+    body = [" ".join(words(rng, rng.choice([25, 40]))) for _ in range(3)]
+    html = (
+        f"<html><body><div class='x1'><ul>{menu}</ul></div><div class='x2'><div class='x3'><h1>Title {i}</h1><div class='x4'><p>{body[0]}</p>"
+        f"<p>Read this every day</p><p>{body[1]}</p><table><tr><td>{body[2]}</td></tr></table></div></div><div class='x5'><p>{' '.join(words(rng, 6))}</p></div></div><div class='x6'>All rights</div></body></html>"
+    )
+    return html, "\n".join([f"Title {i}", *body])
+
+
+def test_slots_decide_without_article_elements_and_names(spark):
+    rng = random.Random(11)
+    rows, want = [], {}
+    for i in range(12):
+        html, want[i] = plain_page(rng, i)
+        rows.append((i, f"https://plain.example/{i}", html))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(frame).collect()}
+    assert got == want
+    without = {r.page_id: r.text for r in html_text.extract_text(frame, least_pages=100).collect()}
+    assert all(without[i] != want[i] for i in want)
+
+
+def test_references_do_not_cross_tags():
+    none = html_text.Template(None)
+    assert html_text.main_text("<p>&am<b>p;</b> &lt;<i>x</i>&gt; a&nbsp;b</p>", none) == "&amp; <x> a b"
+    assert html_text.main_text("<p>1 < 2 &amp; 3 > 2<p title='a>b'>next<!-- <p>no</p> -->", none) == "1 < 2 & 3 > 2\nnext"
+    assert html_text.main_text('<p>kept<p title="open>shown</p>', none) == "kept\nshown"
+
+
+@pytest.mark.parametrize("piece", ["<a '", '<a b="', "<div>", "<p", "</x>", "<!--", "<script>", "<b></i>", "<", "&", "<td><tr>", "<b>x"])
+def test_broken_markup_is_scanned_in_linear_time(piece):
+    import time
+
+    began = time.perf_counter()
+    html_text.blocks("<div>" * 3000 + piece * (2_000_000 // len(piece)))
+    assert time.perf_counter() - began < 30
+
+
 def test_main_text_of_test_pages(spark):
     sf = "/root/testdata/sf0.01"
     src = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}

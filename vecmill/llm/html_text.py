@@ -2,19 +2,22 @@
 
 Pages of one host share a template.  A token is an element's path together with the
 path that came before it on the page, so a token has one role in the order of the page;
-a block's text under its path is a token too, inside the article as outside.  Tokens
-with the same occurrence vector over the host's pages (how often each page has them)
-form an equivalence class.  A vector is represented by its size and a random projection modulo 2**64, which is a
-sum over pages: classes of a host of any size come from one aggregation that combines
-before the shuffle, and no task sees a host's pages together.
+a block's text under its path is a token too.  Tokens with the same occurrence vector
+over the host's pages (how often each page has them) form an equivalence class.  A vector
+is represented by its size and a random projection modulo 2**64, which is a sum over
+pages: classes of a host of any size come from one aggregation that combines before the
+shuffle, and no task sees a host's pages together.
 
 Classes that enough pages have are valid; their element paths nest into the host's
-template.  A block of text belongs to the slot of the deepest template path above it.
-Text that is constant over the host, slots that hold hardly any other, and slots that
-are furniture by their elements and names (menus, notices, adverts, forms, reader
-comments ...) are not extracted; the article's other slots are, or, where a host has no
-article element, the container with most varying text.  Boilerplate inside the article
-that differs from page to page and has no telling name stays.
+template, and a block of text belongs to the slot of its path.  Text that is constant
+over the host and slots that hold hardly any other are template.  What varies is
+content: the main container is the deepest template path that holds most of the host's
+varying text, and its remaining slots are extracted, whatever elements and names they
+have.  Elements and names are hints where this cannot tell: for slots that vary as the
+article does (reader comments, forms, adverts), where no container holds most of the
+text, and for hosts with too few pages for a template.
+
+Scanning is linear in the page's length, broken markup included.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,16 +53,22 @@ FURNITURE_NAMES = frozenset(
 )
 ARTICLE_TAGS = frozenset(("article", "main"))
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_TAG_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+DEEPEST = 256  # elements nested deeper belong to the path at this depth
+OPEN = 2048  # most open elements that are told apart
 _NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "furniture", "article")
+    """An open element; ``block`` is the nearest that its text belongs to."""
 
-    def __init__(self, tag: str, path: str, furniture: bool, article: bool):
-        self.tag, self.path, self.furniture, self.article = tag, path, furniture, article
+    __slots__ = ("tag", "path", "depth", "furniture", "article", "block")
+
+    def __init__(self, tag: str, path: str, depth: int, furniture: bool, article: bool, parent: Node | None = None):
+        self.tag, self.path, self.depth, self.furniture, self.article = tag, path, depth, furniture, article
+        self.block = self if parent is None or tag not in INLINE or furniture else parent.block
 
 
 def _child(parent: Node, tag: str, attrs: str) -> Node:
@@ -67,7 +77,7 @@ def _child(parent: Node, tag: str, attrs: str) -> Node:
         a = {m[1].lower(): m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or "" for m in _ATTR.finditer(attrs)}
         label = f"{a.get('class', '')} {a.get('id', '')}".strip().lower()
         if label:
-            name = f"{tag}.{'.'.join(label.split())}"
+            name = f"{tag}.{'.'.join(label.replace('/', ' ').split())}"
             words = set(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}").lower()))
             furniture |= bool(words & FURNITURE_NAMES) and tag not in ("html", "body", "article", "main")
             furniture |= "header" in words and not article and tag not in ("html", "body", "article", "main")
@@ -75,21 +85,68 @@ def _child(parent: Node, tag: str, attrs: str) -> Node:
         furniture |= role in FURNITURE_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
         article |= role in ("main", "article")
     furniture |= tag in FURNITURE_TAGS or tag == "header" and not parent.article
-    return Node(tag, f"{parent.path}/{name}", furniture, article or tag in ARTICLE_TAGS)
+    path = f"{parent.path}/{name}" if parent.depth < DEEPEST else parent.path
+    return Node(tag, path, parent.depth + 1, furniture, article or tag in ARTICLE_TAGS, parent)
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(start, end, name, attributes, closing) of each tag; name is empty for comments and
+    declarations.  A tag or comment that does not end takes the rest of the page."""
+    at, n, closed = 0, len(page), {'"': True, "'": True}
+    while True:
+        start = page.find("<", at)
+        if start < 0:
+            return
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = n if end < 0 else end + 3
+            yield start, at, "", "", False
+            continue
+        if page[start + 1 : start + 2] in ("!", "?"):
+            end = page.find(">", start)
+            at = n if end < 0 else end + 1
+            yield start, at, "", "", False
+            continue
+        closing = page.startswith("/", start + 1)
+        name = _TAG_NAME.match(page, start + 1 + closing)
+        if name is None:  # a sign in the text
+            at = start + 1
+            continue
+        pos = end = name.end()
+        while True:
+            stop = _TAG_STOP.search(page, pos)
+            if stop is None:
+                end = at = n
+                break
+            pos = stop.end()
+            if stop[0] == ">":
+                end, at = stop.start(), pos
+                break
+            # A quote opens a value only after an equals sign, and only if it is closed.
+            if closed[stop[0]] and page[max(name.end(), stop.start() - 64) : stop.start()].rstrip().endswith("="):
+                other = page.find(stop[0], pos)
+                closed[stop[0]] = other >= 0
+                pos = other + 1 if other >= 0 else pos
+        yield start, at, name[0].lower(), page[name.end() : end], closing
+        if not closing and name[0].lower() in RAW and at < n:  # its content is no markup
+            stop = re.compile(rf"</{name[0]}\s*>", re.I).search(page, at)
+            at = stop.start() if stop else n
 
 
 def blocks(page: str) -> tuple[list[tuple[Node, str]], list[str]]:
-    """Text blocks (innermost block element, text) in page order, and the element paths
-    in the order in which they open."""
-    root = Node("", "", False, False)
-    stack, out, opened = [root], [], []
+    """Text blocks (innermost block element, text) in page order, and the distinct element
+    paths in the order in which they open."""
+    root = Node("", "", 0, False, False)
+    stack, out, opened = [root], [], {}
+    count: Counter[str] = Counter()  # open elements
+    beyond: Counter[str] = Counter()  # elements opened past the bound
     text: list[str] = []
     owner = root
 
     def flush():
         nonlocal text
         if text:
-            joined = " ".join(entities.unescape("".join(text)).split())
+            joined = " ".join("".join(text).split())
             if joined:
                 out.append((owner, joined))
             text = []
@@ -98,70 +155,76 @@ def blocks(page: str) -> tuple[list[tuple[Node, str]], list[str]]:
         nonlocal owner
         if not piece:
             return
-        top = next(n for n in reversed(stack) if n.tag not in INLINE or n.furniture and not stack[0].furniture)
+        top = stack[-1].block
         if top is not owner:
             flush()
             owner = top
-        text.append(piece)
+        text.append(entities.unescape(piece))  # a reference does not cross a tag
 
     def pop(to: int):
         if any(n.tag not in INLINE for n in stack[to:]):
             flush()
+        count.subtract(n.tag for n in stack[to:])
         del stack[to:]
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            rest = page[at:]
-            cut = rest.rfind("<")
-            add(rest[:cut] if cut >= 0 and re.match(r"<[/!?a-zA-Z]", rest[cut:]) else rest)  # an unfinished tag is no text
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    at, raw = 0, None
+    for start, end, tag, attrs, closing in tags(page):
+        if raw is None:
+            add(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    pop(i)
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE:
-                    break
-            else:
-                if tag not in INLINE:
-                    flush()
+        if raw is not None and closing and tag == raw:
+            raw = None
+            continue
+        raw = None
+        if closing:
+            if beyond[tag]:
+                beyond[tag] -= 1
+            elif count[tag] > 0:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        pop(i)
+                        break
+                    if tag in INLINE and stack[i].tag not in INLINE:
+                        break
+            elif tag not in INLINE:
+                flush()
             continue
         if tag not in INLINE:
             flush()
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and count["p"] > 0:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
                     pop(i)
                     break
                 if stack[i].tag not in INLINE:
                     break
-        if tag in SIBLING:
+        if tag in SIBLING and any(count[t] > 0 for t in SIBLING[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in SCOPE[tag]:
                     break
                 if stack[i].tag in SIBLING[tag]:
                     pop(i)
                     break
-        node = _child(stack[-1], tag, m[3])
-        opened.append(node.path)
         if tag == "br":
             add(" ")
-        if tag in VOID or m[3].endswith("/") and tag not in RAW:
+        if len(stack) >= OPEN and tag not in VOID and tag not in RAW:
+            beyond[tag] += 1
             continue
-        if tag in RAW:  # its content is no markup
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+        node = _child(stack[-1], tag, attrs)
+        opened.setdefault(node.path)
+        if tag in VOID or attrs.endswith("/") and tag not in RAW:
+            continue
+        if tag in RAW:
+            raw = tag
             continue
         stack.append(node)
+        count[tag] += 1
+    if raw is None:
+        add(page[at:])
     flush()
-    return out, opened
+    return out, list(opened)
 
 
 def _host(url: str | None) -> str:
@@ -170,7 +233,7 @@ def _host(url: str | None) -> str:
 
 
 def _text_token(node: Node, text: str) -> str:
-    return f"{'inner' if node.article else 'text'} {node.path} {xxhash.xxh64_hexdigest(text)}"
+    return f"text {node.path} {xxhash.xxh64_hexdigest(text)}"
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,18 +244,14 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host = _host(url)
             got, opened = blocks(source or "")
             counts: dict[str, list[int]] = {"page": [1, 0]}
-            seen, before = {}, ""
+            before = ""
             for path in opened:
-                if path not in seen:
-                    seen[path], before = f"path {before} > {path}", path
-                counts.setdefault(seen[path], [0, 0])[0] += 1
+                counts[f"path {before} > {path}"] = [1, 0]
+                before = path
             for node, text in got:
-                token = counts.setdefault(_text_token(node, text), [0, 0])
-                token[0], token[1] = token[0] + 1, token[1] + len(text)
-                slot = counts.setdefault(f"slot {node.path}", [0, 0])
-                slot[0], slot[1] = slot[0] + 1, slot[1] + len(text)
-                if not node.furniture:
-                    counts.setdefault(f"mass {'article ' if node.article else 'other '}{node.path.rpartition('/')[0]}", [0, 0])[1] += len(text)
+                for token in (_text_token(node, text), f"slot {node.path}"):
+                    held = counts.setdefault(token, [0, 0])
+                    held[0], held[1] = held[0] + 1, held[1] + len(text)
             weight = xxhash.xxh64_intdigest(f"{page} {url}")
             for token, (n, chars) in counts.items():
                 s = found.setdefault((host, token), [0, 0, 0])
@@ -202,87 +261,105 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = list(found)
         cols = list(zip(*found.values(), strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(cols[0], pa.int64()), pa.array(np.array(cols[1], np.uint64).astype(np.uint64) >> np.uint64(32), pa.uint64()).cast(pa.int64()), pa.array(np.array(cols[1], np.uint64) & np.uint64(0xFFFFFFFF), pa.uint64()).cast(pa.int64()), pa.array(cols[2], pa.int64())],
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(cols[0], pa.int64()), pa.array(np.array(cols[1], np.uint64) >> np.uint64(32), pa.uint64()).cast(pa.int64()), pa.array(np.array(cols[1], np.uint64) & np.uint64(0xFFFFFFFF), pa.uint64()).cast(pa.int64()), pa.array(cols[2], pa.int64())],
             names=["host", "token", "pages", "high", "low", "chars"],
         )
 
 
-def deduce_templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3, least_tokens: int = 3, constant_share: float = 0.9) -> DataFrame:
+def deduce_templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3, least_tokens: int = 3, constant_share: float = 0.9, main_share: float = 0.6) -> DataFrame:
     """``host, template`` (JSON: nested element paths, constant texts and slots, main container).
 
     A class is valid with at least ``least_tokens`` tokens that at least ``support`` of
-    the host's pages have; a constant text is valid alone, inside the article only with
-    ``least_pages`` pages that have it (two pages may quote the same).  A slot is
-    constant when such texts are ``constant_share`` of its characters.  Hosts with fewer than ``least_pages``
-    pages have no template."""
+    the host's pages have; a constant text is valid alone, with ``least_pages`` pages that
+    have it (two pages may quote the same).  A slot is constant when such texts are
+    ``constant_share`` of its characters.  The main container is the deepest path of the
+    template below which ``main_share`` of the characters that are not constant lie.
+    Hosts with fewer than ``least_pages`` pages have no template."""
     stats = pages.select("page_id", "url", "html").mapInArrow(_statistics, "host string, token string, pages long, high long, low long, chars long")
     # The halves of the projection are summed apart, so sums stay below 2**63.
     stats = saved(stats.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("high").alias("high"), F.sum("low").alias("low"), F.sum("chars").alias("chars")))
     n = stats.where("token = 'page'").select("host", F.col("pages").alias("n")).where(F.col("n") >= least_pages)
-    common = stats.where("token <> 'page'").join(n, "host").where(F.col("token").startswith("mass ") | (F.col("pages") >= support * F.col("n")))
+    own = stats.where("token <> 'page'").join(n, "host")
     kind = F.split("token", " ").getItem(0)
-    tokens = common.where(~kind.isin("mass", "slot") & ((kind != "inner") | (F.col("pages") >= least_pages)))
+    tokens = own.where((F.col("pages") >= support * F.col("n")) & ((kind == "path") | (kind == "text") & (F.col("pages") >= least_pages)))
     classes = tokens.groupBy("host", "pages", "high", "low").agg(F.collect_list("token").alias("tokens"))  # a class of template tokens
-    valid = classes.where((F.size("tokens") >= least_tokens) | F.exists("tokens", lambda t: t.startswith("text ") | t.startswith("inner ")))
-    paths = valid.select("host", F.explode("tokens").alias("token"))
+    valid = classes.where((F.size("tokens") >= least_tokens) | F.exists("tokens", lambda t: t.startswith("text ")))
+    paths = saved(valid.select("host", F.explode("tokens").alias("token")))
     # Slots whose text is constant by nearly all its characters.
-    path = F.regexp_extract("token", r"^[a-z]+ (.*) [0-9a-f]{16}$", 1)
-    held = tokens.where(kind.isin("text", "inner")).groupBy("host", path.alias("path")).agg(F.sum("chars").alias("held"))
-    slots = common.where(kind == "slot").select("host", F.expr("substring(token, 6)").alias("path"), "chars")
-    still = slots.join(held, ["host", "path"]).where(F.col("held") >= constant_share * F.col("chars"))
-    paths = paths.unionByName(still.select("host", F.concat(F.lit("slot "), "path").alias("token")))
-    names = paths.groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
-    mass = common.where(kind == "mass").groupBy("host").agg(F.max(F.struct(F.col("token").startswith("mass article ").cast("int"), "chars", "token")).alias("main"))
-    both = names.join(mass, "host", "full")
-    return both.select("host", F.to_json(F.struct(F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), F.col("main.token").alias("main"))).alias("template"))
+    path = F.regexp_extract("token", r"^text (.*) [0-9a-f]{16}$", 1)
+    held = tokens.where(kind == "text").groupBy("host", path.alias("path")).agg(F.sum("chars").alias("held"))
+    slots = saved(own.where(kind == "slot").select("host", F.expr("substring(token, 6)").alias("path"), "chars").join(held, ["host", "path"], "left").withColumn("held", F.coalesce("held", F.lit(0))))
+    still = slots.where((F.col("held") > 0) & (F.col("held") >= constant_share * F.col("chars"))).select("host", F.concat(F.lit("slot "), "path").alias("token"))
+    # The container: varying characters below each path above a slot.
+    varying = slots.select("host", F.split("path", "/").alias("steps"), (F.col("chars") - F.col("held")).alias("chars")).where("chars > 0 and size(steps) > 2")
+    above = varying.select("host", "chars", F.explode(F.transform(F.sequence(F.lit(2), F.size("steps") - 1), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice("steps", 1, i), "/").alias("path")))).alias("up"))
+    mass = above.groupBy("host", F.col("up.path").alias("path"), F.col("up.depth").alias("depth")).agg(F.sum("chars").alias("chars"))
+    whole = slots.groupBy("host").agg(F.sum(F.col("chars") - F.col("held")).alias("whole"))
+    template = paths.where(F.col("token").startswith("path ")).select("host", F.regexp_extract("token", r" > (.*)$", 1).alias("path")).distinct()
+    most = mass.join(whole, "host").where(F.col("chars") >= main_share * F.col("whole")).join(template, ["host", "path"], "left_semi")
+    main = most.groupBy("host").agg(F.max(F.struct("depth", "chars", "path")).alias("main"))
+    names = paths.unionByName(still).groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
+    both = names.join(main, "host", "full")
+    return both.select("host", F.to_json(F.struct(F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), F.col("main.path").alias("main"))).alias("template"))
+
+
+def _step(path: str) -> str:
+    """The element of a path's last step."""
+    return path.rpartition("/")[2].partition(".")[0]
 
 
 class Template:
-    """Nested element paths of a host, its constant texts and its main container."""
+    """Constant texts and slots of a host, and its main container."""
 
     def __init__(self, source: str | None):
         spec = json.loads(source) if source else {"tokens": []}
-        tokens = spec["tokens"]
-        self.paths = {t.rpartition(" > ")[2] for t in tokens if t.startswith("path ")}
-        self.constant = {t for t in tokens if t.startswith(("text ", "inner "))}
-        self.still = {t.partition(" ")[2] for t in tokens if t.startswith("slot ")}
-        main = spec.get("main") or ""
-        self.article = main.startswith("mass article ")
-        self.main = main.partition("mass other ")[2] if main and not self.article else None
-
-    def slot(self, path: str) -> str:
-        """The deepest template path above (or at) a block."""
-        while path and path not in self.paths:
-            path = path.rpartition("/")[0]
-        return path
+        self.constant = {t for t in spec["tokens"] if t.startswith("text ")}
+        self.still = {t.partition(" ")[2] for t in spec["tokens"] if t.startswith("slot ")}
+        self.main = spec.get("main")
+        if self.main and _step(self.main) in ("html", "body"):
+            self.main = None  # no container holds most of the text
+        # Inside an article element the whole of it is the container.
+        up = self.main
+        while up:
+            if _step(up) in ARTICLE_TAGS:
+                self.main = up
+                break
+            up = up.rpartition("/")[0]
 
     def fixed(self, node: Node, text: str) -> bool:
         """The block's text, or all its slot holds, is constant over the host."""
         return node.path in self.still or _text_token(node, text) in self.constant
 
+    def inside(self, node: Node) -> bool:
+        """In the main container, or a heading right beside it."""
+        above = self.main.rpartition("/")[0]
+        return f"{node.path}/".startswith(f"{self.main}/") or node.path.rpartition("/")[0] == above and _step(node.path) in ("h1", "h2")
+
 
 def main_text(page: str | None, template: Template) -> str:
     """The blocks of the remaining slots, one line each."""
     got, _ = blocks(page or "")
+    left = [(node, text) for node, text in got if not template.fixed(node, text)]
     named = [(node, text) for node, text in got if not node.furniture]
-    left = [(node, text) for node, text in named if not template.fixed(node, text)]
+    varying = [(node, text) for node, text in left if not node.furniture]
+    if template.main:
+        inside = [(node, text) for node, text in varying if template.inside(node)]
+        if inside:
+            return "\n".join(text for _, text in inside)
+    # No container, or none on this page: elements decide.
     if any(node.article for node, _ in named):
         # An article that is constant whole is a page the host has many times, no template.
-        inside = [text for node, text in left if node.article]
+        inside = [text for node, text in varying if node.article]
         return "\n".join(inside or (text for node, text in named if node.article))
-    if template.main is not None and not template.article:
-        inside = [text for node, text in left if f"{node.path}/".startswith(f"{template.main}/") or template.slot(node.path) == template.slot(template.main)]
-        if inside:
-            return "\n".join(inside)
-    # No article and no template: the container with most text.
     mass: dict[str, int] = {}
-    for node, text in left:
+    rest = varying or named
+    for node, text in rest:
         up = node.path.rpartition("/")[0]
         mass[up] = mass.get(up, 0) + len(text)
     if not mass:
         return ""
     best = max(mass, key=lambda k: mass[k])
-    return "\n".join(text for node, text in left if f"{node.path}/".startswith(f"{best}/"))
+    return "\n".join(text for node, text in rest if f"{node.path}/".startswith(f"{best}/"))
 
 
 def extract_text(pages: DataFrame, host_bound: int = 20_000, **options) -> DataFrame:
@@ -291,8 +368,9 @@ def extract_text(pages: DataFrame, host_bound: int = 20_000, **options) -> DataF
     A null page has an empty text, a null url has the empty host, null ids stay; rows
     that repeat give repeated results; other columns are ignored; an empty table gives
     an empty result.  Character references are decoded once, white space in a block
-    becomes one space, blocks are joined by a line break.  Templates are broadcast up to
-    ``host_bound`` hosts and joined by a shuffle beyond it.
+    becomes one space, blocks are joined by a line break.  A tag, comment or script that
+    does not end takes the rest of its page.  Templates are broadcast up to ``host_bound``
+    hosts and joined by a shuffle beyond it.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     templates = saved(deduce_templates(rows, **options))
