@@ -664,6 +664,25 @@ def test_png_is_read():
         assert (media.decode(data) == image).all()
 
 
+# Storage ---------------------------------------------------------------------------
+
+
+def test_saved_tables_are_discarded_and_clusters_need_a_shared_folder(spark):
+    from types import SimpleNamespace
+    from vecmill.llm import storage
+
+    frame = storage.saved(docs(spark, ["a"]))
+    path = storage._written[-1][1].removeprefix("file://")
+    assert os.path.isdir(path) and frame.count() == 1
+    jsc = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]", _jsc=jsc))
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(far)
+    assert storage.discard(spark) >= 1 and not os.path.isdir(path)
+    clash = docs(spark, ["same words in these two rows here", "same words in these two rows here"], [1, 2]).withColumn("node_", F.lit(1))
+    assert near_dedup.keep_one_of_each(clash).columns == clash.columns
+
+
 # Pipeline --------------------------------------------------------------------------
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import linking as L
-from .storage import saved
+from .storage import free_name, saved
 
 _U64 = np.uint64
 _LOW = 44  # bits of a shingle's hash; the bits above hold the document while sorting
@@ -203,11 +203,12 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = found.where("kept and node is not null").select(F.col("doc_id").alias("own_id"), F.col("node").alias("own"))
     repeated = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("node") == F.col("own"))
     dropped = found.where("not kept").select("doc_id", "node").join(kept, repeated, "left_anti")
-    mark = docs.withColumn("__node", F.unhex(F.md5(docs[text_col])))
-    gone = dropped.select(F.col("doc_id").alias("__id"), F.col("node").alias("__gone")).distinct()
+    name = free_name(docs, "node")
+    mark = docs.withColumn(name, F.unhex(F.md5(docs[text_col])))
+    gone = dropped.select(F.col("doc_id").alias("gone_id"), F.col("node").alias("gone")).distinct()
     gone = F.broadcast(gone) if gone.count() <= 500_000 else gone
-    same = mark[id_col].cast("long").eqNullSafe(gone["__id"]) & (mark["__node"] == gone["__gone"])
+    same = mark[id_col].cast("long").eqNullSafe(gone["gone_id"]) & (mark[name] == gone["gone"])
     left = mark.join(gone, same, "left_anti")
     if not found.where("not kept").join(kept, repeated, "left_semi").isEmpty():  # repeated rows
-        left = left.where("__node is null").unionByName(left.where("__node is not null").dropDuplicates([id_col, "__node"]))
-    return left.drop("__node")
+        left = left.where(F.col(name).isNull()).unionByName(left.where(F.col(name).isNotNull()).dropDuplicates([id_col, name]))
+    return left.drop(name)

@@ -1,7 +1,11 @@
 """The folder that driver and executors share, and files in it.
 
-Tables that cut lineage and binary files go below ``spark.checkpoint.dir``.  When
-the session has no such setting (tests) a temporary folder of this machine is set.
+Tables that cut lineage and binary files go below ``spark.checkpoint.dir``.  Without that
+setting a temporary folder of this machine serves a local master (tests); on a cluster
+its absence is an error, since every executor would write to a disk of its own.
+
+Tables that ``saved`` writes are temporary: they go when the driver's JVM ends, or with
+``discard`` before.
 """
 
 from __future__ import annotations
@@ -11,6 +15,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[str, str]] = []  # (application, path) of tables not discarded yet
+
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of a fresh, empty folder that every executor can reach."""
@@ -19,6 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         top = own.get() if own.isDefined() else None
     if not top:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='vecmill-')}")
         top = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if "://" not in top and top.startswith("/"):
@@ -26,15 +35,41 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/vecmill-{uuid.uuid4().hex}"
 
 
+def _at(spark: SparkSession, uri: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet to the shared folder and read them back: later steps
     start from the files, so a lost executor costs no recomputation."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     schema = df.schema
     df.write.parquet(path)
+    fs, at = _at(spark, path)
+    fs.deleteOnExit(at)
+    _written.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> int:
+    """Delete the tables that ``saved`` has written in this application; how many.  Results
+    that were not written elsewhere cannot be read afterwards."""
+    mine = [p for app, p in _written if app == spark.sparkContext.applicationId]
+    for p in mine:
+        fs, at = _at(spark, p)
+        fs.delete(at, True)
+    _written[:] = [x for x in _written if x[0] != spark.sparkContext.applicationId]
+    return len(mine)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def arrow_fs(uri: str):
     """(file system, path) for a URI, usable in Python workers."""
     from pyarrow import fs
