@@ -92,7 +92,7 @@ def test_loss_properties(spark):
     assert L.relation_kl(rows).first().loss == pytest.approx(0.0)
     assert L.margin_loss(rows).first().loss == pytest.approx(0.0)
     assert L.symmetric(rows).first().loss < 0.01
-    masked = L.candidate_mask(rows, spark.createDataFrame([(1, 2)], "query_id long, doc_id long"))
+    masked = L.candidate_masks(rows, spark.createDataFrame([(1, 2)], "query_id long, doc_id long"))
     assert {r.doc_id: r.masked for r in masked.collect()} == {1: False, 2: True}
     with pytest.raises(ValueError):
         L.normalized_weights([1], {1: 0.0})
@@ -142,12 +142,11 @@ def test_compression(spark):
 def test_catalogue_and_sinks(spark, tmp_path):
     root = f"file://{tmp_path}"
     one = spark.range(1)
-    for p in ("d1/s1/english-corpus", "d1/s1/english-queries", "d1/s1/english-qrels", "d1/s1/french-queries", "d1/s1/french-qrels", "d2/s2/corpus", "d2/s2/queries", "d2/s2/qrels", "demo/s3/data", "d4/s4/fr"):
+    for p in ("d1/s1/english-corpus", "d1/s1/english-queries", "d1/s1/english-qrels", "d2/s2/corpus", "d2/s2/queries", "d2/s2/qrels", "demo/s3/corpus"):
         one.coalesce(1).write.parquet(f"{root}/{p}")
-    tasks = S.discover_tasks(spark, root)
-    assert [(t["dataset"], t["fmt"], t["lang"]) for t in tasks] == [("d1", "beir", "english"), ("d1", "beir", "french"), ("d2", "beir", None), ("d4", "paired", "fr"), ("demo", "paired", None)]
-    assert tasks[0]["corpus_key"] == tasks[1]["corpus_key"]
-    assert len(S.select_datasets(tasks)) == 4 and len(S.select_datasets(tasks, "demo,d2")) == 2
+    tasks = S.discover_tasks(spark, root, ("d2", "d1", "demo", "none"))
+    assert [(t["dataset"], t["fmt"], t["lang"]) for t in tasks] == [("d2", "beir", None), ("d1", "beir", "english"), ("demo", "beir", None)]
+    assert len(S.select_datasets(tasks)) == 2 and len(S.select_datasets(tasks, "demo,d2")) == 2
     results = spark.createDataFrame([("t1", 1.0), ("t2", 2.0)], "task string, m double")
     W.write_results(results, f"{root}/out")
     W.write_results(results.where("task = 't1'").withColumn("m", F.lit(9.0)), f"{root}/out")
@@ -161,13 +160,13 @@ def test_catalogue_and_sinks(spark, tmp_path):
     assert S.resolve_contract({"a": None}, {"a": 1}, 64, [64]) == {"a": 1, "head": 64}
     with pytest.raises(ValueError):
         S.resolve_contract({"a": 2}, {"a": 1}, 64, [64])
-    assert S.run_metadata(2, 3, None, 4) == {"effective_batch": None, "consumed": None}
+    made = S.run_metadata(2, 3, None, 4)
+    assert made["effective_batch"] is None and made["consumed"] is None and S.run_metadata(2, 3, 4, 5)["consumed"] == 120
 
 
 def test_alias_rules(spark):
-    corpus = spark.createDataFrame([("x", None), (None, "y"), (None, None)], "`corpus-id` string, id string")
-    got = [r.doc_id for r in S.beir_corpus(corpus).collect()]
-    assert got[:2] == ["x", "y"] and got[2].startswith("c")
+    corpus = spark.createDataFrame([("x", None, 0), (None, "y", 1), (None, None, 2)], "`corpus-id` string, id string, ord long")
+    assert [r.doc_id for r in S.beir_corpus(corpus).collect()] == ["x", "y", "c2"]
     q = S.beir_queries(spark.createDataFrame([("1", None), ("2", " none"), ("3", "NONE"), ("4", " ")], "`query-id` string, query string"))
     rel = spark.createDataFrame([(str(i),) for i in range(5)], "query_id string")
     assert [r.query_id for r in S.keep_queries(q, rel).collect()] == ["2"]
