@@ -67,6 +67,21 @@ def test_maxsim_blocks_split_alike(spark, seed):
     assert a == b and len(a) == 15
 
 
+def test_score_blocks_split_alike(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    sizes = rng.integers(1, 6, 20)
+    at, stacked = np.concatenate(([0], np.cumsum(sizes)[:-1])), rng.normal(size=(sizes.sum(), 3))
+    docs = pa.array([rng.normal(size=(n, 3)).tolist() for n in (2, 1, 4)] + [[]])
+    for options in ((None, None), (3, None), (None, 0.1)):
+        whole = M._score_batch([None] * 20, stacked, at, docs, *options)
+        for size in (1, 5, 12):
+            monkeypatch.setattr(M, "SCORE_BLOCK", size)
+            assert np.allclose(M._score_batch([None] * 20, stacked, at, docs, *options), whole, equal_nan=True)
+        monkeypatch.undo()
+
+
 def test_grades(spark):
     rows = spark.createDataFrame([(None,), (0.0,), (-1.0,), (float("nan"),), (2.0,)], "s double")
     assert [r[0] for r in rows.select(V.positive_grade(F.col("s"))).collect()] == [1.0, 1.0, None, None, 2.0]

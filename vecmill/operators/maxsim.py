@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
-QUERY_BLOCK = 4096  # query tokens sent to the workers at a time
+QUERY_BLOCK = 32_768  # query tokens sent to the workers at a time, one reading of the bags for each
+SCORE_BLOCK = 4096  # query tokens multiplied at a time
 
 
 def nested(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -42,18 +43,29 @@ def _matrices(column: pa.Array) -> Iterator[np.ndarray]:
         row, at = row + n, at + n * dim
 
 
+def _parts(at: np.ndarray, n_tokens: int, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of queries of about ``size`` tokens each."""
+    row = 0
+    while row < len(at):
+        end = max(row + 1, int(np.searchsorted(at, at[row] + size, side="right")) - 1)
+        end = len(at) if n_tokens - at[row] <= size else end
+        yield row, end
+        row = end
+
+
 def _score_batch(queries: list[tuple], stacked: np.ndarray, at: np.ndarray, column: pa.Array, floor_below: int | None, tau: float | None = None) -> np.ndarray:
     """queries x documents; an empty document scores null (nan)."""
     out = np.full((len(queries), len(column)), np.nan)
+    ends = np.append(at[1:], len(stacked))
     for j, doc in enumerate(_matrices(column)):
-        if len(doc):
-            sims = stacked @ doc.T
+        for lo, hi in _parts(at, len(stacked), SCORE_BLOCK) if len(doc) else ():
+            sims = stacked[at[lo] : ends[hi - 1]] @ doc.T
             best = sims.max(1)
             if tau is not None:
                 best = tau * np.log(np.exp((sims - best[:, None]) / tau).sum(1)) + best
             if floor_below is not None and len(doc) < floor_below:
                 best = np.maximum(best, 0.0)  # a padding vector of zeros takes part
-            out[:, j] = np.add.reduceat(best, at)
+            out[lo:hi, j] = np.add.reduceat(best, at[lo:hi] - at[lo])
     return out
 
 
