@@ -700,3 +700,40 @@ def test_pipeline(spark):
     assert counts == sorted(counts, reverse=True) and counts[2] == counts[3]
     packed = corpus_pipeline.run(spark, sf)
     assert packed.select("doc_id").distinct().count() == counts[-1]
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    """A small corpus with planted cases and awkward rows, stage by stage."""
+    import corpus_pipeline as P
+
+    rng = random.Random(5)
+    vocabulary = words(rng, 400)
+    free = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz. ") for _ in range(6))
+    prose = lambda n: " ".join(rng.choice(vocabulary) if rng.random() < 0.5 else free() for _ in range(n))
+    good = [prose(80) for _ in range(60)]
+    passage, item = prose(60), prose(30)
+    texts = [*good, "%% $$ ## @@ !! " * 40, good[0], good[1] + " one more word", prose(9) + " " + passage + " tail a", prose(12) + " " + passage + " tail b", prose(40) + " " + item + " " + prose(20), None, "", "two words", good[2], good[2]]
+    ids = [*range(60), 60, 61, 62, 63, 64, 65, 66, 67, None, 70, 70]
+    frame = docs(spark, texts, ids).select("doc_id", "text", "lang", "source", "n_chars", "node", "key")
+    spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now, sf = frame, str(tmp_path)
+    kept = {}
+    for name, stage in P.STAGES[:-1]:
+        now = spark.createDataFrame(stage(spark, now, sf).collect(), frame.schema)
+        assert now.columns == frame.columns
+        kept[name] = sorted((r.doc_id if r.doc_id is not None else -1 for r in now.collect()))
+    everything = sorted(-1 if i is None else i for i in ids)
+    assert kept["quality"] == [i for i in everything if i != 60]
+    assert kept["near_duplicates"] == [i for i in kept["quality"] if i not in (61, 62, 70)]
+    assert kept["repeated_strings"] == kept["near_duplicates"]
+    assert kept["decontamination"] == [i for i in kept["near_duplicates"] if i != 65]
+    left = {r.doc_id: r for r in now.collect()}
+    want = brute_repeats([(i, t) for i, t in zip(ids, texts, strict=True) if i in kept["near_duplicates"]])
+    for i in (63, 64):
+        assert hashlib.sha256(left[i].text.encode()).hexdigest() == want[i][3] and left[i].n_chars == len(left[i].text)
+    assert passage[10:-10] in left[63].text and passage[10:-10] not in left[64].text
+    packed = P.packing(spark, now, sf)
+    assert packed.select("doc_id").distinct().count() == now.select("doc_id").distinct().count()
+    for _, stage in P.STAGES[:-1]:
+        assert stage(spark, frame.where("false"), sf).count() == 0

@@ -215,15 +215,15 @@ def link_classes(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], how:
     ``sketches`` (``node, sketch``: six longs of sixteen 4-bit values, or twelve of two
     signatures) leave out pairs across components that differ in more than ``most_apart``
     slots of either signature's."""
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-    members = saved(keyed.join(buckets.select("key", "a"), "key").select("key", "a", F.col("node").alias("b")))
+    buckets = saved(keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"))
+    members = saved(among(keyed, buckets.select("key", "a"), "key").select("key", "a", F.col("node").alias("b")))
     stars = saved(members.where("a <> b").select("a", "b").distinct())
     links = saved(compared(stars, fetch, how))
     root = saved(components(links))
     # Buckets that still hold several components.
     label = members.join(root.withColumnRenamed("node", "b"), "b", "left").select("key", "b", F.coalesce("root", "b").alias("root"))
     mixed = label.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = saved(label.join(mixed, "key"))
+    left = saved(among(label, saved(mixed), "key"))
     if not left.isEmpty():
         more = saved(across(left, fetch, how, sketches, most_apart))
         if not more.isEmpty():

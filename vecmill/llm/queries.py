@@ -22,7 +22,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_toxicity, score_texts
 
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))  # a null id is not held out
     model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out))
     return score_texts(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 

@@ -148,7 +148,8 @@ def score_texts(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", t
     """Score every whole text, without a shuffle: ``doc_id, score, predicted, hit_weight``.
 
     Null and empty texts get the score of a text without hits; a null id stays null;
-    repeated rows stay; other columns are ignored."""
+    repeated rows stay; other columns are ignored; an empty table gives an empty result;
+    a very long text is read once from end to end."""
 
     def run(batches):
         for batch, found in _read(batches, model):
