@@ -143,6 +143,21 @@ def test_toxicity_learns_folds_and_excepts(spark):
     assert none.weights == {} and toxicity.score_texts(docs(spark, ["x", None]), none).where("predicted = 0").count() == 2
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["bad", "badly", "v!le", "ViLe", "vіle", "brook", "good", "ba", "vile,"]), max_size=12), st.sampled_from([[" vile brook "], []]))
+def test_hits_equal_searching_for_each_term(chosen, exceptions):
+    model = toxicity.ToxicityModel({" bad": 1.0, " badiy ": 2.5, " viie ": 2.0}, [x.replace("l", "i") for x in exceptions])
+    folded = toxicity.Folder()(" ".join(chosen))
+    want = {}
+    for term, w in model.weights.items():
+        for i in range(len(folded)):
+            if folded.startswith(term, i):
+                want[i] = max(w, want.get(i, 0.0))
+    spans = [(i, i + len(x) - 1) for x in model.exceptions for i in range(len(folded)) if folded.startswith(x, i)]
+    want = {i: w for i, w in want.items() if not any(a <= i < b for a, b in spans)}
+    assert toxicity.hits(model.automaton(), folded) == want
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     d, l = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -150,6 +165,7 @@ def test_toxicity_on_held_out_labels(spark):
     model = toxicity.fit_toxicity(d, l.where(~held))
     got = toxicity.score_texts(d, model).where(held).join(l, "doc_id").select("predicted", "toxic").toPandas()
     assert (got.predicted == got.toxic).mean() > 0.99
+    assert got.predicted[got.toxic == 1].mean() > 0.9 and got.predicted[got.toxic == 0].mean() < 0.005
 
 
 # HTML ------------------------------------------------------------------------------
@@ -489,6 +505,32 @@ def test_plan_places_every_piece(histogram):
     assert placed == histogram
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 6), max_size=12))
+def test_plan_opens_the_least_cost_bin_each_time(histogram):
+    """Each pattern against filling every permitted size piece by piece."""
+    left = sorted((k for k, n in histogram.items() for _ in range(n)), reverse=True)
+    for capacity, used, repeats, taken in packing.plan(histogram, [16, 32, 64]):
+        best = None
+        for size in (16, 32, 64):
+            if size < left[0]:
+                continue
+            room, own = size, []
+            for piece in left:  # always the longest that still fits
+                if piece <= room:
+                    own.append(piece)
+                    room -= piece
+            fits = min(s for s in (16, 32, 64) if s >= sum(own))
+            cost = (fits + 16.0) / sum(own)
+            if best is None or cost < best[0] - 1e-12:
+                best = (cost, fits, sorted(own))
+        assert (capacity, used, sorted(taken.elements())) == (best[1], sum(best[2]), best[2])
+        for _ in range(repeats):
+            for piece in taken.elements():
+                left.remove(piece)
+    assert not left
+
+
 def test_pack(spark):
     rng = random.Random(0)
     lengths = [0, None, 9000, 4096, 4097, *(rng.randrange(1, 3000) for _ in range(300)), *[77] * 60]

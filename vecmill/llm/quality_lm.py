@@ -181,15 +181,19 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.concatenate((first, first + np.cumsum(gaps, dtype=np.int64)))
 
 
+_known_labels: dict[int, list[int]] = {}
+
+
 def _labels(spark, parts: int) -> list[int]:
     """An int for each of ``parts`` hash partitions that Spark puts there, so that as many
     groups lie one to a partition."""
     n = 16 * parts
-    while True:
+    while parts not in _known_labels:
         found = spark.range(n).select(F.col("id").cast("int").alias("id")).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("at")).agg(F.min("id").alias("id")).collect()
         if len(found) == parts:
-            return [r.id for r in found]
+            _known_labels[parts] = [r.id for r in found]
         n *= 2
+    return _known_labels[parts]
 
 
 def document_scores(docs: DataFrame, counts: DataFrame, order: int, carry: list[str], text_col: str = "text") -> DataFrame:
