@@ -596,6 +596,27 @@ def test_document_scores_equal_brute_force(spark, order):
         assert got[i].variety == pytest.approx(distinct / len(data) if data else 1.0)
 
 
+def test_long_texts_are_scored_in_pieces():
+    rng = np.random.default_rng(6)
+    long = "".join(rng.choice(list("abcé "), 40_000))
+    column = pa.array(["short", long, None, "", long[:300], "x"], pa.string())
+    whole = list(quality_lm._slices(column, 5, 1 << 30))
+    code = np.unique(np.concatenate([w[2] for w in whole]))
+    logp = -rng.random(len(code))
+    want = quality_lm._scored(column, code, logp, 5)
+    pieces = quality_lm._slices
+    try:
+        quality_lm._slices = lambda column, order: pieces(column, order, 1024)
+        got = quality_lm._scored(column, code, logp, 5)
+    finally:
+        quality_lm._slices = pieces
+    assert np.allclose(got[0], want[0]) and (got[1] == want[1]).all()
+    data, windows = long.encode(), 0
+    for i in range(0, len(data), 256):
+        windows += len({(b"\0\0\0\0" + data)[j : j + 5] for j in range(i, min(i + 256, len(data)))})
+    assert want[2][1] == windows  # pieces see a window's start as new where it is cut
+
+
 def test_probabilities_of_a_context_sum_to_one(spark):
     counts = quality_lm.count_ngrams(docs(spark, ["abc abd", "abé", "x"]).select("text"), 3)
     ab, zz = (ord("a") << 8 | ord("b")) << 8, (ord("z") << 8 | ord("z")) << 8

@@ -18,6 +18,7 @@ of trusted documents of that language which the model has not seen.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,12 +46,20 @@ def codes(buf: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
     return code
 
 
-def _slices(column: pa.Array, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row, codes, code offsets) of slices of a text column."""
+def _slices(column: pa.Array, order: int, size: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, codes, code offsets) of slices of a text column of about
+    ``size`` bytes; a longer text comes in several pieces of ``size``, one row each."""
     raw, offsets = K.utf8(column)
-    for lo, hi in K.slices(offsets):
-        at = offsets[lo : hi + 1] - offsets[lo]
-        yield lo, hi, codes(raw[offsets[lo] : offsets[hi]], at, order), at
+    for lo, hi in K.slices(offsets, size):
+        start, stop = int(offsets[lo]), int(offsets[hi])
+        if hi - lo > 1 or stop - start <= 2 * size:
+            at = offsets[lo : hi + 1] - start
+            yield lo, hi, codes(raw[start:stop], at, order), at
+            continue
+        for a in range(start, stop, size):
+            b, before = min(a + size, stop), min(order - 1, a - start)
+            piece = codes(raw[a - before : b], np.array([0, b - a + before]), order)[before:]
+            yield lo, hi, piece, np.array([0, len(piece)])
 
 
 class Tally:
@@ -93,6 +102,8 @@ def count_ngrams(texts: DataFrame, order: int, flush: int = 4_000_000) -> DataFr
                     yield handed()
                     tally = Tally()
         yield handed()
+        del tally
+        _trimmed(None)
 
     return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
@@ -147,16 +158,43 @@ def probabilities(wanted: DataFrame, counts: DataFrame, order: int) -> DataFrame
     return lower.select(F.col("suffix").alias("code"), F.log("below").alias("logp"))
 
 
-def _variety(code: np.ndarray, at: np.ndarray, window: int = 256) -> np.ndarray:
-    """Distinct n-grams in each window of ``window`` bytes, summed by document."""
-    size = np.diff(at)
-    doc = np.repeat(np.arange(len(size)), size)
-    part = (np.arange(len(code)) - at[:-1][doc]) // window
-    new = np.concatenate((np.ones(len(code[:1]), bool), (np.diff(doc) != 0) | (np.diff(part) != 0)))
-    key = K.mix64(np.cumsum(new).astype(np.uint64)) ^ K.mix64(code.astype(np.uint64) + np.uint64(1 << 60))
-    by = np.argsort(key, kind="stable")
-    first = np.concatenate((np.ones(len(key[:1]), bool), key[by][1:] != key[by][:-1]))
-    return np.bincount(doc[by[first]], minlength=len(size))
+def _scored(column: pa.Array, code: np.ndarray, logp: np.ndarray, order: int, window: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nats, bytes, n-grams that are the first of their kind in a window of ``window``
+    bytes) of each text, by ascending codes and their log probabilities.
+
+    One sort of a slice serves both: equal codes lie together, so each is looked up once
+    and each place knows the place of the same code before it."""
+    nats, size, fresh = np.zeros(len(column)), np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
+    for lo, hi, own, at in _slices(column, order):
+        n = np.diff(at)
+        size[lo:hi] += n
+        if not len(own):
+            continue
+        by = np.argsort(own, kind="stable")
+        ranked = own[by]
+        first = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+        found = np.searchsorted(code, ranked[first])
+        each = np.empty(len(own))
+        each[by] = logp[found][np.cumsum(first) - 1]
+        before = np.empty(len(own), np.int64)
+        before[by] = np.where(first, -1, np.concatenate(([-1], by[:-1])))
+        start = np.repeat(at[:-1], n)
+        place = np.arange(len(own))
+        new = before < start + (place - start) // window * window
+        total, seen = (np.concatenate(([0], np.cumsum(x))) for x in (each, new))
+        nats[lo:hi] -= total[at[1:]] - total[at[:-1]]
+        fresh[lo:hi] += seen[at[1:]] - seen[at[:-1]]
+    return nats, size, fresh
+
+
+def _trimmed[T](table: T) -> T:
+    """The table, after what a group needed has gone back to the machine: workers serve
+    later stages too, and what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+    return table
 
 
 def _distinct(table: pa.Table, column: str, order: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +253,7 @@ def document_scores(docs: DataFrame, counts: DataFrame, order: int, carry: list[
         shard = (code % shards)[by]
         at = np.searchsorted(shard, np.arange(shards + 1))
         some = np.flatnonzero(np.diff(at))
-        return pa.table({"shard": pa.array(some, pa.int32()), "part": pa.array([table.column("part")[0].as_py()] * len(some), pa.int32()), "codes": pa.array([_packed(code[by[at[i] : at[i + 1]]]) for i in some.tolist()], pa.binary())})
+        return _trimmed(pa.table({"shard": pa.array(some, pa.int32()), "part": pa.array([table.column("part")[0].as_py()] * len(some), pa.int32()), "codes": pa.array([_packed(code[by[at[i] : at[i + 1]]]) for i in some.tolist()], pa.binary())}))
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         code, logp = known.column("code").to_numpy(), known.column("logp").to_numpy()
@@ -229,16 +267,10 @@ def document_scores(docs: DataFrame, counts: DataFrame, order: int, carry: list[
         told = sorted(zip(answers.column("shard").to_pylist(), answers.column("logp").to_pylist(), strict=True))
         logp = np.zeros(len(code))
         logp[by] = np.frombuffer(b"".join(x for _, x in told), np.float32)
-        nats, size, variety = [], [], []
-        for chunk in table.column("text").chunks:
-            for _, _, own, at in _slices(chunk, order):
-                n = np.diff(at)
-                total = np.concatenate(([0.0], np.cumsum(logp[np.searchsorted(code, own)]))) if len(own) else np.zeros(1)
-                nats.append(total[at[:-1]] - total[at[1:]])
-                size.append(n)
-                variety.append(np.where(n > 0, _variety(own, at) / np.maximum(n, 1), 1.0))
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0)
-        return pa.table({**{c: table.column(c) for c in names}, "nats": pa.array(cat(nats), pa.float64()), "n_bytes": pa.array(cat(size).astype(np.int64)), "variety": pa.array(cat(variety), pa.float64())})
+        found = [_scored(chunk, code, logp, order) for chunk in table.column("text").chunks]
+        nats, size, fresh = (np.concatenate([f[i] for f in found] or [np.zeros(0)]) for i in range(3))
+        variety = np.where(size > 0, fresh / np.maximum(size, 1), 1.0)
+        return _trimmed(pa.table({**{c: table.column(c) for c in names}, "nats": pa.array(nats, pa.float64()), "n_bytes": pa.array(size.astype(np.int64)), "variety": pa.array(variety, pa.float64())}))
 
     asked = rows.groupBy("part").applyInArrow(ask, "shard int, part int, codes binary")
     known = p.withColumn("shard", F.pmod("code", F.lit(shards)).cast("int"))
