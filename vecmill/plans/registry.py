@@ -771,6 +771,41 @@ def score_tower(spark, d):
     return rounded(out, "score")
 
 
+def _heads_sql() -> str:
+    """Mean losses of both widths (the wide one is the teacher) and their weighted totals."""
+    lone = f"WITH {D.LOSS}, {_softmax_sql('lp', 'score / 0.02')} SELECT query_id, -lp AS loss FROM lp_t WHERE is_pos"
+    pair = _relation_sql("false").replace("round((r.loss + c.loss) / 2, 6)", "(r.loss + c.loss) / 2")
+    margin = f"WITH {D.LOSS}, {_POSQ}, m AS (SELECT query_id, slot_mask, ps - score AS s, pt - teacher_score AS t FROM rows JOIN pos USING (query_id) WHERE NOT is_pos) SELECT query_id, sum(CASE WHEN abs(s - t) < 1 THEN 0.5 * (s - t) * (s - t) ELSE abs(s - t) - 0.5 END / (1 + exp(-t / 0.13)) * slot_mask) / greatest(sum(slot_mask), 1) AS loss FROM m GROUP BY 1"
+    wide = lambda q: q.replace("SELECT s.query_id, s.doc_id, score, teacher_score", "SELECT s.query_id, s.doc_id, teacher_score AS score, teacher_score")
+    row = lambda head, f: f"SELECT {head} AS head, " + ", ".join(f"(SELECT avg(loss) FROM ({f(q)})) AS {n}" for n, q in (("task", lone), ("relation", pair), ("margin", margin)))
+    sums = ", ".join(f"sum(CASE head WHEN 32 THEN 0.25 ELSE 0.75 END * {c}) AS {c}" for c in ("task", "relation", "margin"))
+    return f"SELECT round(task, 5) AS task, round(relation, 5) AS relation, round(margin, 5) AS margin, 0.0 AS anchor, round(task + 2 * (relation + 0.25 * margin), 5) AS total FROM (SELECT {sums} FROM ({row(32, str)} UNION ALL {row(64, wide)}))"
+
+
+@query(_heads_sql())
+def combined_heads_scored(spark, d):
+    t = D.loss_table(spark, d)
+
+    def one(head: int) -> DataFrame:
+        rows = t if head == 32 else t.withColumn("score", F.col("teacher_score"))
+        parts = {"task": L.info_nce(rows), "relation": L.relation_loss(rows), "margin": L.margin_loss(rows)}
+        row = None
+        for name, losses in parts.items():
+            mean = L.weighted_mean(losses).withColumnRenamed("loss", name)
+            row = mean if row is None else row.crossJoin(mean)  # one row each
+        return row
+
+    total = L.combine_heads(E.by_head([32, 64], one), L.normalized_weights([32, 64], {32: 1.0, 64: 3.0}), scale=2.0)
+    return total.withColumns({c: F.round(F.col(c), 5) for c in ("task", "relation", "margin", "anchor", "total")})
+
+
+@query("SELECT label, count(*) AS vectors, len(any_value(embedding)) AS dim, round(count(*) * len(any_value(embedding)) * 2 * 1e6 / pow(2, 30), 6) AS gib FROM embeddings GROUP BY 1")
+def storage_by_label(spark, d):
+    """A page of all vectors of a label."""
+    n = D.table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).alias("dim"))
+    return rounded(n.withColumn("gib", C.gib_per_million_pages(F.col("vectors"), F.col("dim"))), "gib")
+
+
 @query(f"WITH {D.BAGS}, {D.SCORES.split(',' + chr(10) + 'best')[0]}, {_SMOOTH}")
 def smooth_maxsim_blocks(spark, d):
     return rounded(D.scores(spark, d, tau=0.1), "score")
