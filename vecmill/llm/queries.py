@@ -82,9 +82,32 @@ def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image_copies(media_of_vectors(table(spark, sf_dir, "embeddings")), ["vec_id", "variant"])
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resampled
+
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    label = F.col("label").cast("long")
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)))
+
+
+def op13_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_toxicity, op3_main_text, op4_repeated_strings, op5_decontamination, op6_token_counts, op7_packing, op8_token_files, op9_quality, op10_media_copies)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_toxicity, op3_main_text, op4_repeated_strings, op5_decontamination, op6_token_counts, op7_packing, op8_token_files, op9_quality, op10_media_copies, op11_resampling, op12_hard_negatives, op13_vector_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .hard_negatives import hard_negatives_sql
+    from .resampling import resampling_sql
+    from .vector_dedup import near_duplicate_vectors_sql
+
+    return {"op11_resampling": resampling_sql(), "op12_hard_negatives": hard_negatives_sql(), "op13_vector_duplicates": near_duplicate_vectors_sql()}
