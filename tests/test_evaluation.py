@@ -13,6 +13,7 @@ from vecmill.operators import evaluate as E
 from vecmill.operators import index as I
 from vecmill.operators import losses as L
 from vecmill.operators import metrics as R
+from vecmill.operators import runner as N
 from vecmill.operators import summary as Y
 from vecmill.operators import training as T
 from vecmill.sources import sinks as W
@@ -110,15 +111,15 @@ def test_evaluate_tasks_end_to_end(spark, root, tmp_path):
         calls.append(1)
         return pages(df)
 
-    rows = {r.task: r for r in E.run_tasks(spark, tasks, counted, asked, f"file://{tmp_path}/bags").collect()}
+    rows = {r.task: r for r in N.run_tasks(spark, tasks, counted, asked, f"file://{tmp_path}/run").collect()}
     assert len(rows) == 5 and len(calls) == 4  # two languages share a corpus
     paired = rows["eval/s3"]
     assert (paired.n_docs, paired.n_queries) == (3, 3)
     assert paired.ndcg_at_1 == pytest.approx(2 / 3)  # the query b asks for page a
     beir = rows["eval_v3/s1[french]"]
     assert (beir.n_docs, beir.n_queries) == (3, 2) and beir.recall_at_1 == 1.0
-    again = E.run_tasks(spark, tasks, counted, asked, f"file://{tmp_path}/bags", done={"eval/s3"})
-    assert again.count() == 4 and len(calls) == 4
+    again = N.run_tasks(spark, tasks, counted, asked, f"file://{tmp_path}/run")
+    assert again.count() == 5 and len(calls) == 4
     few = E.evaluate_paired(S.read_rows(spark, tasks[0]["corpus"]), pages, asked, max_queries=1, max_docs=2).first()
     assert (few.n_docs, few.n_queries) == (2, 1)
     top = E.score_images(spark.createDataFrame([("p_a",), ("p_b",)], "doc_id string"), spark.createDataFrame([("q", "b")], "query_id string, text string"), pages, asked).collect()

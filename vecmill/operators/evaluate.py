@@ -1,4 +1,4 @@
-"""Evaluation end to end: pages and queries to metrics, by task.
+"""Evaluation end to end: pages and queries to metrics (``runner`` does it by task).
 
 A page encoder maps rows with ``doc_id`` to ``doc_id, tokens`` and a query encoder rows
 ``query_id, text`` to ``query_id, tokens`` (hooks for a model, see ``compress.encode``).
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import tables as S
@@ -19,9 +19,13 @@ Encoder = Callable[[DataFrame], DataFrame]
 
 
 def _measured(bags: DataFrame, queries: DataFrame, qrels: DataFrame, ks: tuple[int, ...], pad_len: int | None) -> DataFrame:
+    """One row of metrics; without a page, or without a query that is judged, an error (a
+    row of zeros would pass for a result)."""
     scores = maxsim(queries, bags, top_k=max(ks), pad_len=pad_len).drop("rank")
     row = R.task_metrics(R.per_query(scores, qrels, ks), ks=ks)
-    return row.crossJoin(bags.agg(F.count("*").alias("n_docs")))  # one row each
+    row = row.crossJoin(bags.agg(F.count("*").alias("n_docs")))  # one row each
+    some = lambda n, what: F.when(F.col(n) > 0, True).otherwise(F.raise_error(F.lit(f"nothing to evaluate: no {what}")).cast("boolean"))
+    return row.where(some("n_docs", "page") & some("n_queries", "query with a judged page"))
 
 
 def paired_parts(rows: DataFrame, max_queries: int | None = None, max_docs: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -56,32 +60,6 @@ def evaluate_beir(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, encod
     return _measured(encode_pages(pages), encode_queries(kept.select("query_id", "text")), judged, ks, pad_len)
 
 
-def run_tasks(spark: SparkSession, tasks: list[dict], encode_pages: Encoder, encode_queries: Encoder, bags_dir: str, done: set[str] = frozenset(), ks: tuple[int, ...] = R.KS, **limits) -> DataFrame:
-    """``task, dataset`` and the metrics of every task of a catalogue that is not done.
-
-    The pages of a corpus are encoded once, to a table below ``bags_dir`` named by the
-    corpus, and tasks that share it read that table; a table that exists is reused."""
-    out = None
-    for t in tasks:
-        tag = f"{t['dataset']}/{t['subset']}" + (f"[{t['lang']}]" if t["lang"] else "")
-        if tag in done:
-            continue
-        path = f"{bags_dir}/{S.corpus_id(t['fmt'], t['corpus'], limits.get('max_docs') or 0)}"
-
-        def stored(pages: DataFrame, path=path) -> DataFrame:
-            if not any(n == "_SUCCESS" for n, _ in S.listing(spark, path)):
-                encode_pages(pages).write.mode("overwrite").parquet(path)
-            return spark.read.parquet(path)
-
-        if t["fmt"] == "paired":
-            row = evaluate_paired(S.read_rows(spark, t["corpus"]), stored, encode_queries, ks=ks, **limits)
-        else:
-            row = evaluate_beir(*(S.read_rows(spark, t[k]) for k in ("corpus", "queries", "qrels")), stored, encode_queries, ks=ks, **limits)
-        row = row.select(F.lit(tag).alias("task"), F.lit(t["dataset"]).alias("dataset"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 def by_head(heads: list[int], one: Callable[[int], DataFrame]) -> DataFrame:
     """The rows of every width, with ``head``, in one plan."""
     out = None

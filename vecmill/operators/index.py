@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -140,10 +140,15 @@ def index_bags(index: DataFrame) -> DataFrame:
     return nested(index.withColumnRenamed("cluster_id", "tok_idx"))
 
 
-def score_task(queries: DataFrame, bags: DataFrame, qrels: DataFrame, pad_len: int | None = None, ks: tuple[int, ...] = R.KS) -> DataFrame:
+def score_task(queries: DataFrame, bags: DataFrame, qrels: DataFrame, pad_len: int | None = None, ks: tuple[int, ...] = R.KS, candidates: Column | None = None) -> DataFrame:
     """One row of metrics with ``n_docs``, ``n_queries`` and the greatest numbers of tokens
-    of a document and a query."""
-    row = R.task_metrics(R.per_query(maxsim(queries, bags, top_k=max(ks), pad_len=pad_len).drop("rank"), qrels, ks), ks=ks).drop("n_queries")
+    of a document and a query.  ``candidates`` is a condition on ``query_id, doc_id`` that
+    pairs must meet to be ranked."""
+    if candidates is None:
+        scores = maxsim(queries, bags, top_k=max(ks), pad_len=pad_len).drop("rank")
+    else:
+        scores = maxsim(queries, bags, pad_len=pad_len).where(candidates)
+    row = R.task_metrics(R.per_query(scores, qrels, ks), ks=ks).drop("n_queries")
     sizes = bags.agg(F.count("*").alias("n_docs"), F.max(F.size("tokens")).alias("doc_tokens")).crossJoin(queries.agg(F.count("*").alias("n_queries"), F.max(F.size("tokens")).alias("query_tokens")))
     return row.crossJoin(sizes)  # one row each
 

@@ -3,9 +3,11 @@
 Canonical tables: ``tokens(doc_id, tok_idx, vec)`` in long form, ``bags(doc_id, tokens)``
 nested, ``queries(query_id, tokens)`` nested.  Three strategies give the same scores:
 
-``blocks`` (default)  queries go to the workers in blocks of bounded size and documents
-    stream past them as matrix products; with ``top_k`` each batch keeps only its best
-    documents per query, so the pair grid is never written or shuffled;
+``tiles`` (default)  both sides are dealt to tiles by key, one task a tile: a tile holds some
+    queries and the documents stream past them as matrix products.  With ``top_k`` a tile
+    returns its best documents of each query, which one aggregate merges.  No query passes
+    the driver and the plan does not grow with them.  Up to ``QUERY_BLOCK`` tokens all
+    queries are one block that is broadcast, so the documents are not shuffled at all;
 ``rows``   exploded tokens and two aggregations, fully relational;
 ``nested`` higher-order functions on nested arrays.
 """
@@ -18,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import vectors as V
 
-QUERY_BLOCK = 32_768  # query tokens sent to the workers at a time, one reading of the bags for each
+QUERY_BLOCK = 32_768  # query tokens that are broadcast at most
+QUERY_TILE = 262_144  # query tokens in a tile, about
 SCORE_BLOCK = 4096  # query tokens multiplied at a time
 
 
@@ -69,51 +73,102 @@ def _score_batch(queries: list[tuple], stacked: np.ndarray, at: np.ndarray, colu
     return out
 
 
-def _query_blocks(queries: DataFrame, block: int) -> Iterator[list[tuple]]:
+def _few_queries(queries: DataFrame, bound: int) -> list[tuple] | None:
+    """All queries if they have at most ``bound`` tokens, else null; no more than that is
+    fetched."""
     held, size = [], 0
-    for r in queries.select("query_id", "tokens").orderBy("query_id").toLocalIterator():
-        if not r.tokens:
-            continue
-        if held and size + len(r.tokens) > block:
-            yield held
-            held, size = [], 0
-        held.append((r.query_id, np.array(r.tokens, np.float64)))
-        size += len(r.tokens)
-    if held:
-        yield held
-
-
-def maxsim(queries: DataFrame, bags: DataFrame, strategy: str = "blocks", top_k: int | None = None, pad_len: int | None = None, tau: float | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    for r in queries.select("query_id", "tokens").toLocalIterator():
+        if r.tokens:
+            held.append((r.query_id, np.array(r.tokens, np.float64)))
+            size += len(r.tokens)
+        if size > bound:
+            return None
+    return sorted(held, key=lambda q: (q[0] is not None, q[0]))
+
+
+def _best(own: list, stacked: np.ndarray, at: np.ndarray, ids: pa.Array, column: pa.Array, kind: pa.DataType, top_k: int | None, pad_len: int | None, tau: float | None) -> Iterator[pa.RecordBatch]:
+    """Scores of a batch of documents, of each query the ``top_k`` best and their ties."""
+    s, names = _score_batch(own, stacked, at, column, pad_len, tau), np.asarray(ids.to_pylist(), dtype=object)
+    for q in range(len(own)):
+        keep = np.flatnonzero(~np.isnan(s[q]))
+        if top_k is not None and len(keep) > top_k:
+            cut = np.partition(s[q][keep], len(keep) - top_k)[len(keep) - top_k]
+            keep = keep[s[q][keep] >= cut]
+        yield pa.RecordBatch.from_arrays([pa.array([own[q][0]] * len(keep), kind), pa.array(names[keep].tolist(), ids.type), pa.array(s[q][keep])], names=["query_id", "doc_id", "score"])
+
+
+def _stack(own: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([m for _, m in own]), np.concatenate(([0], np.cumsum([len(m) for _, m in own])[:-1]))
+
+
+def _broadcast_scores(few: list[tuple], bags: DataFrame, schema: str, kind: pa.DataType, top_k: int | None, pad_len: int | None, tau: float | None) -> DataFrame:
+    shared = bags.sparkSession.sparkContext.broadcast((few, *_stack(few)))  # at most QUERY_BLOCK tokens
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, stacked, at = shared.value
+        for batch in batches:
+            yield from _best(own, stacked, at, batch.column(0), batch.column(1), kind, top_k, pad_len, tau)
+
+    return bags.select("doc_id", "tokens").mapInArrow(run, schema)
+
+
+def _tiled_scores(queries: DataFrame, bags: DataFrame, schema: str, id_type: pa.DataType, top_k: int | None, pad_len: int | None, tau: float | None, tile: int) -> DataFrame:
+    """Tiles ``q, d``: a query goes to every ``d``, a document to every ``q``.  There are as many
+    ``q`` as the queries' tokens fill tiles, and as many ``d`` as give every partition a tile."""
+    spark = bags.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tokens = queries.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    high = max(1, -(-tokens // tile))
+    wide = max(1, -(-parts // high))
+    kind = "array<array<double>>" if bags.schema["tokens"].dataType != queries.schema["tokens"].dataType else bags.schema["tokens"].dataType.simpleString()
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = lambda side, col: F.lit(None).cast(side.schema[col].dataType).alias(col)
+    filled = F.size("tokens") > 0
+    asked = queries.where(filled).select(dealt("query_id", high).alias("q"), every(wide).alias("d"), F.lit(0).alias("role"), "query_id", none(bags, "doc_id"), F.col("tokens").cast(kind).alias("tokens"))
+    held = bags.where(filled).select(every(high).alias("q"), dealt("doc_id", wide).alias("d"), F.lit(1).alias("role"), none(queries, "query_id"), "doc_id", F.col("tokens").cast(kind).alias("tokens"))
+    rows = asked.unionByName(held).repartition(max(parts, high * wide), "q", "d").sortWithinPartitions("q", "d", "role", "query_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, stacked = None, [], None
+        for batch in batches:
+            key = np.stack([batch[c].to_numpy() for c in ("q", "d", "role")])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if tuple(key[:2, lo]) != now:
+                    now, own, stacked = tuple(key[:2, lo]), [], None
+                piece = batch.slice(lo, hi - lo)
+                if key[2, lo] == 0:
+                    own += zip(piece["query_id"].to_pylist(), (m.copy() for m in _matrices(piece["tokens"])), strict=True)
+                elif own:
+                    stacked = stacked or _stack(own)
+                    yield from _best(own, *stacked, piece["doc_id"], piece["tokens"], id_type, top_k, pad_len, tau)
+
+    return rows.mapInArrow(run, schema)
+
+
+def maxsim(queries: DataFrame, bags: DataFrame, strategy: str = "tiles", top_k: int | None = None, pad_len: int | None = None, tau: float | None = None, block: int = QUERY_BLOCK, tile: int = QUERY_TILE) -> DataFrame:
     """``query_id, doc_id, score`` for all pairs, or the ``top_k`` best of each query.
 
     ``pad_len`` gives the semantics of batches padded with zero vectors to that length:
     a document with fewer tokens scores at least 0 for each query token.  ``tau`` replaces
     the maximum by ``tau * logsumexp(x / tau)``.  Empty and null bags have no scores.  Ties
-    are ranked by document id.  ``rows`` and ``nested`` form the pair grid and are for
-    small sets and for comparison.
+    are ranked by document id.  ``block`` is the most query tokens that are broadcast (0:
+    always tiles), ``tile`` the query tokens of a tile.  ``rows`` and ``nested`` form the pair
+    grid and are for small sets and for comparison.
     """
-    if strategy == "blocks":
+    if strategy == "tiles":
         schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {bags.schema['doc_id'].dataType.simpleString()}, score double"
-        kind = pa.int64() if "int" in schema.split(",")[0] else pa.string()
-        out = None
-        for part in _query_blocks(queries, block):
-            shared = bags.sparkSession.sparkContext.broadcast((part, np.concatenate([m for _, m in part]), np.concatenate(([0], np.cumsum([len(m) for _, m in part])[:-1]))))
-
-            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-                own, stacked, at = shared.value
-                for batch in batches:
-                    s = _score_batch(own, stacked, at, batch.column(1), pad_len, tau)
-                    ids = np.asarray(batch.column(0).to_pylist(), dtype=object)
-                    for q in range(len(own)):
-                        keep = np.flatnonzero(~np.isnan(s[q]))
-                        if top_k is not None and len(keep) > top_k:
-                            cut = np.partition(s[q][keep], len(keep) - top_k)[len(keep) - top_k]
-                            keep = keep[s[q][keep] >= cut]  # all ties at the cut; ranked later
-                        yield pa.RecordBatch.from_arrays([pa.array([own[q][0]] * len(keep), kind), pa.array(ids[keep].tolist(), batch.column(0).type), pa.array(s[q][keep])], names=["query_id", "doc_id", "score"])
-
-            found = bags.select("doc_id", "tokens").mapInArrow(run, schema)
-            out = found if out is None else out.unionByName(found)
-        scores = bags.sparkSession.createDataFrame([], schema) if out is None else out
+        kind = to_arrow_type(queries.schema["query_id"].dataType)
+        few = _few_queries(queries, block) if block else None
+        if few is None:
+            scores = _tiled_scores(queries, bags, schema, kind, top_k, pad_len, tau, tile)
+        elif few:
+            scores = _broadcast_scores(few, bags, schema, kind, top_k, pad_len, tau)
+        else:
+            scores = bags.sparkSession.createDataFrame([], schema)
     elif strategy == "nested":
         scores = _nested_scores(queries, bags, pad_len, tau)
     else:

@@ -88,6 +88,11 @@ def complete(metrics: list[str]) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def finished(records: DataFrame, metrics: list[str]) -> Column:
+    """Records of tasks that ended well: no error, complete metrics."""
+    return complete(metrics) & (F.col("error").isNull() if "error" in records.columns else F.lit(True))
+
+
 def usable(protocol: str, contract: str, metrics: list[str]) -> Column:
     """A finished task record of this protocol and contract."""
     return F.coalesce(F.col("error").isNull() & (F.col("eval_protocol") == protocol) & (F.col("eval_contract_id") == contract), F.lit(False)) & complete(metrics)

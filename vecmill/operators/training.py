@@ -123,8 +123,9 @@ def task_consistent_batches(df: DataFrame, batch: int, seed: int, key: str, task
         rows = rows.where(F.col("__place") < whole)
     else:
         need = F.pmod(-F.col("__total"), F.lit(batch))
-        again = rows.where(F.col("__place") < need).withColumn("__place", F.col("__place") + F.col("__total"))
-        rows = rows.unionByName(again)
+        times = F.ceil((need - F.col("__place")) / F.col("__total")).cast("int")  # a task shorter than what is missing comes round several times
+        again = rows.where(F.col("__place") < need).withColumn("__again", F.explode(F.sequence(F.lit(1), times)))
+        rows = rows.unionByName(again.withColumn("__place", F.col("__place") + F.col("__again") * F.col("__total")).drop("__again"))
     rows = rows.withColumn("batch_id", F.floor(F.col("__place") / batch)).withColumn("batch_order", F.xxhash64(task, "batch_id", F.lit(seed + 1)))
     return rows.drop("__h", "__shard", "__in", "__before", "__total", "__place")
 

@@ -84,6 +84,11 @@ def maxsim_topk(spark, d):
     return rounded(D.scores(spark, d, top_k=10), "score")
 
 
+@query(f"WITH {D.BAGS}, {D.SCORES} {_TOP}")
+def maxsim_tiled_topk(spark, d):
+    return rounded(D.scores(spark, d, top_k=10, block=0, tile=24), "score")
+
+
 @query(f"WITH {D.prefix_sql(32)}, {D.SCORES} {_TOP}")
 def prefix_maxsim_topk(spark, d):
     return rounded(D.scores(spark, d, 32, top_k=10), "score")
@@ -218,7 +223,7 @@ def task_count_mismatch(spark, d):
 
 @query("SELECT doc_id, text, lang, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
 def page_dedupe_first(spark, d):
-    return T.keep_first(D.table(spark, d, "documents"), "text", ["doc_id"])
+    return S.first_rows(D.table(spark, d, "documents"), "text", "doc_id")
 
 
 # Texts with the awkward cases of query columns, by id.
@@ -441,9 +446,8 @@ def compressed_one_merge_topk(spark, d):
 def index_score_task(spark, d):
     index = I.checked_index(C.compress(_grid(spark, d), C.Recipe(budget=7)), 7, 64)
     q = D.queries(D.bags(spark, d))
-    row = R.task_metrics(R.per_query(D.candidates(M.maxsim(q, I.index_bags(index), pad_len=7)), D.qrels(spark, d))).drop("n_queries")
-    sizes = I.score_task(q, I.index_bags(index), D.qrels(spark, d), 7).select("n_queries", "n_docs", "doc_tokens", "query_tokens")
-    return rounded(row.crossJoin(sizes), *R.METRICS)  # one row each
+    row = I.score_task(q, I.index_bags(index), D.qrels(spark, d), 7, candidates=F.col("query_id") != F.col("doc_id"))
+    return rounded(row, *R.METRICS)
 
 
 @query(f"WITH {D.BAGS}, n AS (SELECT doc_id, count(*) AS n FROM bags GROUP BY 1) SELECT count(*) AS n_pages, round(avg(least(n, 4)), 6) AS avg_stored, min(least(n, 4)) AS min_stored, max(least(n, 4)) AS max_stored, sum((n < 4)::INT) AS below_budget, round(avg(least(n, 4)) * 64 * 2 * 1e6 / pow(2, 30), 6) AS gib_per_million, round(avg(n), 6) AS avg_tokens FROM n")
@@ -458,11 +462,6 @@ def cluster_check(spark, d):
     return I.checked_clusters(D.tokens(spark, d).select("doc_id", F.floor(F.col("tok_idx") / 3).cast("int").alias("cluster_id")), 4)
 
 
-@query("SELECT vectors, dim, round(vectors * dim * 2 * 1e6 / pow(2, 30), 6) AS gib FROM (VALUES (32, 64), (64, 64), (32, 128)) t(vectors, dim)")
-def storage_footprint(spark, d):
-    rows = [(v, k, C.gib_per_million_pages(v, k)) for v, k in ((32, 64), (64, 64), (32, 128))]
-    return rounded(spark.createDataFrame(rows, "vectors int, dim int, gib double"), "gib")
-
 
 _MASKS = f"WITH {D.BAGS}, masks AS (SELECT doc_id, tok_idx, (tok_idx * 3 + doc_id) % 8 BETWEEN 2 AND 5 AS m FROM bags)"
 
@@ -816,11 +815,6 @@ def ard_margin(spark, d):
     return rounded(L.margin_loss(D.loss_table(spark, d)), "loss")
 
 
-@query("SELECT round(0.25 * 1 + 0.75 * 2, 6) AS task, round(0.25 * 4 + 0.75 * 3, 6) AS relation, round(0.25 * 0.5 + 0.75 * 0.25, 6) AS margin, 1.0 AS anchor, round(1.75 + 2 * (3.25 + 0.25 * 0.3125 + 0.25), 6) AS total")
-def combined_heads(spark, d):
-    rows = spark.createDataFrame([(64, 1.0, 4.0, 0.5, 1.0), (128, 2.0, 3.0, 0.25, None)], "head int, task double, relation double, margin double, anchor double")
-    return rounded(L.combine_heads(rows, L.normalized_weights([64, 128], {64: 1.0, 128: 3.0}), scale=2.0), "task", "relation", "margin", "anchor", "total")
-
 
 # Merging ---------------------------------------------------------------------------
 

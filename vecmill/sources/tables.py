@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,22 +31,38 @@ def split_files(spark: SparkSession, path: str) -> list[str]:
     return test_files(spark, path) or [f"{path}/{n}" for n, _ in listing(spark, path) if n.endswith(".parquet")]
 
 
+def _place_of(uri: str) -> str:
+    """A file's address without the spelling of its URI (encoded letters, slashes)."""
+    parts = urlsplit(uri)
+    return f"{parts.scheme}|{parts.netloc}|{unquote(parts.path)}"
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri().toString()
+
+
 def read_rows(spark: SparkSession, paths: list[str], columns: list[str] | None = None) -> DataFrame:
     """Rows of Parquet files with ``ord``, their number in the order of the files.
 
     A row's place in its file comes from the scan and the files' first numbers from a
-    count, so nothing is sorted.  Of ``columns`` those that exist are read."""
+    count, so nothing is sorted.  Of ``columns`` those that exist are read.  A file that is
+    named twice, or one that the scan finds and that was not named, is an error."""
     df = spark.read.parquet(*paths)
-    sizes = {r.file.rpartition("/")[2]: r.n for r in df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n")).collect()}  # a row per file
-    names, first, at = [p.rpartition("/")[2] for p in paths], [], 0
-    if len(set(names)) < len(names):
-        raise ValueError("files of one name")
-    for name in names:
-        first.append((name, at))
-        at += sizes.get(name, 0)
+    sizes = {r.file: r.n for r in df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n")).collect()}  # a row per file
+    found, places = {_place_of(f): f for f in sizes}, [_place_of(_qualified(spark, p)) for p in paths]
+    if len(set(places)) < len(places):
+        raise ValueError("a file is named twice")
+    if strange := sorted(set(found) - set(places)):
+        raise ValueError(f"rows of files that were not named, such as {strange[0]}")
+    first, at = [], 0
+    for place in places:
+        if place in found:  # a file without rows is not
+            first.append((found[place], at))
+            at += sizes[found[place]]
     starts = F.broadcast(spark.createDataFrame(first, "own_file string, first long"))  # as many rows as files were listed
     keep = [c for c in df.columns if columns is None or c in columns]
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col("_metadata.file_name").alias("own_file"), F.col("_metadata.row_index").alias("own_row"))
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col("_metadata.file_path").alias("own_file"), F.col("_metadata.row_index").alias("own_row"))
     return rows.join(starts, "own_file").select(*[F.col(f"`{c}`") for c in keep], (F.col("first") + F.col("own_row")).alias("ord"))
 
 
@@ -191,8 +208,24 @@ def candidate_pages(rows: DataFrame, page: str = "image_filename", max_docs: int
     """``doc_id`` and the other columns of the first row (by ``ord``) of each page; rows
     whose query is empty count too, a row without a page name is an error."""
     name = F.coalesce(F.col(page).cast("string"), F.raise_error(F.lit(f"{page} is null")).cast("string"))
-    first = rows.withColumn("doc_id", name).groupBy(F.col("doc_id").alias("own")).agg(F.min_by(F.struct("doc_id", *[c for c in rows.columns if c != "doc_id"]), "ord").alias("row")).select("row.*")
-    return head(first, max_docs)
+    return head(first_rows(rows.withColumn("doc_id", name), "doc_id", "ord"), max_docs)
+
+
+def first_rows(df: DataFrame, key: str, order: str, bound: int = 1_000_000) -> DataFrame:
+    """The row of each key that is first in ``order``, a number that tells all rows apart.
+
+    Only these two columns are read and shuffled to choose the rows; the others are read
+    afterwards, of the rows that were chosen.  While these, or those left out, are at most
+    ``bound`` numbers, they are broadcast and no other column is shuffled at all."""
+    chosen = df.groupBy(key).agg(F.min(order).alias("own_first")).select("own_first")
+    rows, n = df.select(order).count(), chosen.count()
+    same = F.col(f"`{order}`") == F.col("own_first")
+    if n <= bound:
+        return df.join(F.broadcast(chosen), same, "left_semi")
+    if rows - n <= bound:
+        others = df.select(order).join(chosen, same, "left_anti").select(F.col(order).alias("own_first"))
+        return df.join(F.broadcast(others), same, "left_anti")
+    return df.join(chosen, same, "left_semi")
 
 
 def paired_judged(rows: DataFrame, pages: DataFrame, text: str = "query", page: str = "image_filename", max_queries: int | None = None) -> DataFrame:
