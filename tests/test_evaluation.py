@@ -187,13 +187,15 @@ def test_summaries(spark, tmp_path):
     part = Y.summary(spark.createDataFrame(rows, schema), listed, metrics)
     assert part["status"] == "partial" and part["missing_tasks"] == ["eval_v2/t3"] and part["n_failed"] == 1
     assert [t["task"] for t in part["per_task"]] == ["eval/t1", "eval/t2"] and part["averages"]["avg4_ndcg@10"] is None
-    whole = Y.summary(spark.createDataFrame([*rows[:2], ("eval_v2/t3", "eval_v2", 1, 1, None, 1.0, 1.0)], schema), listed, metrics)
+    done = spark.createDataFrame([*rows[:2], ("eval_v2/t3", "eval_v2", 1, 1, None, 1.0, 1.0)], schema)
+    whole = Y.summary(done, listed, metrics)
     assert whole["status"] == "complete" and whole["headline"]["V1 nDCG@10"] == 0.5 and whole["per_dataset"]["eval"]["n_queries"] == 3
     root = f"file://{tmp_path}"
     for folder in ("raw", "k32", "d64"):
-        Y.write_summary(spark, f"{root}/{folder}", whole, "run", metrics=metrics, settings={"seed": 1, "lr": None})
+        assert Y.write_summary(spark, f"{root}/{folder}", done, listed, "run", metrics, settings={"seed": 1, "lr": None}) == whole
     text = (tmp_path / "raw" / "summary.md").read_text()
-    assert "| V1 | 2/2 | 3 | 6 | 50.00 | 50.00 |" in text and "| lr | — |" in text
+    assert text.startswith("# run: complete") and "| V1 | 2 of 2 | 3 | 6 | 50.00 | 50.00 |" in text and "| seed | 1 |" in text and "Open tasks" not in text
+    assert [tuple(r) for r in Y.open_tasks(spark.createDataFrame(rows[1:], schema), listed, metrics).collect()] == [("eval/t2", "missing"), ("eval_v2/t3", "failed: broke")]
     assert Y.read_summary(spark, f"{root}/raw/summary.json", metrics)["status"] == "complete"
     whole["per_task"][0]["ndcg_at_5"] = None
     W.write_json(spark, f"{root}/raw/summary.json", whole)
@@ -203,7 +205,8 @@ def test_summaries(spark, tmp_path):
     assert S.read_json(spark, f"{root}/broken.json") == {}
     heads = Y.write_heads(spark, root, [64, 16], metrics)
     assert heads["heads_complete"] == [64] and heads["per_head"]["64"]["boards"]["eval"]["ndcg_at_10"] == 50.0
-    assert "- d16: missing" in (tmp_path / "summary_heads.md").read_text()
+    wide = (tmp_path / "summary_heads.md").read_text()
+    assert "| 16 | missing |" in wide and "| eval | 50.00 |" in wide
     ladder = Y.write_ladder(spark, root)
     assert ladder["footprint"]["gib_per_million_pages"] == 3.8147 and Y.headline_percent(whole, "V1 nDCG@10") == 50.0
     assert W.archived(spark, f"{root}/raw") == f"{root}/raw.old1" and W.archived(spark, f"{root}/raw") is None

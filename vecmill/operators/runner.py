@@ -217,6 +217,4 @@ def finalise(spark: SparkSession, folder: str, tasks: list[dict], title: str, cl
     if number is None:
         return None
     with claims.kept("summary", number):
-        found = Y.summary(own, listed, metrics)
-        Y.write_summary(spark, folder, found, title, metrics=metrics)
-    return found
+        return Y.write_summary(spark, folder, own, listed, title, metrics)
