@@ -235,6 +235,67 @@ def test_slots_decide_without_article_elements_and_names(spark):
     assert all(without[i] != want[i] for i in want)
 
 
+def page_texts(spark, htmls, url="https://probe.example/{}", **options):
+    rows = [(i, url.format(i), h) for i, h in enumerate(htmls)]
+    return [r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), **options).orderBy("page_id").collect()]
+
+
+def test_names_do_not_overrule_the_template(spark):
+    rng = random.Random(5)
+    sentence = lambda: " ".join(words(rng, 14))
+    adverts, htmls, want = [sentence() for _ in range(2)], [], []
+    for i in range(6):
+        p = [sentence() for _ in range(5)]
+        comment, advert = sentence(), adverts[i % 2]
+        htmls.append(f'<body><nav><a>home</a></nav><article><h1>{p[0]}</h1><p>{p[1]}</p><p class="promotion">{p[2]}</p><p class="ad">{advert}</p><section class="related"><p>{p[3]}</p></section><p class="notice">read our terms</p><p>{p[4]}</p><div class="comments"><p>{comment}</p></div><form><p>{sentence()}</p></form></article></body>')
+        want.append("\n".join(p))
+    assert page_texts(spark, htmls) == want
+    assert page_texts(spark, htmls, template_bytes=0) == want
+
+
+def test_near_copies_keep_their_text(spark):
+    rng = random.Random(6)
+    sentence = lambda n=14: " ".join(words(rng, n))
+    shared, htmls, want = [sentence(60), sentence(50)], [], []
+    for i in range(5):
+        p = [sentence(), sentence(), *(shared if i < 3 else [sentence(60), sentence(50)])]
+        notice = "<p>our shop has moved</p>" if i != 3 else ""
+        htmls.append(f"<body><p>menu and more</p><article><h1>{p[0]}</h1><p>{p[1]}</p><p>{p[2]}</p>{notice}<p>{p[3]}</p></article></body>")
+        want.append("\n".join(p))
+    assert page_texts(spark, htmls) == want
+
+
+def test_one_host_for_template_and_page(spark):
+    htmls = [f"<body><div><p>top line of all</p></div><div><p>text number {i} {'w' * (i + 1)} of this page</p><p>more {i}</p></div></body>" for i in range(4)]
+    assert page_texts(spark, htmls, "http://a@b@Probe.example:80/{}") == [f"text number {i} {'w' * (i + 1)} of this page\nmore {i}" for i in range(4)]
+
+
+def test_classes_and_container_equal_brute_force(spark):
+    """Occurrence vectors spelled out page by page."""
+    rng = random.Random(8)
+    htmls = []
+    for i in range(9):
+        extra = "<div class='x'><p>seen often</p></div>" if i % 3 else ""
+        htmls.append(f"<body><div id='top'><p>always</p><p>here</p></div><div id='mid'><p>{' '.join(words(rng, 30))}</p>{extra}<p>{' '.join(words(rng, 30))}</p></div></body>")
+    vectors: dict = {}
+    for i, h in enumerate(htmls):
+        got, opened = html_text.blocks(h)
+        for token in [f"path {a} > {b}" for a, b in zip(["", *opened], opened)] + [html_text._text_token(n, t) for n, t in got]:  # noqa: B905
+            vectors.setdefault(token, [0] * len(htmls))[i] += token.startswith("text ") or vectors[token][i] == 0
+    classes: dict = {}
+    for token, v in vectors.items():
+        if sum(x > 0 for x in v) >= 5:
+            classes.setdefault(tuple(v), set()).add(token)
+    want = set().union(*(c for c in classes.values() if len(c) >= 3 or any(t.startswith("text ") for t in c)))
+    pages = spark.createDataFrame([(i, f"http://h/{i}", h, "h") for i, h in enumerate(htmls)], "page_id long, url string, html string, host string")
+    import json
+
+    (row,) = html_text.deduce_templates(pages).collect()
+    spec = json.loads(row.template)
+    assert {t for t in spec["tokens"] if t.startswith(("path ", "text "))} == want and len(classes) > 1
+    assert spec["main"].endswith("div.mid") and {t for t in spec["tokens"] if t.startswith("slot ")} == {"slot /body/div.top/p", "slot /body/div.mid/div.x/p"}
+
+
 def test_references_do_not_cross_tags():
     none = html_text.Template(None)
     assert html_text.main_text("<p>&am<b>p;</b> &lt;<i>x</i>&gt; a&nbsp;b</p>", none) == "&amp; <x> a b"

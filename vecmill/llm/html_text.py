@@ -10,12 +10,18 @@ shuffle, and no task sees a host's pages together.
 
 Classes that enough pages have are valid; their element paths nest into the host's
 template, and a block of text belongs to the slot of its path.  Text that is constant
-over the host and slots that hold hardly any other are template.  What varies is
-content: the main container is the deepest template path that holds most of the host's
-varying text, and its remaining slots are extracted, whatever elements and names they
-have.  Elements and names are hints where this cannot tell: for slots that vary as the
-article does (reader comments, forms, adverts), where no container holds most of the
-text, and for hosts with too few pages for a template.
+over the host and slots that hold hardly any other are template.  Pages that are copies
+of one another also share text: it is content if no element of its own came and went
+with it and its class makes up more than a small part of a page (``copy_share``).
+
+What varies is content: the main container is the deepest template path that holds most
+of the host's varying text, and its remaining slots are extracted.  In the container a
+slot that most pages have and whose texts occur once each on the host is content whatever
+its name (adverts and teasers come from a stock, so their texts repeat).  Names decide
+for the other slots; elements and roles that are no text of an article (forms, menus,
+scripts), hidden ones and names of reader comments, which vary as the article does, always
+go.  Where no container holds most of the text, and for hosts with too few pages for a
+template, elements and names decide.
 
 Scanning is linear in the page's length, broken markup included.
 """
@@ -31,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import saved
@@ -51,6 +57,8 @@ FURNITURE_NAMES = frozenset(
     "alert cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "comment comments commentlist reply replies respond discussion disqus form search pagination pager toolbar masthead copyright hidden".split()
 )
+#: Of these, the names of what readers write: it varies as the article does.
+READER_NAMES = frozenset("comment comments commentlist reply replies respond discussion disqus".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 
 _TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -62,17 +70,18 @@ _NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    """An open element; ``block`` is the nearest that its text belongs to."""
+    """An open element; ``block`` is the nearest that its text belongs to.  ``furniture`` tells
+    whether elements or names speak against it, ``surely`` whether more than a name does."""
 
-    __slots__ = ("tag", "path", "depth", "furniture", "article", "block")
+    __slots__ = ("tag", "path", "depth", "furniture", "surely", "article", "block")
 
-    def __init__(self, tag: str, path: str, depth: int, furniture: bool, article: bool, parent: Node | None = None):
-        self.tag, self.path, self.depth, self.furniture, self.article = tag, path, depth, furniture, article
+    def __init__(self, tag: str, path: str, depth: int, furniture: bool, surely: bool, article: bool, parent: Node | None = None):
+        self.tag, self.path, self.depth, self.furniture, self.surely, self.article = tag, path, depth, furniture, surely, article
         self.block = self if parent is None or tag not in INLINE or furniture else parent.block
 
 
 def _child(parent: Node, tag: str, attrs: str) -> Node:
-    furniture, article, name = parent.furniture, parent.article, tag
+    furniture, surely, article, name = parent.furniture, parent.surely, parent.article, tag
     if attrs.strip(" /\t\r\n"):
         a = {m[1].lower(): m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or "" for m in _ATTR.finditer(attrs)}
         label = f"{a.get('class', '')} {a.get('id', '')}".strip().lower()
@@ -80,13 +89,14 @@ def _child(parent: Node, tag: str, attrs: str) -> Node:
             name = f"{tag}.{'.'.join(label.replace('/', ' ').split())}"
             words = set(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}").lower()))
             furniture |= bool(words & FURNITURE_NAMES) and tag not in ("html", "body", "article", "main")
+            surely |= bool(words & READER_NAMES) and tag not in ("html", "body", "article", "main")
             furniture |= "header" in words and not article and tag not in ("html", "body", "article", "main")
         role = a.get("role", "").lower()
-        furniture |= role in FURNITURE_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
+        surely |= role in FURNITURE_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
         article |= role in ("main", "article")
-    furniture |= tag in FURNITURE_TAGS or tag == "header" and not parent.article
+    surely |= tag in FURNITURE_TAGS or tag == "header" and not parent.article
     path = f"{parent.path}/{name}" if parent.depth < DEEPEST else parent.path
-    return Node(tag, path, parent.depth + 1, furniture, article or tag in ARTICLE_TAGS, parent)
+    return Node(tag, path, parent.depth + 1, furniture or surely, surely, article or tag in ARTICLE_TAGS, parent)
 
 
 def tags(page: str) -> Iterator[tuple[int, int, str, str, bool]]:
@@ -136,7 +146,7 @@ def tags(page: str) -> Iterator[tuple[int, int, str, str, bool]]:
 def blocks(page: str) -> tuple[list[tuple[Node, str]], list[str]]:
     """Text blocks (innermost block element, text) in page order, and the distinct element
     paths in the order in which they open."""
-    root = Node("", "", 0, False, False)
+    root = Node("", "", 0, False, False, False)
     stack, out, opened = [root], [], {}
     count: Counter[str] = Counter()  # open elements
     beyond: Counter[str] = Counter()  # elements opened past the bound
@@ -227,9 +237,9 @@ def blocks(page: str) -> tuple[list[tuple[Node, str]], list[str]]:
     return out, list(opened)
 
 
-def _host(url: str | None) -> str:
-    m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", url or "")
-    return m[1].rsplit("@", 1)[-1].lower() if m else ""
+def host_of(url: Column) -> Column:
+    """The host of an address in lower case, without its user; empty without one."""
+    return F.coalesce(F.lower(F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), "^.*@", "")), F.lit(""))
 
 
 def _text_token(node: Node, text: str) -> str:
@@ -240,8 +250,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per host and token: pages, projection of the occurrence vector, characters."""
     for batch in batches:
         found: dict[tuple[str, str], list[int]] = {}
-        for page, url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            host = _host(url)
+        for page, url, source, host in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             got, opened = blocks(source or "")
             counts: dict[str, list[int]] = {"page": [1, 0]}
             before = ""
@@ -266,30 +275,51 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def deduce_templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3, least_tokens: int = 3, constant_share: float = 0.9, main_share: float = 0.6) -> DataFrame:
-    """``host, template`` (JSON: nested element paths, constant texts and slots, main container).
+def _by_host(rows: DataFrame, small: DataFrame, bound: int) -> DataFrame:
+    """Joined on the host with one small row a host, broadcast up to ``bound`` hosts so that a
+    host with most rows is not gathered."""
+    return rows.join(F.broadcast(small) if small.count() <= bound else small, "host")
+
+
+def deduce_templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3, least_tokens: int = 3, constant_share: float = 0.9, main_share: float = 0.6, copy_share: float = 0.25, host_bound: int = 200_000) -> DataFrame:
+    """``host, template`` (JSON: nested element paths, constant texts and slots, slots of
+    content, main container) of ``page_id, url, html, host``.
 
     A class is valid with at least ``least_tokens`` tokens that at least ``support`` of
     the host's pages have; a constant text is valid alone, with ``least_pages`` pages that
-    have it (two pages may quote the same).  A slot is constant when such texts are
-    ``constant_share`` of its characters.  The main container is the deepest path of the
-    template below which ``main_share`` of the characters that are not constant lie.
-    Hosts with fewer than ``least_pages`` pages have no template."""
-    stats = pages.select("page_id", "url", "html").mapInArrow(_statistics, "host string, token string, pages long, high long, low long, chars long")
+    have it (two pages may quote the same).  Texts of a class without their own element's
+    path that are at least ``copy_share`` of what varies on an average page are what copies
+    of a page share, no template.  A slot is constant when constant texts are
+    ``constant_share`` of its characters, and content when texts of a single page are.  The
+    main container is the deepest path of the template below which ``main_share`` of the
+    characters that are not constant lie.  Hosts with fewer than ``least_pages`` pages have
+    no template."""
+    stats = pages.select("page_id", "url", "html", "host").mapInArrow(_statistics, "host string, token string, pages long, high long, low long, chars long")
     # The halves of the projection are summed apart, so sums stay below 2**63.
     stats = saved(stats.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("high").alias("high"), F.sum("low").alias("low"), F.sum("chars").alias("chars")))
-    n = stats.where("token = 'page'").select("host", F.col("pages").alias("n")).where(F.col("n") >= least_pages)
-    own = stats.where("token <> 'page'").join(n, "host")
+    n = saved(stats.where("token = 'page'").select("host", F.col("pages").alias("n")).where(F.col("n") >= least_pages))
+    own = _by_host(stats.where("token <> 'page'"), n, host_bound)
     kind = F.split("token", " ").getItem(0)
-    tokens = own.where((F.col("pages") >= support * F.col("n")) & ((kind == "path") | (kind == "text") & (F.col("pages") >= least_pages)))
-    classes = tokens.groupBy("host", "pages", "high", "low").agg(F.collect_list("token").alias("tokens"))  # a class of template tokens
-    valid = classes.where((F.size("tokens") >= least_tokens) | F.exists("tokens", lambda t: t.startswith("text ")))
-    paths = saved(valid.select("host", F.explode("tokens").alias("token")))
-    # Slots whose text is constant by nearly all its characters.
     path = F.regexp_extract("token", r"^text (.*) [0-9a-f]{16}$", 1)
-    held = tokens.where(kind == "text").groupBy("host", path.alias("path")).agg(F.sum("chars").alias("held"))
-    slots = saved(own.where(kind == "slot").select("host", F.expr("substring(token, 6)").alias("path"), "chars").join(held, ["host", "path"], "left").withColumn("held", F.coalesce("held", F.lit(0))))
+    tokens = own.where((F.col("pages") >= support * F.col("n")) & ((kind == "path") | (kind == "text") & (F.col("pages") >= least_pages)))
+    # A class of template tokens, with the characters of its texts on a page.
+    classes = tokens.groupBy("host", "pages", "high", "low").agg(F.collect_list("token").alias("tokens"), (F.sum(F.when(kind == "text", F.col("chars")).otherwise(0)) / F.first("pages")).alias("a_page"))
+    every = own.where((kind == "slot")).groupBy("host").agg(F.sum("chars").alias("all_chars"), F.first("n").alias("n"))
+    shared = tokens.where(kind == "text").groupBy("host").agg(F.sum("chars").alias("shared"))
+    mean = saved(every.join(shared, "host", "left").select("host", ((F.col("all_chars") - F.coalesce("shared", F.lit(0))) / F.col("n")).alias("mean")))
+    valid = _by_host(classes.where((F.size("tokens") >= least_tokens) | F.exists("tokens", lambda t: t.startswith("text "))), mean, host_bound)
+    ends = F.transform(F.filter("tokens", lambda t: t.startswith("path ")), lambda t: F.regexp_extract(t, r" > (.*)$", 1))
+    listed = valid.select("host", "a_page", "mean", ends.alias("ends"), F.explode("tokens").alias("token"))
+    copies = (kind == "text") & ~F.array_contains("ends", path) & (F.col("a_page") >= copy_share * F.col("mean"))
+    paths = saved(listed.where(~copies).select("host", "token"))
+    # Slots whose text is constant, or found on one page only, by nearly all its characters.
+    constant = own.where(kind == "text").join(paths.where(kind == "text"), ["host", "token"], "left_semi")
+    held = constant.groupBy("host", path.alias("path")).agg(F.sum("chars").alias("held"))
+    lone = own.where((kind == "text") & (F.col("pages") == 1)).groupBy("host", path.alias("path")).agg(F.sum("chars").alias("lone"))
+    slots = own.where(kind == "slot").select("host", "n", "pages", F.expr("substring(token, 6)").alias("path"), "chars").join(held, ["host", "path"], "left").join(lone, ["host", "path"], "left")
+    slots = saved(slots.withColumns({"held": F.coalesce("held", F.lit(0)), "lone": F.coalesce("lone", F.lit(0))}))
     still = slots.where((F.col("held") > 0) & (F.col("held") >= constant_share * F.col("chars"))).select("host", F.concat(F.lit("slot "), "path").alias("token"))
+    content = slots.where((F.col("pages") >= support * F.col("n")) & (F.col("lone") >= constant_share * F.col("chars"))).select("host", F.concat(F.lit("content "), "path").alias("token"))
     # The container: varying characters below each path above a slot.
     varying = slots.select("host", F.split("path", "/").alias("steps"), (F.col("chars") - F.col("held")).alias("chars")).where("chars > 0 and size(steps) > 2")
     above = varying.select("host", "chars", F.explode(F.transform(F.sequence(F.lit(2), F.size("steps") - 1), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice("steps", 1, i), "/").alias("path")))).alias("up"))
@@ -298,7 +328,7 @@ def deduce_templates(pages: DataFrame, support: float = 0.5, least_pages: int =
     template = paths.where(F.col("token").startswith("path ")).select("host", F.regexp_extract("token", r" > (.*)$", 1).alias("path")).distinct()
     most = mass.join(whole, "host").where(F.col("chars") >= main_share * F.col("whole")).join(template, ["host", "path"], "left_semi")
     main = most.groupBy("host").agg(F.max(F.struct("depth", "chars", "path")).alias("main"))
-    names = paths.unionByName(still).groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
+    names = paths.unionByName(still).unionByName(content).groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
     both = names.join(main, "host", "full")
     return both.select("host", F.to_json(F.struct(F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), F.col("main.path").alias("main"))).alias("template"))
 
@@ -315,6 +345,7 @@ class Template:
         spec = json.loads(source) if source else {"tokens": []}
         self.constant = {t for t in spec["tokens"] if t.startswith("text ")}
         self.still = {t.partition(" ")[2] for t in spec["tokens"] if t.startswith("slot ")}
+        self.content = {t.partition(" ")[2] for t in spec["tokens"] if t.startswith("content ")}
         self.main = spec.get("main")
         if self.main and _step(self.main) in ("html", "body"):
             self.main = None  # no container holds most of the text
@@ -330,6 +361,10 @@ class Template:
         """The block's text, or all its slot holds, is constant over the host."""
         return node.path in self.still or _text_token(node, text) in self.constant
 
+    def goes(self, node: Node) -> bool:
+        """Elements or names speak against the block and its slot does not speak for it."""
+        return node.surely or node.furniture and node.path not in self.content
+
     def inside(self, node: Node) -> bool:
         """In the main container, or a heading right beside it."""
         above = self.main.rpartition("/")[0]
@@ -343,7 +378,7 @@ def main_text(page: str | None, template: Template) -> str:
     named = [(node, text) for node, text in got if not node.furniture]
     varying = [(node, text) for node, text in left if not node.furniture]
     if template.main:
-        inside = [(node, text) for node, text in varying if template.inside(node)]
+        inside = [(node, text) for node, text in left if template.inside(node) and not template.goes(node)]
         if inside:
             return "\n".join(text for _, text in inside)
     # No container, or none on this page: elements decide.
@@ -362,21 +397,26 @@ def main_text(page: str | None, template: Template) -> str:
     return "\n".join(text for node, text in rest if f"{node.path}/".startswith(f"{best}/"))
 
 
-def extract_text(pages: DataFrame, host_bound: int = 20_000, **options) -> DataFrame:
+def extract_text(pages: DataFrame, template_bytes: int = 32 << 20, salts: int = 32, **options) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page.
 
     A null page has an empty text, a null url has the empty host, null ids stay; rows
     that repeat give repeated results; other columns are ignored; an empty table gives
     an empty result.  Character references are decoded once, white space in a block
     becomes one space, blocks are joined by a line break.  A tag, comment or script that
-    does not end takes the rest of its page.  Templates are broadcast up to ``host_bound``
-    hosts and joined by a shuffle beyond it.
+    does not end takes the rest of its page.  Templates are broadcast up to
+    ``template_bytes`` in all; beyond it pages are joined with them by host and one of
+    ``salts`` parts, so that a large host is not one task.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("host", host_of(F.col("url")))
     templates = saved(deduce_templates(rows, **options))
-    host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
-    keyed = rows.withColumn("host", F.coalesce(host, F.lit("")))
-    joined = keyed.join(F.broadcast(templates) if templates.count() <= host_bound else templates, "host", "left")
+    size = templates.agg(F.sum(F.octet_length("template") + F.octet_length("host"))).first()[0] or 0
+    if size <= template_bytes:
+        joined = rows.join(F.broadcast(templates), "host", "left")
+    else:
+        part = F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int").alias("part")
+        spread = templates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = rows.select("*", part).join(spread, ["host", "part"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str | None, Template] = {}
