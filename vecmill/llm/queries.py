@@ -85,7 +85,7 @@ def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .resampling import resampled
 
-    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("n_words")
 
 
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

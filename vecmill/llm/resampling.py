@@ -118,12 +118,15 @@ def drawn(rows: DataFrame, how: Resampling, doc_id: str = "doc_id") -> DataFrame
     return top.unionByName(rows.where(~high).withColumn("rank", F.lit(None).cast("long")))
 
 
-def resampled(docs: DataFrame, target: DataFrame, how: Resampling = Resampling(), doc_id: str = "doc_id", text: str = "text", target_text: str = "text") -> DataFrame:
+def resampled(docs: DataFrame, target: DataFrame, how: Resampling = Resampling(), doc_id: str = "doc_id", text: str = "text", target_text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Every row of ``docs`` with ``n_words, n_features, weight, score, rank``: its mean gain
     towards ``target``, its noisy score, and its place among the ``percent`` drawn (else
-    null).  Columns of these names in ``docs`` are replaced."""
+    null).  Columns of these names in ``docs`` are replaced.  Of the others those in
+    ``keep`` are written and returned (all, if null; ``doc_id`` must be among them)."""
     table = gains(bucket_totals(docs, text, how), bucket_totals(target, target_text, how), how)
     rows = scored(docs, table, how, doc_id, text)
+    if keep is not None:
+        rows = rows.select(*keep, "n_words", "n_features", "weight", "score")
     return drawn(saved(rows), how, doc_id)
 
 
