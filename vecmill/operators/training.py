@@ -104,7 +104,7 @@ def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def task_consistent_batches(df: DataFrame, batch: int, seed: int, key: str, task: str = "task_id", shard_rows: int = 100_000, drop_last: bool = True) -> DataFrame:
-    """``batch_id`` and ``batch_order``: rows are shuffled within their task (by hash),
+    """``batch_id``, ``batch_slot`` and ``batch_order``: rows are shuffled within their task (by hash),
     cut into batches of one task, the rest of a task is dropped (or wrapped round from its
     start), and the batches are put in a hashed order.
 
@@ -126,10 +126,51 @@ def task_consistent_batches(df: DataFrame, batch: int, seed: int, key: str, task
         times = F.ceil((need - F.col("__place")) / F.col("__total")).cast("int")  # a task shorter than what is missing comes round several times
         again = rows.where(F.col("__place") < need).withColumn("__again", F.explode(F.sequence(F.lit(1), times)))
         rows = rows.unionByName(again.withColumn("__place", F.col("__place") + F.col("__again") * F.col("__total")).drop("__again"))
-    rows = rows.withColumn("batch_id", F.floor(F.col("__place") / batch)).withColumn("batch_order", F.xxhash64(task, "batch_id", F.lit(seed + 1)))
+    rows = rows.withColumn("batch_id", F.floor(F.col("__place") / batch)).withColumn("batch_slot", F.pmod("__place", F.lit(batch)).cast("int")).withColumn("batch_order", F.xxhash64(task, "batch_id", F.lit(seed + 1)))
     return rows.drop("__h", "__shard", "__in", "__before", "__total", "__place")
 
 
+def rank_batches(df: DataFrame, batch: int, world: int, seed: int, key: str, epoch: int = 0, task: str = "task_id", drop_last: bool = True, shard_rows: int = 100_000) -> DataFrame:
+    """Rows of an epoch with ``epoch, rank, batch_no, batch_slot``: global batches of one task
+    each, numbered in the epoch's hashed order, of which rank ``r`` of ``world`` has the
+    ``r``-th run of ``batch / world`` rows.
+
+    Every epoch shuffles anew, and the same epoch gives the same batches.  Batches are
+    numbered as rows are: counts of earlier hash ranges and a rank inside the range."""
+    if batch % world:
+        raise ValueError(f"a batch of {batch} cannot be dealt to {world} ranks alike")
+    rows = task_consistent_batches(df, batch, seed * 1_000_003 + epoch, key, task, shard_rows, drop_last)
+    firsts = rows.where("batch_slot = 0").select(task, "batch_id", "batch_order")  # a row a batch
+    shards = max(1, -(-df.count() // batch // shard_rows))
+    firsts = firsts.withColumn("__shard", F.floor((F.col("batch_order").cast("double") + 2.0**63) / 2.0**64 * shards).cast("int"))
+    before = Window.orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = firsts.groupBy("__shard").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")  # a row a shard
+    inside = F.row_number().over(Window.partitionBy("__shard").orderBy("batch_order", task, "batch_id")) - 1
+    numbers = firsts.withColumn("__in", inside).join(sizes, "__shard").select(F.col(task).alias("__task"), F.col("batch_id").alias("__id"), (F.col("__before") + F.col("__in")).cast("long").alias("batch_no"))
+    share = batch // world
+    numbered = rows.join(numbers, rows[task].eqNullSafe(F.col("__task")) & (rows["batch_id"] == F.col("__id"))).drop("__task", "__id", "batch_id", "batch_order")
+    return numbered.withColumn("epoch", F.lit(epoch)).withColumn("rank", F.floor(F.col("batch_slot") / share).cast("int")).withColumn("batch_slot", F.pmod("batch_slot", F.lit(share)).cast("int"))
+
+
+def write_rank_batches(df: DataFrame, path: str, batch: int, world: int, seed: int, key: str, epoch: int = 0, files_a_rank: int = 1, **options) -> None:
+    """Add an epoch to the batch table: folders by epoch and rank, rows in batch order, each
+    file a run of batches, so a rank opens its own files only and skips what it has seen."""
+    rows = rank_batches(df, batch, world, seed, key, epoch, **options)
+    last = rows.agg(F.max("batch_no")).first()[0]
+    run = max(1, -(-((last or 0) + 1) // files_a_rank))
+    piece = F.floor(F.col("batch_no") / run).cast("int")
+    dealt = rows.withColumn("__piece", piece).repartition(world * files_a_rank, "rank", "__piece").sortWithinPartitions("rank", "__piece", "batch_no", "batch_slot").drop("__piece")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch", "rank").parquet(path)
+
+
+def read_rank(df: DataFrame, rank: int, epoch: int, from_batch: int = 0) -> DataFrame:
+    """What rank ``rank`` has to do from the cursor (epoch, batch) on, in order: the rest of
+    that epoch and all later ones that are there.  Folders of other ranks and earlier epochs
+    are not listed, batches before the cursor are skipped by the files' statistics."""
+    rest = (F.col("rank") == rank) & (F.col("epoch") >= epoch) & ((F.col("epoch") > epoch) | (F.col("batch_no") >= from_batch))
+    return df.where(rest).orderBy("epoch", "batch_no", "batch_slot")
+
+
 def truncate_to_batches(df: DataFrame, batch: int, order: list[str], col: str = "source") -> DataFrame:
     """Each source cut to a multiple of the batch size, in order (columns that tell the
     rows of a source apart).

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -21,6 +21,9 @@ from ..operators import merge as G
 from ..operators import metrics as R
 from ..operators import summary as Y
 from ..operators import training as T
+from ..sources import files as X
+from ..sources import packed as K
+from ..sources import safetensors as N
 from ..sources import sinks as W
 from ..sources import tables as S
 from . import testdata as D
@@ -340,6 +343,14 @@ def task_consistent_batches(spark, d):
     return rows.groupBy("source").agg(F.count("*").alias("n_rows"), F.countDistinct("batch_id").alias("n_batches"))
 
 
+@query("SELECT source, r AS rank, count(*) // 16 * 4 AS n_rows, count(*) // 16 AS n_batches, 1 AS tasks_a_batch, (SELECT sum(n // 16) FROM (SELECT count(*) AS n FROM documents GROUP BY source)) AS batches FROM documents, range(4) t(r) GROUP BY ALL HAVING count(*) >= 16")
+def rank_slices(spark, d):
+    rows = T.rank_batches(D.table(spark, d, "documents").select("doc_id", "source"), 16, 4, 7, "doc_id", task="source")
+    tasks = rows.groupBy("batch_no").agg(F.countDistinct("source").alias("tasks"))
+    whole = tasks.agg(F.max("tasks").alias("tasks_a_batch"), (F.max("batch_no") + 1).alias("batches"))  # one row
+    return rows.groupBy("source", "rank").agg(F.count("*").alias("n_rows"), F.countDistinct("batch_no").alias("n_batches")).crossJoin(whole)
+
+
 @query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE rn <= n // 16 * 16")
 def truncate_to_batches(spark, d):
     return T.truncate_to_batches(D.table(spark, d, "documents").select("doc_id", "source"), 16, ["doc_id"])
@@ -820,16 +831,18 @@ def ard_margin(spark, d):
 
 
 # Arms are the vectors with even and odd row numbers of a label, parameters their pairs.
-@query("SELECT param, i AS idx, round(sum(w * x), 6) AS value FROM (SELECT label || '.' || (rn // 2) AS param, unnest(range(0, 64)) AS i, unnest(embedding::DOUBLE[]) AS x, CASE rn % 2 WHEN 0 THEN 0.4 ELSE 0.6 END AS w, n, rn FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn, count(*) OVER (PARTITION BY label) AS n FROM embeddings) WHERE rn < n // 2 * 2) GROUP BY ALL")
-def weighted_merge(spark, d):
-    from pyspark.sql import Window
-
+def _arms(spark, d):
+    """Two arms of the vectors of a label in turn, ``arm, param, idx, value``."""
     w = Window.partitionBy("label")
     rows = D.table(spark, d, "embeddings").withColumn("rn", F.row_number().over(w.orderBy("vec_id")) - 1).withColumn("n", F.count("*").over(w))
     whole = rows.where("rn < n - n % 2")  # every arm must have every parameter
     name = F.concat_ws(".", F.col("label").cast("string"), F.floor(F.col("rn") / 2).cast("string"))
-    values = whole.select(F.concat(F.lit("arm"), F.pmod("rn", F.lit(2)).cast("string")).alias("arm"), name.alias("param"), F.posexplode("embedding").alias("idx", "value"))
-    return rounded(G.weighted_merge(values, {"arm0": 0.8, "arm1": 1.2}), "value")
+    return whole.select(F.concat(F.lit("arm"), F.pmod("rn", F.lit(2)).cast("string")).alias("arm"), name.alias("param"), F.posexplode("embedding").alias("idx", "value"))
+
+
+@query("SELECT param, i AS idx, round(sum(w * x), 6) AS value FROM (SELECT label || '.' || (rn // 2) AS param, unnest(range(0, 64)) AS i, unnest(embedding::DOUBLE[]) AS x, CASE rn % 2 WHEN 0 THEN 0.4 ELSE 0.6 END AS w, n, rn FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn, count(*) OVER (PARTITION BY label) AS n FROM embeddings) WHERE rn < n // 2 * 2) GROUP BY ALL")
+def weighted_merge(spark, d):
+    return rounded(G.weighted_merge(_arms(spark, d), {"arm0": 0.8, "arm1": 1.2}), "value")
 
 
 @query("SELECT key, count(DISTINCT coalesce(value, 'null')) AS values, count(DISTINCT arm) AS arms FROM (SELECT lang AS arm, source AS key, (n_chars > 3000)::VARCHAR AS value FROM documents) GROUP BY 1 HAVING count(DISTINCT coalesce(value, 'null')) > 1 OR count(DISTINCT arm) < (SELECT count(DISTINCT lang) FROM documents)")
@@ -837,3 +850,26 @@ def config_disagreements(spark, d):
     docs = D.table(spark, d, "documents")
     cfg = docs.select(F.col("lang").alias("arm"), F.col("source").alias("key"), (F.col("n_chars") > 3000).cast("string").alias("value"))
     return G.disagreements(cfg, [f"src{i}" for i in range(20)])
+
+
+@query(_SQL["weighted_merge"])
+def merged_weights(spark, d):
+    """The same through files: arms written as 64-bit safetensors, merged run by run."""
+    top, arms = X.scratch(spark), _arms(spark, d)
+    shapes = {r.param: ("F64", [64]) for r in arms.select("param").distinct().collect()}  # a row a tensor, which the head of a file lists
+    paths = {}
+    for arm in ("arm0", "arm1"):
+        names = N.write_safetensors(N.runs_of(arms.where(F.col("arm") == arm).drop("arm"), 48), shapes, f"{top}/{arm}")
+        paths[arm] = f"{top}/{arm}/{names[0]}"
+    merged = N.merged_runs(N.read_safetensors(spark, paths, 40), {"arm0": 0.8, "arm1": 1.2})
+    return rounded(N.elements(merged), "value")
+
+
+@query(f"WITH {D.BAGS} SELECT doc_id, tok_idx, unnest(range(0, 64)) AS i, unnest(list_transform(vec, lambda x: floor(64 * x) / 64)) AS x FROM bags WHERE doc_id % 3 = 1")
+def packed_bags(spark, d):
+    """Bags in half precision (of values that it holds), read back for some documents."""
+    top = X.scratch(spark)
+    bags = D.bags(spark, d).withColumn("tokens", F.transform("tokens", lambda v: F.transform(v, lambda x: F.floor(64 * x) / 64)))
+    index = K.write_packed(bags, f"{top}/bags", 8192)
+    got = K.read_packed(spark, f"{top}/bags", index.where(F.pmod("doc_id", F.lit(3)) == 1))
+    return got.select("doc_id", F.posexplode("tokens").alias("tok_idx", "v")).select("doc_id", "tok_idx", F.posexplode("v").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
