@@ -723,6 +723,22 @@ def turned(image, degrees):
     return media.sample(image, (h - 1) / 2 + c * yy - s * xx, (w - 1) / 2 + s * yy + c * xx)
 
 
+def test_votes_in_blocks_equal_counting_all_pairs(spark):
+    rng = random.Random(12)
+    keys = {n: {rng.randrange(60) for _ in range(rng.randrange(0, 9))} for n in range(90)}
+    root = {n: n // 3 * 3 if n < 60 else n for n in keys}
+    by = {}
+    for n, own in keys.items():
+        for k in own:
+            by.setdefault(k, []).append(n)
+    rows = [(k, n, root[n]) for k, own in by.items() if len({root[n] for n in own}) > 1 for n in own]
+    want = {(a, b) for a in keys for b in keys if a < b and root[a] != root[b] and len(keys[a] & keys[b]) >= 2}
+    got = linking.voted_across(spark.createDataFrame(rows, "key long, b long, root long"), 2, share=11).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 50
+    counts = linking.shared_counts([np.array([1, 5, 9]), np.array([2])], [np.array([9, 1]), np.array([], int), np.array([5])], at_once=1)
+    assert counts.tolist() == [[2, 0, 1], [0, 0, 0]]
+
+
 def test_copies_are_found_and_others_are_not(spark):
     rng = np.random.default_rng(3)
     images = [media.vector_image(rng.normal(0, 0.125, 64)) for _ in range(40)]

@@ -184,28 +184,96 @@ def across(left: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: Compar
     return blocks.mapInArrow(run, "a long, b long")
 
 
+def met_in_blocks(left: DataFrame, extra: DataFrame, cols: list[str], share: int) -> DataFrame:
+    """Rows ``group, i, j, role, node, comp, *cols`` laid out as in ``across``, for what is
+    counted on numbers: role 0 are nodes outside a group's largest component, role 1 all.
+    ``extra`` gives ``node, *cols``."""
+    heads = left.groupBy("key").agg(F.min("b").alias("a"))
+    group = components(left.join(heads, "key").where("a <> b").select("a", "b")).withColumnRenamed("root", "group")
+    nodes = saved(left.select(F.col("b").alias("node"), F.col("root").alias("comp")).distinct().join(group, "node"))
+    sizes = nodes.groupBy("group", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("group").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"))
+    main = main.select("group", F.col("main.comp").alias("largest"), F.ceil(F.col("n") / share).cast("int").alias("wide"), F.ceil((F.col("n") - F.col("main.n")) / share).cast("int").alias("high"))
+    rows = nodes.join(main, "group").join(extra, "node")
+    i, j = F.expr("cast(pmod(xxhash64(node), high) as int)"), F.expr("cast(pmod(xxhash64(node), wide) as int)")
+    outside = rows.where("comp <> largest").withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("wide") - 1))).withColumn("role", F.lit(0))
+    every = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("high") - 1))).withColumn("j", j).withColumn("role", F.lit(1))
+    named = ["group", "i", "j", "role", "node", "comp", *cols]
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return outside.select(*named).unionByName(every.select(*named)).repartition(n, "group", "i", "j").sortWithinPartitions("group", "i", "j", "role", "node")
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], at_once: int = 2048) -> np.ndarray:
+    """How many keys each of ``left`` shares with each of ``right`` (distinct keys each)."""
+    mine, theirs = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(mine, theirs)
+    row, col = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    out = np.zeros((len(left), len(right)), np.float32)
+    for k in range(0, len(both), at_once):
+        some = both[k : k + at_once]
+
+        def incidence(keys: np.ndarray, place: np.ndarray, n: int, some=some) -> np.ndarray:
+            hit = np.minimum(np.searchsorted(some, keys), len(some) - 1)
+            ok = some[hit] == keys
+            m = np.zeros((n, len(some)), np.float32)
+            m[place[ok], hit[ok]] = 1
+            return m
+
+        out += incidence(mine, row, len(left)) @ incidence(theirs, col, len(right)).T
+    return out
+
+
+def voted_across(left: DataFrame, votes: int, share: int = 500) -> DataFrame:
+    """Pairs ``a, b`` of different components that share at least ``votes`` keys, of rows ``key,
+    b, root`` whose buckets all hold several.  Keys are counted block against block."""
+    keys = left.select(F.col("b").alias("node"), "key").distinct().groupBy("node").agg(F.collect_list("key").alias("keys"))  # the keys of one node
+    blocks = met_in_blocks(left, keys, ["keys"], share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(held) -> Iterator[pa.RecordBatch]:
+            if held[0] and held[1]:
+                (an, ac, ak), (bn, bc, bk) = (list(zip(*h, strict=True)) for h in held)
+                a, b = np.array(an, np.int64), np.array(bn, np.int64)
+                ok = (shared_counts(list(ak), list(bk)) >= votes) & (np.array(ac, np.int64)[:, None] != np.array(bc, np.int64)[None])
+                i, j = np.nonzero(ok)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j]))], names=["a", "b"])
+
+        now, held = None, ([], [])
+        for batch in batches:
+            meta = [batch.column(k).to_pylist() for k in range(6)]
+            own = (k.values.to_numpy() for k in batch.column(6))
+            for g, bi, bj, role, node, comp, k in zip(*meta, own, strict=True):
+                if (g, bi, bj) != now:
+                    yield from pairs(held)
+                    now, held = (g, bi, bj), ([], [])
+                held[role].append((node, comp, k))
+        yield from pairs(held)
+
+    return blocks.mapInArrow(run, "a long, b long").distinct()
+
+
 def link_voted(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: Comparer, votes: int) -> tuple[DataFrame, DataFrame]:
     """(links ``a, b``; roots ``node, root`` of linked nodes) of rows ``node, key`` whose
     keys are so long that unlike rows hardly ever share one.
 
-    Pairs are formed and their shared keys counted on numbers alone, and payloads are
-    fetched only for pairs that share at least ``votes`` keys.  Every member of a bucket
-    meets its least member first; then, in buckets that still hold several components,
-    members of different components meet.  Any two rows with enough shared keys thus
-    either end in one class or have been compared."""
+    Shared keys are counted on numbers alone, and payloads are fetched only for pairs that
+    share at least ``votes`` keys.  Every member of a bucket meets its least member first;
+    then, in buckets that still hold several components, members of different components
+    meet in blocks.  Any two rows with enough shared keys thus either end in one class or
+    have been compared."""
     buckets = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     members = saved(among(keyed, saved(buckets.select("key", "a")), "key").select("key", "a", F.col("node").alias("b")))
-    enough = lambda pairs: saved(pairs.groupBy("a", "b").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes).select("a", "b"))
-    links = saved(compared(enough(members.where("a <> b").select("a", "b")), fetch, how))
+    stars = members.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes).select("a", "b")
+    links = saved(compared(saved(stars), fetch, how))
     root = saved(components(links))
     label = members.join(root.withColumnRenamed("node", "b"), "b", "left").select("key", "b", F.coalesce("root", "b").alias("root"))
     mixed = label.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = saved(label.join(mixed, "key"))
-    pairs = left.join(left.withColumnsRenamed({"b": "c", "root": "root2"}), "key").where("root < root2")
-    more = saved(compared(enough(pairs.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b"))), fetch, how))
-    if not more.isEmpty():
-        links = saved(links.unionByName(more))
-        root = saved(components(links))
+    left = saved(among(label, saved(mixed), "key"))
+    if not left.isEmpty():
+        more = saved(compared(saved(voted_across(left, votes)), fetch, how))
+        if not more.isEmpty():
+            links = saved(links.unionByName(more))
+            root = saved(components(links))
     return links, root
 
 
