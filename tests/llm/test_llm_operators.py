@@ -733,8 +733,10 @@ def test_votes_in_blocks_equal_counting_all_pairs(spark):
             by.setdefault(k, []).append(n)
     rows = [(k, n, root[n]) for k, own in by.items() if len({root[n] for n in own}) > 1 for n in own]
     want = {(a, b) for a in keys for b in keys if a < b and root[a] != root[b] and len(keys[a] & keys[b]) >= 2}
-    got = linking.voted_across(spark.createDataFrame(rows, "key long, b long, root long"), 2, share=11).collect()
-    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 50
+    left = spark.createDataFrame(rows, "key long, b long, root long")
+    for crowd in (0, 5, 7, 1000):  # all in blocks, both ways, none
+        got = linking.voted_across(left, 2, crowd, share=11).collect()
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 50
     counts = linking.shared_counts([np.array([1, 5, 9]), np.array([2])], [np.array([9, 1]), np.array([], int), np.array([5])], at_once=1)
     assert counts.tolist() == [[2, 0, 1], [0, 0, 0]]
 

@@ -223,10 +223,34 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], at_once: int
     return out
 
 
-def voted_across(left: DataFrame, votes: int, share: int = 500) -> DataFrame:
+def voted_across(left: DataFrame, votes: int, crowd: int = 256, share: int = 500) -> DataFrame:
     """Pairs ``a, b`` of different components that share at least ``votes`` keys, of rows ``key,
-    b, root`` whose buckets all hold several.  Keys are counted block against block."""
-    keys = left.select(F.col("b").alias("node"), "key").distinct().groupBy("node").agg(F.collect_list("key").alias("keys"))  # the keys of one node
+    b, root`` whose buckets all hold several.
+
+    A bucket of at most ``crowd`` members gives its pairs as rows (a member has less than
+    ``crowd``).  A crowded one never does: nodes of crowded buckets meet in blocks, where
+    their crowded keys are counted.  Pairs with too few votes from small buckets are
+    completed with the crowded keys of both, so every key counts."""
+    sizes = saved(left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"))
+    if sizes.isEmpty():
+        small, crowded = left, None
+    else:
+        marks = F.broadcast(sizes) if sizes.count() <= 1_000_000 else sizes
+        small, crowded = left.join(marks, "key", "left_anti"), saved(left.join(marks, "key"))
+    pairs = small.join(small.withColumnsRenamed({"b": "c", "root": "root2"}), "key").where("root < root2")
+    counted = saved(pairs.groupBy(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).agg(F.count("*").alias("votes")))
+    found = counted.where(F.col("votes") >= votes).select("a", "b")
+    if crowded is None:
+        return found
+    keys = saved(crowded.groupBy(F.col("b").alias("node")).agg(F.collect_set("key").alias("keys")))  # the keys of one node
+    few = counted.where(F.col("votes") < votes).join(keys.withColumnsRenamed({"node": "a", "keys": "own"}), "a").join(keys.withColumnsRenamed({"node": "b", "keys": "other"}), "b")
+    more = few.where(F.col("votes") + F.size(F.array_intersect("own", "other")) >= votes).select("a", "b")
+    return found.unionByName(more).unionByName(voted_in_blocks(crowded, keys, votes, share)).distinct()
+
+
+def voted_in_blocks(left: DataFrame, keys: DataFrame, votes: int, share: int) -> DataFrame:
+    """Pairs ``a, b`` of different components that share at least ``votes`` of ``keys`` (``node,
+    keys``), counted block against block."""
     blocks = met_in_blocks(left, keys, ["keys"], share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +273,7 @@ def voted_across(left: DataFrame, votes: int, share: int = 500) -> DataFrame:
                 held[role].append((node, comp, k))
         yield from pairs(held)
 
-    return blocks.mapInArrow(run, "a long, b long").distinct()
+    return blocks.mapInArrow(run, "a long, b long")
 
 
 def link_voted(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: Comparer, votes: int) -> tuple[DataFrame, DataFrame]:
@@ -259,7 +283,7 @@ def link_voted(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: C
     Shared keys are counted on numbers alone, and payloads are fetched only for pairs that
     share at least ``votes`` keys.  Every member of a bucket meets its least member first;
     then, in buckets that still hold several components, members of different components
-    meet in blocks.  Any two rows with enough shared keys thus either end in one class or
+    meet (``voted_across``).  Any two rows with enough shared keys thus either end in one class or
     have been compared."""
     buckets = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     members = saved(among(keyed, saved(buckets.select("key", "a")), "key").select("key", "a", F.col("node").alias("b")))
