@@ -1,5 +1,7 @@
 """Operators without SQL, edge cases and properties."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -40,6 +42,35 @@ def test_ward_equals_brute_force(n, k, seed):
     assert {frozenset(np.flatnonzero(labels == c).tolist()) for c in set(labels)} == (brute_ward(points, k) if k < n else {frozenset([i]) for i in range(n)})
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(2, 16), st.integers(1, 8), st.integers(1, 3), st.integers(0, 10_000))
+def test_ward_with_ties_equals_brute_force(n, k, side, seed):
+    """Small whole numbers: equal points and equal distances are exact, and many."""
+    points = np.random.default_rng(seed).integers(0, side + 1, size=(n, 2)).astype(float)
+    labels = C.ward(points.copy(), k)
+    assert {frozenset(np.flatnonzero(labels == c).tolist()) for c in set(labels)} == (brute_ward(points, k) if k < n else {frozenset([i]) for i in range(n)})
+
+
+def test_ward_of_a_large_bag_has_linear_memory():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(32, 64)) * 20
+    truth = np.concatenate([np.arange(32), rng.integers(0, 32, 6000 - 32)])
+    points = (centres[truth] + rng.normal(size=(6000, 64))).astype(np.float32)
+    points[1000:2000] = points[1000]
+    truth[1000:2000] = truth[1000]
+    tracemalloc.start()
+    labels = C.ward(points, 32)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (labels == truth).all()
+    assert most < 60e6  # a matrix of the distances has 288 MB
+
+
+def test_ward_refuses_points_that_are_not_finite():
+    with pytest.raises(ValueError, match="finite"):
+        C.ward(np.array([[0.0], [np.nan], [1.0]]), 2)
+
+
 def bags(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, tokens array<array<double>>")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -69,38 +70,93 @@ def grid_errors(docs: DataFrame, merge: int = 2) -> DataFrame:
     return docs.withColumn("error", why).where("error is not null")
 
 
+def _nearest(sums: np.ndarray, size: np.ndarray, centres: np.ndarray, norm: np.ndarray, label: np.ndarray, i: int) -> tuple[float, int, int]:
+    """Least (distance, lower label, higher label) of cluster ``i`` and another: the others
+    that a matrix product cannot rule out are measured from sums, where ties are exact."""
+    weight = size * size[i] / (size + size[i])
+    rough = weight * (norm + norm[i] - 2.0 * (centres @ centres[i]))
+    slack = 1e-12 * weight * (norm + norm[i])
+    rough[i] = np.inf
+    with np.errstate(invalid="ignore"):  # rows of merged clusters are infinite and no one's nearest
+        near = np.flatnonzero(rough - slack <= (rough + slack).min())
+    gap = size[near, None] * sums[i] - size[i] * sums[near]
+    dist = (gap * gap).sum(1) / (size[near] * size[i] * (size[near] + size[i]))
+    low, high = np.minimum(label[near], label[i]), np.maximum(label[near], label[i])
+    k = np.lexsort((high, low, dist))[0]
+    return float(dist[k]), int(low[k]), int(high[k])
+
+
+def _chain(points: np.ndarray) -> list[tuple[float, int, int]]:
+    """All merges of Ward's clustering by chains of nearest neighbours, in no special order.
+
+    A cluster is called by its least member.  Pairs are ordered by (distance, lower label,
+    higher label), of which a union never has a lesser one to a third cluster than both its
+    parts had, so two clusters that are each other's nearest will be merged whatever
+    happens elsewhere.  Memory is linear in the points."""
+    n = len(points)
+    label, size = np.arange(n), np.ones(n)
+    sums = np.array(points, np.float64)
+    centres, norm = sums.copy(), (sums * sums).sum(1)
+    place = np.arange(n)  # of a label among the rows that are left
+    chain: list[int] = []  # labels
+    merges: list[tuple[float, int, int]] = []
+    dead, least = 0, 0
+    while len(merges) < n - 1:
+        if not chain:
+            while place[least] < 0:
+                least += 1
+            chain.append(least)
+        key = _nearest(sums, size, centres, norm, label, int(place[chain[-1]]))
+        other = key[2] if key[1] == chain[-1] else key[1]
+        if len(chain) < 2 or other != chain[-2]:
+            chain.append(other)
+            continue
+        merges.append(key)
+        del chain[-2:]
+        a, b = int(place[key[1]]), int(place[key[2]])
+        sums[a] += sums[b]
+        size[a] += size[b]
+        centres[a] = sums[a] / size[a]
+        norm[a] = (centres[a] * centres[a]).sum()
+        norm[b], place[key[2]], dead = np.inf, -1, dead + 1
+        if 2 * dead > len(label):
+            left = np.isfinite(norm)
+            label, size, sums, centres, norm = label[left], size[left], sums[left], centres[left], norm[left]
+            place[label], dead = np.arange(len(label)), 0
+    return merges
+
+
 def ward(points: np.ndarray, clusters: int) -> np.ndarray:
     """Labels of Ward's agglomerative clustering: merge the pair whose union raises the
     within-cluster sum of squares least (ties: least index pair), down to ``clusters``.
-    Labels number the clusters by their first member."""
+    Labels number the clusters by their first member.  Points must be finite."""
     n = len(points)
     if clusters >= n:
         return np.arange(n)
-    square = (points * points).sum(1)
-    dist = np.maximum(square[:, None] + square[None, :] - 2 * points @ points.T, 0.0)
-    np.fill_diagonal(dist, np.inf)
-    size, owner = np.ones(n), np.arange(n)
-    nearest, value = dist.argmin(1), dist.min(1)
-    alive = np.ones(n, bool)
+    if not np.isfinite(points).all():
+        raise ValueError("a point to cluster is not finite")
+    merges = _chain(points)
+    # Merges in order of their keys, each after those that made its two clusters.
+    newest: dict[int, int] = {}
+    waits, follow = [0] * len(merges), [-1] * len(merges)
+    for m, (_, low, high) in enumerate(merges):
+        for part in (low, high):
+            if part in newest:
+                waits[m] += 1
+                follow[newest[part]] = m
+        newest[low] = m
+    ready = [(*merges[m], m) for m in range(len(merges)) if not waits[m]]
+    heapq.heapify(ready)
+    owner = np.arange(n)
     for _ in range(n - clusters):
-        i = int(np.where(alive, value, np.inf).argmin())
-        j = int(nearest[i])
-        i, j = min(i, j), max(i, j)
-        # Update of squared Ward distances to the union of i and j.
-        d = ((size[i] + size) * dist[i] + (size[j] + size) * dist[j] - size * dist[i, j]) / (size[i] + size[j] + size)
-        d[~alive], d[i], d[j] = np.inf, np.inf, np.inf
-        dist[i], dist[:, i] = d, d
-        dist[j], dist[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        alive[j] = False
-        owner[owner == j] = i
-        value[j] = np.inf
-        nearest[i], value[i] = int(d.argmin()), d.min()
-        stale = np.flatnonzero(alive & ((nearest == i) | (nearest == j)))
-        for k in stale.tolist():
-            nearest[k], value[k] = int(dist[k].argmin()), dist[k].min()
-        closer = np.flatnonzero(alive & (d < value))
-        nearest[closer], value[closer] = i, d[closer]
+        _, low, high, m = heapq.heappop(ready)
+        owner[high] = low
+        if (up := follow[m]) >= 0:
+            waits[up] -= 1
+            if not waits[up]:
+                heapq.heappush(ready, (*merges[up], up))
+    for i in range(n):  # owners are lesser, so they are settled first
+        owner[i] = owner[owner[i]]
     return np.unique(owner, return_inverse=True)[1]
 
 
