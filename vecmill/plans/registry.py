@@ -22,6 +22,7 @@ from ..operators import metrics as R
 from ..operators import summary as Y
 from ..operators import training as T
 from ..sources import files as X
+from ..sources import images as P
 from ..sources import packed as K
 from ..sources import safetensors as N
 from ..sources import sinks as W
@@ -592,12 +593,13 @@ def best_three(spark, d):
     return rows.select("query_id", "gold", "hit", *[F.get("top", F.lit(i))["doc_id"].alias(n) for i, n in enumerate(("first", "second", "third"))])
 
 
-@query("SELECT source AS task, lang AS dataset, row_number() OVER (ORDER BY source, lang) - 1 AS place, CASE WHEN n % 2 = 0 THEN n END AS n FROM (SELECT source, lang, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY ALL)")
+@query("SELECT concat(source, '/', lang) AS task, lang AS dataset, row_number() OVER (ORDER BY source, lang) - 1 AS place, CASE WHEN n % 2 = 0 THEN n END AS n FROM (SELECT source, lang, count(*) AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY ALL)")
 def results_in_order(spark, d):
     from pyspark.sql import Window
 
-    n = D.table(spark, d, "documents").where("lang = 'en'").groupBy(F.col("source").alias("task"), F.col("lang").alias("dataset")).agg(F.count("*").alias("n"))
-    listed = n.select("task", "dataset", (F.row_number().over(Window.orderBy("task", "dataset")) - 1).alias("place"))  # a catalogue
+    n = D.table(spark, d, "documents").where("source is not null and lang is not null").groupBy("source", F.col("lang").alias("dataset")).agg(F.count("*").alias("n"))
+    n = n.withColumn("task", F.concat_ws("/", "source", "dataset"))
+    listed = n.select("task", "dataset", (F.row_number().over(Window.orderBy("source", "dataset")) - 1).alias("place"))  # a catalogue
     return R.in_order(n.where("n % 2 = 0").select("task", "n"), listed)
 
 
@@ -620,12 +622,26 @@ def trimmed_bags(spark, d):
     return M.nested(t).select("doc_id", F.size(V.trim_padding(F.col("tokens"))).alias("n_left"), F.size(V.trim_padding(F.col("tokens"), side="right")).alias("n_right"))
 
 
-@query(f"WITH {D.BAGS} SELECT doc_id, tok_idx, round(CASE WHEN (tok_idx + doc_id) % 3 = 0 THEN vec[1] ELSE 0 END, 6) AS x FROM bags")
+@query(f"WITH {D.BAGS} SELECT doc_id, tok_idx, unnest(range(0, 64)) AS i, round(unnest(list_transform(vec, lambda c: CASE WHEN (tok_idx + doc_id) % 3 = 0 THEN c ELSE 0 END)), 6) AS x FROM bags")
 def non_image_zeroed(spark, d):
     bags = M.nested(D.tokens(spark, d))
     ids = F.transform("tokens", lambda t, i: F.pmod(i + F.col("doc_id"), F.lit(3)))
     rows = bags.select("doc_id", F.posexplode(V.zeroed(F.col("tokens"), V.image_mask(ids, 0))).alias("tok_idx", "vec"))
-    return rounded(rows.select("doc_id", "tok_idx", F.element_at("vec", 1).alias("x")), "x")
+    return rounded(rows.select("doc_id", "tok_idx", F.posexplode("vec").alias("i", "x")), "x")
+
+
+@query(
+    "WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(0, least(255, floor(128 + 256 * x::DOUBLE)))) AS v FROM embeddings) "
+    "SELECT vec_id, 4 AS width, 4 AS height, c AS cell, floor((v[base + 1] + v[base + 2] + v[base + 9] + v[base + 10]) / 4 + 0.5)::INT AS value FROM (SELECT vec_id, v, c, c // 4 * 16 + c % 4 * 2 AS base FROM p, range(16) t(c))"
+)
+def decoded_pages(spark, d):
+    """Vectors as grey pictures of eight by eight, decoded and brought to four by four."""
+    grey = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 256 * x.cast("double")))).cast("int")
+    body = F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(grey(x)), 2, "0")), "")
+    pages = D.table(spark, d, "embeddings").select("vec_id", F.unhex(F.concat(F.hex(F.lit("P5 8 8 255\n")), body)).alias("image"), F.lit(4).alias("w"), F.lit(4).alias("h"))
+    cells = P.decoded(pages, size=("w", "h"), rows=256).select("vec_id", "width", "height", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("cell"), "pixels")
+    red = F.conv(F.hex(F.substring("pixels", F.col("cell") * 3 + 1, F.lit(1))), 16, 10).cast("int")
+    return cells.select("vec_id", "width", "height", "cell", red.alias("value"))
 
 
 _SIZES = "SELECT doc_id, (n_chars % 9000 + 20)::DOUBLE AS w, (doc_id % 7000 + 20)::DOUBLE AS h FROM documents"
@@ -641,10 +657,10 @@ def image_patches(spark, d):
     return D.table(spark, d, "documents").select("doc_id", across.alias("across"), down.alias("down"))
 
 
-@query("SELECT doc_id, dataset FROM (SELECT doc_id, lang AS dataset, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang <> 'fr') WHERE rn <= n // 16 * 16")
+@query("SELECT doc_id, dataset FROM (SELECT doc_id, lang AS dataset, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IN ('de', 'en', 'es', 'fr')) WHERE rn <= n // 16 * 16")
 def concatenated_datasets(spark, d):
     docs = D.table(spark, d, "documents").select("doc_id", "lang")
-    return T.concatenated({x: docs.where(F.col("lang") == x).select("doc_id") for x in ("en", "de", "es")}, 16, ["doc_id"])
+    return T.concatenated({x: docs.where(F.col("lang") == x).select("doc_id") for x in ("de", "en", "es", "fr")}, 16, ["doc_id"])
 
 
 @query("SELECT a.doc_id // 16 AS batch_id, a.doc_id AS row_a, b.doc_id AS row_b FROM documents a JOIN documents b ON a.doc_id // 16 = b.doc_id // 16 AND a.source = b.source AND a.doc_id <> b.doc_id")
