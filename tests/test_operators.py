@@ -229,3 +229,16 @@ def test_incremental_index(spark, tmp_path):
         stream = spark.readStream.schema("doc_id long, tokens array<array<double>>").parquet(src)
         index_arrivals(stream, q, f"{tmp_path}/index", f"{tmp_path}/checkpoint").awaitTermination()
     assert sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/index").collect()) == [1, 2]
+
+
+def test_arrivals_outside_the_best_are_scored_once(spark, tmp_path):
+    from vecmill.streaming.incremental import index_arrivals
+
+    src, q = f"{tmp_path}/in", spark.createDataFrame([(1, [[1.0, 0.0]])], "query_id long, tokens array<array<double>>")
+    both = [(1, [[1.0, 0.0]]), (2, [[0.5, 0.0]])]
+    for rows in (both, [*both, (3, [[0.9, 0.0]])]):
+        bags(spark, rows).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("doc_id long, tokens array<array<double>>").parquet(src)
+        index_arrivals(stream, q, f"{tmp_path}/index", f"{tmp_path}/checkpoint", top_k=1).awaitTermination()
+    assert sorted((r.batch, r.doc_id) for r in spark.read.parquet(f"{tmp_path}/index").collect()) == [(0, 1), (1, 3)]
+    assert sorted((r.batch, r.doc_id) for r in spark.read.parquet(f"{tmp_path}/index-seen").collect()) == [(0, 1), (0, 2), (1, 3)]
