@@ -657,6 +657,20 @@ def test_document_scores_equal_brute_force(spark, order):
         assert got[i].variety == pytest.approx(distinct / len(data) if data else 1.0)
 
 
+def test_groups_and_shards_of_bounded_size(spark):
+    """More groups than shuffle partitions, one to a partition, and more shards give the same."""
+    texts = [f"the {'cat' if i % 3 else 'dog'} number {i} sat on mat {i * i}. " * (i % 5 + 1) for i in range(120)] + ["", None, "long " * 400]
+    rows = docs(spark, texts)
+    counts = quality_lm.count_ngrams(rows.select("text"), 4)
+    few = quality_lm.document_scores(rows, counts, 4, ["doc_id"])
+    many = quality_lm.document_scores(rows, counts, 4, ["doc_id"], group_bytes=500, shard_codes=10)
+    total = sum(len((t or "").encode()) for t in texts)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-total // 500)})" in plan and "REPARTITION_BY_NUM" in plan
+    a, b = ({r.doc_id: (round(r.nats, 3), r.n_bytes, r.variety) for r in d.collect()} for d in (few, many))
+    assert len(a) == len(texts) and a == b
+
+
 def test_long_texts_are_scored_in_pieces():
     rng = np.random.default_rng(6)
     long = "".join(rng.choice(list("abcé "), 40_000))

@@ -8,8 +8,8 @@ Counts live in shards: n-gram counts are summed by a shuffle, lower orders and t
 statistics of contexts are aggregates of them, and the probability of every n-gram of the
 corpus comes from joins of the corpus's distinct n-grams with these tables, order by
 order.  Nothing of it is gathered in one place and no table is sent to all workers, so
-order, vocabulary and corpus may grow.  Documents are dealt into groups of some
-megabytes; a group asks the shards for its distinct n-grams and gets their probabilities,
+order, vocabulary and corpus may grow.  Documents are dealt into groups of bounded size
+(``GROUP_BYTES``), one to a partition, whose number grows with the input; a group asks the shards for its distinct n-grams and gets their probabilities,
 so a text crosses the network once and an n-gram once per group.
 
 A document is rejected when its perplexity is above its language's threshold, a quantile
@@ -31,6 +31,7 @@ from .storage import saved
 
 SYMBOLS = 256
 SHARD_CODES = 500_000  # n-grams of the corpus in a shard, about
+GROUP_BYTES = 128 << 20  # text of a group, about; a single longer text is a group's
 
 
 def codes(buf: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
@@ -234,19 +235,24 @@ def _labels(spark, parts: int) -> list[int]:
     return _known_labels[parts]
 
 
-def document_scores(docs: DataFrame, counts: DataFrame, order: int, carry: list[str], text_col: str = "text") -> DataFrame:
+def document_scores(docs: DataFrame, counts: DataFrame, order: int, carry: list[str], text_col: str = "text", group_bytes: int = GROUP_BYTES, shard_codes: int = SHARD_CODES) -> DataFrame:
     """``carry`` columns, ``nats`` (negative log probability of the whole text), ``n_bytes``
     and ``variety`` (the share of the n-grams in windows of 256 bytes that are distinct
-    there, 1 for an empty text) of every row; a null text is empty."""
+    there, 1 for an empty text) of every row; a null text is empty.
+
+    What a task holds does not follow the input: there are as many groups as it takes to
+    hold about ``group_bytes`` of text each (the session's shuffle partitions at least),
+    and as many shards as it takes for about ``shard_codes`` n-grams each."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     p = saved(probabilities(count_ngrams(docs.select(F.col(text_col)), order), counts, order))
-    shards = min(parts, max(64, p.count() // SHARD_CODES)) | 1  # odd: bytes are no multiples of it
+    shards = max(64, p.count() // shard_codes) | 1  # odd: bytes are no multiples of it
+    size = docs.agg(F.sum(F.octet_length(docs[text_col])).alias("n")).first().n or 0
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // group_bytes))
     # Inner columns get positions for names, so the rows may carry any names.
     names = [f"c{i}" for i in range(len(carry))]
     rows = docs.select(*[docs[c].alias(n) for c, n in zip(carry, names, strict=True)], docs[text_col].alias("text"))
-    label = F.array(*map(F.lit, _labels(spark, parts)))
-    rows = rows.withColumn("part", F.get(label, F.pmod(F.xxhash64(*names, "text"), F.lit(parts)).cast("int"))).repartition(parts, "part")
+    label = F.split(F.lit(",".join(map(str, _labels(spark, groups)))), ",").cast("array<int>")  # folded to one constant
+    rows = rows.withColumn("part", F.get(label, F.pmod(F.xxhash64(*names, "text"), F.lit(groups)).cast("int"))).repartition(groups, "part")
 
     def ask(table: pa.Table) -> pa.Table:
         code, by = _distinct(table, "text", order, shards)
@@ -327,6 +333,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """Rows of ``docs`` (all columns) that ``quality_verdicts`` keeps."""
     found = quality_verdicts(docs, labels, id_col, text_col, lang_col, with_key=True, **options)
-    gone = saved(found.where("not keep").select("key").distinct())
+    gone = saved(found.where("not keep").select("doc_id", "key").distinct())
     key = F.xxhash64(docs[id_col].cast("long"), docs[lang_col], docs[text_col])
-    return docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, key == gone["key"], "left_anti")
+    same = docs[id_col].cast("long").eqNullSafe(gone["doc_id"]) & (key == gone["key"])  # a chance hash of another id drops nothing
+    return docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, same, "left_anti")
