@@ -35,11 +35,11 @@ def product(*factors: float | None) -> float | None:
 def last_checkpoint(spark: SparkSession, folder: str) -> tuple[dict, int | None]:
     """State of the checkpoint with the highest number and how many processes left their
     random state in it; ``({}, None)`` without a checkpoint."""
-    numbered = [(int(m[1]), n) for n, _ in listing(spark, folder) if (m := re.fullmatch(r"checkpoint-(\d+)", n))]
+    numbered = [(int(m[1]), n) for n, _ in listing(spark, folder) if (m := re.match(r"checkpoint-(\d+)\Z", n))]
     if not numbered:
         return {}, None
     path = f"{folder}/{max(numbered)[1]}"
-    processes = sum(bool(re.fullmatch(r"rng_state_.*\.pth", n)) for n, _ in listing(spark, path))
+    processes = sum(bool(re.match(r"rng_state_.*\.pth\Z", n)) for n, _ in listing(spark, path))
     return read_json(spark, f"{path}/trainer_state.json"), processes or None
 
 
