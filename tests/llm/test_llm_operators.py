@@ -353,8 +353,9 @@ def test_repeats_equal_brute_force(spark, seed):
     rng.shuffle(texts)
     rows = list(enumerate(texts))
     want = brute_repeats(rows)
-    for hot in (20_000, 1):  # the second spreads crowded anchors over smaller buckets
-        got = suffix_dedup.remove_repeats(docs(spark, texts), hot=hot).collect()
+    # Crowded anchors spread over smaller buckets; buckets so small that anchors outgrow them.
+    for options in ({}, {"hot": 1}, {"bucket_bytes": 40}):
+        got = suffix_dedup.remove_repeats(docs(spark, texts), **options).collect()
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
 
 
@@ -382,6 +383,42 @@ def test_repeats_of_ids_with_several_texts(spark):
     back = {v: k for k, v in rid.items()}
     assert len(got) == 6 and all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[back[r.rid]] and r.doc_id == back[r.rid][0] for r in got)
     assert sum(r.n_removed == 0 for r in got) == 1
+    cut = suffix_dedup.without_repeats(frame).collect()
+    assert sorted(len(r.text) for r in cut) == sorted(r.n_bytes - r.n_removed for r in got)
+
+
+def test_anchors_that_outgrow_a_bucket_are_settled_by_segment():
+    """Verdicts equal those of a bucket held whole; what is held stays small."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for name in range(40):
+        n = 200
+        anchor = np.where(rng.random(n) < 0.5, 77, rng.integers(0, 2**62, n)).astype(np.uint64)  # half is one anchor's
+        segment = np.where(anchor == 77, rng.integers(0, 3000, n), anchor).astype(np.uint64)
+        doc, first, several = np.full(n, 100 - name), np.arange(n, dtype=np.int32), np.zeros(n, bool)
+        _, lead = np.unique(segment, return_index=True)
+        lead = np.sort(lead)
+        anchor, segment, doc, first, several = (c[lead] for c in (anchor, segment, doc, first, several))
+        rows.append((1, name, 0, b"".join(c.tobytes() for c in (anchor, segment, doc, first, several))))
+        rows.append((-1, name, -1, b"head"))
+    batch = lambda rs: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rs], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "batch", "base", "blob"])
+
+    def verdicts(out):
+        found = {}
+        for r in out:
+            if r["base"] == 0:
+                n = len(r["blob"]) // 5
+                found |= {(r["batch"], i): v for i, v in zip(np.frombuffer(r["blob"], np.uint32, n).tolist(), r["blob"][4 * n :], strict=True)}
+        return found
+
+    whole = [r for b in suffix_dedup._settle_all(iter([batch(rows)]), 7, 1 << 30) for r in b.to_pylist()]
+    small = [r for b in suffix_dedup._settle_all(iter([batch(rows)]), 7, 20_000) for r in b.to_pylist()]
+    loose = sorted((r for r in small if r["bucket"] is not None), key=lambda r: r["bucket"])
+    assert loose and not any(r["bucket"] is not None for r in whole)
+    assert sum(r["base"] == -1 for r in small) == 40
+    more = [r for b in suffix_dedup._settle_loose(iter([batch([tuple(r.values()) for r in loose])])) for r in b.to_pylist()]
+    want = verdicts(whole)
+    assert len(want) > 3000 and verdicts(small) | verdicts(more) == want
 
 
 def test_windows_of_a_crowd_come_once_from_a_task():

@@ -18,8 +18,11 @@ at a time, and
   laid out with their anchors at multiples of 8, so two windows that may be equal reach
   sampled positions at the same shift and one comparison of ranks settles the tie.
 
-Memory is bounded by a bucket (a share of the anchors) and a block of segments, not by
-the corpus.  Within a batch equal segments are combined before the shuffle.  The segments
+Memory is bounded by a bucket (a share of the anchors, as many as make about
+``BUCKET_BYTES``) and a block of segments, not by the corpus or the number of partitions.
+Within a batch equal segments are combined before the shuffle.  Where an anchor alone
+outgrows a bucket, its segments are settled in a second round, dealt by the segment: that
+it has several kinds is known by then, and equal ones still meet.  The segments
 of an anchor with very many different ones (text around a passage that very many
 documents share) are split further: equal windows have their anchor at one place and
 begin alike, so each window goes to the suffix bucket of its anchor, that place and its
@@ -45,8 +48,10 @@ _U64 = np.uint64
 _POS = 24  # low bits of a composite key: the place in a slice
 BATCH_BYTES = 4 << 20
 BLOCK_BYTES = 3 << 19
+BUCKET_BYTES = 16 << 20  # entries of a suffix bucket, about
 COVER = (0, 1, 2, 4)  # difference cover modulo 8
 _SHIFT = np.array([0, 0, 0, 1, 0, 3, 2, 1])  # to the next covered residue
+CUT_BYTES = 16 << 20  # of cut texts that may be broadcast
 _NULL_ID = np.iinfo(np.int64).min
 
 
@@ -150,58 +155,146 @@ def _scan(batches: Iterator[pa.RecordBatch], buckets: int, length: int, gram: in
             )
 
 
-def _settle(rows: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
+_ENTRY = np.dtype([("index", "<u4"), ("hash", "<u8"), ("segment", "<u8"), ("doc", "<i8"), ("first", "<i4"), ("several", "?")])
+_LOOSE = np.dtype([("index", "<u4"), ("segment", "<u8"), ("doc", "<i8"), ("first", "<i4")])
+
+
+def _entries(base: int, blob: bytes) -> np.ndarray:
+    n = len(blob) // 29
+    e = np.empty(n, _ENTRY)
+    e["index"] = np.arange(base, base + n)
+    for name, kind, at in (("hash", _U64, 0), ("segment", _U64, 8), ("doc", np.int64, 16), ("first", np.int32, 24), ("several", bool, 28)):
+        e[name] = np.frombuffer(blob, kind, n, at * n)
+    return e
+
+
+def _told(names: list[int], sizes: list[int], take: np.ndarray, index: np.ndarray, verdict: np.ndarray) -> Iterator[tuple]:
+    """Rows of verdicts (none is 0) of the entries ``take`` of several batches."""
+    take, index, verdict = take[verdict > 0], index[verdict > 0], verdict[verdict > 0]
+    order = np.argsort(take, kind="stable")
+    at = np.searchsorted(take[order], np.cumsum([0, *sizes]))
+    for name, a, b in zip(names, at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b > a:
+            yield None, name, 0, index[order[a:b]].astype(np.uint32).tobytes() + verdict[order[a:b]].astype(np.uint8).tobytes()
+
+
+def _settle(names: list[int], held: list[np.ndarray]) -> Iterator[tuple]:
     """One bucket: verdicts on every batch's entries.  1: an equal segment starts
     earlier elsewhere; 2: the first of several equal ones; 3: the first of its kind, and
     its anchor has other segments too."""
-    cols = []
-    for _, _, blob in rows:
-        n = len(blob) // 29
-        cols.append((np.frombuffer(blob, _U64, n), np.frombuffer(blob, _U64, n, 8 * n), np.frombuffer(blob, np.int64, n, 16 * n), np.frombuffer(blob, np.int32, n, 24 * n), np.frombuffer(blob, bool, n, 28 * n)))
-    h, s, doc, first, several = (np.concatenate(c) for c in zip(*cols, strict=True))
-    source = np.repeat(np.arange(len(rows)), [len(c[0]) for c in cols])
-    index = np.concatenate([np.arange(len(c[0])) for c in cols])
-    order = np.argsort(h, kind="stable")
-    hs = h[order]
+    e = np.concatenate(held)
+    order = np.argsort(e["hash"], kind="stable")
+    hs = e["hash"][order]
     new = np.concatenate(([True], hs[1:] != hs[:-1]))
     size = np.diff(np.concatenate((np.flatnonzero(new), [len(hs)])))
-    seen = np.repeat(size > 1, size) | several[order]
-    order = order[seen]  # the rest occurs once
+    order = order[np.repeat(size > 1, size) | e["several"][order]]  # the rest occurs once
     if not len(order):
         return
-    order = order[np.lexsort((first[order], doc[order], s[order], h[order]))]
-    h, s, doc, first, several, source, index = (c[order] for c in (h, s, doc, first, several, source, index))
+    e, take = e[order], order
+    order = np.lexsort((e["first"], e["doc"], e["segment"], e["hash"]))
+    e, take = e[order], take[order]
+    h, doc, first = e["hash"], e["doc"], e["first"]
     new_h = np.concatenate(([True], h[1:] != h[:-1]))
-    new_s = new_h | np.concatenate(([True], s[1:] != s[:-1]))
-    group_h, group_s = np.cumsum(new_h) - 1, np.cumsum(new_s) - 1
-    kinds = np.bincount(group_h[new_s])[group_h]
-    lead = np.flatnonzero(new_s)[group_s]
+    new_s = new_h | np.concatenate(([True], e["segment"][1:] != e["segment"][:-1]))
+    kinds = np.bincount((np.cumsum(new_h) - 1)[new_s])[np.cumsum(new_h) - 1]
+    lead = np.flatnonzero(new_s)[np.cumsum(new_s) - 1]
     is_first = (doc == doc[lead]) & (first == first[lead])
-    verdict = np.where(~is_first, 1, np.where(kinds > 1, 3, np.where(several, 2, 0))).astype(np.uint8)
-    take = np.flatnonzero(verdict)
-    take = take[np.argsort(source[take], kind="stable")]
-    at = np.searchsorted(source[take], np.arange(len(rows) + 1))
-    for i, (batch, base, _) in enumerate(rows):
-        own = take[at[i] : at[i + 1]]
-        if len(own):
-            yield batch, base, (index[own] + base).astype(np.uint32).tobytes() + verdict[own].tobytes()
-
-
-def _settle_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, bucket = [], None
-    make = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["batch", "base", "blob"])
+    verdict = np.where(~is_first, 1, np.where(kinds > 1, 3, np.where(e["several"], 2, 0)))
+    yield from _told(names, [len(x) for x in held], take, e["index"], verdict)
+
+
+def _crowded(held: list[np.ndarray], most: int) -> np.ndarray:
+    """Anchors of more than ``most`` entries and of several kinds of segments, in order."""
+    h, s = (np.concatenate([e[c] for e in held]) for c in ("hash", "segment"))
+    order = np.lexsort((s, h))
+    h, s = h[order], s[order]
+    at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    end = np.concatenate((at[1:], [len(h)]))
+    return h[at[(end - at > most) & (s[at] != s[end - 1])]]
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (("bucket", pa.int32()), ("batch", pa.int64()), ("base", pa.int32()), ("blob", pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
+
+
+def _settle_all(batches: Iterator[pa.RecordBatch], buckets: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Verdicts and the texts' own rows (without bucket); entries of anchors that alone
+    outgrow ``limit`` bytes go on, with the bucket of their segment."""
+    names: list[int] = []
+    held: list[np.ndarray] = []
+    crowd, size, bound, bucket = np.zeros(0, _U64), 0, limit, None
+
+    def loose(name: int, e: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+        at = np.minimum(np.searchsorted(crowd, e["hash"]), len(crowd) - 1)
+        gone = crowd[at] == e["hash"]
+        out, some = e[gone], []
+        if len(out):
+            own = (out["segment"] >> _U64(33)).astype(np.int64) % buckets
+            order = np.argsort(own, kind="stable")
+            sent = np.empty(len(out), _LOOSE)
+            for c in _LOOSE.names:
+                sent[c] = out[c][order]
+            cut = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
+            some = [(int(own[order[a]]), name, -2, x.tobytes()) for a, x in zip(cut.tolist(), np.split(sent, cut[1:]), strict=True)]
+        return e[~gone], some
+
     for batch in batches:
         for b, name, base, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if b < 0:
-                yield make([(name, -1, blob)])
+                yield _rows([(None, name, -1, blob)])
                 continue
-            if b != bucket and held:
-                yield make(list(_settle(held)))
-                held = []
-            bucket = b
-            held.append((name, base, blob))
+            if b != bucket:
+                if held:
+                    yield _rows(list(_settle(names, held)))
+                names, held, crowd, size, bound, bucket = [], [], np.zeros(0, _U64), 0, limit, b
+            e = _entries(base, blob)
+            if len(crowd):
+                e, some = loose(name, e)
+                if some:
+                    yield _rows(some)
+            names.append(name)
+            held.append(e)
+            size += e.nbytes
+            if size > bound:
+                more = _crowded(held, max(1, limit // (8 * _ENTRY.itemsize)))
+                if len(more):
+                    crowd = np.union1d(crowd, more)
+                    for i, e in enumerate(held):
+                        held[i], some = loose(names[i], e)
+                        if some:
+                            yield _rows(some)
+                    size = sum(e.nbytes for e in held)
+                bound = max(limit, 2 * size)  # many anchors, or one kind: its copies come once a batch
+    if held:
+        yield _rows(list(_settle(names, held)))
+
+
+def _settle_loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verdicts on segments of crowded anchors, which have other kinds besides."""
+    names: list[int] = []
+    held: list[np.ndarray] = []
+    bucket = None
+
+    def settle() -> pa.RecordBatch:
+        e = np.concatenate(held)
+        take = np.lexsort((e["first"], e["doc"], e["segment"]))
+        e = e[take]
+        new = np.concatenate(([True], e["segment"][1:] != e["segment"][:-1]))
+        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+        is_first = (e["doc"] == e["doc"][lead]) & (e["first"] == e["first"][lead])
+        return _rows(list(_told(names, [len(x) for x in held], take, e["index"], np.where(is_first, 3, 1))))
+
+    for batch in batches:
+        for b, name, _, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if b != bucket:
+                if held:
+                    yield settle()
+                names, held, bucket = [], [], b
+            names.append(name)
+            held.append(np.frombuffer(blob, _LOOSE))
     if held:
-        yield make(list(_settle(held)))
+        yield settle()
 
 
 _REPEATS = np.dtype([("lo", "<u4"), ("hi", "<u4")])
@@ -413,20 +506,22 @@ def _finish(batches: Iterator[pa.RecordBatch], length: int, text_out: bool) -> I
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["rid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
-def _ordered(rows: DataFrame, parts: int) -> DataFrame | None:
-    """``rid, place``: numbers in the order of id and text, where an id has several texts;
-    nothing where each id has one."""
-    pairs = rows.select("doc_id", "rid").distinct()
-    n = pairs.agg(F.count("*").alias("texts"), (F.countDistinct("doc_id") + F.max(F.col("doc_id").isNull().cast("long"))).alias("ids")).first()
-    if not n.texts or n.texts == n.ids:
-        return None
-    by = pairs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "rid").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "rid")
-    return saved(by.withColumn("place", F.monotonically_increasing_id()))  # grows with the ranges
+def _ordered(rows: DataFrame, parts: int) -> tuple[DataFrame | None, int]:
+    """(``rid, place``: numbers in the order of id and text, where an id has several texts;
+    nothing where each id has one; bytes of all texts)."""
+    pairs = rows.groupBy("doc_id", "rid").agg(F.sum(F.octet_length("text")).alias("n_bytes"))
+    least = F.coalesce("doc_id", F.lit(_NULL_ID))  # a null id sorts as the least number
+    n = pairs.agg(F.count("*").alias("texts"), F.countDistinct(least).alias("ids"), F.sum("n_bytes").alias("n_bytes")).first()
+    if n.texts == n.ids:
+        return None, n.n_bytes or 0
+    by = pairs.select("doc_id", "rid").repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "rid").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "rid")
+    return saved(by.withColumn("place", F.monotonically_increasing_id())), n.n_bytes or 0  # grows with the ranges
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 24, hot: int = 20_000, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 24, hot: int = 20_000, keep_text: bool = False, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` per row (with ``keep_text``
-    also ``rid``, a hash of id and text, and ``kept_text``, null where nothing goes).
+    also ``kept_text``, null where nothing goes, and ``rid``, a hash of id and text where an
+    id has several texts, else null).
 
     A null text is empty; texts under ``length`` bytes lose nothing; rows that repeat
     both id and text count as one document and get the same result; rows of one id with
@@ -434,29 +529,40 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others and stays null; overlaps count; strings are judged on the input.
     ``kept_text`` drops what the cut leaves of a divided character.  Other columns are
     ignored, an empty table gives an empty result.  ``hot`` is the number of different
-    segments from which an anchor's windows are sorted in smaller buckets; the result
-    does not depend on it.
+    segments from which an anchor's windows are sorted in smaller buckets, and
+    ``bucket_bytes`` the size of a suffix bucket, whose number grows with the input; the
+    result depends on neither.
     """
     if not 96 <= length <= 104 - 4 or gram >= length:
         raise ValueError("the cover's ranks serve lengths of 96 to 100")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.xxhash64(docs[id_col].cast("long"), docs[text_col]).alias("rid"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    order = _ordered(rows, parts)
+    order, size = _ordered(rows, parts)
+    buckets = max(2 * parts, 3 * size // (4 * bucket_bytes))  # some 29 bytes for each 39 of text
+    how = (parts, buckets, 4 * bucket_bytes, length, gram, hot, keep_text)
+    # Inside, a document is a number of its own: its id, or its place where ids repeat.
     if order is None:
-        out = _repeats(rows, parts, length, gram, hot, keep_text)
+        numbered = rows.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("rid"), "doc_id", "text")
+        out = _repeats(numbered, *how).withColumn("rid", F.lit(None).cast("long"))
     else:
-        placed = rows.join(order.select("rid", "place"), "rid").select("rid", F.col("place").alias("doc_id"), "text")
-        out = _repeats(placed, parts, length, gram, hot, keep_text).drop("doc_id").join(order.drop("place"), "rid")
+        same = (F.col("rid") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d"))
+        placed = rows.join(order.withColumnsRenamed({"rid": "r", "doc_id": "d"}), same)
+        out = _repeats(placed.select(F.col("place").alias("rid"), F.col("place").alias("doc_id"), "text"), *how)
+        out = out.drop("doc_id").withColumnRenamed("rid", "place").join(order, "place")
     cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     return out.select("rid", *cols, "kept_text") if keep_text else out.select(*cols)
 
 
-def _repeats(rows: DataFrame, parts: int, length: int, gram: int, hot: int, keep_text: bool) -> DataFrame:
-    buckets = 2 * parts
+def _repeats(rows: DataFrame, parts: int, buckets: int, limit: int, length: int, gram: int, hot: int, keep_text: bool) -> DataFrame:
     dealt = rows.mapInArrow(lambda b: _scan(b, buckets, length, gram), "bucket int, batch long, base int, blob binary")
     dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    settled = saved(dealt.mapInArrow(_settle_all, "batch long, base int, blob binary"))
-    by_batch = settled.repartition(parts, "batch").sortWithinPartitions("batch", F.col("base").desc())
+    told = "bucket int, batch long, base int, blob binary"
+    settled = saved(dealt.mapInArrow(lambda b: _settle_all(b, buckets, limit), told))
+    loose, verdicts = settled.where("bucket is not null"), settled.where("bucket is null")
+    if not loose.isEmpty():
+        loose = loose.repartition(parts, "bucket").sortWithinPartitions("bucket")
+        verdicts = verdicts.unionByName(saved(loose.mapInArrow(_settle_loose, told)))
+    by_batch = verdicts.drop("bucket").repartition(parts, "batch").sortWithinPartitions("batch", F.col("base").desc())
     found = saved(by_batch.mapInArrow(_by_text, "rid long, doc_id long, n_bytes long, digest string, spans binary, opens binary"))
 
     def texts_of(flagged: DataFrame) -> DataFrame:
@@ -491,7 +597,10 @@ def _repeats(rows: DataFrame, parts: int, length: int, gram: int, hot: int, keep
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` (all columns) with repeated strings cut from the texts."""
-    cut = saved(remove_repeats(docs, id_col, text_col, keep_text=True, **options).where("n_removed > 0").select("rid", "kept_text").distinct())
-    own = F.xxhash64(docs[id_col].cast("long"), docs[text_col])
-    both = docs.join(F.broadcast(cut) if cut.count() <= 1_000 else cut, own == cut["rid"], "left")
+    cut = saved(remove_repeats(docs, id_col, text_col, keep_text=True, **options).where("n_removed > 0").select("rid", "doc_id", "kept_text").distinct())
+    size = cut.agg(F.sum(F.octet_length("kept_text") + 64).alias("n"), F.count("rid").alias("hashed")).first()
+    same = docs[id_col].cast("long").eqNullSafe(cut["doc_id"])
+    if size.hashed:  # ids of several texts
+        same &= F.xxhash64(docs[id_col].cast("long"), docs[text_col]) == cut["rid"]
+    both = docs.join(F.broadcast(cut) if (size.n or 0) <= CUT_BYTES else cut, same, "left")
     return both.select(*[F.coalesce(cut["kept_text"], docs[text_col]).alias(c) if c == text_col else docs[c] for c in docs.columns])
