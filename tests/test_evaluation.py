@@ -283,6 +283,24 @@ def test_more_training_tables(spark, tmp_path):
     assert S.parameters(spark, {"a": f"{tmp_path}/w", "b": f"{tmp_path}/w"}).count() == 2 and S.take(rows, 3).count() == 3
 
 
+def test_rows_of_a_hot_key_are_dealt_to_several_tasks(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2500, 1).when(F.col("id") < 2990, F.col("id")).alias("query_id"), (F.col("id") / 3000).alias("x"))
+    whole, dealt = (L.softmax_sums(rows, ["query_id"], "x", share=n) for n in (10_000, 100))
+    want = {r.query_id: (r.x_peak, r.x_sum, r.key_rows) for r in whole.collect()}
+    got = {r.query_id: (r.x_peak, r.x_sum, r.key_rows) for r in dealt.collect()}
+    assert len(got) == 491 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)  # it would put small partitions together
+    try:
+        placed = L.beside(rows, dealt, ["query_id"], 100)
+        assert placed.count() == 2990  # a null key has no totals
+        tasks = placed.where("query_id = 1").select(F.spark_partition_id().alias("p")).distinct().count()
+        assert tasks > 1 and "SortMergeJoin" in placed._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_masks_and_softmax_of_a_hot_key(spark):
     rows = spark.range(2000).select(F.lit(1).alias("query_id"), F.col("id").alias("doc_id"), (F.col("id") / 2000).alias("score"), (F.col("id") == 1999).alias("is_pos"))
     import math

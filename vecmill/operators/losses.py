@@ -4,8 +4,8 @@ A score table has ``query_id, doc_id, score`` and, where a loss needs them,
 ``teacher_score``, ``is_pos`` (one row per query), ``slot_mask``, ``group_id`` (of the
 document's query) and ``sample_weight``.  A softmax over the candidates of a query (of a
 document for the column direction) is a maximum and a sum of exponentials: two partial
-aggregates, joined back where every candidate is needed, so a key with very many
-candidates is never in one task.
+aggregates, put beside the candidates where every one is needed (``beside``), so a key
+with very many candidates is never in one task.
 """
 
 from __future__ import annotations
@@ -15,16 +15,35 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
+HOT_ROWS = 1_000_000  # rows of a key beyond which they are dealt to several tasks
 MASKED = -1e4  # logit of a masked candidate in the distillation losses
 
 
-def softmax_sums(df: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+def beside(df: DataFrame, totals: DataFrame, keys: list[str], share: int = HOT_ROWS) -> DataFrame:
+    """Rows with their key's row of ``totals`` (``key_rows`` among its columns, none of
+    which ``df`` has).
+
+    Totals of keys with more than ``share`` rows, at most one in ``share`` rows, are
+    broadcast, and these keys' rows are dealt by all their columns; the others meet their
+    totals by the key."""
+    names = [c for c in totals.columns if c not in keys]
+    hot = totals.where(F.col("key_rows") > share).withColumnsRenamed({c: f"hot_{c}" for c in names})
+    rows = df.join(F.broadcast(hot), keys, "left")
+    dealt = 1 + F.pmod(F.xxhash64(*df.columns), F.ceil(F.col("hot_key_rows") / share))
+    rows = rows.withColumn("key_salt", F.when(F.col("hot_key_rows").isNull(), F.lit(0)).otherwise(dealt).cast("int"))
+    # A computed 0: a literal would not count as a key of the join.
+    cold = totals.where(F.col("key_rows") <= share).withColumn("key_salt", (F.col("key_rows") > share).cast("int"))
+    both = rows.join(cold, [*keys, "key_salt"], "left").where("key_rows is not null or hot_key_rows is not null")
+    return both.select(*df.columns, *[F.coalesce(f"hot_{c}", c).alias(c) for c in names])
+
+
+def softmax_sums(df: DataFrame, keys: list[str], *columns: str, share: int = HOT_ROWS) -> DataFrame:
     """Per key the maximum ``c_peak`` and the sum ``c_sum`` of ``exp(c - c_peak)`` of each
-    column."""
-    peaks = df.groupBy(*keys).agg(*[F.max(c).alias(f"{c}_peak") for c in columns])
+    column, and the number of rows ``key_rows``."""
+    peaks = df.groupBy(*keys).agg(*[F.max(c).alias(f"{c}_peak") for c in columns], F.count("*").alias("key_rows"))
     sums = [F.sum(F.exp(F.col(c) - F.col(f"{c}_peak"))).alias(f"{c}_sum") for c in columns]
-    firsts = [F.first(f"{c}_peak").alias(f"{c}_peak") for c in columns]
-    return df.select(*keys, *columns).join(peaks, keys).groupBy(*keys).agg(*firsts, *sums)
+    firsts = [F.first(c).alias(c) for c in (*[f"{c}_peak" for c in columns], "key_rows")]
+    return beside(df.select(*keys, *columns), peaks, keys, share).groupBy(*keys).agg(*firsts, *sums)
 
 
 def log_softmax(c: str) -> Column:
@@ -138,7 +157,7 @@ def weighted_mean(losses: DataFrame, weight: str | None = None) -> DataFrame:
 def listwise_kl(df: DataFrame, temperature: float = 0.02, teacher_temperature: float = 1.0) -> DataFrame:
     """One row ``loss``: KL(softmax(grade / Tt) || softmax(score / T)), mean over queries."""
     x = df.select("query_id", (F.col("score") / temperature).alias("q"), (F.col("grade") / teacher_temperature).alias("p"))
-    rows = x.join(softmax_sums(x, ["query_id"], "p", "q"), "query_id")
+    rows = beside(x, softmax_sums(x, ["query_id"], "p", "q"), ["query_id"])
     kl = F.exp(log_softmax("p")) * (log_softmax("p") - log_softmax("q"))
     return rows.agg((F.sum(kl) / F.countDistinct("query_id")).alias("loss"))
 
@@ -149,7 +168,7 @@ def _distilled(df: DataFrame, key: str, tie: str, temperature: float, teacher_te
     q = mask_logits(F.col("score") / temperature, masked) if "score" in df.columns else p
     valid = F.lit(1) if masked is None else (~masked).cast("long")
     x = df.select(F.col(key), F.col(tie), "is_pos", p.alias("p"), q.alias("q"), valid.alias("valid"))
-    rows = x.join(softmax_sums(x, [key], "p", "q"), key)
+    rows = beside(x, softmax_sums(x, [key], "p", "q"), [key])
     lp, lq = log_softmax("p"), log_softmax("q")
     g = rows.groupBy(key).agg(
         F.sum(F.exp(lp) * (lp - lq)).alias("kl"), (-F.sum(F.exp(lp) * lp)).alias("h"), F.sum("valid").alias("n"),
