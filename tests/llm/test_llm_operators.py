@@ -4,6 +4,8 @@ import hashlib
 import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -370,6 +372,55 @@ def test_repeats_edge_rows(spark):
         suffix_dedup.remove_repeats(docs(spark, []), length=50)
 
 
+WORKER_MEMORY = """
+import random
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from vecmill.llm import near_dedup, suffix_dedup
+
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+
+def anonymous(batches):
+    for _ in batches:
+        kb = next(x.split()[1] for x in open("/proc/self/status") if x.startswith("RssAnon"))
+        yield pa.RecordBatch.from_arrays([pa.array([int(kb) // 1024])], names=["mb"])
+
+rng = random.Random(3)
+pool = ["".join(rng.choices("abcdefghijkl", k=rng.randrange(2, 9))) for _ in range(20000)]
+rows = [(i, " ".join(rng.choices(pool, k=320))) for i in range(9000)]
+rows += [(9000 + i, rows[i][1][:900] + rows[i + 1][1][:900]) for i in range(3000)]
+docs = suffix_dedup.saved(spark.createDataFrame(rows, "doc_id long, text string"))
+held = lambda: spark.range(1).mapInArrow(anonymous, "mb long").first().mb
+near_dedup.signatures(docs.selectExpr("unhex(md5(text)) digest", "doc_id", "text"), 96, 24, 5).count()
+print("HELD", held(), end=" ")
+suffix_dedup.remove_repeats(docs).agg({"n_removed": "sum"}).collect()
+print(held())
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/status"), reason="reads the memory of a process")
+def test_workers_give_back_what_a_task_needed():
+    """A worker serves later stages too, so what it still holds counts against them."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    run = subprocess.run([sys.executable, "-c", WORKER_MEMORY], capture_output=True, text=True, timeout=300, env=os.environ | {"PYTHONPATH": root})
+    near, repeats = map(int, re.search(r"HELD (\d+) (\d+)", run.stdout).groups())
+    assert near < 120 and repeats < 94, (near, repeats)  # MB; 140 and 115 without
+
+
+def test_big_rows_are_saved_in_small_row_groups(spark):
+    from pyarrow import parquet
+
+    from vecmill.llm import storage
+
+    rows = spark.range(0, 48, 1, 1).select("id", F.expr("cast(array_join(transform(sequence(1, 16384), x -> sha2(concat(id, ' ', x), 256)), '') as binary)").alias("blob"))
+    back = storage.saved(rows, big_rows=True)
+    assert back.agg(F.count("*"), F.countDistinct("blob"), F.min(F.length("blob"))).first() == (48, 48, 1 << 20)
+    (file,) = (f.removeprefix("file://") for f in back.inputFiles())
+    meta = parquet.ParquetFile(file).metadata
+    sizes = [meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)]
+    assert len(sizes) >= 2 and max(sizes) <= 28 << 20
+
+
 def test_repeats_of_ids_with_several_texts(spark):
     rng = random.Random(4)
     t = " ".join(words(rng, 60))

@@ -7,7 +7,8 @@ into slices of a few megabytes at document boundaries, which bounds memory.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,33 @@ def _powers(kind: str, n: int) -> np.ndarray:
     return _pow[kind][:n]
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: workers serve later stages too, and what they
+    hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, for ``mapInArrow``, with what a batch needed given back before the next one,
+    and what the task needed (tables of powers too) at its end."""
+
+    def fed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            give_back()
+
+    def thrift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(fed(batches))
+        _pow.update(up=np.ones(1, _U64), down=np.ones(1, _U64))
+        give_back()
+
+    return thrift
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser with full avalanche (xor-shift and multiply)."""
     x = x ^ (x >> _U64(30))

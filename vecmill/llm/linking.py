@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .storage import saved
 
 
@@ -94,7 +95,7 @@ def compared(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: Com
                     right.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return together(pairs, fetch).mapInArrow(run, "a long, b long")
+    return together(pairs, fetch).mapInArrow(K.thrifty(run), "a long, b long")
 
 
 def node_ids(nodes: DataFrame, least: str) -> DataFrame:
@@ -181,7 +182,7 @@ def across(left: DataFrame, fetch: Callable[[DataFrame], DataFrame], how: Compar
                 held[role].append((node, comp, sketch, item))
         yield from links(now, held)
 
-    return blocks.mapInArrow(run, "a long, b long")
+    return blocks.mapInArrow(K.thrifty(run), "a long, b long")
 
 
 def met_in_blocks(left: DataFrame, extra: DataFrame, cols: list[str], share: int) -> DataFrame:

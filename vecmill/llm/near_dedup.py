@@ -139,7 +139,7 @@ def signatures(docs: DataFrame, slots: int, bands: int, width: int) -> DataFrame
                     names=["digest", "doc_id", "keys", "sketch"],
                 )
 
-    return docs.select("digest", "doc_id", "text").mapInArrow(run, "digest binary, doc_id long, keys array<long>, sketch array<long>")
+    return docs.select("digest", "doc_id", "text").mapInArrow(K.thrifty(run), "digest binary, doc_id long, keys array<long>, sketch array<long>")
 
 
 def _parsed(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -18,7 +18,6 @@ of trusted documents of that language which the model has not seen.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -191,10 +190,7 @@ def _scored(column: pa.Array, code: np.ndarray, logp: np.ndarray, order: int, wi
 def _trimmed[T](table: T) -> T:
     """The table, after what a group needed has gone back to the machine: workers serve
     later stages too, and what they hold counts against the executor."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
-    if trim is not None:
-        trim(0)
+    K.give_back()
     return table
 
 

@@ -40,12 +40,18 @@ def _at(spark: SparkSession, uri: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def saved(df: DataFrame) -> DataFrame:
+#: For rows of up to megabytes: pages and row groups are measured every few rows, else a
+#: page takes a hundred rows at least and a writer holds a row group of 128 MB.
+_BIG_ROWS = {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 8, "parquet.block.size": 16 << 20}
+
+
+def saved(df: DataFrame, big_rows: bool = False) -> DataFrame:
     """Write the rows as Parquet to the shared folder and read them back: later steps
-    start from the files, so a lost executor costs no recomputation."""
+    start from the files, so a lost executor costs no recomputation.  With ``big_rows``
+    row groups have some 16 MB, so neither writers nor readers hold more at once."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.options(**(_BIG_ROWS if big_rows else {})).parquet(path)
     fs, at = _at(spark, path)
     fs.deleteOnExit(at)
     _written.append((spark.sparkContext.applicationId, path))

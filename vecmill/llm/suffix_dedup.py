@@ -159,6 +159,12 @@ _ENTRY = np.dtype([("index", "<u4"), ("hash", "<u8"), ("segment", "<u8"), ("doc"
 _LOOSE = np.dtype([("index", "<u4"), ("segment", "<u8"), ("doc", "<i8"), ("first", "<i4")])
 
 
+def _with_blobs(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows whose last column comes as bytes one at a time, not all at once."""
+    *others, blobs = batch.columns
+    return zip(*(c.to_pylist() for c in others), (b.as_py() for b in blobs), strict=True)
+
+
 def _entries(base: int, blob: bytes) -> np.ndarray:
     n = len(blob) // 29
     e = np.empty(n, _ENTRY)
@@ -240,7 +246,7 @@ def _settle_all(batches: Iterator[pa.RecordBatch], buckets: int, limit: int) ->
         return e[~gone], some
 
     for batch in batches:
-        for b, name, base, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for b, name, base, blob in _with_blobs(batch):
             if b < 0:
                 yield _rows([(None, name, -1, blob)])
                 continue
@@ -286,7 +292,7 @@ def _settle_loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return _rows(list(_told(names, [len(x) for x in held], take, e["index"], np.where(is_first, 3, 1))))
 
     for batch in batches:
-        for b, name, _, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for b, name, _, blob in _with_blobs(batch):
             if b != bucket:
                 if held:
                     yield settle()
@@ -305,7 +311,7 @@ def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One batch of texts after the other: verdicts first, then the texts' own row."""
     name, verdicts = None, []
     for batch in batches:
-        for b, base, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for b, base, blob in _with_blobs(batch):
             if b != name:
                 name, verdicts = b, []
             if base >= 0:
@@ -554,16 +560,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _repeats(rows: DataFrame, parts: int, buckets: int, limit: int, length: int, gram: int, hot: int, keep_text: bool) -> DataFrame:
-    dealt = rows.mapInArrow(lambda b: _scan(b, buckets, length, gram), "bucket int, batch long, base int, blob binary")
+    dealt = rows.mapInArrow(K.thrifty(lambda b: _scan(b, buckets, length, gram)), "bucket int, batch long, base int, blob binary")
     dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket")
     told = "bucket int, batch long, base int, blob binary"
-    settled = saved(dealt.mapInArrow(lambda b: _settle_all(b, buckets, limit), told))
+    settled = saved(dealt.mapInArrow(K.thrifty(lambda b: _settle_all(b, buckets, limit)), told), big_rows=True)
     loose, verdicts = settled.where("bucket is not null"), settled.where("bucket is null")
     if not loose.isEmpty():
         loose = loose.repartition(parts, "bucket").sortWithinPartitions("bucket")
-        verdicts = verdicts.unionByName(saved(loose.mapInArrow(_settle_loose, told)))
+        verdicts = verdicts.unionByName(saved(loose.mapInArrow(K.thrifty(_settle_loose), told), big_rows=True))
     by_batch = verdicts.drop("bucket").repartition(parts, "batch").sortWithinPartitions("batch", F.col("base").desc())
-    found = saved(by_batch.mapInArrow(_by_text, "rid long, doc_id long, n_bytes long, digest string, spans binary, opens binary"))
+    found = saved(by_batch.mapInArrow(K.thrifty(_by_text), "rid long, doc_id long, n_bytes long, digest string, spans binary, opens binary"))
 
     def texts_of(flagged: DataFrame) -> DataFrame:
         keys = flagged.select("rid").distinct()
@@ -572,17 +578,17 @@ def _repeats(rows: DataFrame, parts: int, buckets: int, limit: int, length: int,
 
     still = found.where("opens is not null").dropDuplicates(["rid"]).select("rid", "doc_id", "opens")
     kinds = "hash long, doc long, rid long, lo int, anchor int, bytes binary"
-    segs = saved(still.join(texts_of(still), "rid").mapInArrow(lambda b: _segments(b, length), kinds))
+    segs = saved(still.join(texts_of(still), "rid").mapInArrow(K.thrifty(lambda b: _segments(b, length)), kinds))
     many = saved(segs.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("hash"))
     none = many.isEmpty()
     many = F.broadcast(many) if many.count() <= 1_000_000 else many
     few, late = segs, None
     if not none:
         few = segs.join(many, "hash", "left_anti")
-        crowd = saved(segs.join(many, "hash", "left_semi").mapInArrow(lambda b: _spread(b, length), f"{kinds}, late boolean"))
+        crowd = saved(segs.join(many, "hash", "left_semi").mapInArrow(K.thrifty(lambda b: _spread(b, length)), f"{kinds}, late boolean"))
         few, late = few.unionByName(crowd.where("not late").drop("late")), crowd.where("late").select("rid", "lo")
     few = few.repartition(parts, "hash").sortWithinPartitions("hash")
-    more = few.mapInArrow(lambda b: _resolve(b, length), "rid long, more binary")
+    more = few.mapInArrow(K.thrifty(lambda b: _resolve(b, length)), "rid long, more binary")
     if late is not None:
         u4 = F.expr("unhex(concat(lpad(hex(lo & 255), 2, '0'), lpad(hex((lo >> 8) & 255), 2, '0'), lpad(hex((lo >> 16) & 255), 2, '0'), lpad(hex((lo >> 24) & 255), 2, '0')))")
         more = more.unionByName(late.select("rid", F.concat(u4, u4).alias("more")))
@@ -591,7 +597,7 @@ def _repeats(rows: DataFrame, parts: int, buckets: int, limit: int, length: int,
     changed = saved(joined.where("spans is not null or more is not null").select("rid", "doc_id", "n_bytes", "digest", "spans", "more"))
     same = joined.where("spans is null and more is null")
     same = same.select("rid", "doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("digest").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
-    cut = changed.join(texts_of(changed), "rid").mapInArrow(lambda b: _finish(b, length, keep_text), same.schema)
+    cut = changed.join(texts_of(changed), "rid").mapInArrow(K.thrifty(lambda b: _finish(b, length, keep_text)), same.schema)
     return same.unionByName(cut)
 
 
