@@ -2,7 +2,9 @@
 
 ``embeddings`` become token bags: the vectors of a label in id order, eight to a bag
 (``doc_id = label * 1000 + bag``); the first bag of a label is a query; a bag of the
-query's label is relevant, with grade 2 if it is the next one, else 1.
+query's label is relevant, with grade 2 if it is the next one, else 1.  Beyond 8,000 vectors
+a label's bags run into the ids of the next label's: such bags are one, with several tokens
+to a place.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ def tokens(spark: SparkSession, sf_dir: str, dim: int | None = None) -> DataFram
 
 
 def bags(spark: SparkSession, sf_dir: str, dim: int | None = None) -> DataFrame:
-    return M.nested(tokens(spark, sf_dir, dim))
+    return M.nested(tokens(spark, sf_dir, dim), places=True)
 
 
 def queries(all_bags: DataFrame) -> DataFrame:
