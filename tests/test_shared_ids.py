@@ -13,18 +13,19 @@ from vecmill.operators import compress as C
 from vecmill.operators import maxsim as M
 from vecmill.plans import registry
 
-# Bags 1000 to 1002 of label 0 are 0 to 2 of label 1; the last has 5 tokens of one and 4 of the other.
-ROWS = {0: 8021, 1: 20, 2: 41, 3: 30}
+# Bags 1000 to 1007 of label 0 are 0 to 7 of label 1; the last has 5 tokens of one and 4 of the other.
+ROWS = {0: 8061, 1: 60, 2: 41, 3: 30}
 QUERIES = [
     "candidate_maxsim",
+    "avg4_headline",
 ]
 
 
 @pytest.fixture(scope="module")
 def tables(tmp_path_factory):
-    rng, folder = np.random.default_rng(3), tmp_path_factory.mktemp("shared")
+    rng, folder = np.random.default_rng(4), tmp_path_factory.mktemp("shared")
     labels = rng.permutation(np.repeat(list(ROWS), list(ROWS.values())))
-    vectors = (rng.normal(size=(len(labels), 64)) / 8).astype(np.float32)
+    vectors = ((rng.normal(size=(len(labels), 64)) + 0.4 * rng.normal(size=(len(ROWS), 64))[labels]) / 8).astype(np.float32)
     pq.write_table(pa.table({"vec_id": np.arange(len(labels)), "embedding": list(vectors), "label": pa.array(labels, pa.int32())}), folder / "embeddings.parquet")
     return str(folder)
 
