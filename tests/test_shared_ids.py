@@ -18,6 +18,7 @@ ROWS = {0: 8061, 1: 60, 2: 41, 3: 30}
 QUERIES = [
     "candidate_maxsim",
     "avg4_headline",
+    "best_three",
 ]
 
 
