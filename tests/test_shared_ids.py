@@ -19,6 +19,7 @@ QUERIES = [
     "candidate_maxsim",
     "avg4_headline",
     "best_three",
+    "board_rollup",
 ]
 
 
