@@ -20,6 +20,7 @@ QUERIES = [
     "avg4_headline",
     "best_three",
     "board_rollup",
+    "head_matrix",
 ]
 
 
