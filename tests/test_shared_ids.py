@@ -21,6 +21,7 @@ QUERIES = [
     "best_three",
     "board_rollup",
     "head_matrix",
+    "head_table",
 ]
 
 
