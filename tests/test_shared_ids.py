@@ -22,6 +22,7 @@ QUERIES = [
     "board_rollup",
     "head_matrix",
     "head_table",
+    "filtered_infonce_loss",
 ]
 
 
