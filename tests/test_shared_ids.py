@@ -23,6 +23,7 @@ QUERIES = [
     "head_matrix",
     "head_table",
     "filtered_infonce_loss",
+    "group_masked_infonce",
 ]
 
 
