@@ -24,6 +24,7 @@ QUERIES = [
     "head_table",
     "filtered_infonce_loss",
     "group_masked_infonce",
+    "hardneg_softplus_loss",
 ]
 
 
