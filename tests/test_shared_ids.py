@@ -25,6 +25,7 @@ QUERIES = [
     "filtered_infonce_loss",
     "group_masked_infonce",
     "hardneg_softplus_loss",
+    "combined_heads_scored",
 ]
 
 
