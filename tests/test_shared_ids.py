@@ -26,6 +26,7 @@ QUERIES = [
     "group_masked_infonce",
     "hardneg_softplus_loss",
     "combined_heads_scored",
+    "evaluate_beir",
 ]
 
 

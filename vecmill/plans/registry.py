@@ -542,7 +542,7 @@ def _encoders(spark, d):
     """Bags by the number in a page's or a query's name."""
     known = D.bags(spark, d).withColumnRenamed("doc_id", "bag")
     pages = lambda df: df.withColumn("bag", F.regexp_extract("doc_id", "[0-9]+", 0).cast("long")).join(known, "bag").select("doc_id", "tokens")
-    asked = lambda df: df.withColumn("bag", F.col("text").cast("long")).join(known, "bag").select("query_id", "tokens")
+    asked = lambda df: df.withColumn("bag", F.col("text").cast("long")).join(known, "bag").select("query_id", "tokens", "places")
     return pages, asked
 
 
