@@ -27,6 +27,7 @@ QUERIES = [
     "hardneg_softplus_loss",
     "combined_heads_scored",
     "evaluate_beir",
+    "image_span",
 ]
 
 

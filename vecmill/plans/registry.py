@@ -481,8 +481,8 @@ _MASKS = f"WITH {D.BAGS}, masks AS (SELECT doc_id, tok_idx, (tok_idx * 3 + doc_i
 @query(f"{_MASKS} SELECT doc_id, min(tok_idx) FILTER (m) AS image_start, max(tok_idx) FILTER (m) + 1 AS image_end, coalesce(max(tok_idx) FILTER (m) + 1 - min(tok_idx) FILTER (m) = count(*) FILTER (m), false) AS valid FROM masks GROUP BY 1")
 def image_span(spark, d):
     t = D.tokens(spark, d).withColumn("m", (F.pmod(F.col("tok_idx") * 3 + F.col("doc_id"), F.lit(8))).between(2, 5))
-    masks = t.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("tok_idx", "m"))), lambda r: r["m"]).alias("mask"))
-    start, end, valid = C.image_span(F.col("mask"))
+    masks = t.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("tok_idx", "m"))).alias("r"))
+    start, end, valid = C.image_span(F.col("r")["m"], F.col("r")["tok_idx"])
     return masks.select("doc_id", start.alias("image_start"), end.alias("image_end"), valid.alias("valid"))
 
 
