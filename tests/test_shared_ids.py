@@ -28,6 +28,8 @@ QUERIES = [
     "combined_heads_scored",
     "evaluate_beir",
     "image_span",
+    "ward_one_merge",
+    "compressed_one_merge_topk",
 ]
 
 

@@ -436,7 +436,7 @@ labels AS (SELECT b.doc_id, b.tok_idx, vec, CASE WHEN n < 8 OR tok_idx < pair[2]
 
 @query(f"WITH {D.BAGS}, {_ONE} SELECT doc_id, tok_idx, cluster_id FROM labels")
 def ward_one_merge(spark, d):
-    return C.assign(_grid(spark, d), 7)
+    return C.assign(_grid(spark, d), 7, places=True)
 
 
 _POOLED = """means AS (SELECT doc_id, cluster_id, i, avg(x) AS m FROM (SELECT doc_id, cluster_id, unnest(range(0, 64)) AS i, unnest(vec) AS x FROM labels) GROUP BY ALL),
@@ -450,7 +450,7 @@ scores AS (SELECT query_id, doc_id, sum(CASE WHEN n_tok < 7 THEN greatest(m, 0)
 def compressed_one_merge_topk(spark, d):
     """Search in a checked index with the floor of its padding."""
     recipe = C.Recipe(budget=7)
-    index = I.checked_index(C.compress(_grid(spark, d), recipe), recipe.budget, recipe.dim)
+    index = I.checked_index(C.compress(_grid(spark, d), recipe, places=True), recipe.budget, recipe.dim)
     return rounded(M.maxsim(D.queries(D.bags(spark, d)), I.index_bags(index), top_k=10, pad_len=7), "score")
 
 
