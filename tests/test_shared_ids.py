@@ -30,6 +30,7 @@ QUERIES = [
     "image_span",
     "ward_one_merge",
     "compressed_one_merge_topk",
+    "index_score_task",
 ]
 
 

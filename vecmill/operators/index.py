@@ -18,7 +18,7 @@ from ..sources import tables as S
 from . import compress as C
 from . import metrics as R
 from .evaluate import Encoder, beir_parts, paired_parts
-from .maxsim import maxsim, nested
+from .maxsim import maxsim, n_places, nested
 
 PROTOCOL = "token-dump-1"
 
@@ -149,7 +149,7 @@ def score_task(queries: DataFrame, bags: DataFrame, qrels: DataFrame, pad_len: i
     else:
         scores = maxsim(queries, bags, pad_len=pad_len).where(candidates)
     row = R.task_metrics(R.per_query(scores, qrels, ks), ks=ks).drop("n_queries")
-    sizes = bags.agg(F.count("*").alias("n_docs"), F.max(F.size("tokens")).alias("doc_tokens")).crossJoin(queries.agg(F.count("*").alias("n_queries"), F.max(F.size("tokens")).alias("query_tokens")))
+    sizes = bags.agg(F.count("*").alias("n_docs"), F.max(F.size("tokens")).alias("doc_tokens")).crossJoin(queries.agg(F.count("*").alias("n_queries"), F.max(n_places(queries)).alias("query_tokens")))
     return row.crossJoin(sizes)  # one row each
 
 

@@ -456,7 +456,7 @@ def compressed_one_merge_topk(spark, d):
 
 @query(f"{_PER_QUERY.replace(D.SCORES, _ONE + ', ' + _POOLED)} SELECT {_AVG}, count(*) AS n_queries, (SELECT count(DISTINCT doc_id) FROM bags) AS n_docs, 7 AS doc_tokens, 8 AS query_tokens FROM per_query")
 def index_score_task(spark, d):
-    index = I.checked_index(C.compress(_grid(spark, d), C.Recipe(budget=7)), 7, 64)
+    index = I.checked_index(C.compress(_grid(spark, d), C.Recipe(budget=7), places=True), 7, 64)
     q = D.queries(D.bags(spark, d))
     row = I.score_task(q, I.index_bags(index), D.qrels(spark, d), 7, candidates=F.col("query_id") != F.col("doc_id"))
     return rounded(row, *R.METRICS)
