@@ -848,17 +848,18 @@ def ard_margin(spark, d):
 
 # Arms are the vectors with even and odd row numbers of a label, parameters their pairs.
 def _arms(spark, d):
-    """Two arms of the vectors of a label in turn, ``arm, param, idx, value``."""
+    """Two arms of the vectors of a label in turn, ``arm, param, values``."""
     w = Window.partitionBy("label")
     rows = D.table(spark, d, "embeddings").withColumn("rn", F.row_number().over(w.orderBy("vec_id")) - 1).withColumn("n", F.count("*").over(w))
     whole = rows.where("rn < n - n % 2")  # every arm must have every parameter
     name = F.concat_ws(".", F.col("label").cast("string"), F.floor(F.col("rn") / 2).cast("string"))
-    return whole.select(F.concat(F.lit("arm"), F.pmod("rn", F.lit(2)).cast("string")).alias("arm"), name.alias("param"), F.posexplode("embedding").alias("idx", "value"))
+    return whole.select(F.concat(F.lit("arm"), F.pmod("rn", F.lit(2)).cast("string")).alias("arm"), name.alias("param"), F.col("embedding").alias("values"))
 
 
 @query("SELECT param, i AS idx, round(sum(w * x), 6) AS value FROM (SELECT label || '.' || (rn // 2) AS param, unnest(range(0, 64)) AS i, unnest(embedding::DOUBLE[]) AS x, CASE rn % 2 WHEN 0 THEN 0.4 ELSE 0.6 END AS w, n, rn FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn, count(*) OVER (PARTITION BY label) AS n FROM embeddings) WHERE rn < n // 2 * 2) GROUP BY ALL")
 def weighted_merge(spark, d):
-    return rounded(G.weighted_merge(_arms(spark, d), {"arm0": 0.8, "arm1": 1.2}), "value")
+    elements = _arms(spark, d).select("arm", "param", F.posexplode("values").alias("idx", "value"))
+    return rounded(G.weighted_merge(elements, {"arm0": 0.8, "arm1": 1.2}), "value")
 
 
 @query("SELECT key, count(DISTINCT coalesce(value, 'null')) AS values, count(DISTINCT arm) AS arms FROM (SELECT lang AS arm, source AS key, (n_chars > 3000)::VARCHAR AS value FROM documents) GROUP BY 1 HAVING count(DISTINCT coalesce(value, 'null')) > 1 OR count(DISTINCT arm) < (SELECT count(DISTINCT lang) FROM documents)")
@@ -872,11 +873,11 @@ def config_disagreements(spark, d):
 def merged_weights(spark, d):
     """The same through files: arms written as 64-bit safetensors, merged run by run."""
     top, arms = X.scratch(spark), _arms(spark, d)
-    shapes = {r.param: ("F64", [64]) for r in arms.select("param").distinct().collect()}  # a row a tensor, which the head of a file lists
+    shapes = {r: ("F64", [64]) for r in arms.select("param").distinct().toArrow()["param"].to_pylist()}  # a row a tensor, which the head of a file lists
     paths = {}
     for arm in ("arm0", "arm1"):
-        names = N.write_safetensors(N.runs_of(arms.where(F.col("arm") == arm).drop("arm"), 48), shapes, f"{top}/{arm}")
-        paths[arm] = f"{top}/{arm}/{names[0]}"
+        names = N.write_safetensors(N.cut(arms.where(F.col("arm") == arm).drop("arm"), 48), shapes, f"{top}/{arm}")
+        paths[arm] = [f"{top}/{arm}/{n}" for n in names]
     merged = N.merged_runs(N.read_safetensors(spark, paths, 40), {"arm0": 0.8, "arm1": 1.2})
     return rounded(N.elements(merged), "value")
 

@@ -35,13 +35,11 @@ def folder(spark: SparkSession, path: str) -> str:
 
 def head_bytes(spark: SparkSession, path: str, n: int) -> bytes:
     """The first ``n`` bytes of a file (fewer, if it is shorter), on the driver."""
-    import base64
-
     jvm = spark._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     stream = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop)
-    try:
-        return base64.b64decode(jvm.java.util.Base64.getEncoder().encodeToString(stream.readNBytes(n)))
+    try:  # as text of a character a byte: arrays of bytes are turned one by one on their way
+        return jvm.org.apache.commons.io.IOUtils.toString(jvm.org.apache.commons.io.input.BoundedInputStream(stream, n), "ISO-8859-1").encode("latin-1")
     finally:
         stream.close()
 
