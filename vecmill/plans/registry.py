@@ -873,7 +873,7 @@ def config_disagreements(spark, d):
 def merged_weights(spark, d):
     """The same through files: arms written as 64-bit safetensors, merged run by run."""
     top, arms = X.scratch(spark), _arms(spark, d)
-    shapes = {r: ("F64", [64]) for r in arms.select("param").distinct().toArrow()["param"].to_pylist()}  # a row a tensor, which the head of a file lists
+    shapes = dict.fromkeys(arms.select("param").distinct().toArrow()["param"].to_pylist(), ("F64", [64]))  # a row a tensor, which the head of a file lists
     paths = {}
     for arm in ("arm0", "arm1"):
         names = N.write_safetensors(N.cut(arms.where(F.col("arm") == arm).drop("arm"), 48), shapes, f"{top}/{arm}")

@@ -73,20 +73,21 @@ def head(spark: SparkSession, path: str) -> tuple[str, int, dict]:
 _TENSORS = pa.schema([("arm", pa.string()), ("param", pa.string()), ("dtype", pa.string()), ("shape", pa.list_(pa.int64())), ("n", pa.int64()), ("file", pa.string()), ("at", pa.int64())])
 
 
-def _table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     columns = list(zip(*rows, strict=True)) or [()] * len(schema)
-    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema))
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema)
+
+
+def _listed(spark: SparkSession, arm: str, path: str) -> pa.Table:
+    address, data, told = head(spark, path)
+    return _table([(arm, name, t["dtype"], t["shape"], math.prod(t["shape"]), address, data + t["data_offsets"][0]) for name, t in told.items()], _TENSORS)
 
 
 def tensors(spark: SparkSession, paths: dict[str, str | list[str]]) -> DataFrame:
     """``arm, param, dtype, shape, n, file, at`` of the tensors of several files, one or more
     (shards) an arm."""
-    rows = []
-    for arm, files in paths.items():
-        for path in [files] if isinstance(files, str) else files:
-            address, data, told = head(spark, path)
-            rows += [(arm, name, t["dtype"], t["shape"], math.prod(t["shape"]), address, data + t["data_offsets"][0]) for name, t in told.items()]
-    return _table(spark, rows, _TENSORS)
+    files = [(arm, path) for arm, own in paths.items() for path in ([own] if isinstance(own, str) else own)]
+    return spark.createDataFrame(pa.concat_tables([_TENSORS.empty_table(), *(_listed(spark, arm, path) for arm, path in files)]))
 
 
 def read_safetensors(spark: SparkSession, paths: dict[str, str | list[str]], run: int = 1 << 16) -> DataFrame:
@@ -188,14 +189,15 @@ def write_safetensors(runs: DataFrame, shapes: dict[str, tuple[str, list[int]]],
     names = [f"model-{i + 1:05d}-of-{len(groups):05d}.safetensors" for i in range(len(groups))]
     heads = []
     for group in groups:
-        told, at = {"__metadata__": {"format": "pt"}}, 0
+        told, at = ['"__metadata__":{"format":"pt"}'], 0
         for p in group:
-            told[p] = {"dtype": shapes[p][0], "shape": list(shapes[p][1]), "data_offsets": [at, at + sizes[p]]}
+            entry = {"dtype": shapes[p][0], "shape": list(shapes[p][1]), "data_offsets": [at, at + sizes[p]]}
+            told.append(f"{json.dumps(p)}:{json.dumps(entry, separators=(',', ':'))}")
             at += sizes[p]
-        text = json.dumps(told, separators=(",", ":")).encode()
+        text = f"{{{','.join(told)}}}".encode()
         heads.append(text + b" " * (-len(text) % 8))
     places = [(i, p, n, shapes[p][0], sizes[p]) for i, g in enumerate(groups) for n, p in enumerate(g)]
-    listed = _table(spark, places, pa.schema([("shard", pa.int32()), ("param", pa.string()), ("place", pa.int32()), ("dtype", pa.string()), ("bytes", pa.int64())]))
+    listed = spark.createDataFrame(_table(places, pa.schema([("shard", pa.int32()), ("param", pa.string()), ("place", pa.int32()), ("dtype", pa.string()), ("bytes", pa.int64())])))
     # One row without values for each tensor, so that empty ones and their shards exist.
     marks = listed.select("param", F.lit(-1).cast("long").alias("start"), F.lit(None).cast("array<double>").alias("values"))
     every = runs.select("param", "start", F.col("values").cast("array<double>").alias("values")).unionByName(marks)
